@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, url_filter
+from . import decontaminate, exact_dedup, language_id, license_scan, packing, url_filter
 from .common import table
 
 
@@ -18,11 +18,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op5_license_scan, op6_decontamination, op8_language_id, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
@@ -44,6 +56,36 @@ WITH u AS (
   GROUP BY k
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f LEFT JOIN best USING (k)
+""",
+    "op6_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS phrase
+  FROM b, unnest(generate_series(1, greatest(1, len(w) - 9))) AS t(i)
+  WHERE len(w) > 0
+), lens AS (
+  SELECT DISTINCT n FROM p
+), dw AS (
+  SELECT k, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM d, lens, unnest(generate_series(1, len(w) - n + 1)) AS t(i)
+  WHERE len(w) >= n
+), occ AS (
+  SELECT k, i, dw.n, item_id FROM dw JOIN p USING (n, phrase)
+), hit AS (
+  SELECT k, count(DISTINCT j) AS n_hit FROM occ, unnest(generate_series(i, i + n - 1)) AS t(j) GROUP BY k
+), its AS (
+  SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+  FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 """,
     "op10_exact_dedup": r"""
 WITH d AS (
