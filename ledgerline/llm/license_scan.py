@@ -82,6 +82,8 @@ class Vocabulary:
             self.quick = np.zeros(1 << 18, bool)
             self.quick[(self.hashes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
         out = np.zeros(len(w.hash), np.int64)
+        if not self.words:
+            return out
         maybe = np.flatnonzero(self.quick[(w.hash & np.uint64((1 << 18) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hashes, w.hash[maybe]), len(self.hashes) - 1)
         found = self.hashes[at] == w.hash[maybe]
