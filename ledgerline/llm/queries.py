@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, language_id, license_scan, packing, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, toxicity, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op5_license_scan, op6_decontamination, op8_language_id, op9_html_extraction, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op8_language_id, op9_html_extraction, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
