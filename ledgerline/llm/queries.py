@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op8_language_id, op9_html_extraction, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
@@ -98,6 +102,23 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
+""",
+    "op7_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS phrase FROM d, unnest(generate_series(1, len(w) - 19)) AS t(i) WHERE len(w) >= 20
+), again AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) > 1 AS rep FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS k FROM again, generate_series(0, 19) AS t(j) WHERE rep
+), kept AS (
+  SELECT d.doc_id, count(g.k) AS n_removed, coalesce(string_agg(w[k0], ' ' ORDER BY k0) FILTER (WHERE g.k IS NULL), '') AS txt
+  FROM d, unnest(generate_series(1, len(w))) AS t(k0) LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.k = k0
+  GROUP BY d.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op10_exact_dedup": r"""
 WITH d AS (
