@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sales
+from . import kpis, sales
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for part in (sales,):
+for part in (sales, kpis):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
