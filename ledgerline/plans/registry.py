@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kpis, sales
+from . import grouped, kpis, sales
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for part in (sales, kpis):
+for part in (sales, kpis, grouped.part):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
