@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, grouped, joins, kpis, sales
+from . import dedup, grouped, joins, kpis, rows, sales, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for part in (sales, kpis, grouped.part, joins.part, dedup.part):
+for part in (sales, kpis, grouped.part, joins.part, dedup.part, windows.part, rows.part):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
