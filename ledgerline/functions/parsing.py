@@ -131,15 +131,20 @@ def branch_key(x: Column) -> Column:
     return F.lower(F.trim(F.when(inner != "", inner).otherwise(x)))
 
 
-def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """One row, median: the element at floor(n / 2) of the sorted values, without sorting them all.
+def order_statistic(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
+    """One row: the element at floor(n * share) of the sorted values, without sorting them all.
 
     A quantile sketch brackets it; rows below the bracket are counted, and only the bracket's distinct values (some
     parts in 10,000 of the rows) are ranked.
     """
     v = F.col(value)
-    bracket = df.agg(F.percentile_approx(value, F.array(F.lit(0.4999), F.lit(0.5001)), 100_000).alias("q"), F.count(value).alias("n")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n")
-    marked = df.crossJoin(F.broadcast(bracket)).filter(v <= F.col("hi"))
-    counts = marked.groupBy(F.when(v >= F.col("lo"), v).alias("value"), "n").agg(F.count(F.lit(1)).alias("k"))
+    bracket = df.agg(F.percentile_approx(value, F.array(F.lit(share - 0.0002), F.lit(share + 0.0002)), 100_000).alias("q"), F.count(value).alias("n")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n")
+    marked = df.crossJoin(F.broadcast(bracket))
+    counts = marked.groupBy(F.when(v > F.col("hi"), None).when(v >= F.col("lo"), v).alias("value"), (v > F.col("hi")).alias("above"), "n").agg(F.count(F.lit(1)).alias("k")).filter("NOT above")
     upto = F.sum("k").over(Window.orderBy(F.col("value").asc_nulls_first()))
-    return counts.select("value", "n", upto.alias("upto")).filter("upto > floor(n / 2) AND value IS NOT NULL").agg(F.min("value").alias("median"))
+    return counts.select("value", "n", upto.alias("upto")).filter(f"upto > floor(n * {share}) AND value IS NOT NULL").agg(F.min("value").alias(name))
+
+
+def upper_median(df: DataFrame, value: str) -> DataFrame:
+    """One row, median: the element at floor(n / 2) of the sorted values."""
+    return order_statistic(df, value, 0.5, "median")
