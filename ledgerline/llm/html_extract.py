@@ -132,8 +132,9 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
 
 
 def outside(texts: list[str], kinds: list[int]) -> np.ndarray:
-    """Hashes of the lines that differencing looks at: all but those that the page declares text."""
-    return np.array([xxhash.xxh64_intdigest(t) for t, k in zip(texts, kinds, strict=True) if k != TEXT], np.uint64)
+    """Hashes of the lines that differencing looks at: the undecided ones, or all but the text where a page declares it."""
+    declared = TEXT in kinds
+    return np.array([xxhash.xxh64_intdigest(t) for t, k in zip(texts, kinds, strict=True) if k == UNDECIDED or declared and k != TEXT], np.uint64)
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -242,7 +243,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if TEXT in kinds:
                     keep = [t for t, k in zip(texts, kinds, strict=True) if k == TEXT]
                 else:
-                    keep = [t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k == UNDECIDED and i not in away]
+                    undecided = [t for t, k in zip(texts, kinds, strict=True) if k == UNDECIDED]
+                    keep = [t for i, t in enumerate(undecided) if i not in away]
                 out.append("\n".join(keep))
                 shared.append(len(away))
             yield pa.RecordBatch.from_arrays([b["id"], b["url"], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(shared, pa.int64())], ["id", "url", "text", "n_chars", "n_shared"])

@@ -293,7 +293,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     seen = sample.mapInArrow(look, "word string, before long, n long, n_toxic long").groupBy("word").agg(F.countDistinct("before").alias("n_before"), F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     support = {r["word"]: r for r in seen.collect()}
     stems = [x for x in stems if support[f"{x}*"]["n_toxic"] >= max(least, 0.8 * support[f"{x}*"]["n"])]
-    terms = [x for x in sorted(known, key=lambda x: (-found[x]["n_toxic"], x)) if x in support and support[x]["n_before"] >= max(contexts, 0.3 * found[x]["n_toxic"])]
+    terms = [x for x in sorted(known, key=lambda x: (-found[x]["n_toxic"], x)) if x in support and support[x]["n_before"] >= max(contexts, min(15, 0.3 * found[x]["n_toxic"]))]
     return Lexicon([x for x in terms if not any(x.startswith(p) for p in stems)][:MAX_TERMS], stems)
 
 
