@@ -40,6 +40,11 @@ COUNTER_BITS = 20
 COUNTER_PARTS = 64
 #: Bits of a signature.
 SIGNATURE = 1024
+#: Tiles of so many rows at most are done all at once; those of large sets tell pairs up to LARGE_TILE rows.
+SMALL_TILE = 8
+LARGE_TILE = 256
+#: Pairs that a task remembers having told; beyond that some are told again, which changes nothing.
+MOST_TOLD = 1_000_000
 #: Most classes and shingles of a chunk of a cluster.
 CHUNK_CLASSES = 2_000
 CHUNK_SHINGLES = 2_000_000
@@ -91,8 +96,21 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(n, SIGNATURE), axis=1)
 
 
+def wide_signature(h: np.ndarray) -> bytes:
+    """At least twice as many hashed bits as shingles, a power of two; widths fold into each other."""
+    n = 1 << (2 * len(h) - 1).bit_length()
+    bits = np.zeros(n, bool)
+    bits[((h >> _U(7)) % _U(n)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """A signature at a smaller width of n 64-bit words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, n), axis=0)
+
+
 def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
-    """Level of each counter: 0 up to four times the mean, then one more for every doubling."""
+    """Level of each counter: 0 up to what chance explains, then one more for every doubling of what exceeds the mean."""
     part = (1 << COUNTER_BITS) // COUNTER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +134,8 @@ def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
     for p, x in summed.toLocalIterator():  # 2**COUNTER_BITS numbers in all
         out[p] = np.frombuffer(x, np.int64)
     counts = out.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(32.0, 4 * counts.mean()))) + 1, 0, 15).astype(np.uint8)
+    least = max(32.0, 6 * counts.mean() ** 0.5)  # shingles that share a counter by chance add up to its mean, give or take
+    return np.clip(np.floor(np.log2(np.maximum(counts - counts.mean(), 1) / least)) + 1, 0, 15).astype(np.uint8)
 
 
 def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
@@ -145,12 +164,13 @@ def prepared(rows: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataF
                 keys = h[np.arange(int(ends[-1])) - np.repeat(ends - many, many) + np.repeat(bounds[:-1], many)].view(np.int64)
                 part = b.slice(w.row0, w.n_texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], part["th"], pa.array(size), pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys)), pa.array([bits[i].tobytes() if f else None for i, f in enumerate(fresh)], pa.binary())],
-                    ["id", "th", "size", "c1", "c2", "keys", "bits"],
+                    [part["id"], part["th"], pa.array(size), pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys)), pa.array([bits[i].tobytes() if f else None for i, f in enumerate(fresh)], pa.binary()),
+                     pa.array([wide_signature(h[bounds[i] : bounds[i + 1]]) if f and size[i] > SIGNATURE else None for i, f in enumerate(fresh)], pa.binary())],
+                    ["id", "th", "size", "c1", "c2", "keys", "bits", "wide"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"id {kind}, th long, size long, c1 long, c2 long, keys array<long>, bits binary"), "jaccard-sets")
+    return written(rows.mapInArrow(run, f"id {kind}, th long, size long, c1 long, c2 long, keys array<long>, bits binary, wide binary"), "jaccard-sets")
 
 
 def _band(size: np.ndarray, percent: int) -> np.ndarray:
@@ -264,8 +284,10 @@ def tile_forest(size: np.ndarray, bits: np.ndarray, home: np.ndarray, percent: i
 
 
 def candidate_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, band and size: u, v (classes) of each tile's forest. Small tiles are done all at once."""
+    """Rows sorted by key, band and size: u, v (classes) of each tile's forest, or pairs; check: whether a pair of
+    large sets is left to their wide signatures."""
     held: pa.Table | None = None
+    told: set[int] = set()  # pairs that this task has told; they share many shingles
 
     def judge(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -276,20 +298,34 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
         tile = np.cumsum(new) - 1
         start = np.append(np.flatnonzero(new), len(key))
-        small = np.diff(start) <= 8
+        small = np.diff(start) <= SMALL_TILE
         pairs = [np.zeros((0, 2), np.int64)]
-        for k in range(1, 8):
+        for k in range(1, SMALL_TILE):
             i = np.flatnonzero((tile[k:] == tile[:-k]) & small[tile[k:]])
             i = i[(home[i] | home[i + k]) & (100 * size[i] >= percent * size[i + k])]
             i = i[may_link(size[i], bits[i], size[i + k], bits[i + k], percent)]
             pairs.append(np.column_stack([i, i + k]))
+        i, j = np.concatenate(pairs).T
+        check = [np.minimum(size[i], size[j]) > SIGNATURE]
         for x in np.flatnonzero(~small).tolist():
             a, b = start[x], start[x + 1]
-            if found := tile_forest(size[a:b], bits[a:b], home[a:b], percent):
+            if size[a] > SIGNATURE and b - a <= LARGE_TILE:
+                i, j = np.triu_indices(b - a, 1)
+                ok = (home[a + i] | home[a + j]) & (100 * size[a + i] >= percent * size[a + j])
+                i, j = i[ok] + a, j[ok] + a
+                ok = may_link(size[i], bits[i], size[j], bits[j], percent)
+                pairs.append(np.column_stack([i[ok], j[ok]]))
+                check.append(np.ones(int(ok.sum()), bool))
+            elif found := tile_forest(size[a:b], bits[a:b], home[a:b], percent):
                 pairs.append(np.array(found, np.int64) + a)
+                check.append(np.zeros(len(found), bool))
         u, v = c1[np.concatenate(pairs)].T
-        edge = np.unique(np.column_stack([np.maximum(u, v), np.minimum(u, v)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["u", "v"])
+        edge = np.unique(np.column_stack([np.maximum(u, v), np.minimum(u, v), np.concatenate(check)]), axis=0)
+        mark = mix(mix(edge[:, 0].astype(_U)) + edge[:, 1].astype(_U) + edge[:, 2].astype(_U)).tolist() if len(edge) else []
+        edge = edge[[m not in told for m in mark]] if told else edge
+        if len(told) < MOST_TOLD:
+            told.update(mark)
+        return pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(edge[:, 2] == 1)], ["u", "v", "check"])
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -305,6 +341,17 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         yield judge(held)
 
 
+def wide_check(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """u, v of those pairs of large sets that their wide signatures leave."""
+    for b in batches:
+        keep = []
+        for su, sv, x, y in zip(*(b[c].to_pylist() for c in ("su", "sv", "wu", "wv")), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            n = min(len(x), len(y))
+            keep.append(bool(may_link(su, folded(x, n), sv, folded(y, n), percent)))
+        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def linked(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile (text, chunk, low, high): u, v of a spanning forest of the links in each tile."""
     held: list[tuple] = []
@@ -364,7 +411,11 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     left = postings.mapInArrow(lambda it: surviving(it, percent), "key long, band int, home boolean, size long, c1 long")
     bits = sets.filter("bits IS NOT NULL").groupBy("c1").agg(F.first("bits").alias("bits"))
     tiles = left.join(bits, "c1").repartition("key", "band").sortWithinPartitions("key", "band", "size", "c1")
-    clusters = components(tiles.mapInArrow(lambda it: candidate_edges(it, percent), "u long, v long"))
+    pairs = written(tiles.mapInArrow(lambda it: candidate_edges(it, percent), "u long, v long, check boolean").distinct(), "jaccard-pairs")
+    wide = sets.filter("wide IS NOT NULL").groupBy("c1").agg(F.first("wide").alias("w"), F.first("size").alias("s"))
+    of = lambda x: wide.select(F.col("c1").alias(x), F.col("w").alias(f"w{x}"), F.col("s").alias(f"s{x}"))
+    large = pairs.filter("check").join(of("u"), "u").join(of("v"), "v").mapInArrow(lambda it: wide_check(it, percent), "u long, v long")
+    clusters = components(pairs.filter("NOT check").select("u", "v").unionAll(large))
     # each class of a cluster with one of its texts
     member = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct())
     text_key = sets.filter("bits IS NOT NULL").groupBy("c1").agg(F.min(F.struct("id", "th")).alias("one"), F.first("size").alias("size"))
@@ -373,7 +424,8 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     member = member.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
     wanted = written(member.select("*", other.alias("other")).select("id", "th", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")), "jaccard-clusters")
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["th"] == wanted["th"])).select("root", "low", "high", "chunk", "text")
+    # by merging at every size, never by sending `wanted`, which grows with the input
+    texts = rows.join(wanted.hint("merge"), rows["id"].eqNullSafe(wanted["id"]) & (rows["th"] == wanted["th"])).select("root", "low", "high", "chunk", "text")
     texts = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
     shared = levels
     edges = texts.mapInArrow(lambda it: linked(it, n, percent, shared), "u long, v long")
