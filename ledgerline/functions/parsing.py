@@ -138,7 +138,9 @@ def order_statistic(df: DataFrame, value: str, share: float, name: str) -> DataF
     parts in 10,000 of the rows) are ranked.
     """
     v = F.col(value)
-    bracket = df.agg(F.percentile_approx(value, F.array(F.lit(share - 0.0002), F.lit(share + 0.0002)), 100_000).alias("q"), F.count(value).alias("n")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n")
+    bracket = df.agg(F.percentile_approx(value, F.array(F.lit(share - 0.0002), F.lit(share + 0.0002)), 100_000).alias("q"), F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
+    few = F.col("n") <= 10_000  # the sketch's bracket could miss a neighbour
+    bracket = bracket.select(F.when(few, F.col("a")).otherwise(F.col("q")[0]).alias("lo"), F.when(few, F.col("b")).otherwise(F.col("q")[1]).alias("hi"), "n")
     marked = df.crossJoin(F.broadcast(bracket))
     counts = marked.groupBy(F.when(v > F.col("hi"), None).when(v >= F.col("lo"), v).alias("value"), (v > F.col("hi")).alias("above"), "n").agg(F.count(F.lit(1)).alias("k")).filter("NOT above")
     upto = F.sum("k").over(Window.orderBy(F.col("value").asc_nulls_first()))

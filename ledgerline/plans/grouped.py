@@ -16,10 +16,10 @@ c = F.col
 _MONTHS = "date < DATE '2001-08-01'"
 
 
-@part.query("SELECT date_trunc('month', date)::DATE AS month, round(sum(subtotal), 2) AS revenue, count(*) AS n_lines, count(DISTINCT order_id) AS n_orders, round(arg_max(subtotal, (date, order_id, line_no, subtotal)), 2) AS last_amount FROM order_lines GROUP BY 1")
+@part.query("SELECT date_trunc('month', date)::DATE AS month, round(sum(subtotal), 4) AS revenue, count(*) AS n_lines, count(DISTINCT order_id) AS n_orders, round(arg_max(subtotal, (date, order_id, line_no, subtotal)), 4) AS last_amount FROM order_lines GROUP BY 1")
 def b_monthly_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = cat.order_lines(spark, sf_dir)
-    return o.groupBy(month("date").alias("month")).agg(F.round(F.sum("subtotal"), 2).alias("revenue"), F.count(F.lit(1)).alias("n_lines"), F.countDistinct("order_id").alias("n_orders"), F.round(F.max_by("subtotal", F.struct("date", "order_id", "line_no", "subtotal")), 2).alias("last_amount"))
+    return o.groupBy(month("date").alias("month")).agg(F.round(F.sum("subtotal"), 4).alias("revenue"), F.count(F.lit(1)).alias("n_lines"), F.countDistinct("order_id").alias("n_orders"), F.round(F.max_by("subtotal", F.struct("date", "order_id", "line_no", "subtotal")), 4).alias("last_amount"))
 
 
 @part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month, sum(subtotal) AS v FROM order_lines WHERE product_id % 97 = 0 AND date < DATE '2001-08-01' GROUP BY 1),
@@ -54,12 +54,12 @@ def b_monthly_finance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month, sum(subtotal) FILTER (status <> 'returned') AS revenue, count(DISTINCT order_id) FILTER (status <> 'returned') AS orders FROM order_lines WHERE date < DATE '2001-08-01' GROUP BY 1)
-SELECT month, round(revenue, 2) AS revenue, orders, round(revenue / nullif(orders, 0), 2) AS aov FROM m""")
+SELECT month, round(revenue, 4) AS revenue, orders, round(revenue / nullif(orders, 0), 6) AS aov FROM m""")
 def b_monthly_kpi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = cat.order_lines(spark, sf_dir).filter(_MONTHS)
     ok = c("status") != "returned"
     m = o.groupBy(month("date").alias("month")).agg(F.sum(F.when(ok, c("subtotal"))).alias("revenue"), F.countDistinct(F.when(ok, c("order_id"))).alias("orders"))
-    return m.select("month", F.round("revenue", 2).alias("revenue"), "orders", F.round(c("revenue") / F.nullif("orders", F.lit(0)), 2).alias("aov"))
+    return m.select("month", F.round("revenue", 4).alias("revenue"), "orders", F.round(c("revenue") / F.nullif("orders", F.lit(0)), 6).alias("aov"))
 
 
 @part.query("SELECT date, round(cash_in - cash_out, 2) AS net, round(sum(cash_in - cash_out) OVER (ORDER BY date), 2) AS balance FROM cashflow")
@@ -161,9 +161,9 @@ def b_recurring_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("category", F.round(c("v") / c("months"), 4).alias("monthly_mean"), "months")
 
 
-@part.query("SELECT department, count(*) AS headcount, round(avg(annual_salary), 2) AS mean_salary FROM employees WHERE status = 'actif' GROUP BY 1")
+@part.query("SELECT department, count(*) AS headcount, round(avg(annual_salary), 6) AS mean_salary FROM employees WHERE status = 'actif' GROUP BY 1")
 def b_headcount_by_department(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.employees(spark, sf_dir).filter("status = 'actif'").groupBy("department").agg(F.count(F.lit(1)).alias("headcount"), F.round(F.avg("annual_salary"), 2).alias("mean_salary"))
+    return cat.employees(spark, sf_dir).filter("status = 'actif'").groupBy("department").agg(F.count(F.lit(1)).alias("headcount"), F.round(F.avg("annual_salary"), 6).alias("mean_salary"))
 
 
 @part.query("SELECT round(sum(initial_cost), 2) AS initial_cost, round(sum(net_book_value), 2) AS net_book_value, round(sum(accumulated_depreciation) * 100 / nullif(sum(initial_cost), 0), 4) AS obsolescence_rate FROM assets")
