@@ -72,6 +72,28 @@ WITH u AS (
   GROUP BY k
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f LEFT JOIN best USING (k)
+""",
+    "op4_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT k, array_to_string(w[i : i + 3], ' ') AS sh FROM d, unnest(generate_series(1, greatest(1, len(w) - 3))) AS t(i) WHERE len(w) > 0
+), n AS (
+  SELECT k, count(*) AS n FROM s GROUP BY k
+), p AS (
+  SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.k < b.k GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(k, m) AS (
+  SELECT k, k FROM d UNION SELECT r.k, e.b FROM r JOIN e ON r.m = e.a
+), c AS (
+  SELECT r.k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.m GROUP BY r.k
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (k) JOIN c USING (k)
 """,
     "op6_decontamination": r"""
 WITH d AS (
