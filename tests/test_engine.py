@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import money, parsing
+from ledgerline.functions import money, parsing, semantics
 from ledgerline.functions.periods import complete_months, densify
 from ledgerline.plans import kpis, registry
 from ledgerline.plans.dedup import classify
@@ -97,6 +97,15 @@ def test_kpi_order_and_cycles():
         kpis.ordered([kpis.Kpi("a", "b + 1", ""), kpis.Kpi("b", "a + 1", "")])
 
 
+def test_stocks_and_rates_are_never_summed(spark):
+    wrong = semantics.Measure("s", "inventory", ("q",), semantics.STOCK, "sum")
+    with pytest.raises(ValueError):
+        semantics.aggregate(spark.range(1), wrong)
+    m = semantics.MEASURES
+    assert not semantics.can_add(m["order_discount"], m["supplier_esg"]) and semantics.can_add(m["revenue"], m["cogs"])
+    assert semantics.aggregate(spark.range(3), m["revenue"]).first()["status"] == "NOT_MEASURED"
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v + 0.0, 6)
