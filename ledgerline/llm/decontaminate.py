@@ -32,7 +32,7 @@ from .textnum import PLAIN_WORDS, Words, words
 
 WIDTH = 10
 SHARD_BYTES = 8_000_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
 #: Every so many positions of the indexed stretches have their suffix's place stored.
 SAMPLE = 8
 
@@ -254,16 +254,17 @@ def hit_words(w: Words, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def blocks(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> list[Phrases]:
-    """The benchmark's phrases, BLOCK_BYTES of text at a time."""
-    out, rows, size = [], [], 0
+def blocks(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Phrases]:
+    """The benchmark's phrases, BLOCK_BYTES of text at a time; the driver holds one block."""
+    rows, size, n = [], 0, 0
     for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(benchmark, text_col)).toLocalIterator():
         rows.append((item, text))
         size += len(text.encode())
         if size > BLOCK_BYTES:
-            out.append(Phrases.of(rows, width))
-            rows, size = [], 0
-    return [*out, Phrases.of(rows, width)] if rows or not out else out
+            yield Phrases.of(rows, width)
+            rows, size, n = [], 0, n + 1
+    if rows or not n:
+        yield Phrases.of(rows, width)
 
 
 def _quick(p: Phrases) -> np.ndarray:
