@@ -131,7 +131,7 @@ def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
 
     summed = rows.mapInArrow(count, "part int, kind string, counts binary").repartition(COUNTER_PARTS, "part").mapInArrow(add, "part int, counts binary")
     out = np.zeros((COUNTER_PARTS, part), np.int64)
-    for p, x in summed.toLocalIterator():  # 2**COUNTER_BITS numbers in all
+    for p, x in summed.collect():  # COUNTER_PARTS rows, 2**COUNTER_BITS numbers, at every size of the input
         out[p] = np.frombuffer(x, np.int64)
     counts = out.ravel()
     least = max(32.0, 6 * counts.mean() ** 0.5)  # shingles that share a counter by chance add up to its mean, give or take
