@@ -22,15 +22,26 @@ def b_monthly_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(month("date").alias("month")).agg(F.round(F.sum("subtotal"), 4).alias("revenue"), F.count(F.lit(1)).alias("n_lines"), F.countDistinct("order_id").alias("n_orders"), F.round(F.max_by("subtotal", F.struct("date", "order_id", "line_no", "subtotal")), 4).alias("last_amount"))
 
 
+def _complete_revenue(lines: DataFrame) -> DataFrame:
+    monthly = lines.groupBy(month("date").alias("month")).agg(F.sum("subtotal").alias("revenue"))
+    return densify(complete_months(monthly, cat.ORDERS_AS_OF), "revenue", until="2001-07-01")
+
+
 @part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month, sum(subtotal) AS v FROM order_lines WHERE product_id % 97 = 0 AND date < DATE '2001-08-01' GROUP BY 1),
 cal AS (SELECT unnest(generate_series((SELECT min(month) FROM m), DATE '2001-07-01', INTERVAL 1 MONTH))::DATE AS month)
 SELECT month, round(coalesce(v, 0), 2) AS revenue FROM cal LEFT JOIN m USING (month)""")
 def b_complete_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly revenue of a slice of products, the running month left out and gaps filled with zero."""
     o = cat.order_lines(spark, sf_dir).filter(c("product_id") % 97 == 0)
-    monthly = o.groupBy(month("date").alias("month")).agg(F.sum("subtotal").alias("revenue"))
-    filled = densify(complete_months(monthly, cat.ORDERS_AS_OF), "revenue", until="2001-07-01")
-    return filled.select("month", F.round("revenue", 2).alias("revenue"))
+    return _complete_revenue(o).select("month", F.round("revenue", 2).alias("revenue"))
+
+
+@part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month, sum(subtotal) AS v FROM order_lines WHERE date < DATE '2001-08-01' GROUP BY 1),
+cal AS (SELECT unnest(generate_series((SELECT min(month) FROM m), DATE '2001-07-01', INTERVAL 1 MONTH))::DATE AS month)
+SELECT month, round(coalesce(v, 0), 4) AS revenue FROM cal LEFT JOIN m USING (month)""")
+def b_complete_months_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly revenue of all products, the running month left out and gaps filled with zero."""
+    return _complete_revenue(cat.order_lines(spark, sf_dir)).select("month", F.round("revenue", 4).alias("revenue"))
 
 
 @part.query("SELECT order_id, round(sum(subtotal), 4) AS amount, sum(quantity) AS quantity, min(date) AS date FROM order_lines GROUP BY 1")

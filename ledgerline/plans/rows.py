@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -20,13 +20,24 @@ def n_canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("raw", P.canonical_key(c("raw")).alias("canonical"))
 
 
+def _written_amount() -> Column:
+    """l_extendedprice written the French, English and Swiss way."""
+    en = F.format_number("l_extendedprice", 2)
+    return F.when(c("l_linenumber") % 3 == 0, F.concat(F.translate(F.translate(F.translate(en, ",", "_"), ".", ","), "_", " "), F.lit(" $"))).when(c("l_linenumber") % 3 == 1, en).otherwise(F.translate(en, ",", "'"))
+
+
 @part.query("SELECT l_orderkey % 1000 AS k, l_linenumber AS i, round(l_extendedprice, 2) AS parsed FROM lineitem WHERE l_orderkey % 40 = 0")
 def n_parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts written the French, English and Swiss way, and back."""
+    """Amounts of a slice of orders written the French, English and Swiss way, and back."""
     li = cat.table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
-    en = F.format_number("l_extendedprice", 2)
-    text = F.when(c("l_linenumber") % 3 == 0, F.concat(F.translate(F.translate(F.translate(en, ",", "_"), ".", ","), "_", " "), F.lit(" $"))).when(c("l_linenumber") % 3 == 1, en).otherwise(F.translate(en, ",", "'"))
-    return li.select((c("l_orderkey") % 1000).alias("k"), c("l_linenumber").alias("i"), F.round(P.parse_number(text), 2).alias("parsed"))
+    return li.select((c("l_orderkey") % 1000).alias("k"), c("l_linenumber").alias("i"), F.round(P.parse_number(_written_amount()), 2).alias("parsed"))
+
+
+@part.query("SELECT l_orderkey AS k, l_linenumber AS i, round(l_extendedprice, 2) AS parsed FROM lineitem")
+def n_parse_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All amounts written the French, English and Swiss way, and back."""
+    li = cat.table(spark, sf_dir, "lineitem")
+    return li.select(c("l_orderkey").alias("k"), c("l_linenumber").alias("i"), F.round(P.parse_number(_written_amount()), 2).alias("parsed"))
 
 
 @part.query("SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS parsed FROM orders")
@@ -79,10 +90,19 @@ def n_payroll_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.payroll(spark, sf_dir).select("employee_id", "period", F.round(c("regular_pay") + c("overtime") + c("employer_cost"), 4).alias("total_cost"))
 
 
+def _order_derivations(o: DataFrame) -> DataFrame:
+    return o.select("order_id", "line_no", "product_id", F.round("subtotal", 4).alias("revenue"), F.round(c("subtotal") - c("cost"), 4).alias("gross_profit"), F.round((c("subtotal") - c("cost")) * 100 / c("subtotal"), 4).alias("gross_margin"))
+
+
 @part.query("SELECT order_id, line_no, product_id, round(subtotal, 4) AS revenue, round(subtotal - cost, 4) AS gross_profit, round((subtotal - cost) * 100 / subtotal, 4) AS gross_margin FROM order_lines WHERE order_id % 100 = 0")
 def n_order_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = cat.order_lines(spark, sf_dir).filter("order_id % 100 = 0")  # every hundredth order is the report's selection
-    return o.select("order_id", "line_no", "product_id", F.round("subtotal", 4).alias("revenue"), F.round(c("subtotal") - c("cost"), 4).alias("gross_profit"), F.round((c("subtotal") - c("cost")) * 100 / c("subtotal"), 4).alias("gross_margin"))
+    return _order_derivations(cat.order_lines(spark, sf_dir).filter("order_id % 100 = 0"))  # every hundredth order is the report's selection
+
+
+@part.query("SELECT order_id, line_no, product_id, round(subtotal, 4) AS revenue, round(subtotal - cost, 4) AS gross_profit, round((subtotal - cost) * 100 / subtotal, 4) AS gross_margin FROM order_lines")
+def n_order_derivations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivations of every order."""
+    return _order_derivations(cat.order_lines(spark, sf_dir))
 
 
 @part.query("SELECT campaign_id, date, round(revenue / nullif(spend, 0), 4) AS roas, round(spend / nullif(new_customers, 0), 8) AS cac FROM campaign_days")

@@ -129,3 +129,12 @@ def test_against_sql(spark, duck, name):
     at = [rel.columns.index(c) for c in cols]
     want = Counter(tuple(_norm(r[i]) for i in at) for r in rel.fetchall())
     assert Counter(tuple(_norm(v) for v in r) for r in got.select(*(f"`{c}`" for c in cols)).collect()) == want
+
+
+def test_whole_tables(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    n = lines.count()
+    assert registry.QUERIES["n_parse_number_all"](spark, DATA).filter("parsed IS NOT NULL").count() == n
+    assert registry.QUERIES["n_order_derivations_all"](spark, DATA).count() == n
+    got = registry.QUERIES["b_complete_months_all"](spark, DATA).agg(F.sum("revenue")).first()[0]
+    assert got == pytest.approx(registry.QUERIES["b_monthly_buckets"](spark, DATA).filter("month < DATE '2001-08-01'").agg(F.sum("revenue")).first()[0])
