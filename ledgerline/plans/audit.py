@@ -102,7 +102,7 @@ def q_metric_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, n, nulls, distinct (approximate), least and greatest as text: one pass over all columns."""
+    """name, n, nulls, least and greatest as text: one pass over all columns."""
     cells = [F.struct(F.lit(x).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if(c(x).isNull()).alias("nulls"), F.min(c(x).cast("string")).alias("least"), F.max(c(x).cast("string")).alias("greatest")) for x in columns]
     return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
