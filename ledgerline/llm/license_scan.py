@@ -5,11 +5,12 @@ the block has. Words are ordered by how many documents of the whole corpus hold
 is exact by these filters: a block that holds at least a share t of template T must hold one of T's first
 |T| - ceil(t |T|) + 1 words in that order (prefix); it must have at least ceil(t |T|) distinct words (length);
 and when the first common word found is T's k-th, at most |T| - k more can follow (position). What is left is
-counted word by word. Of the templates that a block contains, one whose words found are a proper part of another's
-gives no label: CC BY-NC is not CC BY.
+counted word by word. A template with words that no other label's templates have is not contained without one of
+them: CC BY is not CC BY-NC. Of the templates contained at one place, one whose words found are a proper part of
+another's gives no label: CC BY-NC is not CC BY.
 
-A block is a line, and of a longer line every run of BLOCK_WORDS words that starts at a multiple of half that.
-The templates, a fixed small list, go to the tasks whole; all else stays where the texts are.
+A block is a line, and of a longer line every run of BLOCK_WORDS words that starts at a multiple of half that; and,
+for each template, every run of twice as many words as it has, line ends or not: notices are wrapped. The templates, a fixed small list, go to the tasks whole; all else stays where the texts are.
 
 Besides the templates, exact phrases are looked for: places where a phrase's words stand one after another.
 
@@ -19,6 +20,8 @@ without any template word has all frequencies 0 and ties fall back to the word i
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,6 +142,46 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
             by_prefix.setdefault(x, []).append((k, i))
     prefix_words = np.zeros(len(frequency), bool)
     prefix_words[list(by_prefix)] = True
+    reach = [2 * len(t) for t in template_words]
+    others = [{x for t, label in zip(ranked, template_labels, strict=True) if label != own for x in t} for own in template_labels]
+    telling = [set(t) - o for t, o in zip(ranked, others, strict=True)]
+    in_template, in_prefix = np.zeros((2, len(ranked), len(frequency)), bool)
+    for k, t in enumerate(ranked):
+        in_template[k, t] = True
+        in_prefix[k, t[: len(t) - least[k] + 1]] = True
+
+    def contained(k: int, common: set[int]) -> bool:
+        return len(common) >= least[k] and (not telling[k] or not telling[k].isdisjoint(common))
+
+    def runs(w: Words, num: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, int, int, frozenset[int]]]:
+        """(first word, end, template, words found) of the runs around `seeds`, each as short as its words found allow."""
+        at, of = np.flatnonzero(num), w.text_of_word()
+        word = num[at]
+        for k in range(len(ranked)):
+            s = seeds[in_prefix[k, num[seeds]]]
+            if not len(s):
+                continue
+            lo, hi = np.maximum(s - reach[k] + 1, w.first[of[s]]), np.minimum(s + reach[k], w.first[of[s] + 1])
+            apart = lo[1:] >= hi[:-1]
+            lo, hi = lo[np.concatenate([[True], apart])], hi[np.concatenate([apart, [True]])]
+            own = np.flatnonzero(in_template[k, word])
+            place, what = at[own], word[own].tolist()
+            a, b = np.searchsorted(place, lo), np.searchsorted(place, hi)
+            enough = b - a >= least[k]
+            place = place.tolist()
+            for i, j in zip(a[enough].tolist(), b[enough].tolist(), strict=True):
+                if len(set(what[i:j])) < least[k]:
+                    continue
+                n: Counter[int] = Counter()
+                for right in range(i, j):
+                    n[what[right]] += 1
+                    while place[i] <= place[right] - reach[k] or n[what[i]] > 1:
+                        n[what[i]] -= 1
+                        if not n[what[i]]:
+                            del n[what[i]]
+                        i += 1
+                    if contained(k, n.keys()):
+                        yield place[i], place[right] + 1, k, frozenset(n)
 
     def join(w: Words, num: np.ndarray) -> dict[int, dict[int, float]]:
         """text -> template -> containment."""
@@ -155,10 +198,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
             else:
                 k = (i - lo) // half
                 blocks.update((lo + j * half, min(hi, lo + j * half + BLOCK_WORDS)) for j in (k - 1, k) if j >= 0)
+        matches = set(runs(w, num, seeds))
         for lo, hi in blocks:
             block = set(num[lo:hi].tolist()) - {0}
             distinct = len(set(w.hash[lo:hi].tolist()))
-            tried, matched = set(), {}
+            tried = set()
             for x in sorted(block & by_prefix.keys(), key=order.__getitem__):
                 for k, i in by_prefix[x]:
                     if k in tried or distinct < least[k]:
@@ -167,13 +211,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
                     if len(ranked[k]) - i < least[k]:  # x is the first common word in the order
                         continue
                     common = block.intersection(ranked[k])
-                    if len(common) >= least[k]:
-                        matched[k] = common
-            for k, common in matched.items():
-                if not any(common < other for other in matched.values()):  # a notice that says less of the same words
-                    own = found.setdefault(int(of[lo]), {})
-                    own[k] = max(own.get(k, 0), len(common) / len(ranked[k]))
-        return found
+                    if contained(k, common):
+                        matches.add((lo, hi, k, frozenset(common)))
+        ordered = sorted(matches, key=lambda m: m[:3])
+        starts = [m[0] for m in ordered]
+        longest = max([BLOCK_WORDS, *reach])
+        for lo, hi, k, common in ordered:
+            own = found.setdefault(int(of[lo]), {})
+            share = len(common) / len(ranked[k])
+            if own.get(k, 0) >= share:
+                continue
+            near = ordered[bisect_left(starts, lo - longest) : bisect_left(starts, hi)]
+            if not any(end > lo and common < other for _, end, _, other in near):  # a notice that says less of the same words
+                own[k] = share
+        return {t: own for t, own in found.items() if own}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -264,6 +264,37 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_report(docs).count() == len(ROWS) and license_scan.license_report(none).count() == 0
 
 
+def contained_labels(text):
+    """Brute force: every line, and every run of twice a template's words, line ends or not."""
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    sets = [(label, split(t)) for label, texts in license_scan.TEMPLATES.items() for t in texts]
+    w, out = split(text), []
+    for label, t in sets:
+        others = {x for name, u in sets if name != label for x in u}
+        runs = [set(w[i : i + 2 * len(t)]) for i in range(len(w))] + [set(split(x)) for x in text.split("\n")]
+        out += [(label, r & set(t)) for r in runs if len(r & set(t)) >= 0.8 * len(set(t)) - 1e-9 and (set(t) <= others or r & set(t) - others)]
+    return ",".join(sorted({label for label, x in out if not any(x < y for _, y in out)}))
+
+
+def test_license_notices_wrapped_and_variants(spark):
+    import textwrap
+
+    rows, want = [], []
+    for label, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            for width in (12, 24, 40, 72, 500):
+                for text in (textwrap.fill(notice, width, break_long_words=False), f"{PROSE}\n\n{textwrap.fill(notice, width, break_long_words=False)}\n{PROSE}"):
+                    rows.append((len(rows), text))
+                    want.append(label)
+    for text, label in (("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC\nBY-SA 4.0", "cc-by-sa"), ("licensed under the GNU General Public License version 2.0", ""), ("released\nunder the\nApache License", "")):
+        rows.append((len(rows), text))
+        want.append(label)
+    got = {r.doc_id: r for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [contained_labels(t) for _, t in rows] == want
+    wrong = [(t, got[i].labels, x) for (i, t), x in zip(rows, want, strict=True) if got[i].labels != x]
+    assert not wrong and all((got[i].score > 0) == (x != "") for i, x in enumerate(want))
+
+
 def test_language_id(spark, docs, none):
     rng = np.random.default_rng(2)
     rows = []
