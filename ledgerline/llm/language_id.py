@@ -121,17 +121,21 @@ def profile(counts: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, langs: list[str], dots: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """docs' rows as (id, lang_pred, score); with `keep`, also those columns and the text."""
+    """docs' rows as (id, lang_pred, score); with `keep`, also those columns, the text and whether it has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, dots))  # SYMBOLS**3 numbers a language
     rows = docs.select(docs[id_col].alias("id"), *(keep or []), text_of(docs, text_col).alias("text"))
-    names = [c for c in rows.columns if c != "text" or keep]
+    whole = bool(keep)
+    names = [c for c in rows.columns if c != "text" or whole]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, dots = shared.value
         for b in batches:
-            who, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
-            for row0, tri, bounds, letters in trigrams(b["text"]) if langs else ():
+            who, score, lettered = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            for row0, tri, bounds, letters in trigrams(b["text"]) if langs or whole else ():
                 n = len(bounds) - 1
+                lettered[row0 : row0 + n] = letters > 0
+                if not langs:
+                    continue
                 sums = np.zeros((len(tri) + 1, len(langs)))
                 np.cumsum(dots[tri], axis=0, out=sums[1:], dtype=np.float64)
                 dot = sums[bounds[1:]] - sums[bounds[:-1]]
@@ -141,10 +145,11 @@ def predict(docs: DataFrame, langs: list[str], dots: np.ndarray, id_col: str = "
                 who[row0 : row0 + n] = np.where(ok, dot.argmax(1), -1)
                 score[row0 : row0 + n] = np.where(ok, share, 0)
             pred = pa.array([langs[i] if i >= 0 else UNKNOWN for i in who], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pred, pa.array(score)], [*names, "lang_pred", "score"])
+            more = {"lettered": pa.array(lettered)} if whole else {}
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pred, pa.array(score), *more.values()], [*names, "lang_pred", "score", *more])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(judge, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(judge, f"{schema}, lang_pred string, score double" + ", lettered boolean" * whole)
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -160,8 +165,11 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is unknown (no text or no letter); all columns as they were."""
+    """docs without the rows that have no language to know (no text or no letter); all columns as they were.
+
+    A row with a letter stays even where no language was learned or its own label says it is unknown.
+    """
     langs, dots = train(docs)
     others = [F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("__doc")]
-    found = predict(docs, langs, dots, keep=others).filter(F.col("lang_pred") != UNKNOWN)
+    found = predict(docs, langs, dots, keep=others).filter("lettered")
     return found.select(*(F.col("text") if c == "text" else F.col(f"__doc.`{c}`") for c in docs.columns))

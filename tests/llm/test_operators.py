@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, textnum, toxicity, url_filter
 from ledgerline.llm.components import components
@@ -312,6 +313,15 @@ def test_language_id(spark, docs, none):
     assert left.columns == docs.columns and left.count() == len(ROWS) - 4
 
 
+def test_language_stage_without_labels(spark, docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held_out = docs.withColumn("lang", F.when(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1, "en"))
+    for d in (unlabelled, held_out, docs.withColumn("lang", F.lit("und"))):
+        left = language_id.keep_identified(d)
+        assert left.columns == d.columns and Counter(r.text for r in left.collect()) == Counter(r[1] for r in ROWS if r[0] not in (4, 5, 6, 14))
+    assert {r.lang_pred for r in language_id.language_report(unlabelled).collect()} == {"und"}
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(3)
     vocabulary = [f"{a}{b}" for a in ("ba", "lo", "mi", "tu") for b in ("ran", "sel", "dop", "fin", "gul")]
