@@ -7,7 +7,8 @@ page to page, text does not. A neighbour that shares COPY of a page's lines is a
 and deletes nothing.
 
 What a page itself declares goes first: lines of an <article> or <main> are text even if another page repeats
-them, as long as no menu, form, advert, comment section or the like holds them; in a page with such an element all
+them, as long as no menu, form, advert, comment section or the like holds them (within an article, where words such as
+"search" or "related" name its own parts, only unmistakable classes say so); in a page with such an element all
 other lines are none. Differencing decides in pages without one.
 
 At scale: only 64-bit line hashes are sorted (by host and path over the whole cluster, so that a host with a third
@@ -40,12 +41,22 @@ COPY = 0.8
 TEXT, FURNITURE, UNDECIDED = 0, 1, 2
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_CLASSES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASSES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _FURNITURE_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
     r"|comments?|replies|respond|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|toolbar|contentinfo|complementary|dialog|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Within an article only these whole names count: advertisements, comments, share bars, cookie notices and the like.
+_COMMENTS = r"comments?-?(?:list|section|area|form|thread)|comments|disqus_thread"
+_ADDED = re.compile(
+    rf"(?:{_COMMENTS}|ads?|ad-(?:slot|unit|box|banner|container|wrapper)|adsbygoogle|adsense|advert|advertisement|sponsored-(?:links|content)|share-?(?:bar|buttons?|links|tools)|social-?(?:share|sharing|links|buttons|bar)|sharing-?(?:bar|buttons)"
+    r"|cookie-?(?:notice|banner|consent|bar)|gdpr-?(?:notice|banner|consent)|newsletter-?(?:signup|form)|breadcrumbs?|pagination|navbar|related-?(?:posts|articles|links|stories))",
+    re.I,
+)
+_ADDED_SECTION = re.compile(rf"(?:{_COMMENTS})", re.I)
+_ADDED_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "math"}
 _FURNITURE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
 _MAIN_TAGS = {"article", "main"}
@@ -58,6 +69,17 @@ _BLOCK = {
 }
 
 
+def added(name: str, said: list[tuple[str, str]]) -> bool:
+    """Whether an element within an article says that it is no part of it; headings and a section's anchor do not."""
+    if name in _HEADINGS:
+        return False
+    for kind, value in said:
+        pattern = _ADDED_SECTION if kind == "id" and name == "section" else _ADDED
+        if any(x.lower() in _ADDED_ROLE if kind == "role" else pattern.fullmatch(x) for x in value.split()):
+            return True
+    return False
+
+
 def page_lines(page: str) -> tuple[list[str], list[int]]:
     """Lines of a page and whether each is TEXT, FURNITURE or UNDECIDED."""
     texts: list[str] = []
@@ -118,8 +140,9 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
         elif name in _FURNITURE_TAGS or name == "header" and state != TEXT:
             mark = "furniture"
         if m[3] and name not in ("html", "body"):
-            said = " ".join(a or b or c for a, b, c in _CLASSES.findall(m[3]))
-            if said and name not in _MAIN_TAGS and _FURNITURE_CLASS.search(said):
+            attributes = [(k.lower(), a or b or c) for k, a, b, c in _CLASSES.findall(m[3])]
+            said = " ".join(x for _, x in attributes)
+            if said and name not in _MAIN_TAGS and (added(name, attributes) if state == TEXT else _FURNITURE_CLASS.search(said)):
                 mark = "furniture"
             elif said == "main":
                 mark = "main"

@@ -378,6 +378,17 @@ def test_html_extraction(spark):
     assert html_extract.extraction_report(df.limit(0)).count() == 0
 
 
+def test_html_article_parts_with_ambiguous_names():
+    kept = ["<section id='discussion'><p>{}</p></section>", "<h2 id='search'>{}</h2>", "<h3 class='comments'>{}</h3>", "<section id='related-work'><p>{}</p></section>", "<div class='header'><h1>{}</h1></div>", "<div id='menu'><p>{}</p></div>", "<section id='ads'><p>{}</p></section>", "<p class='notice'>{}</p>", "<div class='copyright'>{}</div>"]
+    gone = ["<div class='ad'>{}</div>", "<div class='box share-bar'>{}</div>", "<section id='comments'><p>{}</p></section>", "<div class='cookie-notice'>{}</div>", "<div role='navigation'>{}</div>", "<nav><p>{}</p></nav>"]
+    for tag in ("article", "main"):
+        body = "".join(x.format(f"kept {i}") for i, x in enumerate(kept)) + "".join(x.format(f"gone {i}") for i, x in enumerate(gone)) + "<p>end</p>"
+        texts, kinds = html_extract.page_lines(PAGE.format(f"<{tag}>{body}</{tag}>"))
+        assert [t for t, k in zip(texts, kinds, strict=True) if k == html_extract.TEXT] == [*(f"kept {i}" for i in range(len(kept))), "end"]
+    texts, kinds = html_extract.page_lines("<div id='menu'><p>a</p></div><div><p>b</p></div>")
+    assert kinds == [html_extract.FURNITURE, html_extract.UNDECIDED]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_longest_common_subsequence(a, b):
