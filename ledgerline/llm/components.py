@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, mark, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,11 +26,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of edges (u, v: long) with another root."""
+    before = mark()
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "component-edges")
     seen = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if found == seen or not found[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
+        seen = found
         now = written(_stars(_stars(now, True), False), "component-edges")
+        forget(edges.sparkSession, before, mark() - 1)  # the round before

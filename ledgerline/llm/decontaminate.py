@@ -7,9 +7,10 @@ in some phrase) are laid end to end, and over these the FM-index is built: suffi
 transform, and a wavelet matrix for ranks. All phrases are searched backwards at once; the occurrences'
 places are found by walking to the next sampled suffix position; the spans they cover are merged.
 
-The benchmark is the query set: it is read in blocks of BLOCK_BYTES of text, so that what is sent to the tasks
-at once is bounded, and each block is searched in all texts. A 64-bit word hash finds vocabulary words; every
-word of a stretch is then confirmed on its bytes.
+The benchmark is the query set: it is read in blocks of BLOCK_BYTES of text, and PASS_BLOCKS of them at a time are
+sent to the tasks and searched in all texts, so that neither the driver nor a task ever holds more of it. A pass
+writes the spans and items it found, by row, and frees its blocks; the passes' finds are merged in the end. A 64-bit
+word hash finds vocabulary words; every word of a stretch is then confirmed on its bytes.
 
 Defined results: null and empty texts have no words, hence no windows and no hits; an item without words is
 never found; equal items are found together; an item id may be null and then counts as the text ''; an empty
@@ -18,21 +19,22 @@ benchmark leaves all documents clean. Rows that repeat are judged one by one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 from .textnum import PLAIN_WORDS, Words, words
 
 WIDTH = 10
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 BLOCK_BYTES = 2_000_000
+PASS_BLOCKS = 4
 #: Every so many positions of the indexed stretches have their suffix's place stored.
 SAMPLE = 8
 
@@ -274,16 +276,18 @@ def _quick(p: Phrases) -> np.ndarray:
     return t
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int, each, names: list[str], schema: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """mapInArrow over docs: each(words, hit mask, items by text) gives the columns that follow the kept ones."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, width)]  # each bounded by BLOCK_BYTES
-    rows = docs.select(*(docs[f"`{c}`"] for c in keep), text_of(docs, text_col).alias("__text"))
+_FOUND = "n_words long, spans array<long>, items array<string>"
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finds(spark: SparkSession, own: list[Phrases], text: Column) -> Column:
+    """What one pass finds in a text: its number of words, the merged spans (first word and end by turns) and the items."""
+    shared = [spark.sparkContext.broadcast(p) for p in own]  # PASS_BLOCKS of BLOCK_BYTES of text each
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         quick = [_quick(s.value) for s in shared]
-        for b in batches:
-            for w in words(b["__text"], PLAIN_WORDS, SHARD_BYTES):
+        for column in texts:
+            counts, spans, items = [], [], []
+            for w in words(column, PLAIN_WORDS, SHARD_BYTES):
                 mask, found = np.zeros(len(w.hash), bool), [set() for _ in range(w.n_texts)]
                 of = w.text_of_word()
                 for s, q in zip(shared, quick, strict=True):
@@ -291,54 +295,109 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int, each, names: list[st
                     mask |= hit_words(w, first, length)
                     for t, i in {*zip(of[first].tolist(), item.tolist(), strict=True)}:
                         found[t].add(s.value.items[i])
-                part = b.slice(w.row0, w.n_texts)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *each(w, mask, found)], [*keep, *names])
+                counts += w.counts().tolist()
+                items += [sorted(f) for f in found]
+                hit = np.unique(of[mask])
+                own_spans: list[list[int]] = [[] for _ in range(w.n_texts)]
+                for t in hit.tolist():
+                    edge = np.diff(np.concatenate([[0], mask[w.first[t] : w.first[t + 1]].astype(np.int8), [0]]))
+                    own_spans[t] = np.flatnonzero(edge).tolist()
+                spans += own_spans
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, _FOUND)(text)
+
+
+def _merged(a: list[int]) -> list[int]:
+    """Spans (first, end by turns) of several passes as disjoint ones in order."""
+    out: list[int] = []
+    for s, e in sorted(zip(a[::2], a[1::2], strict=True)):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += [s, e]
+    return out
 
-    kept = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(run, kept + schema)
 
+def found_in(docs: DataFrame, benchmark: DataFrame, width: int, text_col: str = "text") -> tuple[DataFrame, Column]:
+    """A table with docs' rows, and the column (struct of n_words, spans, items) of what was found in its texts."""
+    spark = docs.sparkSession
+    text = text_of(docs, text_col)
+    passes = iter(lambda it=blocks(benchmark, width): list(islice(it, PASS_BLOCKS)), [])
+    first, more = next(passes), next(passes, None)
+    if more is None:
+        return docs, _finds(spark, first, text)
+    # several passes: each over the same written rows, whose place is their key
+    rows = written(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__doc"), text.alias("__text"), F.monotonically_increasing_id().alias("__row")), "benchmark-rows")
+    hits = None
+    for own in chain([first, more], passes):
+        one = written(rows.select("__row", _finds(spark, own, F.col("__text")).alias("f")).filter("size(f.items) > 0").select("__row", "f.*"), "benchmark-hits")
+        hits = one if hits is None else hits.unionAll(one)
+    merge = F.arrow_udf(_merge_column, "array<long>")
+    hits = hits.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))  # one entry a pass
+    hits = hits.select("__row", merge("spans").alias("spans"), "items")
+    counted = rows.join(hits, "__row", "left").select("__doc.*", F.struct(_count_words(F.col("__text")).alias("n_words"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("__found"))
+    return counted, F.col("__found")
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The contract's rows: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
 
-    def each(w: Words, mask: np.ndarray, found: list[set[str]]) -> list[pa.Array]:
-        hit = np.diff(np.concatenate([[0], np.cumsum(mask)])[w.first])
-        digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found]
-        return [pa.array(w.counts()), pa.array(hit), pa.array([len(f) for f in found], pa.int64()), pa.array(digest), pa.array(hit > 0)]
+def _merge_column(spans: pa.Array) -> pa.Array:
+    return pa.array([_merged(x) for x in spans.to_pylist()], pa.list_(pa.int64()))
 
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    return scan(docs, benchmark, width, each, names, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", ["doc_id"])
 
+def _count_words(text: Column) -> Column:
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([n for w in words(x, PLAIN_WORDS) for n in w.counts().tolist()], pa.int64())
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with every merged span cut out of the text (from its first word to its last, a space in its place).
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "long")(text)
+
+
+_merge_column.__annotations__ = {"spans": pa.Array, "return": pa.Array}
 
-    A document of which no word is left goes. n_chars, where there is such a column, follows the new text;
-    texts without a span, and all other columns, are as they were.
-    """
 
-    def each(w: Words, mask: np.ndarray, found: list[set[str]]) -> list[pa.Array]:
-        raw = w.data.tobytes()
-        out: list[str | None] = []
+def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The contract's rows: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    rows, found = found_in(docs.select("doc_id", "text"), benchmark, width)
+    rows = rows.select("doc_id", found.alias("f"))
+    n_hit = F.aggregate(F.transform("f.spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "f.n_words", n_hit.alias("n_hit"), F.size("f.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("f.items"), ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _cut_texts(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts with spans of words cut out; null where there is none to cut, empty where no word is left."""
+    spans, out = spans.to_pylist(), []
+    for w in words(text, PLAIN_WORDS):
+        raw = None
         for t in range(w.n_texts):
-            a, b = w.first[t], w.first[t + 1]
-            own = mask[a:b]
-            if not own.any():
+            own = spans[w.row0 + t]
+            if not own:
                 out.append(None)
                 continue
-            edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
-            at, parts = int(w.text_at[t]), []
-            for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            raw = raw or w.data.tobytes()
+            a, at, parts = int(w.first[t]), int(w.text_at[t]), []
+            for s, e in zip(own[::2], own[1::2], strict=True):
                 parts.append(raw[at : w.start[a + s]])
                 at = int(w.end[a + e - 1])
             parts.append(raw[at : w.text_at[t + 1]])
-            out.append("" if own.all() else b" ".join(p.strip(b" ") for p in parts).decode())
-        return [pa.array(out, pa.string())]
+            out.append("" if own == [0, int(w.first[t + 1]) - a] else b" ".join(p.strip(b" ") for p in parts).decode())
+    return pa.array(out, pa.string())
+
+
+_cut_texts.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
+
 
-    found = scan(docs, benchmark, width, each, ["__cut"], "__cut string", docs.columns)
-    text = F.coalesce("__cut", "text")
-    cols = {"text": text.alias("text")}
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with every merged span cut out of the text (from its first word to its last, a space in its place).
+
+    A document of which no word is left goes. n_chars, where there is such a column, follows the new text;
+    texts without a span, and all other columns, are as they were.
+    """
+    rows, found = found_in(docs, benchmark, width)
+    rows = rows.select(F.struct(*(rows[f"`{c}`"] for c in docs.columns)).alias("d"), found.alias("f"))
+    rows = rows.select("d", F.arrow_udf(_cut_texts, "string")(F.coalesce(F.col("d.text"), F.lit("")), F.col("f.spans")).alias("cut"))
+    cols = {"text": F.coalesce("cut", "d.text").alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cols["n_chars"] = F.when(F.col("__cut").isNotNull(), F.char_length("__cut").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
-    return found.filter(F.col("__cut").isNull() | (F.col("__cut") != "")).select(*(cols.get(c, F.col(f"`{c}`")) for c in docs.columns))
+        cols["n_chars"] = F.when(F.col("cut").isNotNull(), F.char_length("cut").cast(kind)).otherwise(F.col("d.n_chars")).alias("n_chars")
+    return rows.filter("cut IS NULL OR cut <> ''").select(*(cols.get(c, F.col(f"d.`{c}`").alias(c)) for c in docs.columns))

@@ -91,8 +91,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of every group of equal texts, all columns as they were.
 
-    The rows that stay are found by id, length and digest. Only where several fully equal rows
-    match is one of them picked, by a partial aggregation over those groups alone.
+    The rows that stay are found by id, length and digest, in a join that shuffles the documents. Only where several
+    rows with one id and equal texts match is one of them picked, the least by its text and then a hash of the whole
+    row, by a partial aggregation over those groups alone.
     """
     runs = written(digest_runs(docs, id_col, text_col), "digest-runs")
     n_runs = (runs.agg(F.max("run")).first()[0] or 0) + 1
@@ -105,7 +106,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     full = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__doc"), docs[id_col].alias("__id"), F.char_length(text).cast("long").alias("__points"), digest_columns(text)[0].alias("__digest"))
     found = full.join(stay, same(full, stay)).select("__doc", full["__digest"].alias("__digest"), "__tied")
     one = found.filter(~F.col("__tied")).select("__doc")
-    many = found.filter("__tied").groupBy("__digest").agg(F.first("__doc").alias("__doc")).select("__doc")
+    many = found.filter("__tied").groupBy("__digest").agg(F.min_by("__doc", F.struct(F.col(f"__doc.`{text_col}`"), F.xxhash64("__doc"))).alias("__doc")).select("__doc")
     return one.unionAll(many).select("__doc.*")
 
 

@@ -442,7 +442,8 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of every component: that with the smallest id (null last), then text hash; empty sets
-    all stay. All columns as they were; of fully equal rows the first one found stays."""
+    all stay. All columns as they were; of rows with one id and text the one with the least
+    hash of the whole row stays."""
     found = written(similarity_classes(docs, n, percent, id_col, text_col), "jaccard-classes")
     best = F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("best")
     stay = found.filter("component IS NOT NULL").groupBy("component").agg(best).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"), F.col("component").alias("__component"))
@@ -454,5 +455,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCE
     full = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__doc"), docs[id_col].alias("__id"), F.xxhash64(text_of(docs, text_col)).alias("__th"))
     kept = full.join(stay, same(full, stay)).select("__doc", "__component", "__tied")
     one = kept.filter(~F.col("__tied")).select("__doc")
-    many = kept.filter("__tied").groupBy("__component").agg(F.first("__doc").alias("__doc")).select("__doc")
+    many = kept.filter("__tied").groupBy("__component").agg(F.min_by("__doc", F.xxhash64("__doc")).alias("__doc")).select("__doc")
     return one.unionAll(many).select("__doc.*")

@@ -2,14 +2,15 @@
 
 Texts are tokenised in Arrow batches; a document's ids end with the separator id. A document is cut
 into full sequences and one remainder. Only (document, start, length, crc) leaves the tokenising
-tasks: a group of documents, drawn by a hash of the row, is packed by one task that sorts its pieces
+tasks: a group of documents, drawn at random, is packed by one task that sorts its pieces
 by decreasing length and puts each into the first bin with room, found by descending a max-tree of
 free capacities in O(log bins). The bins that a group leaves part-empty are then closed up: pieces of
 the emptiest bins are cut to fill the holes of the fullest, so that at most one bin a group is not full.
 That last bin is split at powers of two, each of which needs no padding.
 
-The number of groups follows the number of documents (GROUP_DOCS each), so a task's memory is bounded;
-hashing the row and not just its id also spreads rows whose ids are null or equal.
+The number of groups follows the number of documents (GROUP_DOCS each), and so does the number of tasks that pack
+them, so a task's memory is bounded; a document's group is drawn by a hash of its place in the written table, which
+spreads rows with null or equal ids, and equal rows, like all others.
 
 Defined results: a null or empty text is a document of the separator alone; a table without rows gives
 no pieces; rows that repeat are separate documents; ids are never read beyond copying them out.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ SEPARATOR = 2
 #: Documents packed by one task, about.
 GROUP_DOCS = 16_384
 #: Entries that a task's caches of words and of chunks may hold; what comes later is worked out again.
-CACHE_WORDS = 600_000
-CACHE_CHUNKS = 1_200_000
+CACHE_WORDS = 300_000
+CACHE_CHUNKS = 400_000
 
 
 #: A chunk that the short way may take: visible ASCII and Latin letters and signs, none of which
@@ -57,8 +59,8 @@ def _byte_letters() -> dict[int, int]:
 
 class Tokenise:
     """Whole texts to ids. White space always ends a word of this tokenizer, so each distinct chunk
-    between white space is tokenised once and looked up after that, by a 64-bit hash of its bytes:
-    a slice of texts is hashed, reduced to its distinct chunks and put together again in numpy.
+    between white space is tokenised once and looked up after that: a slice of texts is hashed, reduced
+    to its distinct chunks, each word confirmed on its bytes, and put together again in numpy.
 
     Chunks of Latin letters are split here by the pre-tokenizer's own pattern, so that the vocabulary's
     merges run once for each distinct word; any other chunk takes the tokenizer's whole way.
@@ -76,10 +78,10 @@ class Tokenise:
         self.short = self._is_known_kind()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a chunk -> its place in size, at
+        self.known: dict[bytes, int] = {}  # chunk -> its place in size, at
         self.size, self.at, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, hashes: list[int], chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         found = [self._chunk(c) for c in chunks]
         n, k = len(self.known), len(chunks)
         sizes = np.fromiter(map(len, found), np.int64, k) // 4
@@ -91,7 +93,7 @@ class Tokenise:
         self.at[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + sizes.sum()] = np.frombuffer(b"".join(found), "<u4")
         self.used += int(sizes.sum())
-        self.known.update(zip(hashes, range(n, n + k), strict=True))
+        self.known.update(zip(chunks, range(n, n + k), strict=True))
 
     def _is_known_kind(self) -> bool:
         """Whether the short way gives this tokenizer's ids, tried on a line that has every kind of piece."""
@@ -137,21 +139,22 @@ class Tokenise:
         for w in words(texts, table):
             if len(self.known) > CACHE_CHUNKS:
                 self._forget()
+            low = _LOWER[w.data] if table is SPACE_WORDS_LOWER else w.data
             order = np.argsort(w.hash)
             ranked = w.hash[order]
             new = np.ones(len(order), bool)
             new[1:] = ranked[1:] != ranked[:-1]
-            distinct, sample = ranked[new].tolist(), order[new]
-            place = [self.known.get(h, -1) for h in distinct]
-            missing = [i for i, p in enumerate(place) if p < 0]
-            if missing:
-                raw, start, end = w.data.tobytes(), w.start[sample], w.end[sample]
-                n = len(self.known)
-                self._learn([distinct[i] for i in missing], [raw[start[i] : end[i]] for i in missing])
-                for k, i in enumerate(missing):
-                    place[i] = n + k
-            of = np.empty(len(order), np.int64)
-            of[order] = np.array(place, np.int64)[np.cumsum(new) - 1] if len(order) else 0
+            sample = np.empty(len(order), np.int64)
+            sample[order] = order[new][np.cumsum(new) - 1] if len(order) else 0
+            sample[~_equal(low, w.start, w.end, sample)] = -1  # another chunk with the same hash: on its own
+            alone = np.flatnonzero(sample < 0)
+            sample[alone] = alone
+            distinct, of = np.unique(sample, return_inverse=True)
+            raw = low.tobytes()
+            chunks = [raw[s:e] for s, e in zip(w.start[distinct].tolist(), w.end[distinct].tolist(), strict=True)]
+            if missing := [c for c in dict.fromkeys(chunks) if c not in self.known]:
+                self._learn(missing)
+            of = np.array([self.known[c] for c in chunks], np.int64)[of]
             size = self.size[of]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
@@ -161,6 +164,21 @@ class Tokenise:
                 yield ids[bounds[i] : bounds[i + 1]]
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word has the same bytes as another one."""
+    size = end - start
+    same = size == size[other]
+    at = np.flatnonzero(same & (other != np.arange(len(other))))
+    n = size[at]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    unlike = data[step + np.repeat(start[at], n)] != data[step + np.repeat(start[other[at]], n)]
+    same[at[np.unique(np.repeat(np.arange(len(at)), n)[unlike])]] = False
+    return same
+
+
 class TournamentTree:
     """Bins of one capacity with a max-tree of free space; the leftmost bin with room is found from the root."""
 
@@ -273,6 +291,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenise, end = Tokenise(tokenizer_path), np.array([separator], "<u4").tobytes()
+        place = TaskContext.get().partitionId() << 40
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -283,16 +302,17 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
                     n.append(len(x) // 4)
                     crcs.append([zlib.crc32(x[4 * capacity * i : 4 * capacity * (i + 1)]) for i in range(full)])
                     rest.append(_narrow(x[4 * capacity * full :]))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["id", "n", "crcs", "rest"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.arange(place, place + part.num_rows)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["id", "place", "n", "crcs", "rest"])
+                place += part.num_rows
 
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-    cuts = written(rows.mapInArrow(cut, f"id {kind}, n long, crcs array<long>, rest binary"), "packing-cuts")
+    cuts = written(rows.mapInArrow(cut, f"id {kind}, place long, n long, crcs array<long>, rest binary"), "packing-cuts")
     n_groups = max(1, -(-cuts.count() // group_docs))
-    cuts = cuts.withColumn("grp", F.pmod(F.xxhash64("id", "n", "rest"), F.lit(n_groups)))
+    cuts = cuts.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(n_groups))).repartition(n_groups, "grp")
 
-    def pack_group(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         group = int(key[0])
-        frame = frame.sort_values(["id", "n"], kind="stable", na_position="first").reset_index(drop=True)
+        frame = frame.sort_values("place").reset_index(drop=True)
         out: list[tuple] = []
         seq = group << 32
         ids, ns, rests = frame["id"], frame["n"].to_numpy(), list(frame["rest"])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once: bounds the scratch arrays (about 60 bytes a byte of text).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)

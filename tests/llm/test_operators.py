@@ -322,6 +322,27 @@ def test_language_stage_without_labels(spark, docs):
     assert {r.lang_pred for r in language_id.language_report(unlabelled).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_no_profile_is_near(spark):
+    rng = np.random.default_rng(5)
+    letters = "etaoinshrdlucmfwypvbgk"
+    known = [(i, " ".join("".join(rng.choice(list(letters[:15]), int(rng.integers(2, 9)))) for _ in range(200)), "aa") for i in range(60)]
+    strange = [(100, "Привет мир как дела сегодня вечером дома"), (101, "短い 文章 ではない もっと 長い 文章 です よろしく おねがいします"), (102, "zzqxj"), (103, known[0][1]), (104, "12 34"), (105, None)]
+    df = spark.createDataFrame(known + [(i, t, None) for i, t in strange], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(df).collect()} == {*range(60), 102, 103}
+    assert language_id.keep_identified(df, ["bb"]).count() == 0
+
+
+def test_language_scores_do_not_depend_on_neighbours_or_length(spark):
+    text = "one two three é four " * 40_000  # cut into pieces
+    model = language_id.train(spark.createDataFrame([(0, text, "aa"), *((i, "fünf sechs sieben " * 9, "bb") for i in range(2, 8)), *((i, None, f"x{i}") for i in range(20, 40))], "doc_id long, text string, lang string"))
+    tri = lambda t: np.concatenate([x[1] for x in language_id.trigrams(pa.array([t]))])
+    assert Counter(tri(text).tolist()) == Counter({k: 40_000 * n for k, n in Counter(tri("one two three é four ").tolist()).items()})
+    texts = ["sechs", text, "", "é", None, "one", "x" * 600_000, "one"]
+    together = model.judge(pa.array(texts)).to_pylist()
+    assert together == [model.judge(pa.array([t], pa.string())).to_pylist()[0] for t in texts]
+    assert [r["lang_pred"] for r in together] == ["bb", "aa", "und", together[3]["lang_pred"], "und", "aa", together[6]["lang_pred"], "aa"]
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(3)
     vocabulary = [f"{a}{b}" for a in ("ba", "lo", "mi", "tu") for b in ("ran", "sel", "dop", "fin", "gul")]
