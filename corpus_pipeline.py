@@ -11,11 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
-from ledgerline.llm.common import shared_dir, table
+from ledgerline.llm.common import forget, mark, remove, shared_dir, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language (no text, or no letter in it) go."""
+    """Documents without an identifiable language go: no text, no letter in it, or unlike every language learned."""
     return language_id.keep_identified(docs)
 
 
@@ -53,10 +53,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage left in the shared folder goes as soon as its result is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
+        began = mark()
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}")
+        forget(spark, began)
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(path)
     return docs
 
