@@ -5,9 +5,9 @@ the block has. Words are ordered by how many documents of the whole corpus hold
 is exact by these filters: a block that holds at least a share t of template T must hold one of T's first
 |T| - ceil(t |T|) + 1 words in that order (prefix); it must have at least ceil(t |T|) distinct words (length);
 and when the first common word found is T's k-th, at most |T| - k more can follow (position). What is left is
-counted word by word. A template with words that no other label's templates have is not contained without one of
-them: CC BY is not CC BY-NC. Of the templates contained at one place, one whose words found are a proper part of
-another's gives no label: CC BY-NC is not CC BY.
+counted word by word. A template is not contained without the words that name it: CC BY is not CC BY-NC, and what is
+licensed under GPL 4.0 by Ann is not CC BY. Of the templates contained at one place, one whose words found are a
+proper part of another's gives no label: CC BY-NC is not CC BY.
 
 A block is a line, and of a longer line every run of BLOCK_WORDS words that starts at a multiple of half that; and,
 for each template, every run of twice as many words as it has, line ends or not: notices are wrapped. The templates, a fixed small list, go to the tasks whole; all else stays where the texts are.
@@ -38,28 +38,46 @@ BLOCK_WORDS = 64
 #: Phrases of the registered query and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices as licenses give them, by label.
-TEMPLATES = {
-    "mit": [
-        "released under the MIT License",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "apache-2": [
-        "licensed under the Apache License version 2.0",
-        "you may not use this file except in compliance with the License you may obtain a copy of the License at",
-    ],
-    "gpl-3": [
-        "this work is licensed under the GNU General Public License version 3",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License",
-    ],
-    "cc-by-nc": ["licensed under CC BY-NC 4.0", "this work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
-    "cc-by-sa": ["licensed under CC BY-SA 4.0", "this work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
-    "cc-by": ["licensed under CC BY 4.0", "this work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2": ["this Source Code Form is subject to the terms of the Mozilla Public License v 2.0"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-}
+# Notices and whole texts as licenses give them, and the words that must be among those found.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+#: Label -> (text, words that must be among those found).
+TEMPLATES: dict[str, list[tuple[str, str]]] = {
+    "mit": [("released under the MIT License", "mit license"), ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "charge obtaining"), (_MIT, "charge obtaining sublicense")],
+    "apache-2": [("licensed under the Apache License version 2.0", "apache license 2"), ("you may not use this file except in compliance with the License you may obtain a copy of the License at", "compliance license"), (_APACHE, "apache license 2")],
+    "gpl-3": [("this work is licensed under the GNU General Public License version 3", "gnu general public 3"), ("it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License", "gnu general public 3"), (_GPL, "gnu general public 3")],
+    "cc-by-nc": [("licensed under CC BY-NC 4.0", "cc by nc"), ("this work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "creative commons attribution noncommercial")],
+    "cc-by-sa": [("licensed under CC BY-SA 4.0", "cc by sa"), ("this work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "creative commons attribution sharealike")],
+    "cc-by": [("licensed under CC BY 4.0", "cc by"), ("this work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution")],
+    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary")],
+    "bsd-2-clause": [(_BSD_HEAD + _BSD_TAIL, "redistribution source binary")],
+    "bsd-3-clause": [(_BSD_HEAD + _BSD_THIRD + _BSD_TAIL, "redistribution source binary neither endorse promote")],
+    "mpl-2": [("this Source Code Form is subject to the terms of the Mozilla Public License v 2.0", "mozilla public 2"), (_MPL, "mozilla public 2")],
+    "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission fee granted"), (_ISC, "permission fee granted")],
+    "unlicense": [("this is free and unencumbered software released into the public domain", "unencumbered public domain"), (_UNLICENSE, "unencumbered public domain")],
+    "zlib": [(_ZLIB, "misrepresented altered")],
+}
 
 
 def _tokens(texts: list[str]) -> list[list[tuple[int, bytes]]]:
@@ -120,16 +138,16 @@ def lines(w: Words) -> np.ndarray:
     return breaks[w.start] + w.text_of_word()
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, list[tuple[str, str]]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a phrase stands, else the largest containment of a template at or over the threshold, else 0.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     phrase_words, phrase_labels = _tokens(list(phrases)), list(phrases.values())
-    flat = [(label, t) for label, texts in templates.items() for t in texts]
-    template_words, template_labels = _tokens([t for _, t in flat]), [x for x, _ in flat]
-    vocabulary = Vocabulary(phrase_words + template_words)
+    flat = [(label, t, must) for label, texts in templates.items() for t, must in texts]
+    template_words, must_words, template_labels = _tokens([t for _, t, _ in flat]), _tokens([m for _, _, m in flat]), [x for x, _, _ in flat]
+    vocabulary = Vocabulary(phrase_words + template_words + must_words)
     frequency = vocabulary.document_counts(docs, text_col)
     order = {k: i for i, k in enumerate(sorted(range(1, len(frequency)), key=lambda k: (frequency[k], k)))}
     number = vocabulary.number
@@ -143,15 +161,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     prefix_words = np.zeros(len(frequency), bool)
     prefix_words[list(by_prefix)] = True
     reach = [2 * len(t) for t in template_words]
-    others = [{x for t, label in zip(ranked, template_labels, strict=True) if label != own for x in t} for own in template_labels]
-    telling = [set(t) - o for t, o in zip(ranked, others, strict=True)]
+    must = [{number[h] for h, _ in m} for m in must_words]
     in_template, in_prefix = np.zeros((2, len(ranked), len(frequency)), bool)
     for k, t in enumerate(ranked):
         in_template[k, t] = True
         in_prefix[k, t[: len(t) - least[k] + 1]] = True
 
-    def contained(k: int, common: set[int]) -> bool:
-        return len(common) >= least[k] and (not telling[k] or not telling[k].isdisjoint(common))
+    def contained(k: int, common) -> bool:
+        return len(common) >= least[k] and must[k] <= common
 
     def runs(w: Words, num: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, int, int, frozenset[int]]]:
         """(first word, end, template, words found) of the runs around `seeds`, each as short as its words found allow."""

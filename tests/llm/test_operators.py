@@ -268,22 +268,43 @@ def test_license_scan(spark, docs, none):
 def contained_labels(text):
     """Brute force: every line, and every run of twice a template's words, line ends or not."""
     split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
-    sets = [(label, split(t)) for label, texts in license_scan.TEMPLATES.items() for t in texts]
+    sets = [(label, split(t), set(split(must))) for label, texts in license_scan.TEMPLATES.items() for t, must in texts]
     w, out = split(text), []
-    for label, t in sets:
-        others = {x for name, u in sets if name != label for x in u}
+    for label, t, must in sets:
         runs = [set(w[i : i + 2 * len(t)]) for i in range(len(w))] + [set(split(x)) for x in text.split("\n")]
-        out += [(label, r & set(t)) for r in runs if len(r & set(t)) >= 0.8 * len(set(t)) - 1e-9 and (set(t) <= others or r & set(t) - others)]
+        out += [(label, r & set(t)) for r in runs if len(r & set(t)) >= 0.8 * len(set(t)) - 1e-9 and must <= r]
     return ",".join(sorted({label for label, x in out if not any(x < y for _, y in out)}))
 
 
+def test_license_base_columns(spark):
+    """Places of the base phrases against a plain search, in texts of phrase words, other words and odd separators."""
+    rng = np.random.default_rng(11)
+    parts = [*license_scan.PHRASES, "under the mit", "mit license", "Apache License, Version 2.0", "cc-by-nc", "CC", "by", "nc", "é", "the", "\n", "licensé", "under THE Mit LICENSE", "x9"]
+    rows = [(i, "".join(str(rng.choice(parts)) + str(rng.choice([" ", "-", ", ", "\t", "é"], p=[0.7, 0.1, 0.1, 0.05, 0.05])) for _ in range(int(rng.integers(0, 40))))) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, rows[5][1]), (902, rows[5][1]), (None, "under the mit license"), (903, "cc by nc " * 50_000)]
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter()
+    for i, t in rows:
+        w = plain(t)
+        places = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = sorted(k for k, _ in places)
+        want[(i, len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({x for _, x in places})))] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["Released under the BSD license", "released under the terms of the old license", "Photo by Ann, licensed under GPL 4.0", "licensed by Ann under version 4.0", "under a public license of the general kind"])
+def test_license_names_must_be_there(spark, text):
+    assert [(r.labels, r.score) for r in license_scan.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [("", 0.0)]
+    assert contained_labels(text) == ""
+
+
 def test_license_notices_wrapped_and_variants(spark):
     import textwrap
 
     rows, want = [], []
     for label, notices in license_scan.TEMPLATES.items():
-        for notice in notices:
-            for width in (12, 24, 40, 72, 500):
+        for notice, _ in notices:
+            for width in (12, 40, 72, 500):
                 for text in (textwrap.fill(notice, width, break_long_words=False), f"{PROSE}\n\n{textwrap.fill(notice, width, break_long_words=False)}\n{PROSE}"):
                     rows.append((len(rows), text))
                     want.append(label)
