@@ -5,8 +5,9 @@ distances, cut off above the bound) along the trie and leaving every branch on w
 Only words that can be near a term at all are run: the letters of two words within k edits differ by 2k letters at
 most and their lengths by k, which is tested for all words of a slice at once. Each distinct word is run once.
 
-Besides whole terms the lexicon has stems: prefixes that many toxic words share, each ending of which may be rare.
-A word that begins with a stem and goes on is an inflected hit.
+Besides whole terms the lexicon has stems: beginnings that several toxic words share, each ending of which may be
+rare. They are accepting states inside the same trie: the automaton of a word that reaches one without an edit and goes
+on is an inflected hit, where no whole term is near.
 
 A hit's score depends on its context: a window of words around it is searched for signs of quotation (quotation
 marks at the term, words that report speech or speak about words) and of address (second-person words). What is
@@ -14,7 +15,8 @@ quoted and not addressed to anyone counts as quotation, else as abuse. The docum
 logarithms of the kinds of hits (exact or misspelled, abuse or quotation; inflected).
 
 Lexicon and weights are fitted on at most SAMPLE_ROWS labelled documents, those with the smallest hash of their
-id, so that only that bounded set of labels is sent to all tasks; scoring reads every whole text.
+id, so that only that bounded set of labels is sent to all tasks; every word of them that passes the tests is a term.
+Scoring reads every whole text.
 
 Defined results: null and empty texts have no hits and get the score of a text without any; without labelled rows
 the lexicon is empty and all scores equal the prior; a doc_id labelled twice counts once, as toxic if either says
@@ -37,8 +39,6 @@ from .textnum import PLAIN_WORDS, Words, words
 
 #: The most labelled documents that lexicon and weights are fitted on.
 SAMPLE_ROWS = 20_000
-#: The most terms of a lexicon.
-MAX_TERMS = 200
 #: Words looked at on each side of a hit.
 CONTEXT = 6
 
@@ -55,24 +55,31 @@ def bound(length: int) -> int:
 
 
 class Trie:
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], stems: list[str] | None = None):
         self.children: list[dict[str, int]] = [{}]
-        self.term = [-1]
-        for k, t in enumerate(terms):
-            node = 0
-            for c in t:
-                if c not in self.children[node]:
-                    self.children[node][c] = len(self.children)
-                    self.children.append({})
-                    self.term.append(-1)
-                node = self.children[node][c]
-            self.term[node] = k
+        self.depth = [0]
+        self.term, self.stem = [-1], [-1]
+        for marks, texts in ((self.term, terms), (self.stem, stems or [])):
+            for k, t in enumerate(texts):
+                marks[self._node(t)] = k
         self.most = [bound(len(t)) for t in terms]
         self._reach()
 
+    def _node(self, text: str) -> int:
+        node = 0
+        for c in text:
+            if c not in self.children[node]:
+                self.children[node][c] = len(self.children)
+                self.children.append({})
+                self.depth.append(self.depth[node] + 1)
+                self.term.append(-1)
+                self.stem.append(-1)
+            node = self.children[node][c]
+        return node
+
     def _reach(self) -> None:
-        """The largest bound among the terms below each node."""
-        self.reach = [self.most[t] if t >= 0 else -1 for t in self.term]
+        """The largest bound among the terms below each node; a stem's is 0."""
+        self.reach = [max(self.most[t] if t >= 0 else -1, 0 if x >= 0 else -1) for t, x in zip(self.term, self.stem, strict=True)]
         for node in reversed(range(len(self.children))):  # children come after their parent
             self.reach[node] = max([self.reach[node], *(self.reach[c] for c in self.children[node].values())])
 
@@ -81,15 +88,18 @@ class Trie:
             self.most[t] = 0
         self._reach()
 
-    def near(self, word: str) -> tuple[int, int] | None:
-        """(distance, term) of the nearest term within its bound; the first term at a tie."""
-        best = None
+    def run(self, word: str) -> tuple[tuple[int, int] | None, int]:
+        """(distance, term) of the nearest term within its bound, the first term at a tie; and the longest stem that
+        the word begins with and goes on from, or -1."""
+        best, stem, stem_depth = None, -1, 0
         todo = [(0, list(range(len(word) + 1)))]
         while todo:
             node, state = todo.pop()
-            t = self.term[node]
+            t, depth = self.term[node], self.depth[node]
             if t >= 0 and state[-1] <= self.most[t] and (best is None or (state[-1], t) < best):
                 best = (state[-1], t)
+            if self.stem[node] >= 0 and stem_depth < depth < len(word) and state[depth] == 0:
+                stem, stem_depth = self.stem[node], depth
             for c, child in self.children[node].items():
                 k = self.reach[child]
                 left = least = state[0] + 1
@@ -102,7 +112,11 @@ class Trie:
                         least = here
                 if least <= k:
                     todo.append((child, row))
-        return best
+        return best, stem
+
+    def near(self, word: str) -> tuple[int, int] | None:
+        """(distance, term) of the nearest term within its bound; the first term at a tie."""
+        return self.run(word)[0]
 
 
 #: Letters and digits in 31 classes, by byte; the last bit marks other than ASCII letters.
@@ -124,63 +138,59 @@ class Lexicon:
     stems: list[str] = field(default_factory=list)
     exact_only: list[int] = field(default_factory=list)  # terms whose neighbours are other words
     trie: Trie = field(init=False)
-    seen: dict[int, tuple[int, int] | None] = field(init=False, default_factory=dict)
+    seen: dict[int, tuple[tuple[int, int] | None, int]] = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.trie = Trie(self.terms)
+        self.trie = Trie(self.terms, self.stems)
         self.trie.exact_only(self.exact_only)
         raw = [t.encode() for t in self.terms]
         self.sets = [int(np.bitwise_or.reduce(_LETTER_BIT[np.frombuffer(t, np.uint8)])) for t in raw]
         self.lengths = [len(t) for t in raw]
 
-    def hits(self, w: Words) -> tuple[list[int], list[int], list[int]]:
-        """Word, term and distance of every word near a term."""
+    def candidates(self, w: Words) -> np.ndarray:
+        """Words that may be near a term, by what k edits can do to a word's bytes, or that begin like a stem."""
         length = w.end - w.start
-        fits = np.flatnonzero((length >= min(self.lengths, default=0) - 2) & (length <= max(self.lengths, default=-9) + 8))
+        fits = np.flatnonzero((length >= min(self.lengths, default=0) - 8) & (length <= max(self.lengths, default=-9) + 8))
         sets = _letters(w.data, w.start[fits], w.end[fits])
         maybe = np.zeros(len(fits), bool)
         plain = sets < _WIDE
         size = length[fits]
         for s, n, k in zip(self.sets, self.lengths, self.trie.most, strict=True):
-            # an edit takes one letter away and adds one at most; other than ASCII letters have more than one byte
+            # an edit takes one letter away and adds one at most; other than ASCII letters have up to four bytes
             if not k:
                 maybe |= (sets == np.uint32(s)) & (size == n)
                 continue
-            most = np.where(plain, k, 3 * k)
-            lost = k if s < _WIDE else 3 * k
-            maybe |= (np.bitwise_count(sets & ~np.uint32(s)) <= most) & (np.bitwise_count(np.uint32(s) & ~sets) <= lost) & (size - n <= most) & (n - size <= lost)
-        at = fits[maybe]
+            most = np.where(plain, k, 4 * k)
+            lost = k if s < _WIDE else 4 * k
+            # the wide mark itself is no letter
+            maybe |= (np.bitwise_count(sets & ~np.uint32(s) & ~_WIDE) <= most) & (np.bitwise_count(np.uint32(s) & ~sets & ~_WIDE) <= lost) & (size - n <= most) & (n - size <= lost)
+        out = np.zeros(len(length), bool)
+        out[fits[maybe]] = True
+        if self.stems:
+            low = np.append(np.where((w.data >= 65) & (w.data <= 90), w.data + 32, w.data), np.zeros(4, np.uint8)).astype(np.uint32)
+            head = low[w.start] | low[w.start + 1] << 8 | low[w.start + 2] << 16 | low[w.start + 3] << 24
+            out |= np.isin(head, [int.from_bytes(x.encode()[:4], "little") for x in self.stems])
+        return np.flatnonzero(out)
+
+    def hits(self, w: Words) -> tuple[list[int], list[int], list[int]]:
+        """Word, term and distance of every word near a term; of inflected words, the stem and distance -1."""
+        at = self.candidates(w)
         place, term, distance = [], [], []
         raw = None
         for i, h in zip(at.tolist(), w.hash[at].tolist(), strict=True):
             if h not in self.seen:
-                if len(self.seen) > 500_000:
+                if len(self.seen) > 200_000:
                     self.seen.clear()
                 raw = raw or w.data.tobytes()
-                self.seen[h] = self.trie.near(raw[w.start[i] : w.end[i]].decode().lower())
-            if (m := self.seen[h]) is not None:
+                self.seen[h] = self.trie.run(raw[w.start[i] : w.end[i]].decode().lower())
+            best, stem = self.seen[h]
+            if best is not None or stem >= 0:
                 place.append(i)
-                distance.append(m[0])
-                term.append(m[1])
+                distance.append(-1 if best is None else best[0])
+                term.append(stem if best is None else best[1])
         return place, term, distance
 
 
-    def inflected(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Words that begin with a stem and go on, and the stems."""
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if not self.stems or not len(w.start):
-            return none
-        low = np.append(np.where((w.data >= 65) & (w.data <= 90), w.data + 32, w.data), np.zeros(4, np.uint8)).astype(np.uint32)
-        head = low[w.start] | low[w.start + 1] << 8 | low[w.start + 2] << 16 | low[w.start + 3] << 24
-        raw = [x.encode() for x in self.stems]
-        maybe = np.flatnonzero(np.isin(head, [int.from_bytes(x[:4], "little") for x in raw]))
-        if not len(maybe):
-            return none
-        data = w.data.tobytes()
-        found = [(i, k) for i, s, e in zip(maybe.tolist(), w.start[maybe].tolist(), w.end[maybe].tolist(), strict=True) for k, x in enumerate(raw) if e - s > len(x) and data[s:e].lower().startswith(x)]
-        return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else none
-
-
 KINDS = 5
 
 
@@ -202,13 +212,11 @@ def quoted(w: Words, i: int, lo: int, hi: int) -> bool:
 def features(w: Words, lexicon: Lexicon) -> np.ndarray:
     """Hits of each text: exact abuse, exact quotation, misspelled abuse, misspelled quotation, inflected."""
     out = np.zeros((w.n_texts, KINDS))
-    stems, _ = lexicon.inflected(w)
-    np.add.at(out[:, 4], np.searchsorted(w.first, stems, "right") - 1, 1)
     place, _, distance = lexicon.hits(w)
     if place:
         of = (np.searchsorted(w.first, place, "right") - 1).tolist()
         for i, t, d in zip(place, of, distance, strict=True):
-            out[t, 2 * (d > 0) + quoted(w, i, int(w.first[t]), int(w.first[t + 1]))] += 1
+            out[t, 4 if d < 0 else 2 * (d > 0) + quoted(w, i, int(w.first[t]), int(w.first[t + 1]))] += 1
     return out
 
 
@@ -255,17 +263,20 @@ def common_stems(found: list[str]) -> list[str]:
     for stem in sorted(by, key=lambda p: (-len(by[p]), -len(p), p)):
         if len(by[stem]) >= 3 and not any(stem.startswith(x) or x.startswith(stem) for x in out):
             out.append(stem)
-    return out[:MAX_TERMS]
+    return out
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms: words that stand in toxic texts nearly alone, in many of them and after many different words. The last
     condition keeps out words of passages that copies of a few toxic texts repeat.
     Stems: shared prefixes of words that lean to toxic texts, where texts that have two such words nearly all are."""
-    share, least, contexts = 0.9, 8, 8
+    least, contexts = 8, 8
+    n, n_toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    rate = (n_toxic or 0) / max(1, n)
+    share, lean = rate + 0.9 * (1 - rate), rate + 0.5 * (1 - rate)
     counts = sample.mapInArrow(_word_counts, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    leaning = counts.filter((F.col("n_toxic") >= least) & (F.col("n_toxic") >= 0.5 * F.col("n")) & (F.char_length("word") >= 3))
-    found = {r["word"]: r for r in leaning.orderBy(F.desc("n_toxic"), "word").limit(10 * MAX_TERMS).collect()}
+    leaning = counts.filter((F.col("n_toxic") >= least) & (F.col("n_toxic") >= lean * F.col("n")) & (F.char_length("word") >= 3))
+    found = {r["word"]: r for r in leaning.collect()}  # words of SAMPLE_ROWS texts
     stems = common_stems(sorted(found))
     known = [x for x, r in found.items() if r["n_toxic"] >= share * r["n"]]
     vocabulary = Vocabulary(_tokens(known))
@@ -279,7 +290,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             toxic = b["toxic"].to_numpy()
             for w in words(b["text"], PLAIN_WORDS):
                 of = w.text_of_word()
-                at, k = probe.inflected(w)
+                at, k, _ = (np.array(x, np.int64) for x in probe.hits(w))
                 pair, n = np.unique(k * w.n_texts + of[at], return_counts=True)
                 for x in pair[n >= 2].tolist():
                     twice[x // w.n_texts, int(toxic[w.row0 + x % w.n_texts] == 1)] += 1
@@ -294,7 +305,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     support = {r["word"]: r for r in seen.collect()}
     stems = [x for x in stems if support[f"{x}*"]["n_toxic"] >= max(least, 0.8 * support[f"{x}*"]["n"])]
     terms = [x for x in sorted(known, key=lambda x: (-found[x]["n_toxic"], x)) if x in support and support[x]["n_before"] >= max(contexts, min(15, 0.3 * found[x]["n_toxic"]))]
-    return Lexicon([x for x in terms if not any(x.startswith(p) for p in stems)][:MAX_TERMS], stems)
+    return Lexicon([x for x in terms if not any(x.startswith(p) for p in stems)], stems)
 
 
 #: Weights that the fit is drawn to where the sample says nothing: a misspelled hit weighs less than an exact
@@ -331,7 +342,7 @@ def neighbours_apart(sample: DataFrame, lexicon: Lexicon) -> list[int]:
             for w in words(b["text"], PLAIN_WORDS):
                 place, term, distance = lexicon.hits(w)
                 of = np.searchsorted(w.first, place, "right") - 1
-                found += [(k, int(toxic[w.row0 + t])) for t, k in {(t, k) for t, k, d in zip(of.tolist(), term, distance, strict=True) if d}]
+                found += [(k, int(toxic[w.row0 + t])) for t, k in {(t, k) for t, k, d in zip(of.tolist(), term, distance, strict=True) if d > 0}]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], ["term", "toxic"])
 
     counts = sample.mapInArrow(count, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("n_toxic"), F.count(F.lit(1)).alias("n"))

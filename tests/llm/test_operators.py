@@ -395,8 +395,8 @@ def distance(a, b):
     return row[-1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("abé", min_size=1, max_size=12), st.lists(st.text("abé", min_size=1, max_size=12), min_size=1, max_size=6, unique=True))
+@settings(max_examples=150, deadline=None)
+@given(st.text("abé中😀", min_size=1, max_size=12), st.lists(st.text("abé中😀", min_size=1, max_size=12), min_size=1, max_size=6, unique=True))
 def test_automaton_meets_trie(word, terms):
     best = min(((distance(word, t), k) for k, t in enumerate(terms) if distance(word, t) <= toxicity.bound(len(t))), default=None)
     assert toxicity.Trie(terms).near(word) == best
@@ -404,6 +404,29 @@ def test_automaton_meets_trie(word, terms):
     assert bool(toxicity.Lexicon(terms).hits(w)[0]) == (best is not None)  # the filter loses nothing
 
 
+@pytest.mark.parametrize("term, word", [("é" * 10, "é" * 8), ("中文字符串", "中文字符"), ("中文字符串", "中文字符串x"), ("abcdefghij", "abcdefgh😀j"), ("😀" * 10, "😀" * 8), ("abcdefghij", "ab中cdefghij中")])
+def test_filter_keeps_edits_of_wide_letters(term, word):
+    w = next(textnum.words(pa.array([f"x {word} y"]), textnum.PLAIN_WORDS))
+    assert distance(word, term) <= toxicity.bound(len(term)) and toxicity.Lexicon([term]).hits(w)[0] == [1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcdé", min_size=1, max_size=9), st.lists(st.text("abcdé", min_size=4, max_size=6), min_size=1, max_size=5, unique=True))
+def test_stems_are_states_of_the_trie(word, stems):
+    fits = [(len(x), k) for k, x in enumerate(stems) if word.startswith(x) and len(word) > len(x)]
+    assert toxicity.Trie(["zzzzz"], stems).run(word)[1] == (max(fits)[1] if fits else -1)
+    w = next(textnum.words(pa.array([word]), textnum.PLAIN_WORDS))
+    assert toxicity.Lexicon(["zzzzz"], stems).hits(w) == (([0], [max(fits)[1]], [-1]) if fits else ([], [], []))
+
+
+def test_toxicity_repeated_rows_and_clashing_columns(spark):
+    rows = [(i % 40, ("horribad thing " if i % 40 < 20 else "fine thing ") + " ".join(f"w{(i * j) % 17}" for j in range(9)), "x", 1) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score int")
+    lab = spark.createDataFrame([(i, int(i < 20), "t", 0.0) for i in range(40)] * 2 + [(1, None, None, None)], "doc_id long, toxic int, text string, score double")
+    got = toxicity.toxicity_report(d, lab).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _, _ in rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><header><p>Site</p></header><nav><ul><li>Home<li>News</ul></nav><div class='cookie-notice'>We use cookies</div>{}<aside>More</aside><form><p>Sign up</p></form><footer>&copy; x</footer></body></html>"
 
 
