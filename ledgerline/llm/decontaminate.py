@@ -276,17 +276,18 @@ def _quick(p: Phrases) -> np.ndarray:
     return t
 
 
-_FOUND = "n_words long, spans array<long>, items array<string>"
+_FOUND = "n_words long, spans array<long>, items array<string>, cut string"
 
 
-def _finds(spark: SparkSession, own: list[Phrases], text: Column) -> Column:
-    """What one pass finds in a text: its number of words, the merged spans (first word and end by turns) and the items."""
+def _finds(spark: SparkSession, own: list[Phrases], text: Column, cut: bool = False) -> Column:
+    """What one pass finds in a text: its number of words, the merged spans (first word and end by turns) and the items;
+    with `cut`, also the text without the spans."""
     shared = [spark.sparkContext.broadcast(p) for p in own]  # PASS_BLOCKS of BLOCK_BYTES of text each
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         quick = [_quick(s.value) for s in shared]
         for column in texts:
-            counts, spans, items = [], [], []
+            counts, spans, items, texts_left = [], [], [], []
             for w in words(column, PLAIN_WORDS, SHARD_BYTES):
                 mask, found = np.zeros(len(w.hash), bool), [set() for _ in range(w.n_texts)]
                 of = w.text_of_word()
@@ -303,10 +304,11 @@ def _finds(spark: SparkSession, own: list[Phrases], text: Column) -> Column:
                     edge = np.diff(np.concatenate([[0], mask[w.first[t] : w.first[t + 1]].astype(np.int8), [0]]))
                     own_spans[t] = np.flatnonzero(edge).tolist()
                 spans += own_spans
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+                texts_left += _without(w, own_spans) if cut else [None] * w.n_texts
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(texts_left, pa.string())], ["n_words", "spans", "items", "cut"])
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, _FOUND)(text)
+    return F.arrow_udf(run, _FOUND).asNondeterministic()(text)  # so that the optimiser never evaluates it twice
 
 
 def _merged(a: list[int]) -> list[int]:
@@ -320,40 +322,52 @@ def _merged(a: list[int]) -> list[int]:
     return out
 
 
-def found_in(docs: DataFrame, benchmark: DataFrame, width: int, text_col: str = "text") -> tuple[DataFrame, Column]:
-    """A table with docs' rows, and the column (struct of n_words, spans, items) of what was found in its texts."""
+def found_in(docs: DataFrame, benchmark: DataFrame, width: int, cut: bool = False, text_col: str = "text") -> tuple[DataFrame, Column]:
+    """A table with docs' rows, and the column (struct of n_words, spans, items, cut) of what was found in its texts."""
     spark = docs.sparkSession
     text = text_of(docs, text_col)
     passes = iter(lambda it=blocks(benchmark, width): list(islice(it, PASS_BLOCKS)), [])
     first, more = next(passes), next(passes, None)
     if more is None:
-        return docs, _finds(spark, first, text)
+        return docs, _finds(spark, first, text, cut)
     # several passes: each over the same written rows, whose place is their key
     rows = written(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__doc"), text.alias("__text"), F.monotonically_increasing_id().alias("__row")), "benchmark-rows")
     hits = None
     for own in chain([first, more], passes):
         one = written(rows.select("__row", _finds(spark, own, F.col("__text")).alias("f")).filter("size(f.items) > 0").select("__row", "f.*"), "benchmark-hits")
         hits = one if hits is None else hits.unionAll(one)
-    merge = F.arrow_udf(_merge_column, "array<long>")
     hits = hits.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))  # one entry a pass
-    hits = hits.select("__row", merge("spans").alias("spans"), "items")
-    counted = rows.join(hits, "__row", "left").select("__doc.*", F.struct(_count_words(F.col("__text")).alias("n_words"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("__found"))
-    return counted, F.col("__found")
-
-
-def _merge_column(spans: pa.Array) -> pa.Array:
-    return pa.array([_merged(x) for x in spans.to_pylist()], pa.list_(pa.int64()))
-
-
-def _count_words(text: Column) -> Column:
-    def run(x: pa.Array) -> pa.Array:
-        return pa.array([n for w in words(x, PLAIN_WORDS) for n in w.counts().tolist()], pa.int64())
-
-    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "long")(text)
-
-
-_merge_column.__annotations__ = {"spans": pa.Array, "return": pa.Array}
+    both = rows.join(hits, "__row", "left")
+
+    def merge(text: pa.Array, spans: pa.Array) -> pa.Array:
+        spans, counts, left = [_merged(x or []) for x in spans.to_pylist()], [], []
+        for w in words(text, PLAIN_WORDS):
+            counts += w.counts().tolist()
+            left += _without(w, spans[w.row0 : w.row0 + w.n_texts]) if cut else [None] * w.n_texts
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(left, pa.string())], ["n_words", "spans", "cut"])
+
+    merge.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
+    merged = F.arrow_udf(merge, "n_words long, spans array<long>, cut string").asNondeterministic()
+    both = both.select("__doc", "items", merged("__text", "spans").alias("m"))
+    found = F.struct("m.n_words", "m.spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "m.cut")
+    return both.select("__doc.*", found.alias("__found")), F.col("__found")
+
+
+def _without(w: Words, spans: list[list[int]]) -> list[str | None]:
+    """Texts with spans of words cut out; None where there is none to cut, empty where no word is left."""
+    raw, out = None, []
+    for t, own in enumerate(spans):
+        if not own:
+            out.append(None)
+            continue
+        raw = raw or w.data.tobytes()
+        a, at, parts = int(w.first[t]), int(w.text_at[t]), []
+        for s, e in zip(own[::2], own[1::2], strict=True):
+            parts.append(raw[at : w.start[a + s]])
+            at = int(w.end[a + e - 1])
+        parts.append(raw[at : w.text_at[t + 1]])
+        out.append("" if own == [0, int(w.first[t + 1]) - a] else b" ".join(p.strip(b" ") for p in parts).decode())
+    return out
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -364,38 +378,14 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WID
     return rows.select("doc_id", "f.n_words", n_hit.alias("n_hit"), F.size("f.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("f.items"), ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _cut_texts(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts with spans of words cut out; null where there is none to cut, empty where no word is left."""
-    spans, out = spans.to_pylist(), []
-    for w in words(text, PLAIN_WORDS):
-        raw = None
-        for t in range(w.n_texts):
-            own = spans[w.row0 + t]
-            if not own:
-                out.append(None)
-                continue
-            raw = raw or w.data.tobytes()
-            a, at, parts = int(w.first[t]), int(w.text_at[t]), []
-            for s, e in zip(own[::2], own[1::2], strict=True):
-                parts.append(raw[at : w.start[a + s]])
-                at = int(w.end[a + e - 1])
-            parts.append(raw[at : w.text_at[t + 1]])
-            out.append("" if own == [0, int(w.first[t + 1]) - a] else b" ".join(p.strip(b" ") for p in parts).decode())
-    return pa.array(out, pa.string())
-
-
-_cut_texts.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
-
-
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with every merged span cut out of the text (from its first word to its last, a space in its place).
 
     A document of which no word is left goes. n_chars, where there is such a column, follows the new text;
     texts without a span, and all other columns, are as they were.
     """
-    rows, found = found_in(docs, benchmark, width)
-    rows = rows.select(F.struct(*(rows[f"`{c}`"] for c in docs.columns)).alias("d"), found.alias("f"))
-    rows = rows.select("d", F.arrow_udf(_cut_texts, "string")(F.coalesce(F.col("d.text"), F.lit("")), F.col("f.spans")).alias("cut"))
+    rows, found = found_in(docs, benchmark, width, cut=True)
+    rows = rows.select(F.struct(*(rows[f"`{c}`"] for c in docs.columns)).alias("d"), found.alias("f")).select("d", "f.cut")
     cols = {"text": F.coalesce("cut", "d.text").alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -238,7 +238,7 @@ class Model:
                 yield self.judge(x)
 
         run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(run, "lang_pred string, score double, lettered boolean, grams long, strength double")(text)
+        return F.arrow_udf(run, "lang_pred string, score double, lettered boolean, grams long, strength double").asNondeterministic()(text)  # so that the optimiser never evaluates it twice
 
 
 def train(docs: DataFrame) -> Model:

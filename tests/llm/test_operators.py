@@ -180,6 +180,18 @@ def test_decontamination(spark, docs, none):
     assert 13 in {r.doc_id for r in again} and not any(r.n_hit for r in again if r.doc_id in (8, 13))
 
 
+def test_decontamination_in_passes(spark, docs, monkeypatch):
+    """A benchmark of many blocks, a few at a time, gives what one pass gives."""
+    items = [(f"i{k}", x) for k, x in enumerate([PROSE[20:110], "one two", None, "!!", "ONE, two", " ".join(LONG.split()[500:530]), "zebra", PROSE, "un deux trois é", PROSE[60:]])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole, cut = Counter(map(tuple, decontaminate.contamination_report(docs, bench).collect())), Counter(map(tuple, decontaminate.without_benchmark(docs, bench).collect()))
+    assert whole == brute_hits(ROWS, items)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    assert Counter(map(tuple, decontaminate.contamination_report(docs, bench).collect())) == whole
+    assert Counter(map(tuple, decontaminate.without_benchmark(docs, bench).collect())) == cut
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(2, 5), min_size=1, max_size=80), st.lists(st.lists(st.integers(2, 5), min_size=3, max_size=3), min_size=1, max_size=5))
 def test_fm_index(seq, phrases):
