@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -460,14 +462,97 @@ def test_html_article_parts_with_ambiguous_names():
     gone = ["<div class='ad'>{}</div>", "<div class='box share-bar'>{}</div>", "<section id='comments'><p>{}</p></section>", "<div class='cookie-notice'>{}</div>", "<div role='navigation'>{}</div>", "<nav><p>{}</p></nav>"]
     for tag in ("article", "main"):
         body = "".join(x.format(f"kept {i}") for i, x in enumerate(kept)) + "".join(x.format(f"gone {i}") for i, x in enumerate(gone)) + "<p>end</p>"
-        texts, kinds = html_extract.page_lines(PAGE.format(f"<{tag}>{body}</{tag}>"))
+        texts, kinds, _ = html_extract.page_lines(PAGE.format(f"<{tag}>{body}</{tag}>"))
         assert [t for t, k in zip(texts, kinds, strict=True) if k == html_extract.TEXT] == [*(f"kept {i}" for i in range(len(kept))), "end"]
-    texts, kinds = html_extract.page_lines("<div id='menu'><p>a</p></div><div><p>b</p></div>")
+    texts, kinds, _ = html_extract.page_lines("<div id='menu'><p>a</p></div><div><p>b</p></div>")
     assert kinds == [html_extract.FURNITURE, html_extract.UNDECIDED]
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+class Reader(HTMLParser):
+    """An independent extractor for pages that declare their article: blocks of text within it, menus and the like left out."""
+
+    OUT = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "select", "button", "menu", "dialog"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.inside, self.out = [], "", 0, []
+
+    def end(self):
+        if t := " ".join(self.text.split()):
+            self.blocks.append(t)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract._BLOCK:
+            self.end()
+        if tag in ("article", "main"):
+            self.inside += 1
+        said = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+        if tag not in html_extract._VOID and (self.out or tag in self.OUT or re.search(r"\b(ad|ads|comments)\b", said)):
+            self.out.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_extract._BLOCK:
+            self.end()
+        if tag in ("article", "main"):
+            self.inside -= 1
+        if tag in self.out:
+            while self.out.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.text += data
+
+
+def test_html_extraction_against_an_independent_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extraction_report(pages).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        reader.close()
+        reader.end()
+        assert got[r.page_id] == "\n".join(reader.blocks), r.page_id
+
+
+def test_html_differencing_decides_without_telling_tags(spark):
+    """Boxes without a telling tag or class: what neighbours share goes, and so does what varies in the same box."""
+    page = "<div><div class='x1'><p>Our site</p><p>Contact us</p><p>All topics</p><p>Terms of use</p><p>Visits today</p><p>Visitor {n}</p></div><div class='x2'><p>Story {n} begins with a sentence of its own, {w}.</p><p>And it goes on about {w} for quite some time, {n} words.</p></div></div>"
+    inside = "<article><h1>Piece {n}</h1><p>Text of piece {n} is all about {w} and not much else.</p><p>As they say.</p><div class='q7'><p>Tell a friend</p><p>Print this</p><p>Send it on</p><p>Save for later</p><p>Read {n} times</p></div></article>"
+    rows = [(i, f"http://{h}/a/{i:02}", body.format(n=i, w=f"w{i * 7919 % 101}")) for h, body in (("plain.org", page), ("art.org", inside)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.url: r.text for r in html_extract.extract(df).collect()}
+    off = {r.url: r.text for r in html_extract.extract(df, differencing=False).collect()}
+    for i, url, _ in rows:
+        w = f"w{i * 7919 % 101}"
+        if "plain" in url:
+            assert got[url] == f"Story {i} begins with a sentence of its own, {w}.\nAnd it goes on about {w} for quite some time, {i} words."
+            assert "Our site" in off[url] and f"Visitor {i}" in off[url]
+        else:  # a shared line of the article stays, a box that all pages have goes
+            assert got[url] == f"Piece {i}\nText of piece {i} is all about {w} and not much else.\nAs they say."
+            assert "Tell a friend" in off[url]
+
+
+def test_html_of_any_size_and_repeated_rows(spark):
+    n = 40_000
+    odd = ["<li>same" * n, "<a '" * n, "<a x='" * n, "<svg><p>x" * n, "<div class=ad>" * n + "y", "</x>" * n + "<div>" * n + "z" + "</p>" * n, "<nav><main>" * n, "<!--" * n, "<p>a<p>b" * n, "&#" + "9" * 10_000 + ";", "<script>" * n, "< " * n, "<p>" + "word " * 200_000]
+    for page in odd:
+        began = time.perf_counter()
+        html_extract.main_text(page, [], [])
+        assert time.perf_counter() - began < 3, page[:20]
+    a, b = np.arange(n, dtype=np.uint64) % 2, (np.arange(n, dtype=np.uint64) // 3) % 2
+    began = time.perf_counter()
+    assert len(html_extract.shared_lines(a, a)) == n and len(html_extract.shared_lines(np.zeros(n, np.uint64), np.zeros(n - 9, np.uint64))) == n - 9
+    found = html_extract.shared_lines(a[:8000], b[:9000])
+    assert time.perf_counter() - began < 10 and found == sorted(set(found))
+    rows = [(i % 3, "http://h/x", "<p>Repeated page with text</p>", 1, "p") for i in range(60)] + [(9, "http://h/y", odd[0][:100_000], 2, "q"), (10, "http://h/z", None, 3, None)]
+    got = html_extract.extraction_report(spark.createDataFrame(rows, "page_id long, url string, html string, host int, path string").repartition(5)).collect()
+    assert Counter(r.text for r in got)["Repeated page with text"] == 60 and len(got) == len(rows)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), max_size=40))
 def test_longest_common_subsequence(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -475,6 +560,12 @@ def test_longest_common_subsequence(a, b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     got = html_extract.shared_lines(np.array(a, np.uint64), np.array(b, np.uint64))
     assert len(got) == table[-1][-1] and got == sorted(set(got))
+    halves: list[int] = []
+    html_extract._many_matches(a, b, 0, halves)
+    assert len(halves) == table[-1][-1] and html_extract._row(a, b)[-1] == table[-1][-1]
+    for found in (got, halves):  # a subsequence of b
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x in (a[i] for i in found))
 
 
 def test_components(spark):
