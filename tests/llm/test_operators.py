@@ -246,26 +246,43 @@ def test_first_fit_decreasing_is_first_fit():
 URLS = ["http://www.example.net/en/1?x#y", "https://EXAMPLE.net/fr/", "http://a.net", "ftp://notexample.com/de/x", "x://sub.example.com/de/?q", "http://b.org/fr/1", "nope", None, "http://u.net/?", "http://example.net:80/en/", "://net/"]
 
 
-@pytest.mark.parametrize("bound", [1 << 30, 1])
-def test_url_filter(spark, bound):
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[0], "h")] * 2, "page_id long, url string, host string")
+def brute_verdicts(urls, rules):
     want = Counter()
-    for i, u in [*enumerate(URLS), (None, URLS[0]), (None, URLS[0])]:
+    for i, u in urls:
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
-        host = host.lower()
-        fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if None not in (h, p, v) and (host == h or host.endswith("." + h)) and path.startswith(p)]
         want[(i, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow")] += 1
-    assert Counter(map(tuple, url_filter.filter_urls(pages, max_index_bytes=bound).collect())) == want
+    return want
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 26, 400])
+def test_url_filter(spark, shard_bytes):
+    urls = [*enumerate(URLS), (None, URLS[0]), (None, URLS[0]), (90, "http://" + "a." * 200_000 + "net/x"), (91, "http://b.net/" + "y" * 500_000)]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in urls], "page_id long, url string, host string, rule string")
+    assert Counter(map(tuple, url_filter.filter_urls(pages, shard_bytes=shard_bytes).collect())) == brute_verdicts(urls, url_filter.RULES)
+    many = [*url_filter.RULES, (None, "/", "block"), ("com", None, "allow"), ("com", "/", None), ("example.net", "/en/", "block"), *((f"h{i}.net", "/" + "p" * (i % 5), "block" if i % 2 else "warn") for i in range(60))]
+    more = [(i, f"http://{a}h{i}.net/ppp{i}") for i in range(60) for a in ("", "x.", "x")]
+    got = url_filter.filter_urls(spark.createDataFrame(more + urls, "page_id long, url string"), spark.createDataFrame(many, "host string, path string, verdict string"), shard_bytes=shard_bytes).collect()
+    assert Counter(map(tuple, got)) == brute_verdicts(more + urls, many)
     assert url_filter.filter_urls(pages.limit(0)).count() == 0 and {r.verdict for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_digests_are_those_of_spark(spark):
+    texts = ["", "a", "net/", "é" * 40, "x" * 1000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t")).collect()]
+    assert np.array(got, np.int64).view(np.uint64).tolist() == url_filter.digests([t.encode() for t in texts]).tolist()
+
+
 def test_digest_array_confirms(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter, "digests", lambda keys: np.array([len(k) for k in keys], np.uint64))  # everything collides
-    files, order = url_filter.DigestArray.write([b"aa", b"bb", b"c"], str(tmp_path), "t")
-    index = url_filter.DigestArray.open(files)
-    assert [index.key(i) if i >= 0 else None for i in index.find([b"bb", b"aa", b"zz", b"c"])] == [b"bb", b"aa", None, b"c"]
+    (tmp_path / "t").write_bytes(url_filter.DigestArray.pack([b"aa", b"bb", b"c"], [b"x", b"y", b""]))
+    index = url_filter.DigestArray.open(str(tmp_path / "t"))
+    found = index.find([b"bb", b"aa", b"zz", b"c"])
+    assert [index.key(i) if i >= 0 else None for i in found] == [b"bb", b"aa", None, b"c"]
+    assert [index.verdict(i) for i in found[[0, 1, 3]]] == ["y", "x", ""]
 
 
 def test_license_scan(spark, docs, none):
