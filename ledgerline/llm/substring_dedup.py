@@ -12,13 +12,14 @@ a block of the text it repeats:
    answers each shard with one bit for each: whether the anchor was found elsewhere; whether the fingerprint is that
    of an anchor there or earlier.
 3. Extend. Hits are extended to the windows around them; what is left, windows around a found anchor and windows
-   that hold an anchor of an earlier text, is a superset of the maximal repeats. Their hashes over the full width are exchanged in the same way: a
-   shard learns which of them stand in an earlier shard; what repeats within a shard it sees itself. Words covered
+   that hold an anchor of an earlier text, is a superset of the maximal repeats. Their hashes over the full width, 128
+   bits each, are exchanged in the same way: a shard learns which of them stand in an earlier shard; what repeats within
+   a shard it sees itself. Words covered
    by repeated windows, that is by the maximal exact repeats of at least `width` words, go.
 
 Only hashes that are distinct within a shard are sent, so a passage that a third of all texts share costs each task
-one entry a shard. Windows are compared by 64-bit hashes of 64-bit word hashes: among n candidate windows a wrong
-match is expected n * n / 2**65 times (under 1e-4 for the 35 million candidates of a gigabyte of text).
+one entry a shard. Windows are compared by two independent 64-bit hashes, each of other word hashes: a wrong match among
+n candidate windows is expected n * n / 2**129 times, which is 1e-12 for the 1.7e13 words of 100 TB.
 
 Defined results: null texts have no words; documents of fewer than `width` words lose nothing; null ids go after
 all others; of rows with one id the one with the smaller text hash goes first, and equal rows lose all but one's
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 from itertools import compress
 
 import numpy as np
@@ -37,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-from .textnum import SPACE_WORDS, words
+from .common import forget, mark, text_of, written
+from .textnum import SPACE_WORDS, second_hashes, words
 
 WIDTH = 20
 SHARD_BYTES = 16_000_000
+#: Files of the bucketed table (Spark's own limit is 100,000); beyond as many shards, one holds several.
+MOST_BUCKETS = 65_536
 #: Bits of a fingerprint beside those that choose its task.
 FINGERPRINT = 28
 
@@ -51,20 +55,23 @@ _U = np.uint64
 class Shard:
     """The word hashes of a shard's texts, in order."""
 
-    def __init__(self, texts: pa.ChunkedArray, width: int):
+    def __init__(self, texts: pa.ChunkedArray, width: int, confirm: bool = True):
         self.width, self.block = width, width // 2
-        counts, h_block, at_block, h_wide, at_wide, base = [], [], [], [], [], 0
+        counts, h_block, at_block, h_wide, at_wide, h_other, base = [], [], [], [], [], [], 0
         for w in words(texts, SPACE_WORDS):
             counts.append(w.counts())
             for n, hs, ats in ((self.block, h_block, at_block), (width, h_wide, at_wide)):
                 h, at = w.windows(n)
                 hs.append(h)
                 ats.append(at + base)
+            if confirm:
+                h_other.append(replace(w, hash=second_hashes(w, SPACE_WORDS)).windows(width)[0])
             base += len(w.hash)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.counts, self.n_words = cat(counts, np.int64), base
         self.short, self.short_at = cat(h_block, _U), cat(at_block, np.int64)
         self.wide, self.wide_at = cat(h_wide, _U), cat(at_wide, np.int64)
+        self.other = cat(h_other, _U)  # the second halves of the wide windows' hashes
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         text = np.searchsorted(self.first, self.short_at, "right") - 1
         self.anchor = (self.short_at - self.first[text]) % self.block == 0
@@ -87,6 +94,21 @@ class Shard:
         reach = np.minimum(self.wide_at + self.width - self.block + 1, self.n_words)
         return np.flatnonzero(sums[reach] > sums[self.wide_at])
 
+    def distinct(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct 128-bit hashes of windows, in order; the first window of each; and each window's place among them."""
+        return _unique(np.column_stack([self.wide[windows], self.other[windows]]))
+
+
+def _unique(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of (first, second half) in order, where each stands first, and every row's place among them."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))  # stable: equal rows stay in order
+    s = pairs[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]).any(1)
+    place = np.empty(len(s), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return s[new], order[new], place
+
 
 def encode(sorted_: np.ndarray) -> bytes:
     """Distinct sorted numbers as 16-bit steps (65535: go on), or plain where that is shorter."""
@@ -168,13 +190,12 @@ def answer_probes(asked: pa.Table) -> pa.Table:
 def answer_windows(asked: pa.Table) -> pa.Table:
     """One task of round 2: which of each shard's windows stand in an earlier shard."""
     rows = sorted(asked.to_pylist(), key=lambda r: r["shard"])
-    own = [np.frombuffer(r["anchors"], _U) for r in rows]
+    own = [np.frombuffer(r["anchors"], _U).reshape(-1, 2) for r in rows]
     shard = np.repeat([r["shard"] for r in rows], [len(a) for a in own])
-    every = np.concatenate(own)
-    order = np.lexsort((shard, every))
-    hashes, first = np.unique(every[order], return_index=True)
-    since = shard[order][first]
-    return _rows([(r["shard"], r["task"], 2, len(a), _bits(since[np.searchsorted(hashes, a)] < r["shard"])) for r, a in zip(rows, own, strict=True)], _TELL_ARROW)
+    _, first, place = _unique(np.concatenate(own))
+    earlier = shard[first[place]] < shard  # rows go by shard, so the first one is the earliest
+    cuts = np.cumsum([0, *map(len, own)])
+    return _rows([(r["shard"], r["task"], 2, len(a), _bits(earlier[cuts[k] : cuts[k + 1]])) for k, (r, a) in enumerate(zip(rows, own, strict=True))], _TELL_ARROW)
 
 
 def _told(replies: pa.Table, round_: int) -> np.ndarray:
@@ -184,7 +205,7 @@ def _told(replies: pa.Table, round_: int) -> np.ndarray:
 def repeated(shard: Shard, replies: pa.Table, bits: int) -> np.ndarray:
     """Mask of the words that repeated windows cover."""
     windows = shard.candidates(_told(replies, 0), _told(replies, 1), bits)
-    hashes, first, place = np.unique(shard.wide[windows], return_index=True, return_inverse=True)
+    _, first, place = shard.distinct(windows)
     earlier = _told(replies, 2)
     again = earlier[place] | (np.arange(len(windows)) != first[place]) if len(windows) else np.zeros(0, bool)
     edge = np.zeros(shard.n_words + 1, np.int64)
@@ -194,22 +215,25 @@ def repeated(shard: Shard, replies: pa.Table, bits: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def sharded(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, int]:
-    """The texts in document order as a table bucketed by shard, and the number of shards."""
+def sharded(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str, keep: list[str]) -> tuple[str, int]:
+    """The texts in document order as a table bucketed by shard: its name, and the number of shards."""
     spark = docs.sparkSession
     text = text_of(docs, text_col)
     size = docs.select(F.octet_length(text).alias("n")).agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-size // shard_bytes))
-    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("th"), *keep)
-    ranged = rows.repartitionByRange(n, F.col("id").isNull(), "id", "th").withColumn("shard", F.spark_partition_id())
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("place"), *keep)
+    # equal rows are told apart by their place, so that no number of them has to lie in one shard
+    ranged = rows.repartitionByRange(n, F.col("id").isNull(), "id", "th", "place").drop("place").withColumn("shard", F.spark_partition_id())
     name = f"ledgerline_shards_{uuid.uuid4().hex}"
-    ranged.write.option("compression", "zstd").bucketBy(n, "shard").sortBy("shard").saveAsTable(name)
-    return spark.table(name), n
+    ranged.write.option("compression", "zstd").bucketBy(min(n, MOST_BUCKETS), "shard").sortBy("shard").saveAsTable(name)
+    return name, n
 
 
 def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: list | None = None) -> DataFrame:
     """finish(table of a shard in order, words of each text, mask of removed words) for every shard."""
-    shards, n = sharded(docs, shard_bytes, id_col, text_col, keep or [])
+    name, n = sharded(docs, shard_bytes, id_col, text_col, keep or [])
+    spark = docs.sparkSession
+    shards, began = spark.table(name), mark()
     bits = max(1, n.bit_length())
     n_tasks = 1 << bits
 
@@ -219,7 +243,7 @@ def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_byt
 
     def ask_probes(t: pa.Table) -> pa.Table:
         t = in_order(t)
-        anchors, count, prints, _ = Shard(t["text"], width).probes(bits)
+        anchors, count, prints, _ = Shard(t["text"], width, confirm=False).probes(bits)
         count = np.minimum(count, 2).astype("<u2")
         a, p = _cuts(anchors, 64 - bits, n_tasks), _cuts(prints, FINGERPRINT, n_tasks)
         low = prints & _U((1 << FINGERPRINT) - 1)
@@ -229,8 +253,8 @@ def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_byt
     def ask_windows(t: pa.Table, replies: pa.Table) -> pa.Table:
         t = in_order(t)
         shard = Shard(t["text"], width)
-        hashes = np.unique(shard.wide[shard.candidates(_told(replies, 0), _told(replies, 1), bits)])
-        a, number = _cuts(hashes, 64 - bits, n_tasks), t["shard"][0].as_py()
+        hashes, _, _ = shard.distinct(shard.candidates(_told(replies, 0), _told(replies, 1), bits))
+        a, number = _cuts(hashes[:, 0], 64 - bits, n_tasks), t["shard"][0].as_py()
         return _rows([(k, number, hashes[a[k] : a[k + 1]].tobytes(), None, None, bits) for k in range(n_tasks) if a[k] < a[k + 1]], _ASK_ARROW)
 
     def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -242,7 +266,10 @@ def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_byt
     told = written(some.groupBy("shard").applyInArrow(ask_probes, _ASK).groupBy("task").applyInArrow(answer_probes, _TELL), "substring-hits")
     again = some.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(ask_windows, _ASK)
     told = told.unionAll(again.groupBy("task").applyInArrow(answer_windows, _TELL))
-    return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, schema)
+    out = written(shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, schema), "substring-result")
+    forget(spark, began, mark() - 1)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _kept_texts(t: pa.Table, shard: Shard, gone: np.ndarray) -> Iterator[bytes]:

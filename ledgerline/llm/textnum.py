@@ -42,7 +42,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes_pow, _word_pow = _Powers(_BASE), _Powers(_STEP)
+_bytes_pow, _word_pow, _other_pow = _Powers(_BASE), _Powers(_STEP), _Powers(_U(0xA0761D6478BD642F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,6 +73,8 @@ PLAIN_WORDS = _table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)], l
 
 _VALUES = mix(np.arange(1, 258, dtype=_U) * _U(0x2545F4914F6CDD1D))
 _VALUES[0] = 0
+_OTHERS = mix(np.arange(1, 258, dtype=_U) * _U(0xE7037ED1A0B428DB))
+_OTHERS[0] = 0
 
 
 @dataclass
@@ -143,6 +145,15 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         row = to
 
 
+def second_hashes(w: Words, table: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of every word, independent of the first."""
+    n = len(w.data)
+    up, down = _other_pow.get(n + 1)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(_OTHERS[table[w.data]] * up[:n], out=sums[1:])
+    return mix((sums[w.end] - sums[w.start]) * down[w.start] + (w.end - w.start).astype(_U))
+
+
 def words(column: pa.Array, table: np.ndarray, most: int = SLICE_BYTES) -> Iterator[Words]:
     """Words of whole texts, slice by slice."""
     for row0, data, at in slices(column, most):
