@@ -11,7 +11,22 @@ ACCENTS, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁ
 MONTHS_FR = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
 MONTHS_EN = "january february march april may june july august september october november december".split()
 # Words of a status that says that someone left.
-LEAVERS = "quitte parti partie licencie licenciee demissionne demissionnee retraite retraitee termine terminated resigned left inactive ancien ancienne fired laid retired".split()
+LEAVERS = "depart departed inactif inactive termine terminee terminated left former retired retraite resigned demission demissionnaire fired licencie quitte parti ancien".split()
+# Words of a remark that speak well or badly of something, and those of its topics.
+POSITIVE = "super excellent bien satisfait merci top rapide parfait".split()
+NEGATIVE = "nul lent cher probleme problème decu déçu retard mauvais pire casse cassé incomplet".split()
+TOPICS = {
+    "price": "cher prix coût tarif facture".split(),
+    "delivery": "livraison retard colis livreur arrivé attente".split(),
+    "quality": "qualité cassé fragile solide beau moche".split(),
+    "service": "service support réponse conseiller téléphone".split(),
+}
+# Labels of total rows. The sure ones need nothing else; the others need blank cells beside them.
+SURE_TOTALS = ["total", "totaux", "totales", "totale", "sous-total", "sous total", "subtotal", "sub-total", "total general", "total global", "grand total", "recapitulatif"]
+OTHER_TOTALS = ["somme", "sum", "moyenne", "average", "synthese"]
+TOTAL_QUALIFIERS = "consolide consolidee general generale global globale annuel annuelle mensuel mensuelle entreprise groupe cumul cumule tous toutes all overall company grand final finale".split()
+# What a yes-or-no column says.
+YES, NO = "true oui 1 yes vrai y".split(), "false non 0 no faux n".split()
 # Fragments of a status, in the order in which they decide.
 STATUS_FRAGMENTS = [("cancelled", "annul|cancel|void"), ("draft", "brouillon|draft"), ("refunded", "rembours|refund|retour|return"), ("completed", "complet|paye|paid|livr|deliver|termine|done|closed"), ("pending", "attente|pending|open|partiel|unpaid")]
 
@@ -57,6 +72,17 @@ def parse_number(x: Column) -> Column:
     return F.when(negative, -value).otherwise(value)
 
 
+def _month_names() -> dict[str, int]:
+    """Beginnings of three letters or more of the French and English month names; the earlier month where two share one."""
+    names: dict[str, int] = {}
+    for i, both in enumerate(zip(MONTHS_FR, MONTHS_EN, strict=True), 1):
+        for full in both:
+            full = full.translate(str.maketrans(ACCENTS, PLAIN))
+            for n in range(3, len(full) + 1):
+                names.setdefault(full[:n], i)
+    return names
+
+
 def parse_date(x: Column, convention: str = "DMY") -> Column:
     """ISO, day or month first by the column's convention, spreadsheet serials 20000-60000, French and English month
     names, and YYYY-MM as its first day; a time is dropped; impossible dates are null."""
@@ -65,10 +91,7 @@ def parse_date(x: Column, convention: str = "DMY") -> Column:
     words = strip_accents(F.lower(s))
     day = F.regexp_replace(F.regexp_extract(words, r"^(\d{1,2})(?:er|st|nd|rd|th)?\s", 1), "^$", "x").try_cast("int")
     name, year = F.regexp_extract(words, r"([a-z]{3,9})\.?,?\s+\d{4}$", 1), F.regexp_extract(words, r"(\d{4})$", 1).try_cast("int")
-    number = F.lit(None).cast("int")
-    for i in range(12, 0, -1):
-        fr = MONTHS_FR[i - 1].translate(str.maketrans(ACCENTS, PLAIN))
-        number = F.when((F.length(name) >= 3) & (F.lit(fr).startswith(name) | F.lit(MONTHS_EN[i - 1]).startswith(name)), i).otherwise(number)
+    number = F.create_map(*(F.lit(x) for kv in _month_names().items() for x in kv))[name]
     first, second = ("dd", "MM") if convention == "DMY" else ("MM", "dd")
     slashed = F.regexp_replace(s, "[.-]", "/")
     made = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
@@ -81,19 +104,103 @@ def parse_date(x: Column, convention: str = "DMY") -> Column:
     )
 
 
+def period_month(x: Column) -> Column:
+    """A pay period as YYYY-MM: '03/2024', '2024.3', 'mars 2024'; YYYY-MM and YYYY-MM-DD stay; other dates as dates;
+    what cannot be read is null."""
+    s = strip_accents(F.lower(F.trim(x)))
+    made = lambda y, m: F.when(m.between(1, 12), F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0")))
+    front = F.regexp_extract(s, r"^(\d{1,2})[/.-]\d{4}$", 1).try_cast("int"), F.regexp_extract(s, r"^\d{1,2}[/.-](\d{4})$", 1)
+    back = F.regexp_extract(s, r"^\d{4}[/.-](\d{1,2})$", 1).try_cast("int"), F.regexp_extract(s, r"^(\d{4})[/.-]\d{1,2}$", 1)
+    name = F.create_map(*(F.lit(y) for kv in _month_names().items() for y in kv))[F.regexp_extract(s, r"^([a-z]{3,9})\.?\s+\d{4}$", 1)]
+    return F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), s), made(front[1], front[0]), made(back[1], back[0]), made(F.regexp_extract(s, r"(\d{4})$", 1), name), parse_date(x).cast("string"))
+
+
 def date_convention(x: Column) -> Column:
-    """Aggregate: DMY or MDY where a value over twelve proves it, null where none or both do."""
+    """N6, aggregate: DMY or MDY where a value over twelve proves it, null where none or both do."""
     parts = F.regexp_extract(x, r"^(\d{1,2})[/.-]\d{1,2}[/.-]\d{4}", 1).try_cast("int"), F.regexp_extract(x, r"^\d{1,2}[/.-](\d{1,2})[/.-]\d{4}", 1).try_cast("int")
-    day_first, month_first = F.max(F.coalesce(parts[0] > 12, F.lit(False))), F.max(F.coalesce(parts[1] > 12, F.lit(False)))
+    day_first, month_first = F.max(F.coalesce((parts[0] > 12) & (parts[1] <= 12), F.lit(False))), F.max(F.coalesce((parts[1] > 12) & (parts[0] <= 12), F.lit(False)))
     return F.when(day_first & ~month_first, "DMY").when(month_first & ~day_first, "MDY")
 
 
-def coerce_enum(x: Column, translations: dict[str, str], allowed: list[str], fallback: str | None = "autre") -> Column:
-    """Exact value, translation (accents and case off), else the fallback; blank is null."""
-    key = F.trim(strip_accents(F.lower(x)))
-    table = {v: v for v in allowed} | translations
+def number_convention(x: Column) -> Column:
+    """N6, aggregate: 'point' or 'comma' where the column's values prove its decimal mark, null where none or both do.
+
+    A mark before one, two, or four and more final digits is decimal, as is one after groups of thousands with the other.
+    """
+    s = F.regexp_replace(F.regexp_replace(F.trim(x), "[\\s\u00a0\u202f$€£%]", ""), r"^[-+(]+|\)$", "")
+    proves = lambda d, t: F.max(F.coalesce(s.rlike(rf"^\d{{1,3}}(\{t}\d{{3}})+\{d}\d+$") | s.rlike(rf"^\d+\{d}(\d{{1,2}}|\d{{4,}})$"), F.lit(False)))
+    point, comma = proves(".", ","), proves(",", ".")
+    return F.when(point & ~comma, "point").when(comma & ~point, "comma")
+
+
+def parse_number_by(x: Column, convention: Column) -> Column:
+    """A number whose lone mark before three digits is read as the column's convention says; else parse_number."""
+    m = F.trim(x)
+    lone = m.rlike(r"^-?\d{1,3}[.,]\d{3}$")
+    decimal = (convention == "point") & m.contains(".") | (convention == "comma") & m.contains(",")
+    value = F.when(decimal, F.replace(m, F.lit(","), F.lit(".")).try_cast("double")).otherwise(F.regexp_replace(m, "[.,]", "").try_cast("double"))
+    return F.when(lone & convention.isNotNull(), value).otherwise(parse_number(x))
+
+
+def enum_key(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(x)), "[_-]", " "), "\\s+", " "))
+
+
+def coerce_enum(x: Column, translations: dict[str, str], allowed: list[str], fallback: str | None = "autre", by_word: bool = False) -> Column:
+    """An allowed value, its translation, what translates to it (accents, case and dashes off), with `by_word` the
+    first word that says one, else the fallback; blank is null."""
+    plain = lambda v: " ".join(v.lower().translate(str.maketrans(ACCENTS, PLAIN)).replace("_", " ").replace("-", " ").split())
+    table = {plain(v): v for v in allowed}
+    table |= {plain(k): v for k, v in translations.items() if v in allowed and plain(k) not in table}
+    # the other way round: a schema in the translated language
+    table |= {plain(v): k for k, v in translations.items() if k in allowed and plain(v) not in table}
     lookup = F.create_map(*(F.lit(y) for kv in table.items() for y in kv))
-    return F.when(blank_to_null(x).isNotNull(), F.coalesce(lookup[key], F.lit(fallback)))
+    key = enum_key(x)
+    found = lookup[key]
+    if by_word:
+        found = F.coalesce(found, F.try_element_at(F.filter(F.transform(F.split(key, "[^a-z0-9]+"), lambda w: lookup[w]), lambda v: v.isNotNull()), F.lit(1)))
+    return F.when(blank_to_null(x).isNotNull(), F.coalesce(found, F.lit(fallback)))
+
+
+def parse_boolean(x: Column) -> Column:
+    key = F.lower(F.trim(x))
+    return F.when(key.isin(*YES), True).when(key.isin(*NO), False)
+
+
+def coerce(x: Column, kind: str) -> Column:
+    """A text as date, number, boolean or text; what cannot be read is null."""
+    return {"date": parse_date, "number": parse_number, "boolean": parse_boolean, "string": blank_to_null}[kind](x)
+
+
+def is_summary_row(first: Column, blanks: Column, n: Column) -> Column:
+    """A total row by its first filled cell and how many of its n cells are blank.
+
+    A sure label is enough; so is 'total' or 'grand' with qualifiers or years alone. Other words that can mean a total,
+    alone or before or after a name, need a fifth of the cells blank, one at least.
+    """
+    key = strip_accents(F.lower(F.trim(first)))
+    qualified = key.rlike(rf"^[^a-z0-9]*(total|totaux|grand)([^a-z0-9]+(total|{'|'.join(TOTAL_QUALIFIERS)}|\d{{2,4}}))+[^a-z0-9]*$")
+    words = "|".join([*SURE_TOTALS, *OTHER_TOTALS])
+    may_be = key.rlike(rf"^({words})$|^({words}) | ({words})$")
+    return F.coalesce(key.isin(*SURE_TOTALS) | qualified | may_be & (blanks >= F.greatest(F.lit(1), F.floor(n * 0.2))), F.lit(False))
+
+
+def sentiment(x: Column) -> Column:
+    """+1 for every word of praise that a text contains, -1 for every one of blame."""
+    low = F.lower(x)
+    return sum((low.contains(w).cast("int") for w in POSITIVE), F.lit(0)) - sum((low.contains(w).cast("int") for w in NEGATIVE), F.lit(0))
+
+
+def topics(x: Column) -> Column:
+    """What a text is about."""
+    low = F.lower(x)
+    return F.array_compact(F.array(*(F.when(low.rlike("|".join(words)), name) for name, words in TOPICS.items())))
+
+
+def issues(x: Column) -> Column:
+    """Blame of prices or of deliveries."""
+    bad, about = sentiment(x) < 0, topics(x)
+    return F.array_compact(F.array(F.when(bad & F.array_contains(about, "price"), "price_sensitivity"), F.when(bad & F.array_contains(about, "delivery"), "delivery_delay")))
 
 
 def is_summary_label(x: Column) -> Column:
@@ -125,10 +232,18 @@ def is_leaver(x: Column) -> Column:
     return F.arrays_overlap(F.split(strip_accents(F.lower(x)), "[^a-z]+"), F.array(*map(F.lit, LEAVERS)))
 
 
+# Labels that mean all branches, or head office.
+ALL_BRANCHES = "toutes succursales|toutes les succursales|tous|toutes|all branches|all locations|global|entreprise"
+HEAD_OFFICE = "siege|siege social|bureau chef|head office|hq|quartier general"
+
+
 def branch_key(x: Column) -> Column:
-    """'City (Name)' is 'name'; case and outer blanks do not count."""
-    inner = F.regexp_extract(x, r"\(([^)]+)\)\s*$", 1)
-    return F.lower(F.trim(F.when(inner != "", inner).otherwise(x)))
+    """T10: 'City (Name)' is 'name'; case, accents and outer blanks do not count. All branches are '__all__', head
+    office '__head_office__' and no label '__none__'."""
+    key = F.trim(strip_accents(F.lower(x)))
+    inner, outer = F.trim(F.regexp_extract(key, r"\(([^)]+)\)\s*$", 1)), F.trim(F.regexp_replace(key, r"\([^)]+\)\s*$", ""))
+    office = lambda k: k.rlike(rf"^({HEAD_OFFICE})$")
+    return F.when(F.coalesce(key, F.lit("")) == "", "__none__").when(key.rlike(rf"^({ALL_BRANCHES})$"), "__all__").when(office(key) | office(inner) | office(outer), "__head_office__").when(inner != "", inner).otherwise(key)
 
 
 def order_statistic(df: DataFrame, value: str, share: float, name: str) -> DataFrame:

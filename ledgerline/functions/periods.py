@@ -32,3 +32,42 @@ def trend_pct(now: Column, before: Column) -> Column:
 
 def trend_direction(pct: Column, margin: float = 2.0) -> Column:
     return F.when(pct > margin, "up").when(pct < -margin, "down").when(pct.isNotNull(), "flat")
+
+
+def latest_stock(inventory: DataFrame) -> DataFrame:
+    """product_id, warehouse_id, date, stock, value: the last snapshot of each product in each warehouse."""
+    return inventory.groupBy("product_id", "warehouse_id").agg(F.max("date").alias("date"), F.max_by("closing_stock", "date").alias("stock"), F.max_by("inventory_value", "date").alias("value"))
+
+
+def row_month(*dates: Column) -> Column:
+    """YYYY-MM of the first readable of several date or period texts."""
+    return F.coalesce(*(F.when(d.rlike(r"^\d{4}-\d{2}"), F.substring(d, 1, 7)) for d in dates))
+
+
+def row_date(*dates: Column) -> tuple[Column, Column]:
+    """The first readable text as a date, and its grain: 'day', or 'month' for YYYY-MM (its first day)."""
+    day = lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}")
+    whole = lambda d: d.rlike(r"^\d{4}-\d{2}$")
+    grain = F.coalesce(*(F.when(day(d), "day").when(whole(d), "month") for d in dates))
+    value = F.coalesce(*(F.when(day(d), F.try_to_date(F.substring(d, 1, 10), "yyyy-MM-dd")).when(whole(d), F.try_to_date(F.concat(d, F.lit("-01")), "yyyy-MM-dd")) for d in dates))
+    return value, grain
+
+
+def in_days(date: Column, grain: Column, start: str, end: str) -> Column:
+    """A day inside the window; a row of month grain only where the whole month is inside."""
+    last = F.when(grain == "month", F.last_day(date)).otherwise(date)
+    return (date >= F.lit(start).cast("date")) & (last <= F.lit(end).cast("date"))
+
+
+#: Grains from fine to coarse.
+GRAINS = ("day", "week", "month", "quarter", "year")
+
+
+def can_aggregate(fine: str, coarse: str) -> bool:
+    """Whether data of one grain can be summed up to another."""
+    return fine == coarse or fine in GRAINS and coarse in GRAINS and GRAINS.index(fine) <= GRAINS.index(coarse)
+
+
+def align(a: str, b: str) -> str | None:
+    """The finest grain that both can be summed up to."""
+    return b if can_aggregate(a, b) else a if can_aggregate(b, a) else None

@@ -28,3 +28,35 @@ def half_up(x: Column, digits: int = 2) -> Column:
     """Rounding with halves toward plus infinity."""
     p = 10.0**digits
     return F.floor(x * p + 0.5) / p
+
+
+def is_refunded(return_status: Column, payment_status: Column, fulfillment_status: Column) -> Column:
+    """Any return status but 'aucun', or paid back, or returned."""
+    said = F.coalesce((return_status != "") & (return_status != "aucun"), F.lit(False))
+    return said | F.coalesce(payment_status == "rembourse", F.lit(False)) | F.coalesce(fulfillment_status == "retourne", F.lit(False))
+
+
+# What a class of status (see parsing.classify_status) means; a status that is not given counts, an unknown one does not.
+def is_revenue_order(status_class: Column) -> Column:
+    return status_class.isNull() | status_class.isin("completed", "pending")
+
+
+def is_order_for_stock(status_class: Column) -> Column:
+    return is_revenue_order(status_class)
+
+
+def is_cancelled(status_class: Column) -> Column:
+    return F.coalesce(status_class == "cancelled", F.lit(False))
+
+
+def is_returned(status_class: Column) -> Column:
+    return F.coalesce(status_class == "refunded", F.lit(False))
+
+
+def is_draft(status_class: Column) -> Column:
+    return F.coalesce(status_class == "draft", F.lit(False))
+
+
+def is_cleared(status_class: Column) -> Column:
+    """A transaction that has happened: not pending, cancelled or a draft."""
+    return ~F.coalesce(status_class.isin("pending", "cancelled", "draft"), F.lit(False))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import month
+from ..functions.periods import latest_stock, month
 from ..sources import catalog as cat
 from .base import Part
 
@@ -162,13 +162,13 @@ def c_customer_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.order_lines(spark, sf_dir).filter("status <> 'returned'").groupBy("customer_id").agg(F.round(F.sum("subtotal"), 4).alias("value"), F.round(F.sum(c("subtotal") - c("cost")), 4).alias("margin_value"))
 
 
-@part.query("""WITH l AS (SELECT product_id, arg_max(closing_stock, date) AS stock, max(date) AS snapshot FROM (SELECT product_id, date, sum(closing_stock) AS closing_stock FROM inventory WHERE date <= DATE '2001-06-30' GROUP BY 1, 2) GROUP BY 1),
+@part.query("""WITH w AS (SELECT product_id, warehouse_id, arg_max(closing_stock, date) AS stock, max(date) AS date FROM inventory WHERE date <= DATE '2001-06-30' GROUP BY 1, 2), l AS (SELECT product_id, sum(stock) AS stock, max(date) AS snapshot FROM w GROUP BY 1),
 s AS (SELECT product_id, coalesce(sum(quantity) FILTER (order_lines.date > snapshot), 0) AS since, max(order_lines.date) AS last_sale FROM l LEFT JOIN order_lines USING (product_id) GROUP BY 1)
 SELECT product_id, greatest(stock - since, 0) AS live_stock, CASE WHEN greatest(stock - since, 0) <= 0 THEN 'rupture' WHEN greatest(stock - since, 0) <= reorder_point THEN 'low' ELSE 'ok' END AS alert, last_sale < DATE '2001-02-15' AS dormant FROM l JOIN s USING (product_id) JOIN products USING (product_id)""")
 def c_stock_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock at the last snapshot less what was sold since, against the reorder point."""
-    i = cat.inventory(spark, sf_dir).filter("date <= DATE '2001-06-30'").groupBy("product_id", "date").agg(F.sum("closing_stock").alias("q"))
-    latest = i.groupBy("product_id").agg(F.max_by("q", "date").alias("stock"), F.max("date").alias("snapshot"))
+    i = latest_stock(cat.inventory(spark, sf_dir).filter("date <= DATE '2001-06-30'"))
+    latest = i.groupBy("product_id").agg(F.sum("stock").alias("stock"), F.max("date").alias("snapshot"))
     o = cat.order_lines(spark, sf_dir).select("product_id", c("date").alias("sold_on"), "quantity")
     since = latest.join(o, "product_id", "left").groupBy("product_id", "stock").agg(F.coalesce(F.sum(F.when(c("sold_on") > c("snapshot"), c("quantity"))), F.lit(0.0)).alias("since"), F.max("sold_on").alias("last_sale"))
     live = F.greatest(c("stock") - c("since"), F.lit(0.0))

@@ -121,16 +121,6 @@ def x_resolved_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(decided, ["l_orderkey", "l_partkey", "k"], "left_anti").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@part.query("""WITH q AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'MISSING_DATE' WHEN event_id % 7 = 0 THEN 'INVALID_NUMBER' END AS reason, value FROM events)
-SELECT CASE WHEN reason = 'INVALID_NUMBER' AND value IS NOT NULL THEN 'RECOVERED' ELSE 'REJECTED' END AS state, reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY 1, 2""")
-def x_reprocess_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in quarantine are tried again; what can be read now is recovered."""
-    e = cat.table(spark, sf_dir, "events")
-    q = e.withColumn("reason", F.when(c("event_id") % 5 == 0, "MISSING_DATE").when(c("event_id") % 7 == 0, "INVALID_NUMBER")).filter("reason IS NOT NULL")
-    state = F.when((c("reason") == "INVALID_NUMBER") & c("value").isNotNull(), "RECOVERED").otherwise("REJECTED")
-    return q.groupBy(state.alias("state"), "reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @part.query("SELECT 'order' AS entity, 'revenue' AS canonical_key, date, round(sum(subtotal), 4) AS value FROM order_lines GROUP BY 3 UNION ALL SELECT 'transaction', type || '_amount', date, round(sum(amount), 4) FROM transactions GROUP BY 2, 3")
 def x_measure_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heterogeneous entities as one long table of measures."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import complete_months, densify, month
+from ..functions.periods import latest_stock
 from ..sources import catalog as cat
 from .base import Part
 
@@ -27,19 +28,10 @@ def _complete_revenue(lines: DataFrame) -> DataFrame:
     return densify(complete_months(monthly, cat.ORDERS_AS_OF), "revenue", until="2001-07-01")
 
 
-@part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month, sum(subtotal) AS v FROM order_lines WHERE product_id % 97 = 0 AND date < DATE '2001-08-01' GROUP BY 1),
-cal AS (SELECT unnest(generate_series((SELECT min(month) FROM m), DATE '2001-07-01', INTERVAL 1 MONTH))::DATE AS month)
-SELECT month, round(coalesce(v, 0), 2) AS revenue FROM cal LEFT JOIN m USING (month)""")
-def b_complete_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly revenue of a slice of products, the running month left out and gaps filled with zero."""
-    o = cat.order_lines(spark, sf_dir).filter(c("product_id") % 97 == 0)
-    return _complete_revenue(o).select("month", F.round("revenue", 2).alias("revenue"))
-
-
 @part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month, sum(subtotal) AS v FROM order_lines WHERE date < DATE '2001-08-01' GROUP BY 1),
 cal AS (SELECT unnest(generate_series((SELECT min(month) FROM m), DATE '2001-07-01', INTERVAL 1 MONTH))::DATE AS month)
 SELECT month, round(coalesce(v, 0), 4) AS revenue FROM cal LEFT JOIN m USING (month)""")
-def b_complete_months_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def b_complete_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly revenue of all products, the running month left out and gaps filled with zero."""
     return _complete_revenue(cat.order_lines(spark, sf_dir)).select("month", F.round("revenue", 4).alias("revenue"))
 
@@ -109,8 +101,7 @@ def b_branch_profit_and_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT product_id, sum(stock) AS stock, round(sum(value), 2) AS value, min(CASE WHEN stock < 10 THEN 0 WHEN stock < 25 THEN 1 ELSE 2 END) AS worst FROM l GROUP BY 1""")
 def b_latest_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stocks are not summed over time: the last value of each product and warehouse, then their sum."""
-    s = cat.inventory(spark, sf_dir)
-    latest = s.groupBy("product_id", "warehouse_id").agg(F.max_by("closing_stock", "date").alias("stock"), F.max_by("inventory_value", "date").alias("value"))
+    latest = latest_stock(cat.inventory(spark, sf_dir))
     worst = F.when(c("stock") < 10, 0).when(c("stock") < 25, 1).otherwise(2)
     return latest.groupBy("product_id").agg(F.sum("stock").alias("stock"), F.round(F.sum("value"), 2).alias("value"), F.min(worst).alias("worst"))
 
@@ -212,23 +203,17 @@ def b_observations_by_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("concept", F.round("now", 2).alias("now"), F.round("before", 2).alias("before"), F.round(trend, 2).alias("trend"))
 
 
-@part.query("""WITH t AS (SELECT lower(text) AS x FROM remarks)
-SELECT count(*) AS n, count(*) FILTER (contains(x, 'bad') OR contains(x, 'slow') OR contains(x, 'late') OR contains(x, 'broken')) AS negatives, round(avg(CAST(contains(x, 'price') OR contains(x, 'cost') OR contains(x, 'expensive') AS INT)), 6) AS price_share FROM t""")
-def b_qualitative_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.lower("text")
-    return cat.remarks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(x.rlike("bad|slow|late|broken")).alias("negatives"), F.round(F.avg(x.rlike("price|cost|expensive").cast("int")), 6).alias("price_share"))
-
-
 @part.query("SELECT 'orders' AS entity, count(*) AS n FROM order_lines WHERE date BETWEEN DATE '2001-01-01' AND DATE '2001-07-31' UNION ALL SELECT 'transactions', count(*) FROM transactions WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' UNION ALL SELECT 'expenses', count(*) FROM expenses WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'")
 def b_report_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda df, name, a, b: df.filter(c("date").between(a, b)).agg(F.lit(name).alias("entity"), F.count(F.lit(1)).alias("n"))
     return n(cat.order_lines(spark, sf_dir), "orders", "2001-01-01", "2001-07-31").unionAll(n(cat.transactions(spark, sf_dir), "transactions", "2024-01-01", "2024-01-31")).unionAll(n(cat.expenses(spark, sf_dir), "expenses", "2024-01-01", "2024-01-31"))
 
 
-@part.query("""WITH i AS (SELECT product_id, sum(closing_stock) AS q, sum(inventory_value) AS v FROM inventory GROUP BY 1)
+@part.query("""WITH l AS (SELECT product_id, warehouse_id, arg_max(closing_stock, date) AS q, arg_max(inventory_value, date) AS v FROM inventory GROUP BY 1, 2), i AS (SELECT product_id, sum(q) AS q, sum(v) AS v FROM l GROUP BY 1)
 SELECT round(avg((selling_price - purchase_cost) * 100 / selling_price), 4) AS mean_margin, round(sum(coalesce(v, purchase_cost * q)), 2) AS stock_value FROM products LEFT JOIN i USING (product_id)""")
 def b_product_margin_and_stock_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = cat.inventory(spark, sf_dir).groupBy("product_id").agg(F.sum("closing_stock").alias("q"), F.sum("inventory_value").alias("v"))
+    """Stocks are the last value of each product and warehouse, then summed."""
+    i = latest_stock(cat.inventory(spark, sf_dir)).groupBy("product_id").agg(F.sum("stock").alias("q"), F.sum("value").alias("v"))
     p = cat.products(spark, sf_dir).join(i, "product_id", "left")
     return p.agg(F.round(F.avg((c("selling_price") - c("purchase_cost")) * 100 / c("selling_price")), 4).alias("mean_margin"), F.round(F.sum(F.coalesce("v", c("purchase_cost") * c("q"))), 2).alias("stock_value"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.periods import latest_stock
 from ..sources import catalog as cat
 from .base import Part
 
@@ -59,11 +60,11 @@ def j_payroll_without_employee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.payroll(spark, sf_dir).join(active, "employee_id", "left_anti").groupBy("employee_id").agg(F.count(F.lit(1)).alias("n_slips"))
 
 
-@part.query("""WITH l AS (SELECT product_id, max(date) AS date, sum(closing_stock) AS stock FROM inventory i WHERE date = (SELECT max(date) FROM inventory j WHERE j.product_id = i.product_id) GROUP BY 1)
+@part.query("""WITH w AS (SELECT product_id, warehouse_id, max(date) AS date, arg_max(closing_stock, date) AS stock FROM inventory GROUP BY 1, 2), l AS (SELECT product_id, max(date) AS date, sum(stock) AS stock FROM w GROUP BY 1)
 SELECT product_id, name, date, stock, coalesce(stock, 0) <= reorder_point AS below FROM products LEFT JOIN l USING (product_id)""")
 def j_product_latest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = cat.inventory(spark, sf_dir)
-    latest = i.groupBy("product_id", "date").agg(F.sum("closing_stock").alias("stock")).groupBy("product_id").agg(F.max("date").alias("date"), F.max_by("stock", "date").alias("stock"))
+    """Each product with its stock: the last snapshot of every warehouse, whenever that was."""
+    latest = latest_stock(cat.inventory(spark, sf_dir)).groupBy("product_id").agg(F.max("date").alias("date"), F.sum("stock").alias("stock"))
     return cat.products(spark, sf_dir).join(latest, "product_id", "left").select("product_id", "name", "date", "stock", (F.coalesce("stock", F.lit(0.0)) <= c("reorder_point")).alias("below"))
 
 
@@ -208,15 +209,18 @@ def j_findings_not_alerted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Critical findings whose normalised title was not alerted in the days before."""
     e = cat.table(spark, sf_dir, "events").filter("event_type = 'error' AND value > 90")
     f = e.select("event_id", F.lower(F.trim(F.concat_ws("-", "event_type", (c("user_id") % 7).cast("string")))).alias("title"), F.to_date("ts").alias("d"))
-    old = f.filter("d < DATE '2024-01-20'").select(c("title").alias("t"), c("d").alias("before"))
-    return f.filter("d >= DATE '2024-01-20'").join(old, (c("title") == c("t")) & (F.datediff("d", "before") <= 5), "left_anti").select("event_id")
+    # the last alert before each title and day, over one row a title and day: no join within a hot title
+    days = f.groupBy("title", "d").agg((c("d") < "2024-01-20").alias("old"))
+    last = F.max(F.when(c("old"), c("d"))).over(Window.partitionBy("title").orderBy("d"))
+    silent = days.withColumn("last", last).filter("NOT old AND (last IS NULL OR datediff(d, last) > 5)").select("title", "d")
+    return f.join(silent, ["title", "d"], "left_semi").select("event_id")
 
 
-@part.query("""WITH r AS (SELECT product_id, sum(subtotal) AS v, sum(sum(subtotal)) OVER () AS t FROM order_lines GROUP BY 1), s AS (SELECT product_id, sum(closing_stock) AS q FROM inventory WHERE date >= DATE '2001-06-01' GROUP BY 1)
+@part.query("""WITH r AS (SELECT product_id, sum(subtotal) AS v, sum(sum(subtotal)) OVER () AS t FROM order_lines GROUP BY 1), w AS (SELECT product_id, warehouse_id, arg_max(closing_stock, date) AS q FROM inventory GROUP BY 1, 2), s AS (SELECT product_id, sum(q) AS q FROM w GROUP BY 1)
 SELECT product_id, round(v * 100 / t, 4) AS share FROM r JOIN products USING (product_id) LEFT JOIN s USING (product_id) WHERE coalesce(q, 0) < reorder_point AND v * 1000 > t""")
 def j_top_sellers_short_of_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = cat.order_lines(spark, sf_dir).groupBy("product_id").agg(F.sum("subtotal").alias("v"))
     total = o.agg(F.sum("v").alias("t"))
-    s = cat.inventory(spark, sf_dir).filter("date >= DATE '2001-06-01'").groupBy("product_id").agg(F.sum("closing_stock").alias("q"))
+    s = latest_stock(cat.inventory(spark, sf_dir)).groupBy("product_id").agg(F.sum("stock").alias("q"))
     short = o.join(cat.products(spark, sf_dir), "product_id").join(s, "product_id", "left").filter(F.coalesce("q", F.lit(0.0)) < c("reorder_point"))
     return short.crossJoin(total).filter("v * 1000 > t").select("product_id", F.round(c("v") * 100 / c("t"), 4).alias("share"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import RATES, depreciation_rate, rate
+from ..functions.parsing import NEGATIVE, POSITIVE, is_leaver, sentiment
 from ..functions.rules import is_credit_note, is_sale, out_of_revenue
 from ..sources import catalog as cat
 from ..sources.catalog import with_entities
@@ -69,14 +70,14 @@ KPIS = [
     Kpi("returns_amount", "returns", "currency"),
     Kpi("return_rate", _ratio("returns", "gross_sales"), "percentage"),
     Kpi("purchase_frequency", _ratio("n_orders_buyer", "n_buyers", "1.0"), "ratio"),
-    Kpi("active_customers", "n_active * 1.0", "count"),
+    Kpi("active_customers", "CASE WHEN n_customers > 0 THEN n_active * 1.0 END", "count"),
     Kpi("churn_rate", _ratio("n_lost", "n_customers"), "percentage"),
     Kpi("arpu", _ratio("revenue_buyer", "n_buyers", "1.0"), "currency"),
     Kpi("ltv", "arpu / nullif(churn_rate / 100, 0)", "currency"),
     Kpi("ltv_cac_ratio", _ratio("ltv", "cac", "1.0"), "ratio"),
     Kpi("customer_sentiment_score", "least(10.0, greatest(0.0, 5 + 5 * sentiment))", "score"),
-    Kpi("tps_payable", "tax / 3", "currency"),
-    Kpi("tvq_payable", "tax * 2 / 3", "currency"),
+    Kpi("tps_payable", "tax_federal", "currency"),
+    Kpi("tvq_payable", "tax_provincial", "currency"),
     Kpi("inventory_value_total", "stock_value", "currency"),
     Kpi("inventory_value_average", "stock_average", "currency"),
     Kpi("stock_turnover_rate", _ratio("cogs", "stock_average", "1.0"), "ratio"),
@@ -99,54 +100,92 @@ KPIS = [
     Kpi("credit_utilization_ratio", _ratio("receivable", "credit_limit"), "percentage"),
 ]
 
-# Words of the sentiment score.
-POSITIVE = "good great excellent love perfect thanks thank merci super parfait".split()
-NEGATIVE = "bad terrible awful hate broken slow late mauvais horrible retard".split()
+#: What the engine reads of each entity; a frame without a column, or no frame at all, leaves its measures unknown.
+READS = {
+    "order_lines": "order_id string, customer_id string, date date, quantity double, unit_price double, discount double, subtotal double, tax_federal double, tax_provincial double, cost double, status string",
+    "transactions": "transaction_id string, date date, amount double, type string, currency string", "expenses": "expense_id string, date date, amount double",
+    "payroll": "employee_id string, period date, regular_pay double, overtime double, total_cost double",
+    "employees": "employee_id string, department string, status string, union_status string, seniority_years double, total_employer_cost double", "cashflow": "date date, cash_in double, cash_out double",
+    "balances": "receivable double, payable double, opening_cash double", "campaign_days": "date date, spend double, revenue double, clicks double, impressions double, new_customers double",
+    "customers": "customer_id string, status string, loyalty_points double, credit_limit double", "remarks": "text string", "inventory": "product_id string, warehouse_id string, date date, closing_stock double, inventory_value double",
+    "suppliers": "supplier_id string, esg_score double, province string", "assets": "asset_id string, initial_cost double, accumulated_depreciation double, net_book_value double, dpa_rate double",
+}
+#: Flows count inside a period, balances and stocks up to its end; reference rows always.
+FLOWS = {"order_lines": "date", "transactions": "date", "expenses": "date", "payroll": "period", "campaign_days": "date"}
+UP_TO = {"cashflow": "date", "inventory": "date"}
 
 
-def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of all base measures: one aggregate per entity, crossed."""
+def readable(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
+    """Every entity with the columns of READS, nulls where a frame lacks one, filtered to the period."""
+    out = {}
+    for name, schema in READS.items():
+        df = frames.get(name)
+        if df is None:
+            out[name] = spark.createDataFrame([], schema)
+            continue
+        kinds = [x.split() for x in schema.split(", ")]
+        df = df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds))
+        if (d := FLOWS.get(name)) and start:
+            df = df.filter(F.col(d) >= F.lit(start).cast("date"))
+        if (d := FLOWS.get(name) or UP_TO.get(name)) and end:
+            df = df.filter(F.col(d) <= F.lit(end).cast("date"))
+        out[name] = df
+    return out
+
+
+def measures(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row of all base measures: one aggregate per entity, crossed. Order lines are first put together by order."""
     c = F.col
-    o = cat.order_lines(spark, sf_dir)
+    e = readable(spark, frames, start, end)
+    o = e["order_lines"]
     out, credit = out_of_revenue(c("status"), c("unit_price")), is_credit_note(c("quantity"), c("subtotal"))
     sale = is_sale(out, credit, c("subtotal"))
-    orders = o.agg(
-        F.sum(F.when(~out, c("subtotal"))).alias("order_revenue"), F.sum(F.when(~out, c("cost"))).alias("cogs"), F.sum(F.when(~out, c("tax"))).alias("tax"),
-        F.sum(F.when(sale, c("subtotal"))).alias("gross_sales"), F.coalesce(F.sum(F.when(~out & credit, F.abs("subtotal"))), F.lit(0.0)).alias("returns"),
-        F.countDistinct(F.when(sale, c("order_id"))).alias("n_orders"), F.countDistinct(F.when(sale & c("customer_id").isNotNull(), c("order_id"))).alias("n_orders_buyer"), F.countDistinct(F.when(sale, c("customer_id"))).alias("n_buyers"),
-        F.sum(F.when(~out & c("customer_id").isNotNull(), c("subtotal"))).alias("revenue_buyer"), F.sum(F.when(~out, c("subtotal") / (1 - c("discount")) * c("discount"))).alias("discount_amount"),
-        (F.datediff(F.max("date"), F.min("date")) + 1).alias("days"), (F.months_between(F.trunc(F.max("date"), "month"), F.trunc(F.min("date"), "month")) + 1).alias("months"),
-        F.sum(F.when(~out & (F.year("date") == 2000), c("subtotal"))).alias("revenue_common"),
+    named = c("customer_id").isNotNull()
+    by_order = o.groupBy("order_id").agg(
+        F.min("date").alias("date"), F.max("date").alias("last_date"), F.min("customer_id").alias("customer"), F.max(sale).alias("sale"), F.max(sale & named).alias("named_sale"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(~out, c("subtotal"))).alias("revenue"), F.sum(F.when(~out, c("cost"))).alias("cogs"), F.sum(F.when(~out, c("tax_federal"))).alias("tax_federal"), F.sum(F.when(~out, c("tax_provincial"))).alias("tax_provincial"),
+        F.sum(F.when(sale, c("subtotal"))).alias("gross"), F.sum(F.when(~out & credit, F.abs("subtotal"))).alias("returned"), F.sum(F.when(~out & named, c("subtotal"))).alias("revenue_buyer"), F.sum(F.when(~out, c("subtotal") / (1 - c("discount")) * c("discount"))).alias("off"),
+    )
+    by_month = by_order.groupBy(F.trunc("date", "month").alias("month")).agg(
+        F.min("date").alias("a"), F.max("last_date").alias("b"), F.sum(F.col("sale").cast("int")).alias("n_orders"), F.sum(F.col("named_sale").cast("int")).alias("n_orders_buyer"), F.sum("n").alias("n"),
+        *(F.sum(x).alias(x) for x in ("revenue", "cogs", "tax_federal", "tax_provincial", "gross", "returned", "revenue_buyer", "off")),
     )
-    t = cat.transactions(spark, sf_dir).withColumn("cad", c("amount") * rate(c("currency")))
-    x = cat.expenses(spark, sf_dir)
+    paid = e["payroll"].groupBy(F.trunc("period", "month").alias("month")).agg(*(F.sum(x).alias(x) for x in ("total_cost", "overtime", "regular_pay")))
+    both = by_month.agg(F.min("month").alias("a1"), F.max("month").alias("b1")).crossJoin(paid.agg(F.min("month").alias("a2"), F.max("month").alias("b2"))).select(F.greatest("a1", "a2").alias("from_month"), F.least("b1", "b2").alias("to_month"))
+    shared = c("month").between(c("from_month"), c("to_month"))  # the months that orders and payroll both cover
+    orders = by_month.crossJoin(F.broadcast(both)).agg(
+        F.sum("revenue").alias("order_revenue"), F.sum("cogs").alias("cogs"), F.sum("tax_federal").alias("tax_federal"), F.sum("tax_provincial").alias("tax_provincial"), F.sum("gross").alias("gross_sales"), F.when(F.sum("n") > 0, F.coalesce(F.sum("returned"), F.lit(0.0))).alias("returns"),
+        F.sum("n_orders").alias("n_orders"), F.sum("n_orders_buyer").alias("n_orders_buyer"), F.sum("revenue_buyer").alias("revenue_buyer"), F.sum("off").alias("discount_amount"),
+        (F.datediff(F.max("b"), F.min("a")) + 1).alias("days"), (F.months_between(F.trunc(F.max("b"), "month"), F.trunc(F.min("a"), "month")) + 1).alias("months"), F.sum(F.when(shared, c("revenue"))).alias("revenue_common"),
+    )
+    buyers = o.filter(sale).agg(F.countDistinct("customer_id").alias("n_buyers"))
+    t = e["transactions"].withColumn("cad", c("amount") * rate(c("currency")))
+    x = e["expenses"]
     nth = lambda df, k: df.withColumn("k", F.row_number().over(cat_window(k)))
-    txn = t.agg(F.sum(F.when(c("type") == "income", c("cad"))).alias("income"), F.sum(F.when(c("type") == "expense", c("cad"))).alias("txn_expense"), F.max(c("cad").isNull()).alias("left_out"), F.avg(F.when(c("type") == "expense", (c("currency") != "CAD").cast("int"))).alias("foreign_share"))
+    txn = t.agg(F.sum(F.when(c("type") == "income", c("cad"))).alias("income"), F.sum(F.when(c("type") == "expense", c("cad"))).alias("txn_expense"), F.coalesce(F.max(c("cad").isNull()), F.lit(False)).alias("left_out"), F.avg(F.when(c("type") == "expense", (c("currency") != "CAD").cast("int"))).alias("foreign_share"))
     booked = nth(t.filter("type = 'expense' AND cad IS NOT NULL"), "transaction_id").alias("t").join(nth(x, "expense_id").alias("x"), (c("t.date") == c("x.date")) & (c("t.amount") == c("x.amount")) & (c("t.k") == c("x.k"))).agg(F.coalesce(F.sum("t.cad"), F.lit(0.0)).alias("booked"))
     opex = x.agg(F.sum("amount").alias("opex"))
-    p, e = cat.payroll(spark, sf_dir), cat.employees(spark, sf_dir)
-    pay = p.agg(F.sum("total_cost").alias("payroll_cost"), F.sum("overtime").alias("overtime"), F.sum("regular_pay").alias("regular_pay"), F.sum("total_cost").alias("payroll_common"))
-    staff_all = e.select("employee_id").union(p.select("employee_id")).agg(F.countDistinct("employee_id").alias("n_staff_all"))
-    gone = c("status").isin("quitté", "parti", "licencié", "terminated", "left")
-    staff = e.agg(
+    pay = paid.crossJoin(F.broadcast(both)).agg(F.sum("total_cost").alias("payroll_cost"), F.sum("overtime").alias("overtime"), F.sum("regular_pay").alias("regular_pay"), F.sum(F.when(shared, c("total_cost"))).alias("payroll_common"))
+    staff_all = e["employees"].select("employee_id").union(e["payroll"].select("employee_id")).agg(F.countDistinct("employee_id").alias("n_staff_all"))
+    gone = F.coalesce(is_leaver(c("status")), F.lit(False))
+    staff = e["employees"].agg(
         F.countDistinct(F.when(~gone, c("employee_id"))).alias("n_staff"), F.avg("total_employer_cost").alias("mean_employer_cost"), F.sum("total_employer_cost").alias("employer_total"), F.avg("seniority_years").alias("seniority"),
         F.sum(F.lower("department").contains("vente").cast("int")).alias("n_sales_staff"), F.avg(F.lower("union_status").rlike("syndiqué|oui|yes").cast("int")).alias("union_share"),
     )
-    flow = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("net_flow"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("cash_days"))
-    flow = flow.withColumn("closing_cash", 1000.0 + c("net_flow")).withColumn("receivable", F.lit(50000.0)).withColumn("payable", F.lit(20000.0))
-    m = cat.campaign_days(spark, sf_dir).agg(*(F.sum(k).alias(a) for k, a in (("spend", "spend"), ("revenue", "campaign_revenue"), ("clicks", "clicks"), ("impressions", "impressions"), ("new_customers", "new_customers"))))
-    cu = cat.customers(spark, sf_dir).agg(F.count_if(F.lower("status").isin("actif", "active")).alias("n_active"), F.count_if(F.lower("status").isin("perdu", "lost", "inactif")).alias("n_lost"), F.count(F.lit(1)).alias("n_customers"), F.sum("loyalty_points").alias("points"), F.sum("credit_limit").alias("credit_limit"))
-    has = lambda ws: sum((F.lower("text").contains(w).cast("int") for w in ws), F.lit(0))
-    feel = cat.remarks(spark, sf_dir).agg(F.avg(F.signum(has(POSITIVE) - has(NEGATIVE))).alias("sentiment"))
-    s = cat.inventory(spark, sf_dir)
-    per = s.groupBy("product_id", "warehouse_id").agg(F.max_by("inventory_value", "date").alias("last"), F.min_by("inventory_value", "date").alias("first"))
-    stock = per.agg(F.sum("last").alias("stock_value"), F.sum((c("first") + c("last")) / 2).alias("stock_average"))
-    critical = s.agg(F.avg((c("closing_stock") < 10).cast("int")).alias("critical_share"))
-    su = cat.suppliers(spark, sf_dir).agg(F.avg("esg_score").alias("esg"), F.avg(F.lower("province").rlike("qc|québec").cast("int")).alias("local_share"))
-    a = cat.assets(spark, sf_dir).agg(F.sum("net_book_value").alias("net_book_value"), F.sum("accumulated_depreciation").alias("accumulated"), F.sum("initial_cost").alias("initial_cost"), F.sum(c("net_book_value") * depreciation_rate(c("dpa_rate"))).alias("dpa"))
+    flow = e["cashflow"].agg(F.sum(c("cash_in") - c("cash_out")).alias("net_flow"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("cash_days"))
+    owed = e["balances"].agg(F.max("receivable").alias("receivable"), F.max("payable").alias("payable"), F.max("opening_cash").alias("opening_cash"))
+    flow = flow.crossJoin(owed).withColumn("closing_cash", c("opening_cash") + c("net_flow"))
+    m = e["campaign_days"].agg(*(F.sum(k).alias(a) for k, a in (("spend", "spend"), ("revenue", "campaign_revenue"), ("clicks", "clicks"), ("impressions", "impressions"), ("new_customers", "new_customers"))))
+    cu = e["customers"].agg(F.count_if(F.lower("status").isin("actif", "active")).alias("n_active"), F.count_if(F.lower("status").isin("perdu", "lost", "inactif")).alias("n_lost"), F.count(F.lit(1)).alias("n_customers"), F.sum("loyalty_points").alias("points"), F.sum("credit_limit").alias("credit_limit"))
+    feel = e["remarks"].filter("text IS NOT NULL").agg(F.avg(F.signum(sentiment(c("text")).cast("double"))).alias("sentiment"))
+    last, first = F.max_by("inventory_value", "date"), F.min_by("inventory_value", "date")
+    per = e["inventory"].groupBy("product_id", "warehouse_id").agg(last.alias("last"), first.alias("first"), F.count_if(c("closing_stock") < 10).alias("critical"), F.count("closing_stock").alias("n"))
+    stock = per.agg(F.sum("last").alias("stock_value"), F.sum((c("first") + c("last")) / 2).alias("stock_average"), (F.sum("critical") / F.nullif(F.sum("n"), F.lit(0))).alias("critical_share"))
+    su = e["suppliers"].agg(F.avg("esg_score").alias("esg"), F.avg(F.lower("province").rlike("qc|québec").cast("int")).alias("local_share"))
+    a = e["assets"].agg(F.sum("net_book_value").alias("net_book_value"), F.sum("accumulated_depreciation").alias("accumulated"), F.sum("initial_cost").alias("initial_cost"), F.sum(c("net_book_value") * depreciation_rate(c("dpa_rate"))).alias("dpa"))
     row = orders
-    for one in (txn, booked, opex, pay, staff_all, staff, flow, m, cu, feel, stock, critical, su, a):
-        row = row.crossJoin(one)  # rows of one
+    for one in (buyers, txn, booked, opex, pay, staff_all, staff, flow, m, cu, feel, stock, su, a):
+        row = row.crossJoin(F.broadcast(one))  # rows of one
     return row
 
 
@@ -172,47 +211,82 @@ def ordered(kpis: list[Kpi] | None = None) -> list[Kpi]:
     return [by[i] for i in out]
 
 
-def all_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kpi, unit, value (rounded to four decimals), status."""
-    row = measures(spark, sf_dir)
-    for k in ordered():
+def needed(ids: list[str] | None) -> list[Kpi]:
+    """The indicators asked for with all that they rest on, in order of dependence (A3, A4)."""
+    import re
+
+    every = ordered()
+    if ids is None:
+        return every
+    by, wanted = {k.id: k for k in every}, set(ids)
+    for k in reversed(every):
+        if k.id in wanted:
+            wanted |= {w for w in re.findall(r"[a-z_0-9]+", k.expr) if w in by}
+    return [k for k in every if k.id in wanted]
+
+
+def compute(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None, ids: list[str] | None = None) -> DataFrame:
+    """kpi, unit, value (rounded to four decimals), status of indicators over any frames and period.
+
+    frames: entity -> DataFrame with (some of) the columns of READS. What they lack is NOT_MEASURED, never zero.
+    """
+    row, asked = measures(spark, frames, start, end), needed(ids)
+    for k in asked:
         row = row.withColumn(k.id, F.expr(k.expr).cast("double"))
-    cells = [F.struct(F.lit(k.id).alias("kpi"), F.lit(k.unit).alias("unit"), F.col(k.id).alias("v"), (F.col("left_out") & F.lit(k.partial)).alias("partial")) for k in KPIS]
+    cells = [F.struct(F.lit(k.id).alias("kpi"), F.lit(k.unit).alias("unit"), F.col(k.id).alias("v"), (F.col("left_out") & F.lit(k.partial)).alias("partial")) for k in asked if ids is None or k.id in ids]
     v = F.col("x.v")
     status = F.when(v.isNull(), "NOT_MEASURED").when(F.isnan(v) | (F.abs(v) == float("inf")), "INVALID").when(F.col("x.partial"), "UNKNOWN").when(v == 0, "VALID_ZERO").otherwise("VALID")
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.kpi", "x.unit", F.round(v, 4).alias("value"), status.alias("status"))
 
 
-def _all_sql() -> str:
+def all_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators over the whole tables."""
+    return compute(spark, cat.frames(spark, sf_dir))
+
+
+def a_kpi_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators over the year 2000."""
+    return compute(spark, cat.frames(spark, sf_dir), "2000-01-01", "2000-12-31")
+
+
+def _all_sql(start: str | None = None, end: str | None = None) -> str:
     words = lambda ws: " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws)
     cad = "amount * CASE currency " + " ".join(f"WHEN '{c}' THEN {r}" for c, r in RATES.items()) + " END"
+    inside = lambda d: f" WHERE {d} BETWEEN DATE '{start}' AND DATE '{end}'" if start else ""
+    until = lambda d: f" WHERE {d} <= DATE '{end}'" if end else ""
     body = f"""
-WITH o AS (SELECT *, status = 'returned' OR unit_price < 0 AS out, quantity < 0 OR subtotal < 0 AS credit FROM order_lines),
+WITH o AS (SELECT *, status = 'returned' OR unit_price < 0 AS out, quantity < 0 OR subtotal < 0 AS credit FROM order_lines{inside('date')}),
 f AS (SELECT *, NOT out AND NOT credit AND subtotal <> 0 AS sale FROM o),
-m1 AS (SELECT sum(subtotal) FILTER (NOT out) AS order_revenue, sum(cost) FILTER (NOT out) AS cogs, sum(tax) FILTER (NOT out) AS tax, sum(subtotal) FILTER (sale) AS gross_sales,
+pm AS (SELECT date_trunc('month', min(period)) AS a, date_trunc('month', max(period)) AS b FROM payroll{inside('period')}), om AS (SELECT date_trunc('month', min(date)) AS a, date_trunc('month', max(date)) AS b FROM o),
+cm AS (SELECT CASE WHEN pm.a IS NULL OR om.a IS NULL THEN NULL ELSE greatest(pm.a, om.a) END AS a, CASE WHEN pm.b IS NULL OR om.b IS NULL THEN NULL ELSE least(pm.b, om.b) END AS b FROM pm, om),
+m1 AS (SELECT sum(subtotal) FILTER (NOT out) AS order_revenue, sum(cost) FILTER (NOT out) AS cogs, sum(tax_federal) FILTER (NOT out) AS tax_federal, sum(tax_provincial) FILTER (NOT out) AS tax_provincial, sum(subtotal) FILTER (sale) AS gross_sales,
   coalesce(sum(abs(subtotal)) FILTER (NOT out AND credit), 0) AS returns, count(DISTINCT order_id) FILTER (sale) AS n_orders, count(DISTINCT order_id) FILTER (sale AND customer_id IS NOT NULL) AS n_orders_buyer,
   count(DISTINCT customer_id) FILTER (sale) AS n_buyers, sum(subtotal) FILTER (NOT out AND customer_id IS NOT NULL) AS revenue_buyer, sum(subtotal / (1 - discount) * discount) FILTER (NOT out) AS discount_amount,
-  date_diff('day', min(date), max(date)) + 1 AS days, date_diff('month', min(date), max(date)) + 1 AS months, sum(subtotal) FILTER (NOT out AND year(date) = 2000) AS revenue_common FROM f),
-t AS (SELECT *, {cad} AS cad FROM transactions),
-m2 AS (SELECT sum(cad) FILTER (type = 'income') AS income, sum(cad) FILTER (type = 'expense') AS txn_expense, bool_or(cad IS NULL) AS left_out, avg(CAST(currency <> 'CAD' AS INT)) FILTER (type = 'expense') AS foreign_share FROM t),
+  date_diff('day', min(date), max(date)) + 1 AS days, date_diff('month', min(date), max(date)) + 1 AS months, sum(subtotal) FILTER (NOT out AND date_trunc('month', date) BETWEEN (SELECT a FROM cm) AND (SELECT b FROM cm)) AS revenue_common FROM f),
+t AS (SELECT *, {cad} AS cad FROM transactions{inside('date')}),
+m2 AS (SELECT sum(cad) FILTER (type = 'income') AS income, sum(cad) FILTER (type = 'expense') AS txn_expense, coalesce(bool_or(cad IS NULL), false) AS left_out, avg(CAST(currency <> 'CAD' AS INT)) FILTER (type = 'expense') AS foreign_share FROM t),
+xx AS (SELECT * FROM expenses{inside('date')}),
 tk AS (SELECT *, row_number() OVER (PARTITION BY date, amount ORDER BY transaction_id) AS k FROM t WHERE type = 'expense' AND cad IS NOT NULL),
-xk AS (SELECT *, row_number() OVER (PARTITION BY date, amount ORDER BY expense_id) AS k FROM expenses),
+xk AS (SELECT *, row_number() OVER (PARTITION BY date, amount ORDER BY expense_id) AS k FROM xx),
 m3 AS (SELECT coalesce(sum(cad), 0) AS booked FROM tk JOIN xk USING (date, amount, k)),
-m4 AS (SELECT sum(amount) AS opex FROM expenses),
-m5 AS (SELECT sum(total_cost) AS payroll_cost, sum(overtime) AS overtime, sum(regular_pay) AS regular_pay, sum(total_cost) AS payroll_common FROM payroll),
-m6 AS (SELECT count(DISTINCT employee_id) AS n_staff_all FROM (SELECT employee_id FROM employees UNION ALL SELECT employee_id FROM payroll)),
+m4 AS (SELECT sum(amount) AS opex FROM xx),
+pp AS (SELECT * FROM payroll{inside('period')}),
+m5 AS (SELECT sum(total_cost) AS payroll_cost, sum(overtime) AS overtime, sum(regular_pay) AS regular_pay, sum(total_cost) FILTER (period BETWEEN (SELECT a FROM cm) AND (SELECT b FROM cm)) AS payroll_common FROM pp),
+m6 AS (SELECT count(DISTINCT employee_id) AS n_staff_all FROM (SELECT employee_id FROM employees UNION ALL SELECT employee_id FROM pp)),
 m7 AS (SELECT count(DISTINCT employee_id) FILTER (status <> 'quitté') AS n_staff, avg(total_employer_cost) AS mean_employer_cost, sum(total_employer_cost) AS employer_total, avg(seniority_years) AS seniority,
   count(*) FILTER (contains(lower(department), 'vente')) AS n_sales_staff, avg(CAST(contains(lower(union_status), 'syndiqué') AS INT)) AS union_share FROM employees),
-m8 AS (SELECT sum(cash_in - cash_out) AS net_flow, date_diff('day', min(date), max(date)) + 1 AS cash_days, 1000.0 + sum(cash_in - cash_out) AS closing_cash, 50000.0 AS receivable, 20000.0 AS payable FROM cashflow),
-m9 AS (SELECT sum(spend) AS spend, sum(revenue) AS campaign_revenue, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(new_customers) AS new_customers FROM campaign_days),
+m8 AS (SELECT sum(cash_in - cash_out) AS net_flow, date_diff('day', min(date), max(date)) + 1 AS cash_days, any_value(opening_cash) + sum(cash_in - cash_out) AS closing_cash FROM (SELECT * FROM cashflow{until('date')}), balances),
+m16 AS (SELECT receivable, payable FROM balances),
+m9 AS (SELECT sum(spend) AS spend, sum(revenue) AS campaign_revenue, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(new_customers) AS new_customers FROM campaign_days{inside('date')}),
 m10 AS (SELECT count(*) FILTER (status = 'actif') AS n_active, count(*) FILTER (status IN ('perdu', 'inactif')) AS n_lost, count(*) AS n_customers, sum(loyalty_points) AS points, sum(credit_limit) AS credit_limit FROM customers),
 m11 AS (SELECT avg(sign({words(POSITIVE)} - ({words(NEGATIVE)}))) AS sentiment FROM remarks),
-per AS (SELECT arg_max(inventory_value, date) AS last, arg_min(inventory_value, date) AS first FROM inventory GROUP BY product_id, warehouse_id),
+ii AS (SELECT * FROM inventory{until('date')}),
+per AS (SELECT arg_max(inventory_value, date) AS last, arg_min(inventory_value, date) AS first FROM ii GROUP BY product_id, warehouse_id),
 m12 AS (SELECT sum(last) AS stock_value, sum((first + last) / 2) AS stock_average FROM per),
-m13 AS (SELECT avg(CAST(closing_stock < 10 AS INT)) AS critical_share FROM inventory),
+m13 AS (SELECT avg(CAST(closing_stock < 10 AS INT)) AS critical_share FROM ii),
 m14 AS (SELECT avg(esg_score) AS esg, avg(CAST(province = 'Québec' AS INT)) AS local_share FROM suppliers),
 m15 AS (SELECT sum(net_book_value) AS net_book_value, sum(accumulated_depreciation) AS accumulated, sum(initial_cost) AS initial_cost, sum(net_book_value * CASE WHEN dpa_rate > 1 THEN dpa_rate / 100 ELSE dpa_rate END) AS dpa FROM assets),
-k0 AS (SELECT * FROM {', '.join(f'm{i}' for i in range(1, 16))})"""
+k0 AS (SELECT * FROM {', '.join(f'm{i}' for i in range(1, 17))})"""
     last = "k0"
     for i, k in enumerate(ordered(), 1):
         replace = "REPLACE" if k.id in ("order_revenue", "gross_sales") else None
@@ -222,9 +296,5 @@ k0 AS (SELECT * FROM {', '.join(f'm{i}' for i in range(1, 16))})"""
     return with_entities(body + f"\nSELECT kpi, unit, round(v, 4) AS value, CASE WHEN v IS NULL THEN 'NOT_MEASURED' WHEN isnan(v) OR isinf(v) THEN 'INVALID' WHEN partial THEN 'UNKNOWN' WHEN v = 0 THEN 'VALID_ZERO' ELSE 'VALID' END AS status FROM ({rows})")
 
 
-def _one(kpi: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_kpis(spark, sf_dir).filter(F.col("kpi") == kpi)
-
-
-QUERIES = {"a_kpi_catalogue": all_kpis}
-ORACLE_SQL = {"a_kpi_catalogue": _all_sql()}
+QUERIES = {"a_kpi_catalogue": all_kpis, "a_kpi_period": a_kpi_period}
+ORACLE_SQL = {"a_kpi_catalogue": _all_sql(), "a_kpi_period": _all_sql("2000-01-01", "2000-12-31")}

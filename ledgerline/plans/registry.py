@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, dedup, grouped, joins, kpis, measures, rows, sales, windows
+from . import audit, dedup, grouped, imports, joins, kpis, measures, rows, sales, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for part in (sales, kpis, grouped.part, joins.part, dedup.part, windows.part, rows.part, audit.part, measures.part):
+for part in (sales, kpis, grouped.part, joins.part, dedup.part, windows.part, rows.part, imports.part, audit.part, measures.part):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

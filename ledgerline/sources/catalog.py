@@ -43,6 +43,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _c("l_discount").alias("discount"),
         net.alias("subtotal"),
         (net * _c("l_tax")).alias("tax"),
+        (net * _c("l_tax") * 5 / 14.975).alias("tax_federal"),
+        (net * _c("l_tax") * 9.975 / 14.975).alias("tax_provincial"),
         (net * (1 + _c("l_tax"))).alias("total"),
         (_c("l_quantity") * _c("p_retailprice") * 0.6).alias("cost"),
         F.when(_c("l_returnflag") == "R", "returned").when(_c("o_orderstatus") == "F", "completed").when(_c("o_orderstatus") == "O", "pending").otherwise("in progress").alias("status"),
@@ -101,8 +103,10 @@ def campaign_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot per product, warehouse (supplier) and month of shipping: what was shipped counts as stock."""
-    o = order_lines(spark, sf_dir)
-    return o.groupBy("product_id", _c("supplier_id").alias("warehouse_id"), F.last_day("ship_date").alias("date")).agg(F.sum("quantity").alias("closing_stock"), F.sum("cost").alias("inventory_value"))
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    lines = li.join(p, li.l_partkey == p.p_partkey, "left")
+    cost = _c("l_quantity") * _c("p_retailprice") * 0.6
+    return lines.groupBy(_c("l_partkey").alias("product_id"), _c("l_suppkey").alias("warehouse_id"), F.last_day(F.to_date("l_shipdate")).alias("date")).agg(F.sum("l_quantity").alias("closing_stock"), F.sum(cost).alias("inventory_value"))
 
 
 def cashflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,16 +136,32 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(_c("p_partkey").alias("asset_id"), (_c("p_retailprice") * 10).alias("initial_cost"), (_c("p_retailprice") * 4).alias("accumulated_depreciation"), (_c("p_retailprice") * 6).alias("net_book_value"), F.when(_c("p_partkey") % 2 == 0, 30.0).otherwise(0.2).alias("dpa_rate"), (_c("p_partkey") % 4).alias("branch"))
 
 
+def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what customers owe on open orders, what suppliers are owed, and the cash at the start."""
+    owed = table(spark, sf_dir, "orders").agg(F.sum(F.when(_c("o_orderstatus") == "O", _c("o_totalprice"))).alias("receivable"))
+    owing = table(spark, sf_dir, "supplier").agg(F.sum(F.when(_c("s_acctbal") > 0, _c("s_acctbal"))).alias("payable"))
+    return owed.crossJoin(owing).crossJoin(table(spark, sf_dir, "customer").agg(F.sum(F.when(_c("c_acctbal") > 0, _c("c_acctbal"))).alias("opening_cash")))
+
+
 def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text observations: what users wrote."""
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
 
 
+#: Entities that the indicators read.
+ENTITIES = ("order_lines", "customers", "products", "suppliers", "purchases", "transactions", "expenses", "campaign_days", "inventory", "cashflow", "employees", "payroll", "assets", "balances", "remarks")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All entities of the tables by name: one way to fill the engine's catalog."""
+    return {name: globals()[name](spark, sf_dir) for name in ENTITIES}
+
+
 #: The same entities in SQL.
 ENTITY_SQL = {
     "order_lines": """SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, l_suppkey AS supplier_id, o_custkey AS customer_id,
   CAST(o_orderdate AS DATE) AS date, CAST(l_shipdate AS DATE) AS ship_date, l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price, l_discount AS discount,
-  l_extendedprice * (1 - l_discount) AS subtotal, l_extendedprice * (1 - l_discount) * l_tax AS tax, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS total,
+  l_extendedprice * (1 - l_discount) AS subtotal, l_extendedprice * (1 - l_discount) * l_tax AS tax, l_extendedprice * (1 - l_discount) * l_tax * 5 / 14.975 AS tax_federal, l_extendedprice * (1 - l_discount) * l_tax * 9.975 / 14.975 AS tax_provincial, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS total,
   l_quantity * p_retailprice * 0.6 AS cost,
   CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'in progress' END AS status, o_orderpriority AS channel
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey""",
@@ -163,6 +183,7 @@ ENTITY_SQL = {
     "payroll": """SELECT employee_id, make_date(2000, m, 1) AS period, annual_salary / 12 AS regular_pay, CASE WHEN employee_id % 3 = 0 THEN annual_salary / 12 * 0.1 ELSE 0 END AS overtime, annual_salary / 12 * 0.12 AS employer_cost,
   annual_salary / 12 * CASE WHEN employee_id % 3 = 0 THEN 1.1 ELSE 1.0 END + annual_salary / 12 * 0.12 AS total_cost FROM employees, range(1, 13) AS t(m)""",
     "assets": "SELECT p_partkey AS asset_id, p_retailprice * 10 AS initial_cost, p_retailprice * 4 AS accumulated_depreciation, p_retailprice * 6 AS net_book_value, CASE WHEN p_partkey % 2 = 0 THEN 30.0 ELSE 0.2 END AS dpa_rate, p_partkey % 4 AS branch FROM part WHERE p_size >= 45",
+    "balances": "SELECT (SELECT sum(o_totalprice) FILTER (o_orderstatus = 'O') FROM orders) AS receivable, (SELECT sum(s_acctbal) FILTER (s_acctbal > 0) FROM supplier) AS payable, (SELECT sum(c_acctbal) FILTER (c_acctbal > 0) FROM customer) AS opening_cash",
     "remarks": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'",
 }
 _NEEDS = {"purchases": ["order_lines"], "inventory": ["order_lines"], "expenses": ["transactions"], "cashflow": ["transactions"], "payroll": ["employees"]}
