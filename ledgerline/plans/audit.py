@@ -4,57 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periods import latest_stock, month
+from ..functions.periods import latest_stock
 from ..sources import catalog as cat
+from . import kpis
 from .base import Part
 
 part = Part()
 c = F.col
 
-#: Weights of a field's quality: completeness, validity, consistency, uniqueness, freshness.
-WEIGHTS = (0.30, 0.25, 0.20, 0.10, 0.15)
-
-
-def freshness(days: Column) -> Column:
-    """100 to 10 points by the age of the last row; unknown is 75."""
-    return F.when(days.isNull(), 75).when(days <= 7, 100).when(days <= 30, 90).when(days <= 90, 75).when(days <= 180, 50).when(days <= 365, 30).otherwise(10)
-
-
-def grade(score: Column) -> Column:
-    return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D")
-
-
 def verdict(gap: Column, warn: float, error: float) -> Column:
     return F.when(gap.isNull(), "skip").when(gap > error, "error").when(gap > warn, "warn").otherwise("ok")
 
 
-_GRADE = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 75 THEN 'B' WHEN {0} >= 60 THEN 'C' ELSE 'D' END"
-
-
-@part.query(f"""WITH p AS (SELECT list_sort(list(value)) AS x FROM events WHERE value > 0), q AS (SELECT count(value) * 100.0 / count(*) AS completeness, count(*) FILTER (value >= 0) * 100.0 / count(*) AS validity,
-100 - count(*) FILTER (value < 0 OR value > 20 * (SELECT x[len(x) // 2 + 1] FROM p)) * 100.0 / count(*) AS consistency, count(DISTINCT event_id) * 100.0 / count(*) AS uniqueness, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-01-30') AS age FROM events),
-s AS (SELECT *, CASE WHEN age <= 7 THEN 100 WHEN age <= 30 THEN 90 WHEN age <= 90 THEN 75 WHEN age <= 180 THEN 50 WHEN age <= 365 THEN 30 ELSE 10 END AS fresh FROM q)
-SELECT round(completeness, 4) AS completeness, round(validity, 4) AS validity, round(consistency, 4) AS consistency, round(uniqueness, 4) AS uniqueness, fresh AS freshness, round(completeness * 0.3 + validity * 0.25 + consistency * 0.2 + uniqueness * 0.1 + fresh * 0.15, 4) AS score,
-{_GRADE.format('(completeness * 0.3 + validity * 0.25 + consistency * 0.2 + uniqueness * 0.1 + fresh * 0.15)')} AS grade, completeness * 0.3 + validity * 0.25 + consistency * 0.2 + uniqueness * 0.1 + fresh * 0.15 >= 60 AS sufficient FROM s""")
-def q_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.parsing import upper_median
-
-    e = cat.table(spark, sf_dir, "events")
-    v, n = c("value"), F.count(F.lit(1))
-    median = upper_median(e.filter("value > 0"), "value")
-    q = e.crossJoin(F.broadcast(median)).agg(
-        (F.count("value") * 100.0 / n).alias("completeness"), (F.count_if(v >= 0) * 100.0 / n).alias("validity"), (100 - F.count_if((v < 0) | (v > 20 * c("median"))) * 100.0 / n).alias("consistency"),
-        (F.countDistinct("event_id") * 100.0 / n).alias("uniqueness"), F.datediff(F.lit(cat.EVENTS_AS_OF).cast("date"), F.max(F.to_date("ts"))).alias("age"),
-    )
-    q = q.withColumn("freshness", freshness(c("age")))
-    names = ("completeness", "validity", "consistency", "uniqueness", "freshness")
-    score = reduce(lambda a, b: a + b, (c(x) * w for x, w in zip(names, WEIGHTS, strict=True)))
-    return q.select(*(F.round(x, 4).alias(x) for x in names[:4]), "freshness", F.round(score, 4).alias("score"), grade(score).alias("grade"), (score >= 60).alias("sufficient"))
-
-
 @part.query("SELECT 'orders' AS source, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM order_lines UNION ALL SELECT 'transactions', count(*), min(date), max(date) FROM transactions UNION ALL SELECT 'payroll', count(*), min(period), max(period) FROM payroll")
 def q_lineage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df, name, d: df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.min(d).alias("first_date"), F.max(d).alias("last_date"))
@@ -83,16 +47,6 @@ def q_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("check"), F.round("gap", 6).alias("gap"), verdict(c("gap"), w, e).alias("verdict")) for n, df, w, e in checks))
 
 
-@part.query("""WITH m AS (SELECT date_trunc('month', date)::DATE AS month FROM order_lines GROUP BY 1), g AS (SELECT date_diff('month', lag(month) OVER (ORDER BY month), month) - 1 AS gap FROM m)
-SELECT count(*) FILTER (date IS NULL) AS undated, count(*) FILTER (date > DATE '2001-08-15') AS future, count(*) FILTER (subtotal = 0) AS zero, count(*) FILTER (subtotal > 20 * (SELECT avg(subtotal) FROM order_lines)) AS outliers, (SELECT coalesce(sum(gap), 0)::BIGINT FROM g) AS month_gaps FROM order_lines""")
-def q_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = cat.order_lines(spark, sf_dir)
-    months = o.select(month("date").alias("m")).distinct()
-    gaps = months.select((F.months_between("m", F.lag("m").over(Window.orderBy("m"))) - 1).alias("gap")).agg(F.coalesce(F.sum("gap"), F.lit(0.0)).cast("long").alias("month_gaps"))
-    mean = o.agg(F.avg("subtotal").alias("mean"))
-    return o.crossJoin(F.broadcast(mean)).agg(F.count_if(c("date").isNull()).alias("undated"), F.count_if(c("date") > cat.ORDERS_AS_OF).alias("future"), F.count_if(c("subtotal") == 0).alias("zero"), F.count_if(c("subtotal") > 20 * c("mean")).alias("outliers")).crossJoin(gaps)
-
-
 @part.query("SELECT 'gross_sales' AS step, round(sum(subtotal) FILTER (status <> 'returned'), 2) AS value FROM order_lines UNION ALL SELECT 'excluded', round(sum(subtotal) FILTER (status = 'returned'), 2) FROM order_lines UNION ALL SELECT 'all_lines', round(sum(subtotal), 2) FROM order_lines")
 def q_metric_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of a figure from one pass over its rows."""
@@ -101,50 +55,19 @@ def q_metric_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unpivot([], ["gross_sales", "excluded", "all_lines"], "step", "value").select("step", F.round("value", 2).alias("value"))
 
 
-def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, n, nulls, least and greatest as text: one pass over all columns."""
-    cells = [F.struct(F.lit(x).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if(c(x).isNull()).alias("nulls"), F.min(c(x).cast("string")).alias("least"), F.max(c(x).cast("string")).alias("greatest")) for x in columns]
-    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
-
-
-@part.query(" UNION ALL ".join(f"SELECT '{x}' AS name, count(*) AS n, count(*) FILTER ({x} IS NULL) AS nulls, min(CAST({x} AS VARCHAR)) AS least, max(CAST({x} AS VARCHAR)) AS greatest FROM customer" for x in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
-def g_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_profile(cat.table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
-
-
-@part.query("SELECT count(DISTINCT l_orderkey) = count(*) AS order_is_key, count(DISTINCT (l_orderkey, l_linenumber)) = count(*) AS pair_is_key, round(count(DISTINCT (l_orderkey, l_partkey)) * 1.0 / count(*), 6) AS pair_uniqueness FROM lineitem")
-def g_key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, n = cat.table(spark, sf_dir, "lineitem"), F.count(F.lit(1))
-    return li.agg((F.countDistinct("l_orderkey") == n).alias("order_is_key"), (F.countDistinct("l_orderkey", "l_linenumber") == n).alias("pair_is_key"), F.round(F.countDistinct("l_orderkey", "l_partkey") * 1.0 / n, 6).alias("pair_uniqueness"))
-
-
-@part.query("SELECT round(avg(CAST(abs(total - (subtotal + tax)) <= greatest(0.011, 0.01 * abs(total)) AS INT)), 6) AS sum_rate, round(avg(CAST(abs(subtotal - quantity * unit_price) <= greatest(0.011, 0.01 * abs(subtotal)) AS INT)), 6) AS product_rate FROM order_lines")
-def g_column_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often formulas between columns hold, within a cent or one percent."""
-    near = lambda a, b: F.avg((F.abs(a - b) <= F.greatest(F.lit(0.011), 0.01 * F.abs(a))).cast("int"))
-    o = cat.order_lines(spark, sf_dir)
-    return o.agg(F.round(near(c("total"), c("subtotal") + c("tax")), 6).alias("sum_rate"), F.round(near(c("subtotal"), c("quantity") * c("unit_price")), 6).alias("product_rate"))
-
-
-@part.query("WITH k AS (SELECT DISTINCT user_id AS k FROM events) SELECT count(*) AS distinct_keys, round(count(*) FILTER (k IN (SELECT c_custkey FROM customer)) * 1.0 / count(*), 6) AS overlap FROM k")
-def g_foreign_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = cat.table(spark, sf_dir, "events").select(c("user_id").alias("k")).distinct()
-    cu = cat.table(spark, sf_dir, "customer").select(c("c_custkey").alias("k"), F.lit(1).alias("hit")).distinct()
-    return k.join(cu, "k", "left").agg(F.count(F.lit(1)).alias("distinct_keys"), F.round(F.count("hit") * 1.0 / F.count(F.lit(1)), 6).alias("overlap"))
-
-
 @part.query("""WITH s AS (SELECT customer_id, count(DISTINCT order_id) AS freq, sum(subtotal) AS rev, date_diff('day', max(date), DATE '2001-08-15') AS rec FROM order_lines WHERE status <> 'returned' GROUP BY 1), l AS (SELECT list_sort(list(freq)) AS f, list_sort(list(rev)) AS r FROM s),
 q AS (SELECT f[len(f) // 2 + 1] AS mf, r[len(r) // 2 + 1] AS mr, r[CAST(floor(0.75 * len(r)) AS INT) + 1] AS p75 FROM l)
-SELECT count(*) FILTER (rec <= 60 AND freq >= greatest(2, mf) AND rev >= p75) AS champions, count(*) FILTER (rec > 180) AS to_reactivate, count(*) FILTER (rev >= mr AND (status IN ('inactif', 'perdu'))) AS at_risk FROM s JOIN customers USING (customer_id), q""")
+SELECT count(*) FILTER (rec <= 60 AND freq >= greatest(2, mf) AND rev >= p75) AS champions, count(*) FILTER (rec > 180) AS to_reactivate, count(*) FILTER (rev >= mr AND (status IN ('inactif', 'perdu') OR credit_limit > 0 AND rev >= 0.8 * credit_limit)) AS at_risk FROM s JOIN customers USING (customer_id), q""")
 def c_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments by recency, frequency and revenue; thresholds are exact order statistics by rank over distinct customers."""
     exact = F.sum(c("subtotal").cast("decimal(28,8)")).cast("double")  # sums of doubles differ from one evaluation to the next, and a threshold is one of the values
     s = cat.order_lines(spark, sf_dir).filter("status <> 'returned'").groupBy("customer_id").agg(F.countDistinct("order_id").alias("freq"), exact.alias("rev"), F.datediff(F.lit(cat.ORDERS_AS_OF).cast("date"), F.max("date")).alias("rec"))
     from ..functions.parsing import order_statistic
 
+    s = s.persist()  # one row a customer, read for three ranks and the segments
     q = order_statistic(s, "freq", 0.5, "mf").crossJoin(order_statistic(s, "rev", 0.5, "mr")).crossJoin(order_statistic(s, "rev", 0.75, "p75"))
     x = s.join(cat.customers(spark, sf_dir), "customer_id").crossJoin(F.broadcast(q))
-    return x.agg(F.count_if((c("rec") <= 60) & (c("freq") >= F.greatest(F.lit(2), c("mf"))) & (c("rev") >= c("p75"))).alias("champions"), F.count_if(c("rec") > 180).alias("to_reactivate"), F.count_if((c("rev") >= c("mr")) & c("status").isin("inactif", "perdu")).alias("at_risk"))
+    return x.agg(F.count_if((c("rec") <= 60) & (c("freq") >= F.greatest(F.lit(2), c("mf"))) & (c("rev") >= c("p75"))).alias("champions"), F.count_if(c("rec") > 180).alias("to_reactivate"), F.count_if((c("rev") >= c("mr")) & (c("status").isin("inactif", "perdu") | (c("credit_limit") > 0) & (c("rev") >= 0.8 * c("credit_limit")))).alias("at_risk"))
 
 
 @part.query("""WITH b AS (SELECT customer_id, max(date) AS last FROM order_lines GROUP BY 1)
@@ -157,9 +80,13 @@ def c_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.round(F.count_if(c("status").isin("inactif", "perdu")) * 100.0 / n, 4).alias("churn_rate"), F.count_if((c("status") == "actif") & (c("churn_risk") >= 0.7)).alias("at_risk"), F.round(F.count_if(c("last") < "2001-02-15") * 100.0 / F.count("last"), 4).alias("lapse_rate"))
 
 
-@part.query("SELECT customer_id, round(sum(subtotal), 4) AS value, round(sum(subtotal - cost), 4) AS margin_value FROM order_lines WHERE status <> 'returned' GROUP BY 1")
+@part.query("""WITH k AS (SELECT count(*) FILTER (status <> 'actif') * 1.0 / count(*) AS churn FROM customers)
+SELECT customer_id, round(sum(subtotal), 4) AS value, round(sum(subtotal - cost), 4) AS margin_value, round(sum(subtotal - cost) / any_value(churn), 4) AS ltv FROM order_lines, k WHERE status <> 'returned' GROUP BY 1""")
 def c_customer_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.order_lines(spark, sf_dir).filter("status <> 'returned'").groupBy("customer_id").agg(F.round(F.sum("subtotal"), 4).alias("value"), F.round(F.sum(c("subtotal") - c("cost")), 4).alias("margin_value"))
+    """What each customer brought, in revenue and margin, and the margin over the share of customers that leave."""
+    k = cat.customers(spark, sf_dir).agg((F.count_if(c("status") != "actif") / F.count(F.lit(1))).alias("churn"))
+    g = cat.order_lines(spark, sf_dir).filter("status <> 'returned'").groupBy("customer_id").agg(F.sum("subtotal").alias("v"), F.sum(c("subtotal") - c("cost")).alias("m"))
+    return g.crossJoin(F.broadcast(k)).select("customer_id", F.round("v", 4).alias("value"), F.round("m", 4).alias("margin_value"), F.round(c("m") / F.nullif("churn", F.lit(0.0)), 4).alias("ltv"))
 
 
 @part.query("""WITH w AS (SELECT product_id, warehouse_id, arg_max(closing_stock, date) AS stock, max(date) AS date FROM inventory WHERE date <= DATE '2001-06-30' GROUP BY 1, 2), l AS (SELECT product_id, sum(stock) AS stock, max(date) AS snapshot FROM w GROUP BY 1),
@@ -179,16 +106,16 @@ def c_stock_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @part.query("""WITH m AS (SELECT sum(subtotal) FILTER (date >= DATE '2001-05-01') AS a, sum(subtotal) FILTER (date < DATE '2001-05-01') AS b, sum(cost) FILTER (date >= DATE '2001-05-01') AS k FROM order_lines WHERE date >= DATE '2001-02-01' AND date < DATE '2001-08-01'),
 f AS (SELECT sum(cash_in - cash_out) AS net FROM cashflow), w AS (SELECT sum(revenue) / nullif(sum(spend), 0) AS roas FROM campaign_days),
 r AS (SELECT 'margin' AS rule, CASE WHEN (a - k) * 100 / a < 0 THEN 'critical' WHEN (a - k) * 100 / a < 10 THEN 'warning' END AS severity FROM m UNION ALL SELECT 'sales_drop', CASE WHEN (a - b) * 100 / b <= -20 THEN 'critical' WHEN (a - b) * 100 / b <= -8 THEN 'warning' END FROM m
-UNION ALL SELECT 'negative_cash', CASE WHEN 1000 + net < 0 THEN 'critical' END FROM f UNION ALL SELECT 'roas', CASE WHEN roas < 1 THEN 'critical' END FROM w)
+UNION ALL SELECT 'negative_cash', CASE WHEN opening_cash + net < 0 THEN 'critical' END FROM f, balances UNION ALL SELECT 'roas', CASE WHEN roas < 1 THEN 'critical' END FROM w)
 SELECT rule, coalesce(severity, 'none') AS severity FROM r""")
 def c_live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = cat.order_lines(spark, sf_dir).filter("date >= DATE '2001-02-01' AND date < DATE '2001-08-01'")
     late = c("date") >= "2001-05-01"
     m = o.agg(F.sum(F.when(late, c("subtotal"))).alias("a"), F.sum(F.when(~late, c("subtotal"))).alias("b"), F.sum(F.when(late, c("cost"))).alias("k"))
     margin, change = (c("a") - c("k")) * 100 / c("a"), (c("a") - c("b")) * 100 / c("b")
-    f = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("net"))
+    f = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("net")).crossJoin(cat.balances(spark, sf_dir))
     w = cat.campaign_days(spark, sf_dir).agg((F.sum("revenue") / F.nullif(F.sum("spend"), F.lit(0.0))).alias("roas"))
-    rules = [("margin", m, F.when(margin < 0, "critical").when(margin < 10, "warning")), ("sales_drop", m, F.when(change <= -20, "critical").when(change <= -8, "warning")), ("negative_cash", f, F.when(1000 + c("net") < 0, "critical")), ("roas", w, F.when(c("roas") < 1, "critical"))]
+    rules = [("margin", m, F.when(margin < 0, "critical").when(margin < 10, "warning")), ("sales_drop", m, F.when(change <= -20, "critical").when(change <= -8, "warning")), ("negative_cash", f, F.when(c("opening_cash") + c("net") < 0, "critical")), ("roas", w, F.when(c("roas") < 1, "critical"))]
     return reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("rule"), F.coalesce(s, F.lit("none")).alias("severity")) for n, df, s in rules))
 
 
@@ -237,12 +164,18 @@ def c_low_margin_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.products(spark, sf_dir).filter(margin < 45).orderBy(F.desc("selling_price"), "product_id").limit(10).select("product_id", F.round(margin, 4).alias("margin"))
 
 
-@part.query("WITH s AS (SELECT 'total' AS period, sum(subtotal) AS revenue, count(DISTINCT order_id) AS orders FROM order_lines UNION ALL SELECT 'month', sum(subtotal), count(DISTINCT order_id) FROM order_lines WHERE date BETWEEN DATE '2001-07-01' AND DATE '2001-07-31') SELECT period, 'revenue' AS kpi, round(revenue, 2) AS value FROM s UNION ALL SELECT period, 'orders', orders FROM s")
+#: The snapshot's indicators; those that add up, and three more, are told for all three periods, the others for the whole.
+SNAPSHOT = ["total_revenue", "total_expense", "payroll_total", "ebitda", "net_income", "order_revenue", "cogs_total", "gross_margin_amount", "order_count", "gross_sales", "returns_amount", "gross_margin_pct", "aov", "return_rate", "churn_rate", "arpu", "roas", "cac", "inventory_value_total", "cash_runway"]
+BY_PERIOD = SNAPSHOT[:14]
+_SPANS = {"total": (None, None), "three months": ("2001-05-01", "2001-07-31"), "month": ("2001-07-01", "2001-07-31")}
+
+
+@part.query("SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(f"SELECT '{n}' AS period, kpi, value, status FROM ({kpis._all_sql(*span)}) WHERE kpi IN ({', '.join(repr(k) for k in (SNAPSHOT if n == 'total' else BY_PERIOD))})" for n, span in _SPANS.items()) + ")")
 def c_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = cat.order_lines(spark, sf_dir)
-    one = lambda df, name: df.agg(F.lit(name).alias("period"), F.round(F.sum("subtotal"), 2).alias("revenue"), F.countDistinct("order_id").cast("double").alias("orders"))
-    s = one(o, "total").unionAll(one(o.filter(c("date").between("2001-07-01", "2001-07-31")), "month"))
-    return s.unpivot(["period"], ["revenue", "orders"], "kpi", "value")
+    """Twenty indicators over the whole, fourteen over the last three complete months and the last one."""
+    frames = cat.frames(spark, sf_dir)
+    one = lambda name, span, ids: kpis.compute(spark, frames, *span, ids=ids).select(F.lit(name).alias("period"), "kpi", "value", "status")
+    return reduce(DataFrame.unionAll, (one(n, span, SNAPSHOT if n == "total" else BY_PERIOD) for n, span in _SPANS.items()))
 
 
 @part.query("SELECT count(*) FILTER (contains(lower(text), 'price')) AS mentions, least(1.0, count(*) FILTER (contains(lower(text), 'price')) / 10.0)::DOUBLE AS strength FROM remarks")

@@ -45,11 +45,11 @@ def g_fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("header", F.when(c("b.distance") <= 2, c("b.field")).alias("field"), c("b.distance").alias("distance"))
 
 
-@part.query("SELECT event_id, event_type AS concept, round(value, 4) AS value, CASE WHEN event_id % 3 = 0 THEN 0.9 WHEN event_id % 3 = 1 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM events WHERE event_type = 'view' AND event_id % 3 <> 2")
+@part.query("SELECT event_id, event_type AS concept, round(value, 4) AS value, CASE WHEN event_id % 3 = 0 THEN 0.9 WHEN event_id % 3 = 1 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM events WHERE event_id % 3 <> 2")
 def c_signal_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals as observations with their source's trust; those under 0.6 are left out."""
     trust = F.when(c("event_id") % 3 == 0, 0.9).when(c("event_id") % 3 == 1, 0.6).otherwise(0.3)
-    e = cat.table(spark, sf_dir, "events").filter("event_type = 'view'").withColumn("confidence", trust)
+    e = cat.table(spark, sf_dir, "events").withColumn("confidence", trust)
     return e.filter("confidence >= 0.6").select("event_id", c("event_type").alias("concept"), F.round("value", 4).alias("value"), "confidence")
 
 

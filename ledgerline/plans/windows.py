@@ -137,10 +137,10 @@ def d_roas_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.campaign_days(spark, sf_dir).agg(r(late).alias("roas"), r(~late).alias("roas_before"))
 
 
-@part.query("WITH f AS (SELECT sum(cash_in - cash_out) AS net, 1000 + sum(cash_in - cash_out) AS cash, count(*) AS days FROM cashflow) SELECT round(net, 2) AS net, round(cash, 2) AS cash, CASE WHEN cash <= 0 THEN 0.0 WHEN net >= 0 THEN NULL ELSE round(cash / (-net / days * 30.416), 4) END AS runway FROM f")
+@part.query("WITH f AS (SELECT sum(cash_in - cash_out) AS net, any_value(opening_cash) + sum(cash_in - cash_out) AS cash, count(*) AS days FROM cashflow, balances) SELECT round(net, 2) AS net, round(cash, 2) AS cash, CASE WHEN cash <= 0 THEN 0.0 WHEN net >= 0 THEN NULL ELSE round(cash / (-net / days * 30.416), 4) END AS runway FROM f")
 def d_burn_and_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months that the cash lasts: 0 without cash, null (endless) without a burn."""
-    f = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("net"), F.count(F.lit(1)).alias("days")).withColumn("cash", 1000 + c("net"))
+    f = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("net"), F.count(F.lit(1)).alias("days")).crossJoin(cat.balances(spark, sf_dir)).withColumn("cash", c("opening_cash") + c("net"))
     runway = F.when(c("cash") <= 0, 0.0).when(c("net") < 0, F.round(c("cash") / (-c("net") / c("days") * 30.416), 4))
     return f.select(F.round("net", 2).alias("net"), F.round("cash", 2).alias("cash"), runway.alias("runway"))
 
@@ -214,3 +214,18 @@ def d_common_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = ends.agg(month(F.max("a")).alias("first_month"), month(F.min("b")).alias("last_month"))
     both = common.crossJoin(o.groupBy(month("date").alias("m")).agg(F.sum("subtotal").alias("v")))
     return both.groupBy("first_month", "last_month").agg((F.first("first_month") > F.first("last_month")).alias("is_empty"), F.round(F.sum(F.when(c("m").between(c("first_month"), c("last_month")), c("v"))), 2).alias("revenue"))
+
+
+@part.query("WITH b AS (SELECT date, (SELECT opening_cash FROM balances) + sum(cash_in - cash_out) OVER (ORDER BY date) AS v FROM cashflow) SELECT max(date) AS date, round(arg_max(v, date), 2) AS balance FROM b")
+def d_latest_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closing balance of the last day on the statement."""
+    f = cat.cashflow(spark, sf_dir).crossJoin(cat.balances(spark, sf_dir))
+    b = f.select("date", (c("opening_cash") + F.sum(c("cash_in") - c("cash_out")).over(Window.orderBy("date"))).alias("v"))  # one row a day
+    return b.agg(F.max("date").alias("date"), F.round(F.max_by("v", "date"), 2).alias("balance"))
+
+
+@part.query(f"WITH {_M}, r AS (SELECT *, row_number() OVER (ORDER BY month DESC) AS i FROM m) SELECT round(max(v) FILTER (i = 1), 2) AS last_value, round(max(v) FILTER (i = 2), 2) AS previous_value FROM r")
+def d_last_and_previous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last complete month and the one before."""
+    r = _monthly(spark, sf_dir).withColumn("i", F.row_number().over(Window.orderBy(F.desc("month"))))  # one row a month
+    return r.agg(F.round(F.max(F.when(c("i") == 1, c("v"))), 2).alias("last_value"), F.round(F.max(F.when(c("i") == 2, c("v"))), 2).alias("previous_value"))
