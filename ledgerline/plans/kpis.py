@@ -75,7 +75,7 @@ KPIS = [
     Kpi("arpu", _ratio("revenue_buyer", "n_buyers", "1.0"), "currency"),
     Kpi("ltv", "arpu / nullif(churn_rate / 100, 0)", "currency"),
     Kpi("ltv_cac_ratio", _ratio("ltv", "cac", "1.0"), "ratio"),
-    Kpi("customer_sentiment_score", "least(10.0, greatest(0.0, 5 + 5 * sentiment))", "score"),
+    Kpi("customer_sentiment_score", "CASE WHEN sentiment IS NOT NULL THEN least(10.0, greatest(0.0, 5 + 5 * sentiment)) END", "score"),
     Kpi("tps_payable", "tax_federal", "currency"),
     Kpi("tvq_payable", "tax_provincial", "currency"),
     Kpi("inventory_value_total", "stock_value", "currency"),

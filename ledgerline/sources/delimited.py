@@ -38,9 +38,13 @@ def detect_separator(lines: list[str]) -> str:
 
 
 def header_row(rows: list[list[str | None]]) -> int:
-    """The row among the first ten with the most labels: twice the cells with a letter, plus the filled ones."""
+    """The row among the first ten with the most labels: twice the cells with a letter, plus the filled ones. A row of one
+    filled cell among several columns is a title."""
+
     def score(row: list[str | None]) -> int:
         filled = [x for x in row if x and x.strip()]
+        if len(filled) < min(2, len(row)):
+            return 0
         return 2 * sum(any(ch.isalpha() for ch in x) for x in filled) + len(filled)
 
     head = rows[:HEAD_ROWS]
@@ -59,29 +63,36 @@ def unique_names(cells: list[str | None]) -> list[str]:
     return out
 
 
+def shape(spark: SparkSession, path: str, sep: str) -> tuple[int, bool]:
+    """Columns of the widest row, and whether quoted cells break lines: one pass over the text, and one over the rows
+    where some do."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(sep), F.lit("")))
+    outside, every, broken = spark.read.text(path).agg(F.max(count(F.regexp_replace("value", '"[^"]*"', ""))), F.max(count(F.col("value"))), F.max(odd)).first()
+    if not broken:
+        return (outside or 0) + 1, False
+    most = 4 * (every + 1)  # a row's separators stand in the lines where its quoted cells begin and end
+    rows = spark.read.schema(", ".join(f"c{i} string" for i in range(most))).csv(path, sep=sep, multiLine=True, quote='"', escape='"')
+    return rows.agg(F.max(F.greatest(F.lit(1), *(F.when(F.col(f"c{i}").isNotNull(), i + 1).otherwise(0) for i in range(most))))).first()[0] or 1, True
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A file as text columns named by its header; rows above the header and blank rows are left out."""
-    head = [r[0].lstrip("﻿") for r in spark.read.text(path).limit(HEAD_LINES).collect()]
+    """A file, or a folder of files alike, as text columns named by its header. The header, what stands above it and blank
+    rows are left out; rows wider than the header keep their cells in col_N; quoted cells may break lines."""
+    head = [r[0].lstrip("\ufeff") for r in spark.read.text(path).limit(HEAD_LINES).collect()]
     sep = detect_separator(head)
-    width = max((count_outside_quotes(x, sep) for x in head), default=0) + 1
-    schema = ", ".join(f"`c{i}` string" for i in range(width))
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=False, mode="PERMISSIVE", multiLine=False)
-    rows = [[(r[i] or "").lstrip("﻿") if i == 0 else r[i] for i in range(width)] for r in raw.limit(HEAD_ROWS).collect()]
+    width, broken = shape(spark, path, sep)
+    cells = [f"c{i}" for i in range(width)]
+    raw = spark.read.schema(", ".join(f"`{x}` string" for x in cells)).csv(path, sep=sep, header=False, mode="PERMISSIVE", multiLine=broken, quote='"', escape='"')
+    rows = [[(r[i] or "").lstrip("\ufeff") if i == 0 else r[i] for i in range(width)] for r in raw.limit(HEAD_ROWS).collect()]
     at = header_row(rows)
     names = unique_names(rows[at] if rows else [])
-    filled = F.coalesce(*(F.nullif(F.trim(F.col(f"c{i}")), F.lit("")) for i in range(width)))
-    body = raw.filter(filled.isNotNull())
-    for row in rows[: at + 1]:  # the header, and what stands above it
-        body = body.filter(~_is(row, width))
-    return body.toDF(*names[:width])
-
-
-def _is(row: list[str | None], width: int):
-    same = F.lit(True)
-    for i in range(width):
-        cell = F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), "^﻿", "")
-        same = same & (cell == F.lit(row[i] or ""))
-    return same
+    # a row's place in its file tells the header from a row that only looks like it
+    placed = raw.select(*cells, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn("__id", F.monotonically_increasing_id())
+    first = placed.filter("__block = 0").groupBy("__file").agg(F.min("__id").alias("__first"))
+    body = placed.join(first, "__file", "left").filter((F.col("__block") > 0) | (F.col("__id") - F.col("__first") > at))
+    filled = F.coalesce(*(F.nullif(F.trim(F.col(x)), F.lit("")) for x in cells))
+    return body.filter(filled.isNotNull()).select(*(F.col(x).alias(n) for x, n in zip(cells, names, strict=False)))
 
 
 def is_data_dictionary(names: list[str]) -> bool:

@@ -12,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import money, parsing, semantics
-from ledgerline.functions.periods import complete_months, densify
+from ledgerline.functions.periods import align, can_aggregate, complete_months, densify
+from ledgerline.operators.dedup_engine import deduplicate, occurrence
+from ledgerline.operators.row_import import Entity, Field, counters, import_rows
 from ledgerline.plans import kpis, registry
 from ledgerline.plans.dedup import classify
 from ledgerline.plans.windows import Period, add_months, build
@@ -56,6 +58,69 @@ def test_labels_and_statuses(spark):
     assert value(spark, money.depreciation_rate(F.lit(30.0))) == 0.3
 
 
+def test_kpis_over_any_frames(spark):
+    """Contract rows: what is there is measured, what is not is unknown, and a period filters flows alone."""
+    orders = spark.createDataFrame([("o1", date(2024, 1, 5), 100.0, 40.0, "completed", "c1", 2.0), ("o1", date(2024, 1, 5), 50.0, 20.0, "completed", "c1", 1.0), ("o2", date(2024, 3, 1), 300.0, 100.0, "paid", "c2", 1.0), ("o3", date(2024, 3, 2), 999.0, 1.0, "Annulée", "c2", 1.0), ("o4", date(2024, 3, 3), -30.0, None, "completed", None, -1.0)], "order_id string, date date, subtotal double, cost double, status string, customer_id string, quantity double")
+    payroll = spark.createDataFrame([("e1", date(2024, 3, 1), 80.0), ("e1", date(2024, 4, 1), 90.0)], "employee_id string, period date, total_cost double")
+    get = lambda frames, **k: {r.kpi: (r.value, r.status) for r in kpis.compute(spark, frames, **k).collect()}
+    got = get({"order_lines": orders, "payroll": payroll})
+    assert got["order_revenue"] == (420.0, "VALID") and got["order_count"] == (2.0, "VALID") and got["gross_sales"] == (450.0, "VALID") and got["returns_amount"] == (30.0, "VALID")
+    assert got["aov"] == (225.0, "VALID") and got["purchase_frequency"] == (1.0, "VALID") and got["payroll_total"] == (170.0, "VALID")
+    assert got["rh_expense_ratio"] == (round(80 * 100 / 270, 4), "VALID")  # March alone is covered by both
+    for k in ("cash_runway", "bfr", "dso", "active_customers", "inventory_value_total", "customer_sentiment_score", "churn_rate", "tps_payable", "weighted_esg_score"):
+        assert got[k] == (None, "NOT_MEASURED"), k
+    march = get({"order_lines": orders, "payroll": payroll}, start="2024-03-01", end="2024-03-31", ids=["order_revenue", "net_margin_pct", "payroll_total"])
+    assert march == {"order_revenue": (270.0, "VALID"), "payroll_total": (80.0, "VALID"), "net_margin_pct": (round((270 - 100 - 80) * 100 / 270, 4), "VALID")}
+    nothing = get({})
+    assert {s for _, s in nothing.values()} == {"NOT_MEASURED"} and len(nothing) == 62
+    zero = get({"expenses": spark.createDataFrame([("x", date(2024, 1, 1), 0.0)], "expense_id string, date date, amount double")}, ids=["total_expense"])
+    assert zero == {"total_expense": (0.0, "VALID_ZERO")}
+
+
+def statuses(df):
+    return {r.row_no: r.status for r in df.collect()}
+
+
+def test_dedup_engine_outcomes(spark):
+    cust = spark.createDataFrame([(1, "C1", "a@x", "Ann"), (2, "c1", "a@x", "Ann"), (3, "C1", None, "Anne"), (4, "AUTO-9", None, "Bob"), (5, "AUTO-9", None, "Bob"), (6, None, None, None), (7, "C2", "b@x", "Cy")], "row_no long, customer_id string, email string, name string")
+    got = statuses(deduplicate(cust, "Customer"))
+    assert got == {1: "new", 2: "conflict", 3: "conflict", 4: "new", 5: "potential_duplicate", 6: "new", 7: "new"}
+    again = statuses(deduplicate(cust, "Customer", cust.filter("row_no IN (4, 7)")))
+    assert again[4] == "duplicate" and again[5] == "potential_duplicate" and again[7] == "duplicate" and again[1] == "new"
+    pay = spark.createDataFrame([(1, "e1", "2024-01", 5.0), (2, "e1", "2024-01", 5.0), (3, "e2", "2024-01", 5.0), (4, "e2", "2024-01", 9.0), (5, "e2", "2024-01", 9.0)], "row_no long, employee_id string, period string, total_cost double")
+    assert statuses(deduplicate(pay, "Payroll")) == {1: "new", 2: "duplicate", 3: "new", 4: "new", 5: "potential_duplicate"}  # e2's key is refuted
+    lines = [(1, "o1", "p1", 1.0, "2024-01-01", "c"), (2, "o1", "p1", 1.0, "2024-01-01", "c"), (3, "o1", "p2", 1.0, "2024-01-02", "c"), (4, "o1", "p2", 3.0, "2024-01-01", "c")]
+    schema = "row_no long, order_id string, product_id string, quantity double, date string, customer_id string"
+    assert statuses(deduplicate(spark.createDataFrame(lines, schema), "Order")) == {1: "new", 2: "potential_duplicate", 3: "conflict", 4: "new"}  # p2 has two contents: no key
+    assert statuses(deduplicate(spark.createDataFrame(lines[:2], schema), "Order")) == {1: "new", 2: "duplicate"}
+    assert deduplicate(cust.limit(0), "Customer").count() == 0
+
+
+def test_occurrences_are_counted_over_ranges(spark):
+    df = spark.range(0, 50).select((F.col("id") * 7).alias("row_no"), (F.col("id") % 3).cast("string").alias("k0"))
+    got = {r.row_no: r.k for r in occurrence(df, "k0", width=10).collect()}
+    assert got == {7 * i: i // 3 + 1 for i in range(50)}
+
+
+def test_row_import(spark):
+    entity = Entity("Expense", (Field("expense_id"), Field("date", "date", required=True), Field("amount", "number", required=True), Field("paid", "boolean"), Field("kind", "enum", required=True, values=("rent", "other"), translations={"loyer": "rent"})), fallback=("expense_id", "kind", "date"))
+    raw = spark.createDataFrame(
+        [(1, "E1", "13/02/2024", "-1 200,50", "oui", "Loyer de mars"), (2, "E1", "13/02/2024", "-1 200,50", "oui", "Loyer de mars"), (3, "E1", "14/02/2024", "5", "oui", "rent"), (4, "", "2024-02-30", "7", "", "rent"), (5, "E5", "", "7", "non", "rent"), (6, "E6", "01/03/2024", "sept", None, "rent"), (7, "TOTAL", "", "12", "", ""), (8, None, "02/03/2024", "8", "?", "loyer"), (9, "E9", "02/03/2024", "8", "?", "")],
+        "row_no long, expense_id string, date string, amount string, paid string, kind string",
+    )
+    got = {r.row_no: r for r in import_rows(raw, entity).collect()}
+    assert {k: (r.status, r.reason) for k, r in got.items()} == {1: ("IMPORTED", None), 2: ("DUPLICATE", "DUPLICATE"), 3: ("CONFLICT", "CONFLICT"), 4: ("QUARANTINED", "INVALID_DATE:date"), 5: ("QUARANTINED", "MISSING_DATE:date"), 6: ("QUARANTINED", "INVALID_NUMBER:amount"), 7: ("SUMMARY_ROW", "MISSING_DATE:date"), 8: ("IMPORTED", None), 9: ("QUARANTINED", "MISSING_ENUM:kind")}
+    assert (got[1].amount, got[1].paid, got[1].kind, got[1].date) == (1200.5, True, "rent", date(2024, 2, 13)) and got[8].expense_id == "AUTO-rent - 2024-03-02" and got[8].paid is None
+    assert sum(r.n for r in counters(import_rows(raw, entity)).collect()) == 9
+    again = {r.row_no: r.status for r in import_rows(raw, entity, import_rows(raw, entity).filter("status = 'IMPORTED'").drop("status", "reason", "is_summary")).collect()}
+    assert again[1] == again[2] == again[8] == "DUPLICATE" and again[3] == "CONFLICT"
+    assert import_rows(raw.limit(0), entity).count() == 0
+
+
+def test_grains_and_windows():
+    assert can_aggregate("day", "month") and not can_aggregate("month", "day") and align("week", "year") == "year" and align("month", "order") is None
+
+
 def test_order_statistic(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 9, 9, 2, 7, 7, 3]], "v double")
     assert parsing.upper_median(df, "v").first()[0] == 7.0
