@@ -436,7 +436,8 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 def jaccard_report(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, n_shingles, component_id."""
     found = written(similarity_classes(docs), "jaccard-classes")
-    least = found.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
+    # written, so that Spark may split a component with many documents when it joins
+    least = written(found.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least")), "jaccard-least")
     return found.join(least, "component", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
