@@ -233,30 +233,16 @@ def surviving(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 class Forest:
-    """Union-find over 0..n-1."""
+    """The components of 0..n-1, as an array of roots: a member's root is its component's smallest member."""
 
     def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = int(p[i])
-        return i
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while (q := p[p]).tobytes() != p.tobytes():
-            p = q
-        self.parent = p
-        return p
+        self.root = np.arange(n)
 
     def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
+        a, b = int(self.root[a]), int(self.root[b])
         if a == b:
             return False
-        self.parent[max(a, b)] = min(a, b)
+        self.root[self.root == max(a, b)] = min(a, b)
         return True
 
 
@@ -267,19 +253,28 @@ def may_link(size_a, bits_a: np.ndarray, size_b, bits_b: np.ndarray, percent: in
 
 
 def tile_forest(size: np.ndarray, bits: np.ndarray, home: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of one tile that may link; rows are sorted by size."""
+    """Spanning forest of the pairs of one tile that may link; rows are sorted by size.
+
+    A row meets the smallest row of each component and its neighbour first, and then only rows that it is not connected
+    with yet: a tile of near copies, however many, costs one comparison a row and component.
+    """
     n = len(size)
     forest, out = Forest(n), []
     low = np.searchsorted(100 * size, percent * size)
-    for j in range(1, n):
-        i = np.arange(low[j], j)
+
+    def meet(i: np.ndarray, j: int) -> None:
         i = i[home[i] | home[j]]
-        roots = forest.roots()
-        i = i[roots[i] != roots[j]]
         i = i[may_link(size[i], bits[i], size[j], bits[j], percent)]
         for a in i.tolist():
             if forest.join(a, j):
                 out.append((a, j))
+
+    for j in range(1, n):
+        i = np.arange(low[j], j)
+        meet(i[(forest.root[i] == i) | (i == j - 1)], j)
+        rest = i[forest.root[i] != forest.root[j]]
+        if len(rest):
+            meet(rest, j)
     return out
 
 
@@ -352,7 +347,7 @@ def wide_check(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def linked(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+def linked(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray, clash: frozenset[int] = frozenset()) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile (text, chunk, low, high): u, v of a spanning forest of the links in each tile."""
     held: list[tuple] = []
 
@@ -368,7 +363,7 @@ def linked(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.n
                     seen.add(c)
                     sets.append(np.sort(h[bounds[i] : bounds[i + 1]]))
                     chunk.append(held[w.row0 + i][3])
-                    c1.append(c[0])
+                    c1.append(c[1] if c[0] in clash else c[0])
         size = np.array([len(s) for s in sets])
         order = np.argsort(size, kind="stable")
         size, sets, chunk, c1 = size[order], [sets[i] for i in order], np.array(chunk)[order], np.array(c1, np.int64)[order]
@@ -379,9 +374,10 @@ def linked(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.n
             i = np.arange(least[j], j)
             if low != high:
                 i = i[chunk[i] != chunk[j]]
+            i = i[forest.root[i] != forest.root[j]]
             i = i[may_link(size[i], bits[i], size[j], bits[j], percent)]
             for a in i[::-1].tolist():
-                if forest.root(a) == forest.root(j):
+                if forest.root[a] == forest.root[j]:
                     continue
                 x, y = sets[a], sets[j]
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -401,12 +397,24 @@ def linked(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.n
         yield judge()
 
 
+def clashes(sets: DataFrame) -> frozenset[int]:
+    """First digests that two different sets share: n * n / 2**65 of n sets are expected, none but beyond 10**9."""
+    two = sets.filter("size > 0").groupBy("c1").agg((F.min("c2") != F.max("c2")).alias("two")).filter("two")
+    return frozenset(r.c1 for r in two.select("c1").toLocalIterator())
+
+
+def named(sets: DataFrame, clash: frozenset[int]) -> DataFrame:
+    """A class is named by its first digest, where that clashes by its second one."""
+    return sets.withColumn("c1", F.when(F.col("c1").isin(*clash), F.col("c2")).otherwise(F.col("c1"))) if clash else sets
+
+
 def similarity_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, th (hash of its text), n_shingles, component (of its class; null for an empty set)."""
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     levels = frequency_levels(rows.select("text"), n)
     sets = prepared(rows, n, percent, levels)
+    sets = named(sets, clash := clashes(sets))
     postings = sets.select(F.explode("keys").alias("key"), "size", "c1").repartition("key").sortWithinPartitions("key", F.desc("size"), "c1")
     left = postings.mapInArrow(lambda it: surviving(it, percent), "key long, band int, home boolean, size long, c1 long")
     bits = sets.filter("bits IS NOT NULL").groupBy("c1").agg(F.first("bits").alias("bits"))
@@ -428,7 +436,7 @@ def similarity_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     texts = rows.join(wanted.hint("merge"), rows["id"].eqNullSafe(wanted["id"]) & (rows["th"] == wanted["th"])).select("root", "low", "high", "chunk", "text")
     texts = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
     shared = levels
-    edges = texts.mapInArrow(lambda it: linked(it, n, percent, shared), "u long, v long")
+    edges = texts.mapInArrow(lambda it: linked(it, n, percent, shared, clash), "u long, v long")
     found = components(edges)
     return sets.join(found, sets.c1 == found.node, "left").select("id", "th", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "c1")).alias("component"))
 

@@ -124,6 +124,39 @@ def test_jaccard_join_of_near_copies(spark):
     assert got == {i: rows[r][0] for (i, _), r in zip(rows, root, strict=True)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=3, max_size=14), min_size=2, max_size=14), st.integers(0, 2**14 - 1))
+def test_tile_forest_connects_all_pairs_that_may_link(sets, home_bits):
+    sets = sorted(sets, key=len)
+    h = [np.array(sorted(x), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in sets]
+    size = np.array([len(x) for x in h])
+    bits = jaccard_join.signatures(np.concatenate(h), np.concatenate([[0], np.cumsum(size)])).view(np.uint64)
+    home = np.array([bool(home_bits >> i & 1) for i in range(len(h))])
+    edges = jaccard_join.tile_forest(size, bits, home, 60)
+    root = list(range(len(h)))
+    for i in range(len(h)):
+        for j in range(i):
+            if (home[i] or home[j]) and 100 * size[j] >= 60 * size[i] and jaccard_join.may_link(size[j], bits[j], size[i], bits[i], 60):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    mine = list(range(len(h)))
+    for a, b in edges:
+        assert mine[a] != mine[b]  # a forest
+        mine = [min(mine[a], mine[b]) if r in (mine[a], mine[b]) else r for r in mine]
+    assert mine == root
+
+
+def test_classes_whose_first_digests_clash(spark):
+    sets = spark.createDataFrame([(1, 3, 7, 8), (2, 3, 7, 9), (3, 3, 5, 6), (4, 3, 5, 6), (5, 0, 7, 1)], "id long, size long, c1 long, c2 long")
+    clash = jaccard_join.clashes(sets)
+    assert clash == {7} and sorted(r.c1 for r in jaccard_join.named(sets, clash).collect()) == [1, 5, 5, 8, 9]
+
+
+def test_components_of_a_star(spark):
+    edges = [(i, 0) for i in range(1, 3000)] + [(i, i - 1) for i in range(5001, 5100)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 3000)}, **{i: 5000 for i in range(5001, 5100)}}
+
+
 def brute_substrings(rows, width=20):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     seen, out = set(), {}
