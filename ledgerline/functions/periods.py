@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,24 @@ def can_aggregate(fine: str, coarse: str) -> bool:
 def align(a: str, b: str) -> str | None:
     """The finest grain that both can be summed up to."""
     return b if can_aggregate(a, b) else a if can_aggregate(b, a) else None
+
+
+def cash_per_month(statement: DataFrame, as_of: str) -> DataFrame:
+    """Month, net_flow of the months before that of as_of: the net flow where the statement has one, else in less out,
+    else, where there are balances alone, what the month's last balance changed from the month before that has one."""
+    running = month(F.to_date(F.lit(as_of)))
+    has = lambda n: n in statement.columns
+    rows = statement.withColumn("month", month("date")).filter(F.col("month") < running)
+    if has("net_cash_flow") or has("cash_in"):
+        zero = lambda n: F.coalesce(F.col(n), F.lit(0.0)) if has(n) else F.lit(0.0)
+        net = zero("cash_in") - zero("cash_out")
+        return rows.groupBy("month").agg(F.sum(F.coalesce(F.col("net_cash_flow"), net) if has("net_cash_flow") else net).alias("net_flow"))
+    last = rows.filter("closing_cash IS NOT NULL").groupBy("month").agg(F.max_by("closing_cash", "date").alias("v"))
+    change = F.col("v") - F.lag("v").over(Window.orderBy("month"))  # one row a month
+    return last.select("month", change.alias("net_flow")).filter("net_flow IS NOT NULL")
+
+
+def balances_per_month(statement: DataFrame, opening: float, as_of: str) -> DataFrame:
+    """Month, balance at its end: from the opening balance and the net flows, months without a row carried forward."""
+    flow = densify(cash_per_month(statement, as_of), "net_flow")
+    return flow.select("month", (F.lit(opening) + F.sum("net_flow").over(Window.orderBy("month"))).alias("balance"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import latest_stock
+from ..functions.periods import latest_stock, trend_pct
 from ..sources import catalog as cat
 from . import kpis
 from .base import Part
@@ -47,14 +47,6 @@ def q_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("check"), F.round("gap", 6).alias("gap"), verdict(c("gap"), w, e).alias("verdict")) for n, df, w, e in checks))
 
 
-@part.query("SELECT 'gross_sales' AS step, round(sum(subtotal) FILTER (status <> 'returned'), 2) AS value FROM order_lines UNION ALL SELECT 'excluded', round(sum(subtotal) FILTER (status = 'returned'), 2) FROM order_lines UNION ALL SELECT 'all_lines', round(sum(subtotal), 2) FROM order_lines")
-def q_metric_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps of a figure from one pass over its rows."""
-    back = c("status") == "returned"
-    one = cat.order_lines(spark, sf_dir).agg(F.sum(F.when(~back, c("subtotal"))).alias("gross_sales"), F.sum(F.when(back, c("subtotal"))).alias("excluded"), F.sum("subtotal").alias("all_lines"))
-    return one.unpivot([], ["gross_sales", "excluded", "all_lines"], "step", "value").select("step", F.round("value", 2).alias("value"))
-
-
 @part.query("""WITH s AS (SELECT customer_id, count(DISTINCT order_id) AS freq, sum(subtotal) AS rev, date_diff('day', max(date), DATE '2001-08-15') AS rec FROM order_lines WHERE status <> 'returned' GROUP BY 1), l AS (SELECT list_sort(list(freq)) AS f, list_sort(list(rev)) AS r FROM s),
 q AS (SELECT f[len(f) // 2 + 1] AS mf, r[len(r) // 2 + 1] AS mr, r[CAST(floor(0.75 * len(r)) AS INT) + 1] AS p75 FROM l)
 SELECT count(*) FILTER (rec <= 60 AND freq >= greatest(2, mf) AND rev >= p75) AS champions, count(*) FILTER (rec > 180) AS to_reactivate, count(*) FILTER (rev >= mr AND (status IN ('inactif', 'perdu') OR credit_limit > 0 AND rev >= 0.8 * credit_limit)) AS at_risk FROM s JOIN customers USING (customer_id), q""")
@@ -119,34 +111,104 @@ def c_live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("rule"), F.coalesce(s, F.lit("none")).alias("severity")) for n, df, s in rules))
 
 
-@part.query("""WITH a AS (SELECT sum(revenue) AS attributed, sum(conversions) AS conv, sum(new_customers) AS nc FROM campaign_days), b AS (SELECT sum(amount) FILTER (type = 'income') AS income FROM transactions), o AS (SELECT count(DISTINCT order_id) AS orders, sum(subtotal) FILTER (year(date) = 2000) AS rev2000, count(*) FILTER (date > DATE '2001-08-15') AS future FROM order_lines),
-p AS (SELECT sum(total_cost) AS payroll, count(DISTINCT employee_id) AS paid, count(*) FILTER (total_cost < regular_pay + overtime - 0.01) * 1.0 / count(*) AS below FROM payroll), e AS (SELECT count(*) AS staff FROM employees)
-SELECT 'attributed_over_revenue' AS rule, round(attributed, 2) > round(income, 2) AS fires FROM a, b UNION ALL SELECT 'conversions_over_orders', conv > orders * 1.05 FROM a, o UNION ALL SELECT 'payroll_over_revenue', payroll > rev2000 FROM p, o UNION ALL SELECT 'payroll_coverage', staff >= 10 AND paid < staff * 0.5 FROM p, e
-UNION ALL SELECT 'payroll_below_parts', below >= 0.1 FROM p UNION ALL SELECT 'future_rows', future > 0 FROM o""")
+@part.query("""WITH a AS (SELECT sum(revenue) AS attributed, sum(conversions) AS conv, sum(new_customers) AS nc FROM campaign_days), b AS (SELECT sum(amount) FILTER (type = 'income') AS income, count(DISTINCT date_trunc('month', date)) AS months FROM transactions),
+o AS (SELECT count(DISTINCT order_id) AS orders, sum(subtotal) FILTER (year(date) = 2000) AS rev2000, count(*) FILTER (date > DATE '2001-08-15') AS future, count(DISTINCT customer_id) AS acquired FROM order_lines),
+p AS (SELECT sum(total_cost) AS payroll, count(DISTINCT employee_id) AS paid, count(*) AS slips, count(*) FILTER (total_cost < regular_pay + overtime + employer_cost - 0.01) * 1.0 / count(*) AS below FROM payroll), e AS (SELECT count(*) AS staff FROM employees),
+f AS (SELECT sum(cash_in - cash_out) AS cash FROM cashflow), x AS (SELECT sum(amount) AS charges FROM expenses), r AS (SELECT cash, income - charges AS result, greatest(1000, 0.25 * income / months) AS least FROM f, b, x)
+SELECT 'attributed_over_revenue' AS rule, 'critical' AS severity, round(attributed, 2) > round(income, 2) AS fires FROM a, b UNION ALL SELECT 'conversions_over_orders', 'important', conv > orders * 1.05 FROM a, o UNION ALL SELECT 'new_customers_over_acquired', 'important', nc > acquired * 1.05 FROM a, o
+UNION ALL SELECT 'payroll_over_revenue', 'critical', payroll > rev2000 FROM p, o UNION ALL SELECT 'payroll_coverage', 'important', staff >= 10 AND paid < staff * 0.5 FROM p, e UNION ALL SELECT 'payroll_below_parts', 'important', slips >= 10 AND below >= 0.1 FROM p
+UNION ALL SELECT 'future_rows', 'moderate', future > 0 FROM o UNION ALL SELECT 'treasury_against_result', 'important', sign(cash) <> sign(result) AND abs(cash) > least AND abs(result) > least FROM r""")
 def c_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot both be right."""
-    a = cat.campaign_days(spark, sf_dir).agg(F.sum("revenue").alias("attributed"), F.sum("conversions").alias("conv"))
-    b = cat.transactions(spark, sf_dir).agg(F.sum(F.when(c("type") == "income", c("amount"))).alias("income"))
-    o = cat.order_lines(spark, sf_dir).agg(F.countDistinct("order_id").alias("orders"), F.sum(F.when(F.year("date") == 2000, c("subtotal"))).alias("rev2000"), F.count_if(c("date") > cat.ORDERS_AS_OF).alias("future"))
-    p = cat.payroll(spark, sf_dir).agg(F.sum("total_cost").alias("payroll"), F.countDistinct("employee_id").alias("paid"), F.avg((c("total_cost") < c("regular_pay") + c("overtime") - 0.01).cast("int")).alias("below"))
+    """Eight pairs of sources that cannot both be right."""
+    a = cat.campaign_days(spark, sf_dir).agg(F.sum("revenue").alias("attributed"), F.sum("conversions").alias("conv"), F.sum("new_customers").alias("nc"))
+    b = cat.transactions(spark, sf_dir).agg(F.sum(F.when(c("type") == "income", c("amount"))).alias("income"), F.countDistinct(F.trunc("date", "month")).alias("months"))
+    lines = cat.order_lines(spark, sf_dir, cost=False)
+    by_order = lines.groupBy("order_id", "customer_id").agg(F.sum(F.when(F.year("date") == 2000, c("subtotal"))).alias("v"), F.count_if(c("date") > cat.ORDERS_AS_OF).alias("future"))
+    o = by_order.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.sum("future").alias("future")).agg(F.sum("n").alias("orders"), F.sum("v").alias("rev2000"), F.sum("future").alias("future"), F.count("customer_id").alias("acquired"))
+    parts = c("regular_pay") + c("overtime") + c("employer_cost")
+    p = cat.payroll(spark, sf_dir).agg(F.sum("total_cost").alias("payroll"), F.countDistinct("employee_id").alias("paid"), F.count(F.lit(1)).alias("slips"), F.avg((c("total_cost") < parts - 0.01).cast("int")).alias("below"))
     e = cat.employees(spark, sf_dir).agg(F.count(F.lit(1)).alias("staff"))
-    one = a.crossJoin(b).crossJoin(o).crossJoin(p).crossJoin(e)
-    rules = {"attributed_over_revenue": F.round("attributed", 2) > F.round("income", 2), "conversions_over_orders": c("conv") > c("orders") * 1.05, "payroll_over_revenue": c("payroll") > c("rev2000"), "payroll_coverage": (c("staff") >= 10) & (c("paid") < c("staff") * 0.5), "payroll_below_parts": c("below") >= 0.1, "future_rows": c("future") > 0}
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("fires")) for k, v in rules.items()))).alias("x")).select("x.*")
-
-
-@part.query("""WITH m AS (SELECT (sum(subtotal) - sum(cost)) * 100 / sum(subtotal) AS margin FROM order_lines WHERE status <> 'returned'), k AS (SELECT count(*) FILTER (status <> 'actif') * 100.0 / count(*) AS churn FROM customers), w AS (SELECT sum(revenue) / nullif(sum(spend), 0) AS roas FROM campaign_days),
-d AS (SELECT 'finance' AS domain, CASE WHEN margin >= 40 THEN 90 WHEN margin >= 20 THEN 70 WHEN margin >= 0 THEN 45 ELSE 15 END AS score FROM m UNION ALL SELECT 'customers', CASE WHEN churn < 5 THEN 90 WHEN churn < 10 THEN 75 WHEN churn < 20 THEN 55 ELSE 30 END FROM k UNION ALL SELECT 'marketing', CASE WHEN roas >= 4 THEN 90 WHEN roas >= 2 THEN 70 WHEN roas >= 1 THEN 50 ELSE 20 END FROM w)
-SELECT domain, score FROM d UNION ALL SELECT 'overall', CAST(floor(avg(score) + 0.5) AS INT) FROM d""")
+    f = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("cash"))
+    x = cat.expenses(spark, sf_dir).agg(F.sum("amount").alias("charges"))
+    one = a.crossJoin(b).crossJoin(o).crossJoin(p).crossJoin(e).crossJoin(f).crossJoin(x)  # rows of one
+    result, least = c("income") - c("charges"), F.greatest(F.lit(1000.0), 0.25 * c("income") / c("months"))
+    rules = [
+        ("attributed_over_revenue", "critical", F.round("attributed", 2) > F.round("income", 2)), ("conversions_over_orders", "important", c("conv") > c("orders") * 1.05), ("new_customers_over_acquired", "important", c("nc") > c("acquired") * 1.05),
+        ("payroll_over_revenue", "critical", c("payroll") > c("rev2000")), ("payroll_coverage", "important", (c("staff") >= 10) & (c("paid") < c("staff") * 0.5)), ("payroll_below_parts", "important", (c("slips") >= 10) & (c("below") >= 0.1)),
+        ("future_rows", "moderate", c("future") > 0), ("treasury_against_result", "important", (F.signum("cash") != F.signum(result)) & (F.abs("cash") > least) & (F.abs(result) > least)),
+    ]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(s).alias("severity"), v.alias("fires")) for k, s, v in rules))).alias("x")).select("x.*")
+
+
+def ladder(v: Column, steps: list[tuple[float, int]], least: int, unknown: int = 50) -> Column:
+    """Points of the first step that a value reaches, from the top; below all of them `least`."""
+    out = F.when(v.isNull(), unknown)
+    for at, points in steps:
+        out = out.when(v >= at, points)
+    return out.otherwise(least)
+
+
+def with_trend(score: Column, pct: Column, bonus: int, penalty: int, threshold: float = 5.0) -> Column:
+    """The score with what a trend adds or takes, within 0 and 100."""
+    moved = F.when(pct > threshold, score + bonus).when(pct < -threshold, score - penalty).otherwise(score)
+    return F.greatest(F.lit(0), F.least(F.lit(100), moved))
+
+
+_LADDER = lambda v, steps, least: f"CASE WHEN {v} IS NULL THEN 50 {' '.join(f'WHEN {v} >= {a} THEN {p}' for a, p in steps)} ELSE {least} END"
+_TREND = lambda s, t, b, p, th=5: f"greatest(0, least(100, CASE WHEN {t} > {th} THEN ({s}) + {b} WHEN {t} < -{th} THEN ({s}) - {p} ELSE ({s}) END))"
+_MARGIN, _RUNWAY, _SALES, _ROAS = [(40, 88), (25, 72), (10, 52), (0, 32)], [(12, 90), (6, 75), (3, 55), (1, 35)], [(15, 85), (2, 70), (-2, 60), (-15, 48)], [(4, 88), (2, 72), (1, 50)]
+_PCT = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a} - {b}) * 100 / {b} END"
+
+
+@part.query(f"""WITH m AS (SELECT sum(subtotal) FILTER (date >= DATE '2001-05-01') AS a, sum(cost) FILTER (date >= DATE '2001-05-01') AS ka, sum(subtotal) FILTER (date < DATE '2001-05-01') AS b, sum(cost) FILTER (date < DATE '2001-05-01') AS kb,
+  sum(subtotal) FILTER (date >= DATE '2001-07-01') / count(DISTINCT order_id) FILTER (date >= DATE '2001-07-01') AS aov, sum(subtotal) FILTER (date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30') / count(DISTINCT order_id) FILTER (date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30') AS aov0
+  FROM order_lines WHERE status <> 'returned' AND date >= DATE '2001-02-01' AND date < DATE '2001-08-01'), d AS (SELECT date, (SELECT opening_cash FROM balances) + sum(cash_in - cash_out) OVER (ORDER BY date) AS v, row_number() OVER (ORDER BY date DESC) AS i FROM cashflow),
+t AS (SELECT avg(v) FILTER (i <= 7) AS c7, CASE WHEN count(*) >= 14 THEN avg(v) FILTER (i BETWEEN 8 AND 14) END AS p7, max(v) FILTER (i = 1) AS cash FROM d), n AS (SELECT sum(cash_in - cash_out) / count(DISTINCT date_trunc('month', date)) AS net FROM cashflow),
+w AS (SELECT sum(revenue) / nullif(sum(spend), 0) AS roas, sum(revenue) FILTER (date >= DATE '2024-01-16') / nullif(sum(spend) FILTER (date >= DATE '2024-01-16'), 0) AS now, sum(revenue) FILTER (date < DATE '2024-01-16') / nullif(sum(spend) FILTER (date < DATE '2024-01-16'), 0) AS before FROM campaign_days),
+l AS (SELECT product_id, sum(q) AS q FROM (SELECT product_id, arg_max(closing_stock, date) AS q FROM inventory GROUP BY product_id, warehouse_id) GROUP BY 1), ls AS (SELECT product_id, max(date) AS last_sale FROM order_lines GROUP BY 1),
+g AS (SELECT count(*) FILTER (q <= reorder_point OR last_sale < DATE '2001-02-15') * 1.0 / nullif(count(*), 0) AS ratio FROM l JOIN products USING (product_id) LEFT JOIN ls USING (product_id)),
+k AS (SELECT count(*) FILTER (status <> 'actif') * 100.0 / count(*) AS churn FROM customers), fo AS (SELECT min(date) AS first FROM order_lines GROUP BY customer_id), q AS (SELECT count(*) FILTER (first >= DATE '2001-05-01' AND first < DATE '2001-08-01') AS n3, count(*) FILTER (first >= DATE '2001-02-01' AND first < DATE '2001-05-01') AS p3 FROM fo),
+s AS (SELECT 'finance' AS domain, a > 0 AS measured, {_TREND(_LADDER('((a - ka) * 100 / a)', _MARGIN, 15), '((a - ka) * 100 / a - (b - kb) * 100 / b)', 8, 12, 3)} AS score FROM m
+UNION ALL SELECT 'treasury', cash IS NOT NULL, {_TREND("CASE WHEN cash > 0 AND net >= 0 THEN 92 ELSE " + _LADDER('(CASE WHEN cash <= 0 THEN 0 ELSE cash / -net END)', _RUNWAY, 18) + " END", _PCT('c7', 'p7'), 6, 10, 2)} FROM t, n
+UNION ALL SELECT 'sales', b > 0, {_TREND(_LADDER(f"({_PCT('a', 'b')})", _SALES, 28), _PCT('aov', 'aov0'), 6, 6)} FROM m UNION ALL SELECT 'marketing', roas IS NOT NULL, {_TREND(_LADDER('roas', _ROAS, 28), _PCT('now', 'before'), 6, 10)} FROM w
+UNION ALL SELECT 'operations', ratio IS NOT NULL, CASE WHEN ratio IS NULL THEN 50 WHEN ratio = 0 THEN 82 WHEN ratio < 0.1 THEN 68 WHEN ratio < 0.25 THEN 48 ELSE 28 END FROM g
+UNION ALL SELECT 'customers', churn IS NOT NULL, {_TREND('CASE WHEN churn IS NULL THEN 50 WHEN churn < 5 THEN 85 WHEN churn < 10 THEN 70 WHEN churn < 20 THEN 50 ELSE 30 END', _PCT('n3', 'p3'), 8, 8)} FROM k, q)
+SELECT domain, measured, score FROM s UNION ALL SELECT 'overall', bool_or(measured), CAST(floor(avg(score) FILTER (measured) + 0.5) AS INT) FROM s""")
 def c_domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ladders over one-row frames and their rounded mean."""
-    m = cat.order_lines(spark, sf_dir).filter("status <> 'returned'").agg(((F.sum("subtotal") - F.sum("cost")) * 100 / F.sum("subtotal")).alias("v"))
-    k = cat.customers(spark, sf_dir).agg((F.count_if(c("status") != "actif") * 100.0 / F.count(F.lit(1))).alias("v"))
-    w = cat.campaign_days(spark, sf_dir).agg((F.sum("revenue") / F.nullif(F.sum("spend"), F.lit(0.0))).alias("v"))
-    v = c("v")
-    d = m.select(F.lit("finance").alias("domain"), F.when(v >= 40, 90).when(v >= 20, 70).when(v >= 0, 45).otherwise(15).alias("score"))
-    d = d.unionAll(k.select(F.lit("customers"), F.when(v < 5, 90).when(v < 10, 75).when(v < 20, 55).otherwise(30))).unionAll(w.select(F.lit("marketing"), F.when(v >= 4, 90).when(v >= 2, 70).when(v >= 1, 50).otherwise(20)))
-    return d.unionAll(d.agg(F.lit("overall").alias("domain"), F.floor(F.avg("score") + 0.5).cast("int").alias("score")))
+    """Six domains: a ladder, and what the trend adds or takes; unknown is a neutral 50. The overall score is the mean of what
+    is measured."""
+    days = lambda a, b: (c("date") >= a) & (c("date") < b)
+    part_of = lambda x, w: F.sum(F.when(w, c(x)))
+    late, early = days("2001-05-01", "2001-08-01"), days("2001-02-01", "2001-05-01")
+    o = cat.order_lines(spark, sf_dir).filter(c("status") != "returned").filter(days("2001-02-01", "2001-08-01"))
+    by_order = o.groupBy("order_id").agg(F.min("date").alias("date"), F.sum("subtotal").alias("v"), F.sum("cost").alias("k"))
+    now, before = days("2001-07-01", "2001-08-01"), days("2001-06-01", "2001-07-01")
+    m = by_order.agg(part_of("v", late).alias("a"), part_of("k", late).alias("ka"), part_of("v", early).alias("b"), part_of("k", early).alias("kb"), (part_of("v", now) / F.nullif(F.count_if(now), F.lit(0))).alias("aov"), (part_of("v", before) / F.nullif(F.count_if(before), F.lit(0))).alias("aov0"))
+    margin, prior = (c("a") - c("ka")) * 100 / c("a"), (c("b") - c("kb")) * 100 / c("b")
+    flow = cat.cashflow(spark, sf_dir)
+    net = c("cash_in") - c("cash_out")
+    d = flow.crossJoin(cat.balances(spark, sf_dir)).select((c("opening_cash") + F.sum(net).over(Window.orderBy("date"))).alias("v"), F.row_number().over(Window.orderBy(F.desc("date"))).alias("i"))  # one row a day
+    t = d.agg(F.avg(F.when(c("i") <= 7, c("v"))).alias("c7"), F.when(F.count(F.lit(1)) >= 14, F.avg(F.when(c("i").between(8, 14), c("v")))).alias("p7"), F.max(F.when(c("i") == 1, c("v"))).alias("cash")).crossJoin(flow.agg((F.sum(net) / F.countDistinct(F.trunc("date", "month"))).alias("net")))
+    runway = F.when(c("cash") <= 0, 0.0).otherwise(c("cash") / -c("net"))
+    treasury = F.when((c("cash") > 0) & (c("net") >= 0), 92).otherwise(ladder(runway, _RUNWAY, 18))
+    half = c("date") >= "2024-01-16"
+    ratio = lambda w: part_of("revenue", w) / F.nullif(part_of("spend", w), F.lit(0.0))
+    w = cat.campaign_days(spark, sf_dir).agg(ratio(F.lit(True)).alias("roas"), ratio(half).alias("now"), ratio(~half).alias("before"))
+    stock = latest_stock(cat.inventory(spark, sf_dir)).groupBy("product_id").agg(F.sum("stock").alias("q"))
+    sold = cat.order_lines(spark, sf_dir, cost=False).groupBy("product_id").agg(F.max("date").alias("last_sale"))
+    g = stock.join(cat.products(spark, sf_dir).select("product_id", "reorder_point"), "product_id").join(sold, "product_id", "left").agg((F.count_if((c("q") <= c("reorder_point")) | (c("last_sale") < "2001-02-15")) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("r"))
+    k = cat.customers(spark, sf_dir).agg((F.count_if(c("status") != "actif") * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("churn"))
+    first = cat.order_lines(spark, sf_dir, cost=False).groupBy("customer_id").agg(F.min("date").alias("date"))
+    q = k.crossJoin(first.agg(F.count_if(late).alias("n3"), F.count_if(early).alias("p3")))
+    churn, r = c("churn"), c("r")
+    rows = [
+        (m, "finance", c("a") > 0, with_trend(ladder(margin, _MARGIN, 15), margin - prior, 8, 12, 3.0)), (t, "treasury", c("cash").isNotNull(), with_trend(treasury, trend_pct(c("c7"), c("p7")), 6, 10, 2.0)),
+        (m, "sales", c("b") > 0, with_trend(ladder(trend_pct(c("a"), c("b")), _SALES, 28), trend_pct(c("aov"), c("aov0")), 6, 6)), (w, "marketing", c("roas").isNotNull(), with_trend(ladder(c("roas"), _ROAS, 28), trend_pct(c("now"), c("before")), 6, 10)),
+        (g, "operations", r.isNotNull(), F.when(r.isNull(), 50).when(r == 0, 82).when(r < 0.1, 68).when(r < 0.25, 48).otherwise(28)),
+        (q, "customers", churn.isNotNull(), with_trend(F.when(churn.isNull(), 50).when(churn < 5, 85).when(churn < 10, 70).when(churn < 20, 50).otherwise(30), trend_pct(c("n3"), c("p3")), 8, 8)),
+    ]
+    s = reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("domain"), F.coalesce(known, F.lit(False)).alias("measured"), score.cast("int").alias("score")) for df, n, known, score in rows)).persist()  # six rows, read twice
+    return s.unionAll(s.agg(F.lit("overall").alias("domain"), F.max("measured").alias("measured"), F.floor(F.avg(F.when(c("measured"), c("score"))) + 0.5).cast("int").alias("score")))
 
 
 @part.query("WITH b AS (SELECT sum(subtotal) AS r, sum(cost) AS k FROM order_lines WHERE status <> 'returned'), s AS (SELECT * FROM (VALUES (0.0, 0.0, 0.0), (5.0, 0.0, 0.0), (0.0, 10.0, 0.0), (5.0, -5.0, 10.0)) AS t(price, volume, expense)) SELECT price::DOUBLE AS price, volume::DOUBLE AS volume, expense::DOUBLE AS expense, round(r * (1 + price / 100) * (1 + volume / 100) - k * (1 + volume / 100 * 0.6) * (1 + expense / 100), 2) AS profit FROM b, s")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import complete_months, densify, month
-from ..functions.periods import latest_stock
+from ..functions.parsing import NEGATIVE, POSITIVE, sentiment
+from ..functions.periods import balances_per_month, cash_per_month, complete_months, densify, latest_stock, month
 from ..sources import catalog as cat
 from .base import Part
 
@@ -222,3 +222,43 @@ def b_product_margin_and_stock_value(spark: SparkSession, sf_dir: str) -> DataFr
 def b_import_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = cat.table(spark, sf_dir, "events")
     return e.groupBy(c("event_type").alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(c("value") > 0) * 100.0 / F.count(F.lit(1)), 4).alias("import_rate"), F.countDistinct(c("user_id") % 5).alias("branches"))
+
+
+_DAYS = "f AS (SELECT ship_date AS date, sum(total) AS cash_in, sum(cost) AS cash_out FROM order_lines GROUP BY 1)"
+_BLAME = "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in POSITIVE) + " - " + " - ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in NEGATIVE) + ")"
+
+
+@part.query(f"WITH {_DAYS}, b AS (SELECT date, 1e6 + sum(cash_in - cash_out) OVER (ORDER BY date) AS v FROM f), l AS (SELECT date_trunc('month', date)::DATE AS month, arg_max(v, date) AS v FROM b WHERE date < DATE '2001-08-01' GROUP BY 1), n AS (SELECT date_trunc('month', date)::DATE AS month, sum(cash_in - cash_out) AS net FROM f WHERE date < DATE '2001-08-01' GROUP BY 1) SELECT month, round(net, 2) AS net_flow, round(v - lag(v) OVER (ORDER BY month), 2) AS by_balance, round(1e6 + sum(net) OVER (ORDER BY month), 2) AS balance FROM n JOIN l USING (month)")
+def b_cash_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement of daily flows, the same as balances alone, and the balances that follow from the flows."""
+    o = cat.order_lines(spark, sf_dir)
+    f = o.groupBy(c("ship_date").alias("date")).agg(F.sum("total").alias("cash_in"), F.sum("cost").alias("cash_out"))
+    alone = f.select("date", (F.lit(1e6) + F.sum(c("cash_in") - c("cash_out")).over(Window.orderBy("date"))).alias("closing_cash"))  # one row a day
+    flows = cash_per_month(f, cat.ORDERS_AS_OF)
+    both = flows.join(cash_per_month(alone, cat.ORDERS_AS_OF).withColumnRenamed("net_flow", "by_balance"), "month", "left").join(balances_per_month(f, 1e6, cat.ORDERS_AS_OF), "month")
+    return both.select("month", *(F.round(n, 2).alias(n) for n in ("net_flow", "by_balance", "balance")))
+
+
+@part.query("SELECT channel, count(DISTINCT order_id) AS orders, round(sum(subtotal), 2) AS amount FROM order_lines WHERE status = 'returned' GROUP BY 1")
+def b_context_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = cat.order_lines(spark, sf_dir, cost=False).filter("status = 'returned'")
+    return o.groupBy("channel").agg(F.countDistinct("order_id").alias("orders"), F.round(F.sum("subtotal"), 2).alias("amount"))
+
+
+@part.query("WITH l AS (SELECT product_id, warehouse_id, arg_max(closing_stock, date) AS q, arg_max(inventory_value, date) AS v FROM inventory GROUP BY 1, 2) SELECT CASE WHEN q <= 0 THEN 'rupture' WHEN q < 10 THEN 'low' ELSE 'normal' END AS status, count(*) AS n, round(sum(v), 2) AS value FROM l GROUP BY 1")
+def b_context_stock_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = c("stock")
+    return latest_stock(cat.inventory(spark, sf_dir)).groupBy(F.when(q <= 0, "rupture").when(q < 10, "low").otherwise("normal").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+@part.query("SELECT round(avg(delay_days), 4) AS mean_delay, count(*) FILTER (delay_days > 60) AS late, count(DISTINCT supplier_id) FILTER (delay_days > 60) AS suppliers FROM purchases")
+def b_context_purchase_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = cat.purchases(spark, sf_dir).groupBy("supplier_id").agg(F.sum("delay_days").alias("d"), F.count(F.lit(1)).alias("n"), F.count_if(c("delay_days") > 60).alias("late"))
+    return by.agg(F.round(F.sum("d") / F.sum("n"), 4).alias("mean_delay"), F.sum("late").alias("late"), F.count_if(c("late") > 0).alias("suppliers"))
+
+
+@part.query(f"SELECT CASE WHEN {_BLAME} < 0 THEN 'complaint' WHEN {_BLAME} > 0 THEN 'praise' ELSE 'neutral' END AS kind, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM remarks GROUP BY 1")
+def b_context_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complaints and praise among what users wrote."""
+    v = sentiment(c("text"))
+    return cat.remarks(spark, sf_dir).groupBy(F.when(v < 0, "complaint").when(v > 0, "praise").otherwise("neutral").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))

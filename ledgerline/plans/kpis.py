@@ -8,8 +8,8 @@ UNKNOWN; what is not finite is INVALID.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,8 +197,6 @@ def cat_window(key: str):
 
 def ordered(kpis: list[Kpi] | None = None) -> list[Kpi]:
     """Indicators so that each comes after those its expression names; a cycle is an error."""
-    import re
-
     kpis = KPIS if kpis is None else kpis
     by = {k.id: k for k in kpis}
     needs = {k.id: {w for w in re.findall(r"[a-z_0-9]+", k.expr) if w in by and w != k.id} for k in kpis}
@@ -213,8 +211,6 @@ def ordered(kpis: list[Kpi] | None = None) -> list[Kpi]:
 
 def needed(ids: list[str] | None) -> list[Kpi]:
     """The indicators asked for with all that they rest on, in order of dependence (A3, A4)."""
-    import re
-
     every = ordered()
     if ids is None:
         return every
@@ -239,6 +235,41 @@ def compute(spark: SparkSession, frames: dict[str, DataFrame], start: str | None
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.kpi", "x.unit", F.round(v, 4).alias("value"), status.alias("status"))
 
 
+#: The entity that each base measure comes from.
+SOURCES = {
+    "order_lines": "order_revenue cogs tax_federal tax_provincial gross_sales returns n_orders n_orders_buyer n_buyers revenue_buyer discount_amount days months revenue_common", "transactions": "income txn_expense foreign_share booked", "expenses": "opex",
+    "payroll": "payroll_cost overtime regular_pay payroll_common", "employees": "n_staff_all n_staff mean_employer_cost employer_total seniority n_sales_staff union_share", "cashflow": "net_flow cash_days closing_cash", "balances": "receivable payable opening_cash",
+    "campaign_days": "spend campaign_revenue clicks impressions new_customers", "customers": "n_active n_lost n_customers points credit_limit", "remarks": "sentiment", "inventory": "stock_value stock_average critical_share", "suppliers": "esg local_share", "assets": "net_book_value accumulated initial_cost dpa",
+}
+TRACED = ["total_revenue", "total_expense", "gross_margin_pct", "net_income", "cash_runway", "roas", "cac", "aov", "churn_rate", "ltv"]
+
+
+def steps(kpi: Kpi) -> list[tuple[str, str]]:
+    """What an indicator is worked out from, in order: (measure or indicator, its entity or 'indicator')."""
+    entity = {m: e for e, ms in SOURCES.items() for m in ms.split()}
+    ids = {k.id for k in KPIS}
+    names = dict.fromkeys(re.findall(r"[a-z_0-9]+", kpi.expr))
+    return [(n, "indicator" if n in ids and n not in entity else entity[n]) for n in names if n in entity or n in ids and n != kpi.id]
+
+
+def trace(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Q6, Q10: kpi, formula, position, step, source, value of every step of the indicators, the result last."""
+    row, asked = measures(spark, frames, start, end), needed(ids)
+    for k in asked:
+        row = row.withColumn(k.id, F.expr(k.expr).cast("double"))
+    cells = []
+    for k in asked:
+        if ids is None or k.id in ids:
+            for i, (name, source) in enumerate([*steps(k), (k.id, "result")], 1):
+                cells.append(F.struct(F.lit(k.id).alias("kpi"), F.lit(k.expr).alias("formula"), F.lit(i).alias("position"), F.lit(name).alias("step"), F.lit(source).alias("source"), F.round(F.col(name).cast("double"), 4).alias("value")))
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def q_metric_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten traced indicators over the whole tables."""
+    return trace(spark, cat.frames(spark, sf_dir), ids=TRACED)
+
+
 def all_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All indicators over the whole tables."""
     return compute(spark, cat.frames(spark, sf_dir))
@@ -249,7 +280,7 @@ def a_kpi_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute(spark, cat.frames(spark, sf_dir), "2000-01-01", "2000-12-31")
 
 
-def _all_sql(start: str | None = None, end: str | None = None) -> str:
+def _all_sql(start: str | None = None, end: str | None = None, traced: bool = False) -> str:
     words = lambda ws: " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws)
     cad = "amount * CASE currency " + " ".join(f"WHEN '{c}' THEN {r}" for c, r in RATES.items()) + " END"
     inside = lambda d: f" WHERE {d} BETWEEN DATE '{start}' AND DATE '{end}'" if start else ""
@@ -292,9 +323,13 @@ k0 AS (SELECT * FROM {', '.join(f'm{i}' for i in range(1, 17))})"""
         replace = "REPLACE" if k.id in ("order_revenue", "gross_sales") else None
         body += f",\nk{i} AS (SELECT * {f'REPLACE (CAST({k.expr} AS DOUBLE) AS {k.id})' if replace else f', CAST({k.expr} AS DOUBLE) AS {k.id}'} FROM {last})"
         last = f"k{i}"
+    if traced:
+        by = {k.id: k for k in KPIS}
+        cells = " UNION ALL ".join(f"SELECT '{t}' AS kpi, '{by[t].expr}' AS formula, {i} AS position, '{n}' AS step, '{src}' AS source, round(CAST({n} AS DOUBLE), 4) AS value FROM {last}" for t in TRACED for i, (n, src) in enumerate([*steps(by[t]), (t, "result")], 1))
+        return with_entities(body + f"\nSELECT * FROM ({cells})")
     rows = " UNION ALL ".join(f"SELECT '{k.id}' AS kpi, '{k.unit}' AS unit, {k.id} AS v, left_out AND {str(k.partial).lower()} AS partial FROM {last}" for k in KPIS)
     return with_entities(body + f"\nSELECT kpi, unit, round(v, 4) AS value, CASE WHEN v IS NULL THEN 'NOT_MEASURED' WHEN isnan(v) OR isinf(v) THEN 'INVALID' WHEN partial THEN 'UNKNOWN' WHEN v = 0 THEN 'VALID_ZERO' ELSE 'VALID' END AS status FROM ({rows})")
 
 
-QUERIES = {"a_kpi_catalogue": all_kpis, "a_kpi_period": a_kpi_period}
-ORACLE_SQL = {"a_kpi_catalogue": _all_sql(), "a_kpi_period": _all_sql("2000-01-01", "2000-12-31")}
+QUERIES = {"a_kpi_catalogue": all_kpis, "a_kpi_period": a_kpi_period, "q_metric_trace": q_metric_trace}
+ORACLE_SQL = {"a_kpi_catalogue": _all_sql(), "a_kpi_period": _all_sql("2000-01-01", "2000-12-31"), "q_metric_trace": _all_sql(traced=True)}

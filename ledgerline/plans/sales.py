@@ -10,17 +10,18 @@ from ..sources.catalog import order_lines
 
 
 def a_aov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average order value with its inputs: one aggregate over the order lines."""
-    o = order_lines(spark, sf_dir)
+    """Average order value with its inputs: lines put together by order, then one aggregate over the orders."""
+    o = order_lines(spark, sf_dir, cost=False)
     out = out_of_revenue(F.col("status"), F.col("unit_price"))
     credit = is_credit_note(F.col("quantity"), F.col("subtotal"))
     sale = is_sale(out, credit, F.col("subtotal"))
-    one = o.agg(
+    by_order = o.groupBy("order_id").agg(
         F.sum(F.when(~out, F.col("subtotal"))).alias("order_revenue"),
         F.sum(F.when(sale, F.col("subtotal"))).alias("gross_sales"),
-        F.coalesce(F.sum(F.when(~out & credit, F.abs("subtotal"))), F.lit(0.0)).alias("returns_amount"),
-        F.countDistinct(F.when(sale, F.col("order_id"))).alias("order_count"),
+        F.sum(F.when(~out & credit, F.abs("subtotal"))).alias("returns_amount"),
+        F.max(sale).alias("sale"),
     )
+    one = by_order.agg(F.sum("order_revenue").alias("order_revenue"), F.sum("gross_sales").alias("gross_sales"), F.coalesce(F.sum("returns_amount"), F.lit(0.0)).alias("returns_amount"), F.count_if("sale").alias("order_count"))
     aov = (F.col("order_revenue") + F.col("returns_amount")) / F.nullif(F.col("order_count"), F.lit(0))
     return one.select(
         *(F.round(c, 2).alias(c) for c in ("order_revenue", "gross_sales", "returns_amount")),

@@ -25,11 +25,13 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order entity at line grain: lineitem with its order's customer, date and status, and the part's cost."""
+def order_lines(spark: SparkSession, sf_dir: str, cost: bool = True) -> DataFrame:
+    """Order entity at line grain: lineitem with its order's customer, date and status, and the part's cost; without
+    `cost`, that column is null and the parts are not read."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     net = _c("l_extendedprice") * (1 - _c("l_discount"))
-    both = li.join(o, li.l_orderkey == o.o_orderkey).join(p.select("p_partkey", "p_retailprice"), li.l_partkey == _c("p_partkey"), "left")
+    both = li.join(o, li.l_orderkey == o.o_orderkey)
+    both = both.join(p.select("p_partkey", "p_retailprice"), li.l_partkey == _c("p_partkey"), "left") if cost else both.withColumn("p_retailprice", F.lit(None).cast("double"))
     return both.select(
         _c("l_orderkey").alias("order_id"),
         _c("l_linenumber").alias("line_no"),
