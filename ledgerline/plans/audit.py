@@ -15,9 +15,6 @@ from .base import Part
 part = Part()
 c = F.col
 
-def verdict(gap: Column, warn: float, error: float) -> Column:
-    return F.when(gap.isNull(), "skip").when(gap > error, "error").when(gap > warn, "warn").otherwise("ok")
-
 
 @part.query("SELECT 'orders' AS source, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM order_lines UNION ALL SELECT 'transactions', count(*), min(date), max(date) FROM transactions UNION ALL SELECT 'payroll', count(*), min(period), max(period) FROM payroll")
 def q_lineage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,28 +22,6 @@ def q_lineage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(cat.order_lines(spark, sf_dir), "orders", "date").unionAll(one(cat.transactions(spark, sf_dir), "transactions", "date")).unionAll(one(cat.payroll(spark, sf_dir), "payroll", "period"))
 
 
-_COHERENCE = """WITH a AS (SELECT sum(subtotal) AS lines FROM order_lines), b AS (SELECT sum(o_totalprice) AS heads FROM orders), f AS (SELECT sum(cash_out) AS out FROM cashflow), x AS (SELECT sum(amount) AS booked FROM expenses),
-o AS (SELECT count(*) AS n FROM order_lines ANTI JOIN products USING (product_id)), k AS (SELECT count(*) AS n FROM inventory ANTI JOIN products USING (product_id)), g AS (SELECT count(DISTINCT currency) AS n FROM transactions),
-p AS (SELECT count(*) FILTER (abs(unit_price - selling_price) > 0.5 * selling_price) * 1.0 / count(*) AS off FROM order_lines JOIN products USING (product_id)),
-c AS (SELECT 'revenue_two_ways' AS check, abs(lines - heads) / heads AS gap, 0.05 AS w, 0.2 AS e FROM a, b UNION ALL SELECT 'expenses_vs_cash_out', abs(out - booked) / out, 0.15, 0.4 FROM f, x UNION ALL SELECT 'order_orphans', n, 0, 0 FROM o UNION ALL SELECT 'inventory_orphans', n, 0, 0 FROM k
-UNION ALL SELECT 'currencies', n - 1, 0, 5 FROM g UNION ALL SELECT 'prices', off, 0.1, 0.5 FROM p)
-SELECT "check", round(gap, 6) AS gap, CASE WHEN gap IS NULL THEN 'skip' WHEN gap > e THEN 'error' WHEN gap > w THEN 'warn' ELSE 'ok' END AS verdict FROM c"""
-
-
-@part.query(_COHERENCE.replace("'revenue_two_ways' AS check", "'revenue_two_ways' AS \"check\""))
-def q_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks across sources, each a one-row frame, in one union."""
-    o, p = cat.order_lines(spark, sf_dir), cat.products(spark, sf_dir)
-    t = cat.transactions(spark, sf_dir)
-    revenue = o.agg(F.sum("subtotal").alias("x")).crossJoin(cat.table(spark, sf_dir, "orders").agg(F.sum("o_totalprice").alias("y"))).select((F.abs(c("x") - c("y")) / c("y")).alias("gap"))
-    out = cat.cashflow(spark, sf_dir).agg(F.sum("cash_out").alias("x")).crossJoin(cat.expenses(spark, sf_dir).agg(F.sum("amount").alias("y"))).select((F.abs(c("x") - c("y")) / c("x")).alias("gap"))
-    orphans = lambda df: df.join(p, "product_id", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("gap"))
-    currencies = t.agg((F.countDistinct("currency") - 1).cast("double").alias("gap"))
-    prices = o.join(p.select("product_id", "selling_price"), "product_id").agg(F.avg((F.abs(c("unit_price") - c("selling_price")) > 0.5 * c("selling_price")).cast("int")).alias("gap"))
-    checks = [("revenue_two_ways", revenue, 0.05, 0.2), ("expenses_vs_cash_out", out, 0.15, 0.4), ("order_orphans", orphans(o), 0, 0), ("inventory_orphans", orphans(cat.inventory(spark, sf_dir)), 0, 0), ("currencies", currencies, 0, 5), ("prices", prices, 0.1, 0.5)]
-    return reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("check"), F.round("gap", 6).alias("gap"), verdict(c("gap"), w, e).alias("verdict")) for n, df, w, e in checks))
-
-
 @part.query("""WITH s AS (SELECT customer_id, count(DISTINCT order_id) AS freq, sum(subtotal) AS rev, date_diff('day', max(date), DATE '2001-08-15') AS rec FROM order_lines WHERE status <> 'returned' GROUP BY 1), l AS (SELECT list_sort(list(freq)) AS f, list_sort(list(rev)) AS r FROM s),
 q AS (SELECT f[len(f) // 2 + 1] AS mf, r[len(r) // 2 + 1] AS mr, r[CAST(floor(0.75 * len(r)) AS INT) + 1] AS p75 FROM l)
 SELECT count(*) FILTER (rec <= 60 AND freq >= greatest(2, mf) AND rev >= p75) AS champions, count(*) FILTER (rec > 180) AS to_reactivate, count(*) FILTER (rev >= mr AND (status IN ('inactif', 'perdu') OR credit_limit > 0 AND rev >= 0.8 * credit_limit)) AS at_risk FROM s JOIN customers USING (customer_id), q""")
@@ -238,9 +213,3 @@ def c_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = cat.frames(spark, sf_dir)
     one = lambda name, span, ids: kpis.compute(spark, frames, *span, ids=ids).select(F.lit(name).alias("period"), "kpi", "value", "status")
     return reduce(DataFrame.unionAll, (one(n, span, SNAPSHOT if n == "total" else BY_PERIOD) for n, span in _SPANS.items()))
-
-
-@part.query("SELECT count(*) FILTER (contains(lower(text), 'price')) AS mentions, least(1.0, count(*) FILTER (contains(lower(text), 'price')) / 10.0)::DOUBLE AS strength FROM remarks")
-def c_context_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = cat.remarks(spark, sf_dir).agg(F.count_if(F.lower("text").contains("price")).alias("mentions"))
-    return one.select("mentions", F.least(F.lit(1.0), c("mentions") / 10.0).alias("strength"))
