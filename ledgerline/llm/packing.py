@@ -308,7 +308,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     cuts = written(rows.mapInArrow(cut, f"id {kind}, place long, n long, crcs array<long>, rest binary"), "packing-cuts")
     n_groups = max(1, -(-cuts.count() // group_docs))
-    cuts = cuts.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(n_groups))).repartition(n_groups, "grp")
+    # by range, so that every group has a task of its own
+    cuts = cuts.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(n_groups))).repartitionByRange(n_groups, "grp")
 
     def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         group = int(key[0])
