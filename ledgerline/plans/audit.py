@@ -70,20 +70,60 @@ def c_stock_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return since.join(p, "product_id").select("product_id", live.alias("live_stock"), F.when(live <= 0, "rupture").when(live <= c("reorder_point"), "low").otherwise("ok").alias("alert"), (c("last_sale") < "2001-02-15").alias("dormant"))
 
 
-@part.query("""WITH m AS (SELECT sum(subtotal) FILTER (date >= DATE '2001-05-01') AS a, sum(subtotal) FILTER (date < DATE '2001-05-01') AS b, sum(cost) FILTER (date >= DATE '2001-05-01') AS k FROM order_lines WHERE date >= DATE '2001-02-01' AND date < DATE '2001-08-01'),
-f AS (SELECT sum(cash_in - cash_out) AS net FROM cashflow), w AS (SELECT sum(revenue) / nullif(sum(spend), 0) AS roas FROM campaign_days),
-r AS (SELECT 'margin' AS rule, CASE WHEN (a - k) * 100 / a < 0 THEN 'critical' WHEN (a - k) * 100 / a < 10 THEN 'warning' END AS severity FROM m UNION ALL SELECT 'sales_drop', CASE WHEN (a - b) * 100 / b <= -20 THEN 'critical' WHEN (a - b) * 100 / b <= -8 THEN 'warning' END FROM m
-UNION ALL SELECT 'negative_cash', CASE WHEN opening_cash + net < 0 THEN 'critical' END FROM f, balances UNION ALL SELECT 'roas', CASE WHEN roas < 1 THEN 'critical' END FROM w)
-SELECT rule, coalesce(severity, 'none') AS severity FROM r""")
-def c_live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = cat.order_lines(spark, sf_dir).filter("date >= DATE '2001-02-01' AND date < DATE '2001-08-01'")
+_ALERT_SQL = """WITH m AS (SELECT sum(subtotal) FILTER (date >= DATE '2001-05-01') AS a, sum(subtotal) FILTER (date < DATE '2001-05-01') AS b, sum(cost) FILTER (date >= DATE '2001-05-01') AS k, sum(cost) FILTER (date < DATE '2001-05-01') AS kb FROM order_lines WHERE status <> 'returned' AND date >= DATE '2001-02-01' AND date < DATE '2001-08-01'),
+f AS (SELECT sum(cash_in - cash_out) / count(DISTINCT date_trunc('month', date)) AS net, any_value(opening_cash) + sum(cash_in - cash_out) AS cash FROM cashflow, balances),
+w AS (SELECT sum(revenue) / nullif(sum(spend), 0) AS roas, sum(revenue) FILTER (date >= DATE '2024-01-16') / nullif(sum(spend) FILTER (date >= DATE '2024-01-16'), 0) AS now, sum(revenue) FILTER (date < DATE '2024-01-16') / nullif(sum(spend) FILTER (date < DATE '2024-01-16'), 0) AS before FROM campaign_days),
+l AS (SELECT product_id, sum(q) AS q FROM (SELECT product_id, arg_max(closing_stock, date) AS q FROM inventory GROUP BY product_id, warehouse_id) GROUP BY 1), ls AS (SELECT product_id, max(date) AS last_sale, sum(subtotal) FILTER (status <> 'returned') AS rev FROM order_lines GROUP BY 1),
+g AS (SELECT count(*) FILTER (coalesce(q, 0) <= 0) AS ruptures, count(*) FILTER (q > 0 AND q <= reorder_point) AS near, count(*) FILTER (last_sale < DATE '2001-02-15') AS dormant, max(rev) FILTER (coalesce(q, 0) <= 0) AS top, sum(rev) AS rev FROM products LEFT JOIN l USING (product_id) LEFT JOIN ls USING (product_id)),
+k AS (SELECT count(*) FILTER (status <> 'actif') * 100.0 / count(*) AS churn, count(*) FILTER (status = 'actif' AND churn_risk >= 0.7) AS at_risk FROM customers), by_c AS (SELECT customer_id, max(date) AS last FROM order_lines GROUP BY 1), b AS (SELECT count(*) AS buyers, count(*) FILTER (last < DATE '2001-02-15') * 100.0 / nullif(count(*), 0) AS lapse FROM by_c),
+s AS (SELECT *, (a - k.k) * 100 / a AS margin, (a - k.k) * 100 / a - (m.b - kb) * 100 / m.b AS delta, CASE WHEN m.b > 0 THEN (a - m.b) * 100 / m.b END AS sales, CASE WHEN before > 0 THEN (now - before) * 100 / before END AS roas_trend, CASE WHEN net < 0 THEN CASE WHEN cash <= 0 THEN 0 ELSE cash / -net END END AS runway FROM (SELECT a, b, kb FROM m) m, (SELECT k FROM m) k, f, w, g, (SELECT churn, at_risk FROM k) kk, (SELECT buyers, lapse FROM b) bb)"""
+
+#: Alerts in order: name, severity, and when it fires, over the measures of `signals`. The first of a name that fires counts.
+ALERTS = [
+    ("runway", "critical", "runway < 3"), ("runway", "important", "runway < 6"), ("negative_cash", "critical", "cash < 0"), ("margin", "critical", "margin < 0"), ("margin", "important", "margin < 10"), ("margin_drop", "important", "delta < -5"),
+    ("sales_drop", "critical", "sales < -20"), ("sales_drop", "important", "sales < -8"), ("ruptures", "critical", "ruptures >= 10"), ("ruptures", "important", "ruptures > 0"), ("near_rupture", "moderate", "near >= 10"), ("dormant_stock", "moderate", "dormant > 0"),
+    ("churn", "critical", "churn >= 20"), ("churn", "important", "churn >= 10"), ("customers_at_risk", "important", "at_risk > 0"), ("lapsed_buyers", "important", "lapse >= 40 AND buyers >= 10"), ("roas", "critical", "roas < 1"), ("roas", "important", "roas_trend < -25"),
+    ("marketing_hurts_margin", "critical", "roas_trend < -15 AND delta < -2"), ("rupture_of_a_top_seller", "critical", "rev > 0 AND top > rev * 0.02"), ("lapse_endangers_cash", "critical", "lapse >= 30 AND runway < 6"),
+]
+_NAMES = list(dict.fromkeys(n for n, _, _ in ALERTS))
+
+
+def _severity(name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {when} THEN '{severity}'" for n, severity, when in ALERTS if n == name) + " ELSE 'none' END"
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what the alerts look at, one aggregate an entity."""
+    days = (c("date") >= "2001-02-01") & (c("date") < "2001-08-01")
     late = c("date") >= "2001-05-01"
-    m = o.agg(F.sum(F.when(late, c("subtotal"))).alias("a"), F.sum(F.when(~late, c("subtotal"))).alias("b"), F.sum(F.when(late, c("cost"))).alias("k"))
-    margin, change = (c("a") - c("k")) * 100 / c("a"), (c("a") - c("b")) * 100 / c("b")
-    f = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("net")).crossJoin(cat.balances(spark, sf_dir))
-    w = cat.campaign_days(spark, sf_dir).agg((F.sum("revenue") / F.nullif(F.sum("spend"), F.lit(0.0))).alias("roas"))
-    rules = [("margin", m, F.when(margin < 0, "critical").when(margin < 10, "warning")), ("sales_drop", m, F.when(change <= -20, "critical").when(change <= -8, "warning")), ("negative_cash", f, F.when(c("opening_cash") + c("net") < 0, "critical")), ("roas", w, F.when(c("roas") < 1, "critical"))]
-    return reduce(DataFrame.unionAll, (df.select(F.lit(n).alias("rule"), F.coalesce(s, F.lit("none")).alias("severity")) for n, df, s in rules))
+    kept = c("status") != "returned"
+    when = lambda w, x: F.sum(F.when(w, c(x)))
+    o = cat.order_lines(spark, sf_dir)
+    m = o.filter(days & kept).agg(when(late, "subtotal").alias("a"), when(~late, "subtotal").alias("b"), when(late, "cost").alias("k"), when(~late, "cost").alias("kb"))
+    flow = cat.cashflow(spark, sf_dir).agg(F.sum(c("cash_in") - c("cash_out")).alias("sum"), F.countDistinct(F.trunc("date", "month")).alias("n")).crossJoin(cat.balances(spark, sf_dir))
+    flow = flow.select((c("sum") / c("n")).alias("net"), (c("opening_cash") + c("sum")).alias("cash"))
+    half = c("date") >= "2024-01-16"
+    ratio = lambda w: when(w, "revenue") / F.nullif(when(w, "spend"), F.lit(0.0))
+    w = cat.campaign_days(spark, sf_dir).agg(ratio(F.lit(True)).alias("roas"), ratio(half).alias("now"), ratio(~half).alias("before"))
+    stock = latest_stock(cat.inventory(spark, sf_dir)).groupBy("product_id").agg(F.sum("stock").alias("q"))
+    lines = cat.order_lines(spark, sf_dir, cost=False)
+    sold = lines.groupBy("product_id").agg(F.max("date").alias("last_sale"), when(kept, "subtotal").alias("rev"))
+    q = F.coalesce("q", F.lit(0.0))
+    g = cat.products(spark, sf_dir).select("product_id", "reorder_point").join(stock, "product_id", "left").join(sold, "product_id", "left").agg(
+        F.count_if(q <= 0).alias("ruptures"), F.count_if((q > 0) & (q <= c("reorder_point"))).alias("near"), F.count_if(c("last_sale") < "2001-02-15").alias("dormant"), F.max(F.when(q <= 0, c("rev"))).alias("top"), F.sum("rev").alias("rev")
+    )
+    k = cat.customers(spark, sf_dir).agg((F.count_if(c("status") != "actif") * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("churn"), F.count_if((c("status") == "actif") & (c("churn_risk") >= 0.7)).alias("at_risk"))
+    b = lines.groupBy("customer_id").agg(F.max("date").alias("last")).agg(F.count(F.lit(1)).alias("buyers"), (F.count_if(c("last") < "2001-02-15") * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("lapse"))
+    one = m.crossJoin(flow).crossJoin(w).crossJoin(g).crossJoin(k).crossJoin(b)  # rows of one
+    margin = (c("a") - c("k")) * 100 / c("a")
+    return one.withColumns({"margin": margin, "delta": margin - (c("b") - c("kb")) * 100 / c("b"), "sales": trend_pct(c("a"), c("b")), "roas_trend": trend_pct(c("now"), c("before")), "runway": F.when(c("net") < 0, F.when(c("cash") <= 0, 0.0).otherwise(c("cash") / -c("net")))})
+
+
+@part.query(_ALERT_SQL + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, {_severity(n)} AS severity FROM s" for n in _NAMES) + ")")
+def c_live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alert with its severity, or none; the contradictions between sources are in c_contradictions."""
+    cells = [F.struct(F.lit(n).alias("rule"), F.expr(_severity(n)).alias("severity")) for n in _NAMES]
+    return signals(spark, sf_dir).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 @part.query("""WITH a AS (SELECT sum(revenue) AS attributed, sum(conversions) AS conv, sum(new_customers) AS nc FROM campaign_days), b AS (SELECT sum(amount) FILTER (type = 'income') AS income, count(DISTINCT date_trunc('month', date)) AS months FROM transactions),

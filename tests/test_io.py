@@ -69,3 +69,12 @@ def test_streams(spark, tmp_path):
     for i in range(2):
         ingest(stream, f"{tmp_path}/out", f"{tmp_path}/ck{i}", ["event_id"]).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+
+
+def test_ingestion_by_partition(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, CAST(id % 3 AS INT) AS day, id * 1.0 AS value FROM range(30)").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    for i in range(2):
+        ingest(stream, f"{tmp_path}/out", f"{tmp_path}/ck{i}", ["event_id"], "day").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 30 and got.select("day").distinct().count() == 3
