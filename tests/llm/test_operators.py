@@ -256,6 +256,9 @@ def test_packing(docs, none):
     for s in {r.sequence_id for r in got}:
         own = sorted((r.offset, r.length) for r in got if r.sequence_id == s)
         assert [o for o, _ in own] == list(np.cumsum([0, *(n for _, n in own)])[:-1]) and sum(n for _, n in own) <= 4096
+    for i in {r.doc_id for r in got if r.doc_id is not None and want[r.doc_id] == r.doc_tokens}:  # pieces tile a document
+        own = sorted((r.start, r.length) for r in got if r.doc_id == i)
+        assert [a for a, _ in own] == list(np.cumsum([0, *(n for _, n in own)])[:-1]) and sum(n for _, n in own) == want[i]
     used = Counter()
     for r in got:
         used[r.sequence_id] += r.length
@@ -639,3 +642,73 @@ def test_pipeline(spark, tmp_path):
     assert counts[0] == len(ROWS) - 4 and counts[1] == len({squash(r[1]) for r in ROWS if r[0] not in (4, 5, 6, 14)})
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def without_phrases(text, items, width=10):
+    """The text with every word inside an occurrence of an item's window cut out, from the first word of a span to its last."""
+    phrases = {tuple(w[i : i + width]) for w in map(plain, items) for i in range(max(1, len(w) - width + 1) if w else 0)}
+    found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    w = plain(text)
+    hit = [False] * len(w)
+    for n in {len(p) for p in phrases}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in phrases:
+                hit[i : i + n] = [True] * n
+    if not any(hit):
+        return text
+    if all(hit):
+        return None
+    parts, at, i = [], 0, 0
+    while i < len(w):
+        if not hit[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(w) and hit[j]:
+            j += 1
+        parts.append(text[at : found[i][0]])
+        at, i = found[j - 1][1], j
+    parts.append(text[at:])
+    return " ".join(x.strip(" ") for x in parts)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    items = [" ".join(LONG.split()[500:530]), "Un deux trois é à la maison", "one two", PROSE[40:110]]
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    lettered = [r for r in ROWS if any(ch.isalpha() for ch in r[1] or "")]
+    exact = {}
+    for r in lettered:
+        k, best = squash(r[1]), lambda x: (-len(x[1]), x[0] is None, x[0] or 0)
+        exact[k] = min(exact.get(k, r), r, key=best)
+    rows = list(exact.values())
+    _, root = brute_components([r[1] for r in rows], 5, 80)
+    near = {}
+    for k, r in zip(root, rows, strict=True):
+        near[k] = min(near.get(k, r), r, key=lambda x: (x[0] is None, x[0] or 0))
+    cut = [(r[0], without_phrases(r[1], items)) for r in near.values()]
+    cut = [(i, t) for i, t in cut if t is not None]
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (_, stage), want in zip(corpus_pipeline.STAGES, ([(r[0], r[1]) for r in lettered], [(r[0], r[1]) for r in rows], [(r[0], r[1]) for r in near.values()], cut), strict=False):
+        d = stage(spark, d, str(tmp_path))
+        assert Counter((r.doc_id, r.text) for r in d.collect()) == Counter(want)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = Counter()
+    for i, text in cut:
+        tokens[i] += len(t.encode(text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.length
+    assert got == tokens
+
+
+def test_pipeline_without_rows(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
