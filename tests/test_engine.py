@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import money, parsing, semantics
-from ledgerline.functions.periods import align, can_aggregate, complete_months, densify
+from ledgerline.functions.periods import align, balances_per_month, can_aggregate, cash_per_month, complete_months, densify
+from ledgerline.operators import derive, profile, quality
 from ledgerline.operators.dedup_engine import deduplicate, occurrence
 from ledgerline.operators.row_import import Entity, Field, counters, import_rows
 from ledgerline.plans import kpis, registry
@@ -117,6 +118,71 @@ def test_row_import(spark):
     assert import_rows(raw.limit(0), entity).count() == 0
 
 
+def test_conventions_and_readers(spark):
+    col = lambda xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    convention = lambda xs: col(xs).agg(parsing.number_convention(F.col("x"))).first()[0]
+    assert convention(["1,234.5", "7"]) == "point" and convention(["1.234,5"]) == "comma" and convention(["22.368", "1.234"]) is None and convention(["1.5", "1,5"]) is None and convention([None, "n/a"]) is None
+    assert value(spark, parsing.parse_number_by(F.lit("22.368"), F.lit("point"))) == 22.368 and value(spark, parsing.parse_number_by(F.lit("22.368"), F.lit(None).cast("string"))) == 22368
+    dates = lambda xs: col(xs).agg(parsing.date_convention(F.col("x"))).first()[0]
+    assert dates(["13/02/2024", "01/02/2024"]) == "DMY" and dates(["02/13/2024"]) == "MDY" and dates(["13/02/2024", "02/13/2024"]) is None and dates(["1/2/2024"]) is None
+    for raw, want in (("2024-03", "2024-03"), ("3/2024", "2024-03"), ("2024.12", "2024-12"), ("13/2024", None), ("Mars 2024", "2024-03"), ("févr. 2024", "2024-02"), ("2024-03-05", "2024-03-05"), ("x", None), (None, None)):
+        assert value(spark, parsing.period_month(F.lit(raw).cast("string"))) == want, raw
+    for first, blanks, want in (("TOTAL", 0, True), ("Grand total annuel", 0, True), ("Total 2024", 0, True), ("Total Laval", 0, False), ("Total Laval", 2, True), ("Moyenne", 0, False), ("Moyenne", 1, True), ("Totalement", 3, False), (None, 5, False)):
+        assert value(spark, parsing.is_summary_row(F.lit(first).cast("string"), F.lit(blanks), F.lit(5))) is want, first
+    enum = lambda x, **k: value(spark, parsing.coerce_enum(F.lit(x).cast("string"), {"annulée": "cancelled"}, ["cancelled", "on-hold"], **k))
+    assert enum("ANNULEE") == "cancelled" and enum("On hold") == "on-hold" and enum("bien annulée hier", by_word=True) == "cancelled" and enum("zzz") == "autre" and enum(" ") is None and enum("zzz", fallback=None) is None
+    for raw, want in (("Oui", True), ("0", False), ("faux", False), ("?", None), (None, None)):
+        assert value(spark, parsing.parse_boolean(F.lit(raw).cast("string"))) is want
+
+
+def test_money(spark):
+    for raw, want in (("usd", "USD"), ("€", "EUR"), ("Livres sterling", "GBP"), ("C$", "CAD"), ("dollars américains", "USD"), ("zloty", None), (None, None)):
+        assert value(spark, money.currency_code(F.lit(raw).cast("string"))) == want
+    assert value(spark, money.row_currency(F.lit("?"), F.lit("Royaume-Uni"))) == "GBP" and value(spark, money.row_currency(F.lit(None).cast("string"), F.lit("Narnia"))) is None
+    for margin, cost, price, want in ((0.4, 6.0, 10.0, 40.0), (4.0, 6.0, 10.0, 40.0), (35.0, 6.0, 10.0, 35.0), (400.0, 6.0, 10.0, 40.0), (None, 6.0, 10.0, 40.0), (0.0, 6.0, 10.0, 40.0), (0.3, None, None, 30.0), (30.0, None, 10.0, 30.0), (None, None, None, None)):
+        got = value(spark, money.product_margin_pct(F.lit(margin).cast("double"), F.lit(cost).cast("double"), F.lit(price).cast("double")))
+        assert got == want or got == pytest.approx(want)
+    o = spark.createDataFrame([("USD", 10.0), ("CAD", 5.0), ("CAD", 6.0), ("GBP", 7.0), (None, 1.0)], "currency string, total double")
+    x = money.normalise_currencies(o)
+    assert Counter((r.currency, r.total, r.left_out) for r in money.normalise_currencies(x).collect()) == Counter([("CAD", 13.5, False), ("CAD", 5.0, False), ("CAD", 6.0, False), ("GBP", 7.0, True), ("CAD", 1.0, False)])
+    assert {r.reference for r in money.normalise_currencies(o, "USD").collect()} == {"USD"}
+    assert money.normalise_currencies(o.limit(0)).count() == 0
+
+
+def test_derivations(spark):
+    o = derive.order(spark.createDataFrame([(None, 2.0, 10.0, 4.0, 0.1, "US$"), ("A", None, None, None, None, None)], "order_id string, quantity double, unit_price double, unit_cost double, discount double, currency string"))
+    a, b = sorted(o.collect(), key=lambda r: r.order_id == "A")
+    assert a.order_id.startswith("AUTO-") and (a.total_revenue, a.total_cost, a.gross_profit, a.gross_margin, a.currency) == (18.0, 8.0, 10.0, 55.56, "USD") and b.total_revenue is None and b.gross_margin is None
+    t = derive.transaction(spark.createDataFrame([("Dépense", 5.0, None), (None, -5.0, None), (None, 5.0, "Loyer de mars"), (None, 5.0, "divers")], "type string, amount double, description string"))
+    assert [(r.type, r.amount, r.currency) for r in t.collect()] == [("expense", 5.0, "CAD"), ("expense", 5.0, "CAD"), ("expense", 5.0, "CAD"), (None, 5.0, "CAD")]
+    p = derive.payroll(spark.createDataFrame([("Janvier 2024", 10.0, None), ("x", None, None)], "period string, regular_pay double, bonus double")).collect()
+    assert [(r.period, r.total_cost) for r in p] == [("2024-01", 10.0), ("x", None)]
+    assert derive.asset(spark.createDataFrame([("Four à pain", 100.0, 130.0)], "description string, initial_cost double, accumulated_depreciation double")).select("asset_id", "net_book_value").first() == ("AST-FOUR_A_PAIN", 0.0)
+    assert derive.cash_flow(spark.createDataFrame([(5.0, None), (None, None)], "cash_in double, cash_out double")).select("net_cash_flow").collect() == [(5.0,), (None,)]
+
+
+def test_cash_per_month_three_ways(spark):
+    rows = [(date(2024, 1, 5), 10.0, 4.0, 106.0), (date(2024, 1, 9), 1.0, 0.0, 107.0), (date(2024, 3, 1), 0.0, 7.0, 100.0), (date(2024, 4, 2), 9.0, 0.0, 109.0)]
+    df = spark.createDataFrame(rows, "date date, cash_in double, cash_out double, closing_cash double")
+    got = lambda x: {r.month.month: r.net_flow for r in cash_per_month(x, "2024-04-15").collect()}
+    assert got(df) == {1: 7.0, 3: -7.0} and got(df.select("date", "closing_cash")) == {3: -7.0}
+    assert got(df.withColumn("net_cash_flow", F.lit(2.0))) == {1: 4.0, 3: 2.0}
+    assert [r.balance for r in balances_per_month(df, 100.0, "2024-04-15").orderBy("month").collect()] == [107.0, 107.0, 100.0]
+
+
+def test_profiles_and_quality(spark):
+    df = spark.createDataFrame([("a", "1", "2024-01-01", None), ("b", "2", "2024-01-02", " "), ("a", "3", "02/03/2024", None), ("a", None, "x", None)], "k string, n string, d string, e string")
+    got = {r.name: r for r in profile.column_profile(df).collect()}
+    assert (got["k"].logical_type, got["k"].is_dimension, got["n"].logical_type, got["n"].nulls, got["e"].logical_type, got["e"].n_distinct) == ("category", True, "integer", 1, "empty", 0)
+    keys = {r.name: r.is_key for r in profile.key_candidates(df, ["k", "n", "d"]).collect()}
+    assert keys == {"k": False, "n": False, "d": True, "k+n": False, "k+d": True, "n+d": False}
+    rel = {r.relation: (r.n, r.holds) for r in profile.column_relations(spark.createDataFrame([(2.0, 3.0, 6.0, 40.0, 100.0, 0.4), (1.0, 5.0, 5.0, 50.0, 100.0, 50.0)], "quantity double, unit_cost double, total_cost double, gross_profit double, total_revenue double, gross_margin double")).collect()}
+    assert rel == {"quantity_cost_total": (2, True), "gross_profit": (2, False), "gross_margin": (2, True)}
+    q = quality.source_quality(spark.createDataFrame([(date(2024, 1, 1), 5.0, "a"), (date(2024, 4, 1), 0.0, "a"), (None, 7.0, "b")], "d date, v double, k string"), "s", "2024-03-15", "d", "v", "k").first()
+    assert (q.n, q.undated, q.future, q.zero, q.duplicates, q.month_gaps, q.verdict) == (3, 1, 1, 1, 1, 2, "error")
+    assert quality.source_quality(spark.createDataFrame([], "d date, v double, k string"), "s", "2024-03-15", "d", "v", "k").first().verdict == "skip"
+
+
 def test_grains_and_windows():
     assert can_aggregate("day", "month") and not can_aggregate("month", "day") and align("week", "year") == "year" and align("month", "order") is None
 
