@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -50,7 +50,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_filter_audit)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
@@ -153,5 +157,46 @@ WITH d AS (
   FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 )
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
+""",
+    "op11_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals,
+         min(doc_id) OVER (PARTITION BY t) AS least
+  FROM d
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words), 'C': 100 * capitals > 10 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(least < w.doc_id, false)} AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), long AS (
+  SELECT row_number() OVER () AS k, part, good, toxic,
+         CAST(fails.A AS INT) + 2 * CAST(fails.B AS INT) + 4 * CAST(fails.C AS INT) + 8 * CAST(fails.D AS INT) + 16 * CAST(fails.E AS INT) AS mask
+  FROM f
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM long GROUP BY part, mask
+), letter(x, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT a.x || b.x || e.x || g.x || h.x AS filter_order, [a.bit, b.bit, e.bit, g.bit, h.bit] AS bits
+  FROM letter a, letter b, letter e, letter g, letter h
+  WHERE a.bit + b.bit + e.bit + g.bit + h.bit = 31 AND len(list_distinct([a.bit, b.bit, e.bit, g.bit, h.bit])) = 5
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0) AS before FROM o, unnest(generate_series(1, 5)) AS u(step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (mask & (before + bit)::INT = 0) AS kept, sum(n) FILTER (mask & before::INT = 0 AND mask & bit <> 0) AS removed,
+         sum(n) FILTER (mask & before::INT <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & before::INT = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before::INT = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
 """,
 }
