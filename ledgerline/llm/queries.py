@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, toxicity, url_filter
+from . import best_fit, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -54,7 +54,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interaction_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_filter_audit)}
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_filter_audit, op12_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
