@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, packing, substring_dedup, toxicity, url_filter
+from . import best_fit, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, merkle, packing, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -58,7 +58,11 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_filter_audit, op12_best_fit_packing)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_toxicity, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_language_id, op9_html_extraction, op10_exact_dedup, op11_filter_audit, op12_best_fit_packing, op13_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
@@ -202,5 +206,51 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS
        CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM r
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE enc AS (
+  SELECT row_number() OVER () AS k, doc_id, source,
+         list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head,
+         text, replace(text, chr(10), '') AS cut,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                     lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))) AS crc_below
+  FROM documents
+), leaf AS (
+  SELECT k, doc_id, source, sha256(array_to_string(head, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN coalesce((4294967295 - crc_below) % 2 = 0, false) THEN sha256(array_to_string(head, '') || coalesce(strlen(cut) || ':' || cut, '-')) END AS tampered
+  FROM enc
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaf
+), up(l, source, pos, digest, n) AS (
+  SELECT 0, source, pos, leaf, n FROM numbered
+  UNION ALL
+  SELECT l + 1, source, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY l, source, pos // 3, n
+), sub AS (
+  SELECT source, digest, l AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top(l, pos, digest, n) AS (
+  SELECT 0, pos, digest, n FROM sub
+  UNION ALL
+  SELECT l + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY l, pos // 3, n
+), sib AS (
+  SELECT l, coalesce('s' || source, 'n') AS tree, pos, list(digest) OVER w AS run, pos % 3 AS i FROM up WHERE n > 1 WINDOW w AS (PARTITION BY l, source, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), tsib AS (
+  SELECT l, pos, list(digest) OVER w AS run, pos % 3 AS i FROM top WHERE n > 1 WINDOW w AS (PARTITION BY l, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), climb(k, tree, l, pos, node, proof) AS (
+  SELECT k, coalesce('s' || source, 'n'), 0, pos, coalesce(tampered, leaf), '' FROM numbered
+  UNION ALL
+  SELECT c.k, c.tree, c.l + 1, c.pos // 3, sha256(array_to_string(run[1 : i], '') || c.node || array_to_string(run[i + 2 :], '')), c.proof || array_to_string(run[1 : i], '') || array_to_string(run[i + 2 :], '')
+  FROM climb c JOIN sib s ON s.l = c.l AND s.tree = c.tree AND s.pos = c.pos
+), atsub AS (
+  SELECT c.k, c.node, c.proof, s.digest AS subroot, s.pos FROM climb c JOIN sub s ON c.tree = coalesce('s' || s.source, 'n') AND c.l = s.height
+), climb2(k, l, pos, node, proof, subroot) AS (
+  SELECT k, 0, pos, node, proof, subroot FROM atsub
+  UNION ALL
+  SELECT c.k, c.l + 1, c.pos // 3, sha256(array_to_string(run[1 : i], '') || c.node || array_to_string(run[i + 2 :], '')), c.proof || array_to_string(run[1 : i], '') || array_to_string(run[i + 2 :], ''), c.subroot
+  FROM climb2 c JOIN tsib s ON s.l = c.l AND s.pos = c.pos
+), root AS (
+  SELECT l AS height, digest AS root FROM top WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM climb2 JOIN root ON l = height JOIN numbered USING (k)
 """,
 }
