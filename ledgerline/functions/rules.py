@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .parsing import strip_accents
+
 # Fragments of a status that take an order out of revenue.
 EXCLUDED_STATUS = "annul|cancel|void|brouillon|draft|rembours|refund|retour|return"
 
@@ -60,3 +62,24 @@ def is_draft(status_class: Column) -> Column:
 def is_cleared(status_class: Column) -> Column:
     """A transaction that has happened: not pending, cancelled or a draft."""
     return ~F.coalesce(status_class.isin("pending", "cancelled", "draft"), F.lit(False))
+
+
+# What the type of a transaction holds, accents off; and statuses of money that hasn't moved.
+EXPENSE_TYPES = "expense|sortie|debit|depense|decaissement|charge|cash-out|cash_out"
+INCOME_TYPES = "income|entree|credit|revenu|encaissement|vente|cash-in|cash_in"
+NOT_MOVED = "attente|pending|annul|draft"
+
+
+def is_expense(kind: Column) -> Column:
+    """By the type alone."""
+    return F.coalesce(strip_accents(F.lower(kind)).rlike(EXPENSE_TYPES), F.lit(False))
+
+
+def is_income(kind: Column) -> Column:
+    """By the type alone; what says both is an expense."""
+    return ~is_expense(kind) & F.coalesce(strip_accents(F.lower(kind)).rlike(INCOME_TYPES), F.lit(False))
+
+
+def has_moved(status: Column) -> Column:
+    """Neither pending, cancelled nor a draft; a status that isn't given counts."""
+    return ~F.coalesce(F.lower(status).rlike(NOT_MOVED), F.lit(False))

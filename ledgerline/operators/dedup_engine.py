@@ -82,13 +82,13 @@ def _all(x: list[Column]) -> Column:
     return out
 
 
-def occurrence(df: DataFrame, key: str, order: str = "row_no", width: int = RANGE) -> DataFrame:
-    """k: the row is the k-th of its key by `order` (a whole number). Ranges of rows are numbered apart and put together."""
+def occurrence(df: DataFrame, key: str, order: str = "row_no", width: int = RANGE, into: str = "k") -> DataFrame:
+    """The column `into`: the row is the k-th of its key by `order` (a whole number). Ranges of rows are numbered apart and put together."""
     df = df.withColumn("__range", F.floor(c(order) / width))
     counts = df.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__range")) - c("__n")).drop("__n")
-    numbered = df.withColumn("k", F.row_number().over(Window.partitionBy(key, "__range").orderBy(order)))
-    return numbered.join(before, [key, "__range"]).withColumn("k", c("k") + c("__before")).drop("__before", "__range")
+    numbered = df.withColumn(into, F.row_number().over(Window.partitionBy(key, "__range").orderBy(order)))
+    return numbered.join(before, [key, "__range"]).withColumn(into, c(into) + c("__before")).drop("__before", "__range")
 
 
 def _against_first(rows: DataFrame, key: str, value: str, stored: DataFrame | None) -> DataFrame:

@@ -85,13 +85,27 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(_c("event_type").isin("purchase", "error")).select(
         _c("event_id").alias("transaction_id"), F.to_date("ts").alias("date"), _c("value").alias("amount"), F.when(_c("event_type") == "purchase", "income").otherwise("expense").alias("type"), _c("user_id").alias("customer_id"),
         F.when(_c("event_id") % 11 == 0, "USD").when(_c("event_id") % 13 == 0, "EUR").otherwise("CAD").alias("currency"), F.concat(F.lit("cat"), _c("user_id") % 5).alias("category"),
+        F.when(_c("event_id") % 17 == 0, "En attente").when(_c("event_id") % 19 == 0, "Annulée").otherwise("Complétée").alias("status"), F.when(_c("event_id") % 23 == 0, "Virement paie").otherwise("Achat").alias("description"),
     )
 
 
+def ledger_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as a bank's ledger of fourteen months from January 2000, a day after the other by their ids."""
+    return transactions(spark, sf_dir).withColumn("date", F.date_add(F.lit("2000-01-01").cast("date"), (_c("transaction_id") % 420).cast("int")))
+
+
+def ledger_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expenses_of(ledger_transactions(spark, sf_dir))
+
+
+def _expenses_of(t: DataFrame) -> DataFrame:
+    t = t.filter("type = 'expense'")
+    return t.select(_c("transaction_id").alias("expense_id"), "date", F.when(_c("transaction_id") % 3 == 0, _c("amount")).otherwise(_c("amount") + 1.5).alias("amount"), "category")
+
+
 def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third expense transaction is booked as an expense as well; the others are new ones."""
-    t = transactions(spark, sf_dir).filter("type = 'expense'")
-    return t.select(_c("transaction_id").alias("expense_id"), "date", F.when(_c("transaction_id") % 3 == 0, _c("amount")).otherwise(_c("amount") + 1.5).alias("amount"), "category")
+    return _expenses_of(transactions(spark, sf_dir))
 
 
 def campaign_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +188,10 @@ ENTITY_SQL = {
     "suppliers": "SELECT s_suppkey AS supplier_id, s_name AS name, n_name AS country, CAST(s_suppkey % 100 AS DOUBLE) AS esg_score, CASE WHEN s_suppkey % 7 = 0 THEN 'Québec' ELSE 'Ontario' END AS province FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "purchases": "SELECT supplier_id, product_id, ship_date AS date, quantity, cost / quantity AS unit_cost, date_diff('day', date, ship_date) AS delay_days FROM order_lines",
     "transactions": """SELECT event_id AS transaction_id, CAST(ts AS DATE) AS date, value AS amount, CASE WHEN event_type = 'purchase' THEN 'income' ELSE 'expense' END AS type, user_id AS customer_id,
-  CASE WHEN event_id % 11 = 0 THEN 'USD' WHEN event_id % 13 = 0 THEN 'EUR' ELSE 'CAD' END AS currency, 'cat' || (user_id % 5) AS category FROM events WHERE event_type IN ('purchase', 'error')""",
+  CASE WHEN event_id % 11 = 0 THEN 'USD' WHEN event_id % 13 = 0 THEN 'EUR' ELSE 'CAD' END AS currency, 'cat' || (user_id % 5) AS category,
+  CASE WHEN event_id % 17 = 0 THEN 'En attente' WHEN event_id % 19 = 0 THEN 'Annulée' ELSE 'Complétée' END AS status, CASE WHEN event_id % 23 = 0 THEN 'Virement paie' ELSE 'Achat' END AS description FROM events WHERE event_type IN ('purchase', 'error')""",
+    "ledger_transactions": "SELECT * REPLACE (CAST(DATE '2000-01-01' + CAST(transaction_id % 420 AS INT) AS DATE) AS date) FROM transactions",
+    "ledger_expenses": "SELECT transaction_id AS expense_id, date, CASE WHEN transaction_id % 3 = 0 THEN amount ELSE amount + 1.5 END AS amount, category FROM ledger_transactions WHERE type = 'expense'",
     "expenses": "SELECT transaction_id AS expense_id, date, CASE WHEN transaction_id % 3 = 0 THEN amount ELSE amount + 1.5 END AS amount, category FROM transactions WHERE type = 'expense'",
     "campaign_days": """SELECT user_id % 6 AS campaign_id, CAST(ts AS DATE) AS date, count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS conversions,
   count(*) FILTER (event_type = 'signup') AS new_customers, coalesce(sum(value) FILTER (event_type = 'click'), 0) * 0.5 AS spend, coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS revenue FROM events GROUP BY 1, 2""",
@@ -188,7 +205,7 @@ ENTITY_SQL = {
     "balances": "SELECT (SELECT sum(o_totalprice) FILTER (o_orderstatus = 'O') FROM orders) AS receivable, (SELECT sum(s_acctbal) FILTER (s_acctbal > 0) FROM supplier) AS payable, (SELECT sum(c_acctbal) FILTER (c_acctbal > 0) FROM customer) AS opening_cash",
     "remarks": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'",
 }
-_NEEDS = {"purchases": ["order_lines"], "inventory": ["order_lines"], "expenses": ["transactions"], "cashflow": ["transactions"], "payroll": ["employees"]}
+_NEEDS = {"ledger_transactions": ["transactions"], "ledger_expenses": ["transactions", "ledger_transactions"], "purchases": ["order_lines"], "inventory": ["order_lines"], "expenses": ["transactions"], "cashflow": ["transactions"], "payroll": ["employees"]}
 
 
 def with_entities(body: str) -> str:
