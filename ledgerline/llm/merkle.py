@@ -86,36 +86,34 @@ def build(leaves: DataFrame, name: str) -> list[DataFrame]:
 
 
 def roots(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """tree, digest of every tree's root."""
-    out = leaves.filter("n = 1").select("tree", "digest")
-    for level in levels:
-        out = out.unionByName(level.filter("n = 1").select("tree", "digest"))
+    """tree, digest, height (the level) of every tree's root."""
+    out = leaves.filter("n = 1").select("tree", "digest", F.lit(0).alias("height"))
+    for height, level in enumerate(levels, 1):
+        out = out.unionByName(level.filter("n = 1").select("tree", "digest", F.lit(height).alias("height")))
     return out
 
 
-def push(leaves: DataFrame, levels: list[DataFrame], inherited: DataFrame) -> DataFrame:
-    """The leaves with their proofs, a join a level, from the top. inherited: tree, proof (of the tree's root), and columns handed to all its leaves."""
-    handed = [c for c in inherited.columns if c not in ("tree", "proof")]
+def push(leaves: DataFrame, levels: list[DataFrame], inherited: DataFrame, name: str) -> DataFrame:
+    """The leaves with their proofs, one join a level, from the top; every level but the leaves is written.
 
-    def at_root(level: DataFrame) -> DataFrame:
-        return level.filter("n = 1").join(inherited, "tree")
-
-    def below(level: DataFrame, parents: DataFrame) -> DataFrame:
-        """The level's nodes under parents (tree, pos, kids, proof and what is handed down), and its roots."""
-        own = parents.select(F.col("tree").alias("__tree"), F.col("pos").alias("__parent"), F.col("kids").alias("__kids"), F.col("proof").alias("__suffix"), *handed)
-        kids = level.filter("n > 1")
-        met = kids.join(own, (F.col("tree") == F.col("__tree")) & (F.expr(f"pos div {ARITY}") == F.col("__parent")))
+    inherited: tree, height, proof (of the tree's root), and columns handed to all its leaves. A root is its own
+    parent's only child, without a step.
+    """
+    handed = [c for c in inherited.columns if c not in ("tree", "proof", "height")]
+    parent = ["__tree", "__parent", "__kids", "__suffix", *handed]
+    parents = None
+    for height, level in reversed(list(enumerate([leaves, *levels]))):
+        above = inherited.filter(F.col("height") == height).select(F.col("tree").alias("__tree"), F.lit(0).cast("long").alias("__parent"), F.lit(None).cast("array<string>").alias("__kids"), F.col("proof").alias("__suffix"), *handed)
+        if parents is not None:
+            above = above.unionByName(parents.select(F.col("tree").alias("__tree"), F.col("pos").alias("__parent"), F.col("kids").alias("__kids"), F.col("proof").alias("__suffix"), *handed))
+        met = level.join(above.select(*parent), (F.col("tree") == F.col("__tree")) & (F.expr(f"pos div {ARITY}") == F.col("__parent")))
         i = (F.col("pos") % ARITY).cast("int")
         before, after = F.array_join(F.slice("__kids", F.lit(1), i), ""), F.array_join(F.slice("__kids", i + 2, F.lit(ARITY)), "")
-        step = F.array(F.struct(before.alias("before"), after.alias("after")))
-        return met.withColumn("proof", F.concat(step, F.col("__suffix"))).select(*level.columns, "proof", *handed).unionByName(at_root(level).select(*level.columns, "proof", *handed))
-
-    if not levels:
-        return at_root(leaves)
-    parents = at_root(levels[-1])
-    for level in reversed(levels[:-1]):
-        parents = below(level, parents)
-    return below(leaves, parents)
+        step = F.when(F.col("n") > 1, F.array(F.struct(before.alias("before"), after.alias("after")))).otherwise(F.array())
+        parents = met.withColumn("proof", F.concat(step, F.col("__suffix"))).select(*level.columns, "proof", *handed)
+        if height:
+            parents = written(parents, f"{name}-pushed")
+    return parents
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", text_col: str = "text") -> DataFrame:
@@ -126,13 +124,13 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     leaves = written(placed(rows, ["id", "digest"], "manifest-rows"), "manifest-leaves")
     levels = build(leaves, "manifest")
     # the sources' tree: its leaves are the subroots in the order of the sources
-    subroots = roots(leaves, levels).select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest")
+    subroots = roots(leaves, levels).select(F.lit("").alias("tree"), F.col("tree").alias("source"), F.col("height").alias("source_height"), "digest")
     tops = written(placed(subroots, ["source"], "manifest-tops"), "manifest-sources")
     above = build(tops, "manifest-top")
     root = roots(tops, above)
-    proofs = push(tops, above, root.select("tree", F.col("digest").alias("root"), F.array().cast("array<struct<before:string,after:string>>").alias("proof")))
-    inherited = proofs.select(F.col("source").alias("tree"), "proof", F.col("digest").alias("subroot"), "root")
-    return push(leaves, levels, inherited).select("id", F.col("digest").alias("leaf"), "tampered", "subroot", "root", "proof")
+    proofs = push(tops, above, root.select("tree", "height", F.col("digest").alias("root"), F.array().cast("array<struct<before:string,after:string>>").alias("proof")), "manifest-top")
+    inherited = proofs.select(F.col("source").alias("tree"), F.col("source_height").alias("height"), "proof", F.col("digest").alias("subroot"), "root")
+    return push(leaves, levels, inherited, "manifest").select("id", F.col("digest").alias("leaf"), "tampered", "subroot", "root", "proof")
 
 
 def manifest_report(docs: DataFrame) -> DataFrame:
