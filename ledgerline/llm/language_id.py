@@ -48,12 +48,6 @@ UNKNOWN = "und"
 PIECE_BYTES = 256_000
 #: Languages whose counts a training task holds at once.
 HELD = 4
-#: The best dot product of a text of n trigrams must be this many times sqrt(n), which is what chance gives one.
-LEAST_STRENGTH = 2.0
-#: Texts of fewer trigrams say too little to be rejected for it.
-LEAST_GRAMS = 16
-#: Nor is anything rejected for it where all profiles together have fewer kinds of trigrams: they don't show a language.
-LEAST_KINDS = 1000
 
 
 def _symbol(x: int) -> int:
@@ -175,7 +169,7 @@ def prototype(counts: pa.Table) -> pa.Table:
     for a in np.flatnonzero(n.any((1, 2))):
         out += first[a] * (second * (n[a] @ third)).sum(0)
     out /= max(1e-9, np.linalg.norm(out))
-    return pa.table({"lang": counts["lang"].slice(0, 1), "kinds": pa.array([len(counts)], pa.int64()), "vector": pa.array([out.tobytes()], pa.binary())})
+    return pa.table({"lang": counts["lang"].slice(0, 1), "vector": pa.array([out.tobytes()], pa.binary())})
 
 
 def trigram_dots(vector: np.ndarray) -> np.ndarray:
@@ -188,23 +182,23 @@ def trigram_dots(vector: np.ndarray) -> np.ndarray:
 class Model:
     """Languages in order and the name of the file of their tables, which tasks map into memory."""
 
-    def __init__(self, langs: list[str], file: str | None, kinds: int = 0):
-        self.langs, self.file, self.kinds = langs, file, kinds
+    def __init__(self, langs: list[str], file: str | None):
+        self.langs, self.file = langs, file
 
     @classmethod
     def of(cls, spark: SparkSession, counts: DataFrame) -> Model:
         """From trigram counts. The driver gets DIMENSIONS numbers a language and writes one table after the other."""
-        found = sorted(counts.groupBy("lang").applyInArrow(prototype, "lang string, kinds long, vector binary").toLocalIterator())
+        found = sorted(counts.groupBy("lang").applyInArrow(prototype, "lang string, vector binary").toLocalIterator())
         if not found:
             return cls([], None)
         # beside the files that Spark serves, which go when the session ends
         path = f"{tempfile.mkdtemp(dir=SparkFiles.getRootDirectory())}/languages-{uuid.uuid4().hex}.npy"
         table = np.lib.format.open_memmap(path, "w+", np.float16, (len(found), GRAMS))
-        for k, (_, _, vector) in enumerate(found):
+        for k, (_, vector) in enumerate(found):
             table[k] = trigram_dots(np.frombuffer(vector, np.float32))
         table.flush()
         spark.sparkContext.addFile(path)
-        return cls([lang for lang, _, _ in found], path.rsplit("/", 1)[1], sum(n for _, n, _ in found))
+        return cls([lang for lang, _ in found], path.rsplit("/", 1)[1])
 
     def judge(self, column: pa.Array) -> pa.Array:
         """lang_pred, score, whether the text has a letter, its trigrams, and strength: the best dot product over what chance gives."""
@@ -257,18 +251,19 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_strength: float = LEAST_STRENGTH) -> DataFrame:
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, least_strength: float | None = None) -> DataFrame:
     """docs without the rows whose language cannot be told; all columns as they were.
 
-    What goes: texts without a letter; texts of LEAST_GRAMS trigrams or more that no prototype is nearer to than chance
-    explains (another script, say, or letters at random), unless the profiles are too small to say so; where `languages` is given, texts of others. A row's own label is not looked at. Where no
-    language was learned, every text with a letter stays.
+    What goes: texts that op8 calls `und`, those without a letter; where `languages` is given, texts of others; where
+    `least_strength` is given, texts whose best dot product is less than so many times sqrt(trigrams), which is what
+    chance gives one (another script, say, or letters at random; 2 is a good value for profiles of many texts). A row's
+    own label is not looked at. Where no language was learned, every text with a letter stays.
     """
     model = train(docs)
     said = model.column(text_of(docs))
     keep = said["lettered"]
-    if model.kinds >= LEAST_KINDS:
-        keep &= (said["grams"] < LEAST_GRAMS) | (said["strength"] >= least_strength)
+    if model.langs and least_strength is not None:
+        keep &= said["strength"] >= least_strength
     if model.langs and languages is not None:
         keep &= said["lang_pred"].isin(languages)
     return docs.filter(keep)

@@ -66,9 +66,17 @@ _MPL = """This Source Code Form is subject to the terms of the Mozilla Public Li
 TEMPLATES: dict[str, list[tuple[str, str]]] = {
     "mit": [("released under the MIT License", "mit license"), ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "charge obtaining"), (_MIT, "charge obtaining sublicense")],
     "apache-2": [("licensed under the Apache License version 2.0", "apache license 2"), ("you may not use this file except in compliance with the License you may obtain a copy of the License at", "compliance license"), (_APACHE, "apache license 2")],
-    "gpl-3": [("this work is licensed under the GNU General Public License version 3", "gnu general public 3"), ("it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License", "gnu general public 3"), (_GPL, "gnu general public 3")],
+    "gpl-3": [("licensed under the GNU General Public License version 3", "gnu general public 3"), ("it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License", "gnu general public 3"), (_GPL, "gnu general public 3")],
+    "gpl-2": [("licensed under the GNU General Public License version 2", "gnu general public 2"), ("it under the terms of the GNU General Public License as published by the Free Software Foundation either version 2 of the License", "gnu general public 2")],
+    "lgpl-3": [("licensed under the GNU Lesser General Public License version 3", "gnu lesser general public 3"), ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation either version 3 of the License", "gnu lesser general public 3")],
+    "lgpl-2.1": [("licensed under the GNU Lesser General Public License version 2.1", "gnu lesser general public 2 1"), ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation either version 2.1 of the License", "gnu lesser general public 2 1")],
+    "agpl-3": [("licensed under the GNU Affero General Public License version 3", "gnu affero general public 3"), ("it under the terms of the GNU Affero General Public License as published by the Free Software Foundation either version 3 of the License", "gnu affero general public 3")],
     "cc-by-nc": [("licensed under CC BY-NC 4.0", "cc by nc"), ("this work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "creative commons attribution noncommercial")],
     "cc-by-sa": [("licensed under CC BY-SA 4.0", "cc by sa"), ("this work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "creative commons attribution sharealike")],
+    "cc-by-nd": [("licensed under CC BY-ND 4.0", "cc by nd"), ("this work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License", "creative commons attribution noderivatives")],
+    "cc-by-nc-sa": [("licensed under CC BY-NC-SA 4.0", "cc by nc sa"), ("this work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License", "creative commons attribution noncommercial sharealike")],
+    "cc-by-nc-nd": [("licensed under CC BY-NC-ND 4.0", "cc by nc nd"), ("this work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License", "creative commons attribution noncommercial noderivatives")],
+    "cc0": [("licensed under CC0 1.0 Universal", "cc0"), ("this work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal license", "cc0 public domain")],
     "cc-by": [("licensed under CC BY 4.0", "cc by"), ("this work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution")],
     "bsd": [("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary")],
     "bsd-2-clause": [(_BSD_HEAD + _BSD_TAIL, "redistribution source binary")],
@@ -78,6 +86,11 @@ TEMPLATES: dict[str, list[tuple[str, str]]] = {
     "unlicense": [("this is free and unencumbered software released into the public domain", "unencumbered public domain"), (_UNLICENSE, "unencumbered public domain")],
     "zlib": [(_ZLIB, "misrepresented altered")],
 }
+# Identifiers in the one-line form, and our label of each.
+_IDENTIFIERS = {"MIT": "mit", "Apache-2.0": "apache-2", "GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "LGPL-2.1": "lgpl-2.1", "LGPL-3.0": "lgpl-3", "AGPL-3.0": "agpl-3", "MPL-2.0": "mpl-2", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-ND-4.0": "cc-by-nd"}
+for _id, _label in _IDENTIFIERS.items():
+    # one word alone would be contained without the identifier, so every word of it must be there
+    TEMPLATES[_label].append((f"SPDX-License-Identifier: {_id}", f"spdx license identifier {_id}"))
 
 
 def _tokens(texts: list[str]) -> list[list[tuple[int, bytes]]]:
