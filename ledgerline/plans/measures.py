@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import MEASURES, aggregate
+from ..operators.typo import best_matches
 from ..sources import catalog as cat
 from .base import Part
 
@@ -30,19 +31,31 @@ def a_generic_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("key", F.round("value", 4).alias("value"), "status")
 
 
-_KNOWN = ["quantity", "unit_price", "discount", "subtotal", "shipping", "customer", "supplier"]
-_SEEN = ["quantitty", "unit_prise", "discuont", "subtotal", "shiping", "costumer", "suplier", "colour"]
+#: A name misspelled by its key: two letters swapped, one dropped, one doubled, or as it is.
+_TYPO = """CASE p_partkey % 4 WHEN 0 THEN substr(w, 1, k - 1) || substr(w, k + 1, 1) || substr(w, k, 1) || substr(w, k + 2) WHEN 1 THEN substr(w, 1, k - 1) || substr(w, k + 1) WHEN 2 THEN substr(w, 1, k) || substr(w, k, 1) || substr(w, k + 1) ELSE upper(w) END"""
+_MATCHED = """d AS (SELECT DISTINCT seen, known, damerau_levenshtein(lower(seen), known) AS dist FROM (SELECT DISTINCT {typo} AS seen FROM s), (SELECT DISTINCT w AS known FROM s) WHERE length(seen) >= 3),
+r AS (SELECT *, 1 - dist / greatest(length(seen), length(known)) AS sim FROM d WHERE dist <= CASE WHEN length(known) <= 5 THEN 1 ELSE 2 END),
+x AS (SELECT *, row_number() OVER (PARTITION BY seen ORDER BY sim DESC, known) AS i FROM r WHERE sim >= 0.65)
+SELECT seen AS value, known AS match, dist::INT AS distance, round(sim, 3) AS similarity FROM x WHERE i = 1""".format(typo=_TYPO)
 
 
-@part.query(f"""WITH s AS (SELECT unnest({_SEEN}) AS header), k AS (SELECT unnest({_KNOWN}) AS field), d AS (SELECT header, field, levenshtein(header, field) AS dist FROM s, k),
-r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY dist, field) AS i FROM d) SELECT header, CASE WHEN dist <= 2 THEN field END AS field, dist::INT AS distance FROM r WHERE i = 1""")
+def _misspelled(s: DataFrame) -> DataFrame:
+    return s.withColumn("k", (1 + c("p_partkey") % (F.length("w") - 1)).cast("int")).select("w", F.expr(_TYPO).alias("seen"))
+
+
+@part.query("WITH s AS (SELECT p_partkey, w, (1 + p_partkey % (length(w) - 1))::INT AS k FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)), " + _MATCHED)
 def g_fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each header's nearest known field within two edits; both lists are a file's header and a schema, not data."""
-    s = spark.createDataFrame([(x,) for x in _SEEN], "header string")
-    k = spark.createDataFrame([(x,) for x in _KNOWN], "field string")
-    d = s.crossJoin(F.broadcast(k)).withColumn("distance", F.levenshtein("header", "field"))
-    best = d.groupBy("header").agg(F.min(F.struct("distance", "field")).alias("b"))
-    return best.select("header", F.when(c("b.distance") <= 2, c("b.field")).alias("field"), c("b.distance").alias("distance"))
+    """Misspelled words of the parts' names, each with the nearest word that the names have."""
+    s = cat.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
+    m = _misspelled(s)
+    return best_matches(m, "seen", m, "w")
+
+
+@part.query("WITH s AS (SELECT p_partkey, p_name AS w, (1 + p_partkey % (length(p_name) - 1))::INT AS k FROM part), " + _MATCHED)
+def g_typo_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelled names of parts, each with the nearest name of the table."""
+    m = _misspelled(cat.table(spark, sf_dir, "part").select("p_partkey", c("p_name").alias("w")))
+    return best_matches(m, "seen", m, "w")
 
 
 @part.query("SELECT event_id, event_type AS concept, round(value, 4) AS value, CASE WHEN event_id % 3 = 0 THEN 0.9 WHEN event_id % 3 = 1 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM events WHERE event_id % 3 <> 2")
