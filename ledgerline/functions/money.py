@@ -104,3 +104,17 @@ def product_margin_pct(margin: Column, cost: Column, price: Column) -> Column:
         F.when(known & said & ratio, margin * 100).when(known & said & ((margin > 100) | (F.abs(margin - (price - cost)) < 1)), rate_pct).when(known & said, margin).when(known, rate_pct)
         .when(said & ratio, margin * 100).otherwise(margin)
     )
+
+
+# What a header says when its amounts hold the taxes.
+TAX_INCLUDED = r"ttc|tax(es)?[\s_-]*incl|incl[\s_-]*tax"
+
+
+def revenue_base(orders: DataFrame) -> DataFrame:
+    """T8, one row: base, n. HT where any row has a subtotal or a tax, TTC where the raw rows (original_data, JSON) have a
+    header that says so, else null: nothing tells."""
+    given = [F.nullif(F.trim(F.col(k).cast("string")), F.lit("")) for k in ("subtotal", "tax") if k in orders.columns]
+    net = F.count(F.coalesce(*given)) > 0 if given else F.lit(False)
+    keys = F.array_join(F.json_object_keys("original_data"), "|") if "original_data" in orders.columns else F.lit("")
+    gross = F.coalesce(F.max(F.lower(keys).rlike(TAX_INCLUDED)), F.lit(False))
+    return orders.agg(F.when(net, "HT").when(gross, "TTC").alias("base"), F.count(F.lit(1)).alias("n"))

@@ -139,6 +139,13 @@ FLOWS = {"order_lines": "date", "transactions": "date", "expenses": "date", "pay
 UP_TO = {"cashflow": "date", "inventory": "date"}
 
 
+def not_given(frames: dict[str, DataFrame], ids: list[str] | None = None) -> list[str]:
+    """Entities that the indicators asked for read and that nobody passed: forgotten, not empty."""
+    wanted = {w for k in needed(ids) for w in _names(" ".join([k.expr, *(_SHARED.get(x, "") for x in _names(k.expr))]))}
+    read = {e for e, own in SOURCES.items() if e in READS and {w.rstrip("34") for w in wanted} & {x for x in own.split()}}
+    return sorted(read - frames.keys())
+
+
 def readable(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
     """Every entity with the columns of READS, nulls where a frame lacks one, filtered to the period."""
     out = {}
@@ -322,7 +329,7 @@ def status_of(v: Column, partial: Column) -> Column:
 #: The entity that each base measure comes from.
 SOURCES = {
     "order_lines": "order_revenue cogs tax_federal tax_provincial gross_sales returns n_orders n_orders_buyer n_buyers revenue_buyer discount_amount days months", "transactions": "income txn_expense txn_open txn_twice booked foreign_share", "expenses": "opex",
-    "payroll": "payroll_cost overtime regular_pay", "employees": "n_staff_all n_staff mean_employer_cost employer_total seniority n_sales_staff union_share", "cashflow": "net_flow cash_days closing_cash", "balances": "receivable payable opening_cash",
+    "payroll": "payroll payroll_cost overtime regular_pay", "employees": "n_staff_all n_staff mean_employer_cost employer_total seniority n_sales_staff union_share", "cashflow": "net_flow cash_days closing_cash", "balances": "receivable payable opening_cash",
     "shared months": "revenue4 expense4 cogs4 payroll4 months4 revenue3 payroll3", "campaign_days": "spend campaign_revenue clicks impressions new_customers", "customers": "n_active n_lost n_customers points credit_limit", "remarks": "sentiment", "inventory": "stock_value stock_average critical_share", "suppliers": "esg local_share", "assets": "net_book_value accumulated initial_cost dpa",
 }
 TRACED = ["total_revenue", "total_expense", "gross_margin_pct", "net_income", "cash_runway", "roas", "cac", "aov", "churn_rate", "ltv"]

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
-from ..functions.money import ex_tax, rate
+from ..functions.money import ex_tax, normalise_currencies, revenue_base
+from ..functions.rules import is_revenue_order
+from ..operators import derive
+from ..operators.row_import import Entity, Field, normalise
 from ..sources import catalog as cat
 from .base import Part
 
@@ -50,47 +53,49 @@ def n_column_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.table(spark, sf_dir, "orders").agg((P.date_convention(text) == "DMY").alias("day_first"), F.count(F.lit(1)).alias("n"))
 
 
-@part.query("SELECT CASE WHEN user_id % 9 = 0 THEN 'MISSING_DATE' WHEN value > 95 THEN 'INVALID_NUMBER' END AS reason, count(*) AS n FROM events GROUP BY 1")
+@part.query("SELECT CASE WHEN user_id % 9 = 0 THEN 'MISSING_DATE:date' WHEN value > 95 THEN 'INVALID_NUMBER:amount' END AS reason, count(*) AS n FROM events GROUP BY 1")
 def n_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reason code of the first required field that a row lacks."""
+    """Reason code of the first required field that a row lacks, or has and cannot be read."""
     e = cat.table(spark, sf_dir, "events")
-    raw = e.select(F.when(c("user_id") % 9 != 0, F.to_date("ts")).alias("date"), F.when(c("value") > 95, "n/a").otherwise(c("value").cast("string")).alias("amount"))
-    reason = F.when(c("date").isNull(), "MISSING_DATE").when(P.parse_number(c("amount")).isNull(), "INVALID_NUMBER")
-    return raw.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    raw = e.select(c("event_id").alias("row_no"), F.when(c("user_id") % 9 != 0, F.to_date("ts").cast("string")).alias("date"), F.when(c("value") > 95, "n/a").otherwise(c("value").cast("string")).alias("amount"))
+    entity = Entity("Row", (Field("date", "date", required=True), Field("amount", "number", required=True)))
+    return normalise(raw, entity).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@part.query("SELECT employee_id, round(annual_salary / (52 * 37.5), 4) AS hourly_rate FROM employees")
-def n_hourly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.employees(spark, sf_dir).select("employee_id", F.round(c("annual_salary") / (52 * 37.5), 4).alias("hourly_rate"))
+_CENTS = "floor(({}) * 100 + 0.5) / 100"
 
 
-@part.query("SELECT employee_id, period, round(regular_pay + overtime + employer_cost, 4) AS total_cost FROM payroll")
-def n_payroll_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.payroll(spark, sf_dir).select("employee_id", "period", F.round(c("regular_pay") + c("overtime") + c("employer_cost"), 4).alias("total_cost"))
+@part.query(f"SELECT employee_id, {_CENTS.format('annual_salary / (52 * 37.5)')} AS hourly_rate FROM employees")
+def n_hourly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.employee(cat.employees(spark, sf_dir), 2001).select("employee_id", "hourly_rate")
 
 
-def _order_derivations(o: DataFrame) -> DataFrame:
-    return o.select("order_id", "line_no", "product_id", F.round("subtotal", 4).alias("revenue"), F.round(c("subtotal") - c("cost"), 4).alias("gross_profit"), F.round((c("subtotal") - c("cost")) * 100 / c("subtotal"), 4).alias("gross_margin"))
+@part.query(f"SELECT employee_id, CAST(period AS VARCHAR) AS period, {_CENTS.format('regular_pay + overtime + employer_cost')} AS total_cost FROM payroll")
+def n_payroll_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of a slip whose total is not given."""
+    return derive.payroll(cat.payroll(spark, sf_dir).drop("total_cost")).select("employee_id", "period", "total_cost")
 
 
-@part.query("SELECT order_id, line_no, product_id, round(subtotal, 4) AS revenue, round(subtotal - cost, 4) AS gross_profit, round((subtotal - cost) * 100 / subtotal, 4) AS gross_margin FROM order_lines")
+@part.query(f"""WITH r AS (SELECT order_id, line_no, product_id, {_CENTS.format('subtotal')} AS revenue, {_CENTS.format('quantity * (cost / quantity)')} AS total_cost FROM order_lines), p AS (SELECT *, {_CENTS.format('revenue - total_cost')} AS gross_profit FROM r)
+SELECT order_id, line_no, product_id, revenue, gross_profit, {_CENTS.format('gross_profit * 100 / revenue')} AS gross_margin FROM p""")
 def n_order_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derivations of every order."""
-    return _order_derivations(cat.order_lines(spark, sf_dir))
+    """The derivations of every order: revenue ex tax from a net subtotal, cost, profit and margin."""
+    o = cat.order_lines(spark, sf_dir).withColumn("unit_cost", c("cost") / c("quantity"))
+    return derive.order(o).select("order_id", "line_no", "product_id", c("total_revenue").alias("revenue"), "gross_profit", "gross_margin")
 
 
-@part.query("SELECT campaign_id, date, round(revenue / nullif(spend, 0), 4) AS roas, round(spend / nullif(new_customers, 0), 8) AS cac FROM campaign_days")
+@part.query(f"SELECT campaign_id, date, {_CENTS.format('revenue / nullif(spend, 0)')} AS roas, {_CENTS.format('nullif(spend, 0) / nullif(conversions, 0)')} AS cac FROM campaign_days")
 def n_campaign_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.campaign_days(spark, sf_dir).select("campaign_id", "date", F.round(c("revenue") / F.nullif("spend", F.lit(0.0)), 4).alias("roas"), F.round(c("spend") / F.nullif("new_customers", F.lit(0)), 8).alias("cac"))
+    return derive.campaign(cat.campaign_days(spark, sf_dir)).select("campaign_id", "date", "roas", "cac")
 
 
 _CLASS = "CASE WHEN status = 'returned' THEN 'refunded' WHEN status = 'completed' THEN 'completed' WHEN status = 'pending' THEN 'pending' ELSE 'unknown' END"
 
 
-@part.query(f"SELECT {_CLASS} AS class, count(*) AS n, count(*) FILTER ({_CLASS} IN ('completed', 'pending', 'unknown')) AS revenue_rows FROM order_lines GROUP BY 1")
+@part.query(f"SELECT {_CLASS} AS class, count(*) AS n, count(*) FILTER ({_CLASS} IN ('completed', 'pending')) AS revenue_rows FROM order_lines GROUP BY 1")
 def p_classify_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = P.classify_status(c("status"))
-    return cat.order_lines(spark, sf_dir).groupBy(k.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(k.isin("completed", "pending", "unknown")).alias("revenue_rows"))
+    return cat.order_lines(spark, sf_dir).groupBy(k.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_revenue_order(k)).alias("revenue_rows"))
 
 
 @part.query("SELECT sum(CAST(department = 'Ventes' AS INT)) > 0 AS has_sales, count(*) FILTER (status = 'quitté') AS leavers FROM employees")
@@ -118,8 +123,17 @@ def t_ex_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @part.query("SELECT currency AS reference FROM transactions GROUP BY currency ORDER BY count(*) DESC, currency LIMIT 1")
 def t_reference_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = cat.transactions(spark, sf_dir).groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
-    return g.orderBy(F.desc("n"), "currency").limit(1).select(c("currency").alias("reference"))
+    return normalise_currencies(cat.transactions(spark, sf_dir)).select("reference").distinct()
+
+
+@part.query("""SELECT 'net' AS file, 'HT' AS base, count(*) AS n FROM order_lines UNION ALL SELECT 'gross', 'TTC', count(*) FROM order_lines UNION ALL SELECT 'unsaid', NULL, count(*) FROM order_lines""")
+def t_revenue_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What revenue is told in, for files with subtotals, with amounts whose header says that tax is in, and with neither."""
+    o = cat.order_lines(spark, sf_dir).select("subtotal", "total", "tax")
+    bare = o.select("total")
+    files = {"net": o, "gross": bare.withColumn("original_data", F.to_json(F.struct(c("total").alias("Montant TTC")))), "unsaid": bare.withColumn("original_data", F.to_json(F.struct(c("total").alias("Montant"))))}
+    every = [revenue_base(df).select(F.lit(name).alias("file"), "base", "n") for name, df in files.items()]
+    return every[0].unionAll(every[1]).unionAll(every[2])
 
 
 @part.query("SELECT asset_id, CASE WHEN dpa_rate > 1 THEN dpa_rate / 100 ELSE dpa_rate END AS rate FROM assets")

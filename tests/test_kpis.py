@@ -128,3 +128,9 @@ def test_booking_of_one_frequent_amount(spark):
     x = spark.range(1_200_000).selectExpr("id AS expense_id", "DATE '2024-01-01' AS date", "-5.0D AS amount")
     got = already_booked(t, x, spark.createDataFrame([("e", date(2024, 1, 1), 5.0)], SLIP)).groupBy("booked_by").agg({"transaction_id": "max", "*": "count"}).collect()
     assert {(r.booked_by, r["count(1)"], r["max(transaction_id)"]) for r in got} == {("expense", 1_200_000, 1_199_999), ("pay slip", 1, 1_200_000), (None, 1_299_999, 2_499_999)}
+
+
+def test_entities_that_nobody_passed(spark):
+    """A frame without rows was passed; one that isn't there was forgotten."""
+    assert kpis.not_given({}, ["cac"]) == ["campaign_days"] and kpis.not_given({"campaign_days": spark.createDataFrame([], SLIP)}, ["cac"]) == []
+    assert kpis.not_given({"order_lines": orders(spark, (1,))}, ["ebitda"]) == ["expenses", "payroll", "transactions"]
