@@ -265,9 +265,7 @@ def measures(spark: SparkSession, frames: dict[str, DataFrame], start: str | Non
     a = e["assets"].agg(F.sum("net_book_value").alias("net_book_value"), F.sum("accumulated_depreciation").alias("accumulated"), F.sum("initial_cost").alias("initial_cost"), F.sum(c("net_book_value") * depreciation_rate(c("dpa_rate"))).alias("dpa"))
     for one in (n_orders, buyers, staff_all, staff, flow, m, cu, feel, stock, su, a):
         row = row.crossJoin(F.broadcast(one))  # rows of one
-    for name, expr in _SHARED.items():
-        row = row.withColumn(name, F.expr(expr))
-    return row
+    return row.withColumns({name: F.expr(expr) for name, expr in _SHARED.items()})
 
 
 def ordered(kpis: list[Kpi] | None = None) -> list[Kpi]:
@@ -302,11 +300,21 @@ def _names(expr: str) -> list[str]:
 
 def evaluated(row: DataFrame, asked: list[Kpi]) -> DataFrame:
     """The measures' row with a column for every indicator, and for whether it is partial (`<id>__partial`)."""
-    ids, base = {k.id for k in KPIS}, set(row.columns)
-    for k in asked:
-        rests_on = [w for w in dict.fromkeys(_names(k.expr)) if w in ids and w != k.id and w not in base]
-        whys = [F.col("left_out")] * k.partial + [F.col(p).isNull() for p in k.parts] + [F.col(f"{w}__partial") for w in rests_on]
-        row = row.withColumns({k.id: F.expr(k.expr).cast("double"), f"{k.id}__partial": reduce(lambda a, b: a | b, whys, F.lit(False))})
+    base, done = set(row.columns), set()
+    left = list(asked)
+    while left:  # all indicators whose inputs are there at once: a projection a level, not one an indicator
+        mine = {k.id for k in left}
+        level = {}
+        for k in left:
+            rests_on = [w for w in dict.fromkeys(_names(k.expr)) if w in mine | done and w != k.id and w not in base]
+            if set(rests_on) <= done:
+                whys = [F.col("left_out")] * k.partial + [F.col(p).isNull() for p in k.parts] + [F.col(f"{w}__partial") for w in rests_on]
+                level |= {k.id: F.expr(k.expr).cast("double"), f"{k.id}__partial": reduce(lambda x, y: x | y, whys, F.lit(False))}
+        if not level:
+            raise ValueError(f"indicators depend on each other: {sorted(mine)}")
+        row = row.withColumns(level)
+        done |= level.keys()
+        left = [k for k in left if k.id not in done]
     return row
 
 

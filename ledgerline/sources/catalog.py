@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Reference date of order data; the month it falls in counts as running.
 ORDERS_AS_OF = "2001-08-15"
@@ -17,8 +18,16 @@ ORDERS_AS_OF = "2001-08-15"
 EVENTS_AS_OF = "2024-01-30"
 
 
+#: Schemas of the tables that a session has read: entities share tables, and each inference is a job.
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def _c(name: str) -> Column:
