@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mark, text_of, written
+from .common import forget, mark, remove, shared_dir, text_of, written
 from .textnum import SPACE_WORDS, second_hashes, words
 
 WIDTH = 20
@@ -215,8 +215,8 @@ def repeated(shard: Shard, replies: pa.Table, bits: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def sharded(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str, keep: list[str]) -> tuple[str, int]:
-    """The texts in document order as a table bucketed by shard: its name, and the number of shards."""
+def sharded(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str, keep: list[str], name: str) -> int:
+    """The texts in document order as a table bucketed by shard, in the shared folder: the number of shards."""
     spark = docs.sparkSession
     text = text_of(docs, text_col)
     size = docs.select(F.octet_length(text).alias("n")).agg(F.sum("n")).first()[0] or 0
@@ -224,14 +224,25 @@ def sharded(docs: DataFrame, shard_bytes: int, id_col: str, text_col: str, keep:
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("place"), *keep)
     # equal rows are told apart by their place, so that no number of them has to lie in one shard
     ranged = rows.repartitionByRange(n, F.col("id").isNull(), "id", "th", "place").drop("place").withColumn("shard", F.spark_partition_id())
-    name = f"ledgerline_shards_{uuid.uuid4().hex}"
-    ranged.write.option("compression", "zstd").bucketBy(min(n, MOST_BUCKETS), "shard").sortBy("shard").saveAsTable(name)
-    return name, n
+    ranged.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(min(n, MOST_BUCKETS), "shard").sortBy("shard").saveAsTable(name)
+    return n
 
 
 def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: list | None = None) -> DataFrame:
-    """finish(table of a shard in order, words of each text, mask of removed words) for every shard."""
-    name, n = sharded(docs, shard_bytes, id_col, text_col, keep or [])
+    """finish(table of a shard in order, words of each text, mask of removed words) for every shard.
+
+    The shards' table goes when the result is written, or when that fails.
+    """
+    spark, name = docs.sparkSession, f"ledgerline_shards_{uuid.uuid4().hex}"
+    try:
+        return _removals(docs, finish, schema, width, shard_bytes, id_col, text_col, keep or [], name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, f"{shared_dir(spark)}/{name}")
+
+
+def _removals(docs: DataFrame, finish, schema: str, width: int, shard_bytes: int, id_col: str, text_col: str, keep: list, name: str) -> DataFrame:
+    n = sharded(docs, shard_bytes, id_col, text_col, keep, name)
     spark = docs.sparkSession
     shards, began = spark.table(name), mark()
     bits = max(1, n.bit_length())
@@ -257,7 +268,7 @@ def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_byt
         a, number = _cuts(hashes[:, 0], 64 - bits, n_tasks), t["shard"][0].as_py()
         return _rows([(k, number, hashes[a[k] : a[k + 1]].tobytes(), None, None, bits) for k in range(n_tasks) if a[k] < a[k + 1]], _ASK_ARROW)
 
-    def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
+    def cut(t: pa.Table, replies: pa.Table) -> pa.Table:
         t = in_order(t)
         shard = Shard(t["text"], width)
         return finish(t, shard, repeated(shard, replies, bits))
@@ -266,9 +277,8 @@ def removals(docs: DataFrame, finish, schema: str, width: int = WIDTH, shard_byt
     told = written(some.groupBy("shard").applyInArrow(ask_probes, _ASK).groupBy("task").applyInArrow(answer_probes, _TELL), "substring-hits")
     again = some.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(ask_windows, _ASK)
     told = told.unionAll(again.groupBy("task").applyInArrow(answer_windows, _TELL))
-    out = written(shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, schema), "substring-result")
+    out = written(shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(cut, schema), "substring-result")
     forget(spark, began, mark() - 1)
-    spark.sql(f"DROP TABLE {name}")
     return out
 
 
