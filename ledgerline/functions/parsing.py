@@ -246,20 +246,41 @@ def branch_key(x: Column) -> Column:
     return F.when(F.coalesce(key, F.lit("")) == "", "__none__").when(key.rlike(rf"^({ALL_BRANCHES})$"), "__all__").when(office(key) | office(inner) | office(outer), "__head_office__").when(inner != "", inner).otherwise(key)
 
 
+#: Bits of a value's key that one round of order_statistic looks at.
+ROUND_BITS = 16
+
+
 def order_statistic(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
-    """One row: the element at floor(n * share) of the sorted values, without sorting them all.
+    """One row: the element at floor(n * share) of the sorted values, without sorting them in one task.
 
-    A quantile sketch brackets it; rows below the bracket are counted, and only the bracket's distinct values (some
-    parts in 10,000 of the rows) are ranked.
+    A quantile sketch brackets it, and what lies below the bracket is counted. Within the bracket it is found as a radix
+    selection does: a value's place between the bracket's ends is a key of 32 bits; a histogram of the keys' high halves
+    tells which of them holds the element, one of the low halves within that the key, and only values of that one key are
+    ranked. No window sees more than 2^ROUND_BITS rows, or the distinct values of one part in 2^32 of the bracket.
     """
     v = F.col(value)
     bracket = df.agg(F.percentile_approx(value, F.array(F.lit(share - 0.0002), F.lit(share + 0.0002)), 100_000).alias("q"), F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
     few = F.col("n") <= 10_000  # the sketch's bracket could miss a neighbour
-    bracket = bracket.select(F.when(few, F.col("a")).otherwise(F.col("q")[0]).alias("lo"), F.when(few, F.col("b")).otherwise(F.col("q")[1]).alias("hi"), "n")
-    marked = df.crossJoin(F.broadcast(bracket))
-    counts = marked.groupBy(F.when(v > F.col("hi"), None).when(v >= F.col("lo"), v).alias("value"), (v > F.col("hi")).alias("above"), "n").agg(F.count(F.lit(1)).alias("k")).filter("NOT above")
-    upto = F.sum("k").over(Window.orderBy(F.col("value").asc_nulls_first()))
-    return counts.select("value", "n", upto.alias("upto")).filter(f"upto > floor(n * {share}) AND value IS NOT NULL").agg(F.min("value").alias(name))
+    bracket = bracket.select(F.when(few, F.col("a")).otherwise(F.col("q")[0]).alias("lo"), F.when(few, F.col("b")).otherwise(F.col("q")[1]).alias("hi"), F.floor(F.col("n") * F.lit(share)).alias("rank"))
+    span = (F.col("hi") - F.col("lo")).cast("double")
+    place = F.when(span > 0, F.least(F.floor((v - F.col("lo")).cast("double") / span * 2.0 ** (2 * ROUND_BITS)), F.lit(2 ** (2 * ROUND_BITS) - 1))).otherwise(F.lit(0))
+    marked = df.crossJoin(F.broadcast(bracket)).filter(v <= F.col("hi"))  # one row
+    inside = v >= F.col("lo")
+    counts = marked.groupBy(F.when(inside, v).alias("value"), F.when(inside, place).alias("key"), "rank").agg(F.count(F.lit(1)).alias("k"))
+    counts = counts.withColumns({"high": F.shiftright("key", ROUND_BITS), "low": F.col("key").bitwiseAND(F.lit(2**ROUND_BITS - 1))})
+
+    def holder(df: DataFrame, part: str, before: Column) -> DataFrame:
+        """One row: which value of `part` holds the element, and how many rows come before it. What is below the bracket has none."""
+        sums = df.groupBy(part, "rank", before.alias("__before")).agg(F.sum("k").alias("k"))
+        upto = F.col("__before") + F.sum("k").over(Window.orderBy(F.col(part).asc_nulls_first()))
+        sums = sums.select(part, "k", "rank", upto.alias("upto")).filter(F.col(part).isNotNull() & (F.col("upto") > F.col("rank")))
+        return sums.agg(F.min(F.struct(F.col(part), (F.col("upto") - F.col("k")).alias("b"))).alias("x")).select(F.col(f"x.{part}").alias(part), F.col("x.b").alias("before"))
+
+    near = counts.join(F.broadcast(holder(counts, "high", F.lit(0))), "high")
+    near = near.join(F.broadcast(holder(near, "low", F.col("before")).withColumnRenamed("before", "at")), "low")
+    upto = F.col("at") + F.sum("k").over(Window.orderBy("value"))
+    ranked = near.groupBy("value", "rank", "at").agg(F.sum("k").alias("k")).select("value", "rank", upto.alias("upto"))
+    return ranked.filter("upto > rank").agg(F.min("value").alias(name))
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
