@@ -27,8 +27,9 @@ q AS (SELECT f[len(f) // 2 + 1] AS mf, r[len(r) // 2 + 1] AS mr, r[CAST(floor(0.
 SELECT count(*) FILTER (rec <= 60 AND freq >= greatest(2, mf) AND rev >= p75) AS champions, count(*) FILTER (rec > 180) AS to_reactivate, count(*) FILTER (rev >= mr AND (status IN ('inactif', 'perdu') OR credit_limit > 0 AND rev >= 0.8 * credit_limit)) AS at_risk FROM s JOIN customers USING (customer_id), q""")
 def c_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments by recency, frequency and revenue; thresholds are exact order statistics by rank over distinct customers."""
-    exact = F.sum(c("subtotal").cast("decimal(28,8)")).cast("double")  # sums of doubles differ from one evaluation to the next, and a threshold is one of the values
-    s = cat.order_lines(spark, sf_dir).filter("status <> 'returned'").groupBy("customer_id").agg(F.countDistinct("order_id").alias("freq"), exact.alias("rev"), F.datediff(F.lit(cat.ORDERS_AS_OF).cast("date"), F.max("date")).alias("rec"))
+    # exact sums: those of doubles differ from one evaluation to the next, and a threshold is one of the values
+    orders = cat.order_lines(spark, sf_dir, cost=False).filter("status <> 'returned'").groupBy("customer_id", "order_id").agg(F.sum(c("subtotal").cast("decimal(28,8)")).alias("rev"), F.max("date").alias("date"))
+    s = orders.groupBy("customer_id").agg(F.count(F.lit(1)).alias("freq"), F.sum("rev").cast("double").alias("rev"), F.datediff(F.lit(cat.ORDERS_AS_OF).cast("date"), F.max("date")).alias("rec"))
     from ..functions.parsing import order_statistic
 
     s = s.persist()  # one row a customer, read for three ranks and the segments
