@@ -6,10 +6,12 @@ are exact: the cells are unpivoted and grouped, so that no column's values come
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import parsing as P
 
@@ -54,12 +56,19 @@ def compatibility(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 def key_candidates(df: DataFrame, columns: list[str], pairs: bool = True) -> DataFrame:
     """Columns and pairs of columns with their share of distinct values, and whether they are a key (no two rows alike,
-    none blank)."""
+    none blank).
+
+    Each set of columns is grouped by its own values, apart from the others: short rows, and one set's groups in a task's
+    memory at a time. The frame is read once a set."""
     sets = [(n,) for n in columns] + (list(combinations(columns, 2)) if pairs else [])
-    keys = [F.struct(F.lit("+".join(s)).alias("name"), F.when(_filled(s), F.sha2(F.concat_ws("\u0001", *(c(f"`{n}`").cast("string") for n in s)), 256)).alias("value")) for s in sets]
-    g = df.select(F.explode(F.array(*keys)).alias("x")).select("x.*").groupBy("name", "value").agg(F.count(F.lit(1)).alias("k"))
-    one = g.groupBy("name").agg(F.count("value").alias("n_distinct"), F.sum("k").alias("n"))
-    return one.select("name", F.round(c("n_distinct") / c("n"), 6).alias("uniqueness"), (c("n_distinct") == c("n")).alias("is_key"))
+
+    def one(s: tuple[str, ...]) -> DataFrame:
+        keys = [c(f"`{n}`") if isinstance(df.schema[n].dataType, IntegralType) else c(f"`{n}`").cast("string").alias(n) for n in s]
+        g = df.select(*keys).groupBy(*(f"`{n}`" for n in s)).agg(F.count(F.lit(1)).alias("__k"))
+        g = g.agg(F.count_if(_filled(s)).alias("n_distinct"), F.coalesce(F.sum("__k"), F.lit(0)).alias("n")).filter("n > 0")
+        return g.select(F.lit("+".join(s)).alias("name"), F.round(c("n_distinct") / c("n"), 6).alias("uniqueness"), (c("n_distinct") == c("n")).alias("is_key"))
+
+    return reduce(DataFrame.unionAll, map(one, sets))
 
 
 def _filled(names: tuple[str, ...]) -> Column:

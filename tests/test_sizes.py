@@ -51,3 +51,10 @@ def plan(df):
 def test_amount_of_zero_is_classified(spark, odd):
     folder = odd(events="SELECT * REPLACE (CASE event_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE value END AS value) FROM events")
     assert rows(registry.QUERIES["p_classify_transaction"](spark, folder)) == by_sql("p_classify_transaction", folder)
+
+
+def test_key_candidates_group_short_rows(spark):
+    df = spark.createDataFrame([(1, 1.5, None), (2, 1.5, "x"), (2, -0.0, "x")], "k int, n double, d string")
+    got = profile.key_candidates(df, ["k", "n", "d"])
+    assert "Generate" not in plan(got) and "sha2" not in plan(got)
+    assert {r.name: (r.uniqueness, r.is_key) for r in got.collect()} == {"k": (0.666667, False), "n": (0.666667, False), "d": (0.333333, False), "k+n": (1.0, True), "k+d": (0.333333, False), "n+d": (0.666667, False)}
