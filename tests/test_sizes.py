@@ -58,3 +58,10 @@ def test_key_candidates_group_short_rows(spark):
     got = profile.key_candidates(df, ["k", "n", "d"])
     assert "Generate" not in plan(got) and "sha2" not in plan(got)
     assert {r.name: (r.uniqueness, r.is_key) for r in got.collect()} == {"k": (0.666667, False), "n": (0.666667, False), "d": (0.333333, False), "k+n": (1.0, True), "k+d": (0.333333, False), "n+d": (0.666667, False)}
+
+
+def test_contents_with_nulls_refute_a_key(spark, odd):
+    folder = odd(lineitem="SELECT * REPLACE (CASE WHEN l_quantity > 25 THEN NULL ELSE l_quantity END AS l_quantity) FROM (SELECT * FROM lineitem UNION ALL SELECT * REPLACE (51 - l_quantity AS l_quantity) FROM lineitem WHERE l_quantity < 20)")
+    got = registry.QUERIES["x_composite_key_refuted"](spark, folder)
+    assert rows(got) == by_sql("x_composite_key_refuted", folder)
+    assert "part.parquet" not in plan(got)
