@@ -35,8 +35,9 @@ def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D")
 
 
-def field_quality(df: DataFrame, rules: list[FieldRule], as_of: str, date: str | None = None) -> DataFrame:
-    """Q1, Q3, Q4: field, the five dimensions (0 to 100), score, grade, sufficient, weakest dimension.
+def field_quality(df: DataFrame, rules: list[FieldRule], as_of: str, date: str | None = None, beside: dict[str, Column] | None = None) -> DataFrame:
+    """Q1, Q3, Q4: field, the five dimensions (0 to 100), score, grade, sufficient, weakest dimension, and what of the whole
+    frame is asked for `beside` (aggregates by name), the same in every row.
 
     What a field cannot be judged by counts as 100. Three passes at most: the medians' two, and one for all the rest.
     """
@@ -56,10 +57,11 @@ def field_quality(df: DataFrame, rules: list[FieldRule], as_of: str, date: str |
         consistency = 100 - F.count_if((v < 0) | (v > 20 * c(f"__m_{r.name}"))) * 100.0 / n if r.amount else F.lit(100.0)
         uniqueness = F.countDistinct(v) * 100.0 / full if r.identifier else F.lit(100.0)
         cells.append(F.struct(F.lit(r.name).alias("field"), (F.count(v) * 100.0 / n).alias("completeness"), F.coalesce(validity, F.lit(0.0)).alias("validity"), F.coalesce(consistency, F.lit(0.0)).alias("consistency"), F.coalesce(uniqueness, F.lit(0.0)).alias("uniqueness"), freshness(age).cast("double").alias("freshness")))
-    g = x.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    more = beside or {}
+    g = x.agg(F.array(*cells).alias("x"), *(v.alias(k) for k, v in more.items())).select(F.explode("x").alias("x"), *more).select("x.*", *more)
     score = sum((c(d) * w for d, w in zip(DIMENSIONS, WEIGHTS, strict=True)), F.lit(0.0))
     weakest = F.array_min(F.array(*(F.struct(c(d).alias("v"), F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DIMENSIONS))))["d"]
-    return g.select("field", *(F.round(d, 4).alias(d) for d in DIMENSIONS), F.round(score, 4).alias("score"), grade(score).alias("grade"), (score >= 60).alias("sufficient"), weakest.alias("weakest"))
+    return g.select("field", *(F.round(d, 4).alias(d) for d in DIMENSIONS), F.round(score, 4).alias("score"), grade(score).alias("grade"), (score >= 60).alias("sufficient"), weakest.alias("weakest"), *more)
 
 
 def dataset_quality(fields: DataFrame, n_columns: int) -> DataFrame:

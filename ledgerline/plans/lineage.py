@@ -68,10 +68,9 @@ def source_facts(frames: dict[str, DataFrame], used: set[tuple[str, str]], as_of
             continue
         day = DATED.get(entity)
         has_day = day is not None and day in df.columns
-        q = field_quality(df, [FieldRule(f) for f in fields], as_of, day if has_day else None)
-        quality = q.agg(*(F.max(F.when(c("field") == f, c("score"))).alias(f"q_{f}") for f in fields))
-        span = [F.min(day).cast("date"), F.max(day).cast("date")] if has_day else [F.lit(None).cast("date")] * 2
-        facts = df.agg(F.count(F.lit(1)).alias("n"), span[0].alias("a"), span[1].alias("b")).crossJoin(F.broadcast(quality))  # rows of one
+        span = (F.min(day).cast("date"), F.max(day).cast("date")) if has_day else (F.lit(None).cast("date"),) * 2
+        q = field_quality(df, [FieldRule(f) for f in fields], as_of, day if has_day else None, {"n": F.count(F.lit(1)), "a": span[0], "b": span[1]})
+        facts = q.agg(*(F.max(x).alias(x) for x in ("n", "a", "b")), *(F.max(F.when(c("field") == f, c("score"))).alias(f"q_{f}") for f in fields))
         facts = facts.select(*(F.struct(F.lit(f"{entity}.{f}").alias("source"), "n", "a", "b", c(f"q_{f}").alias("quality")).alias(f"{entity}__{f}") for f in fields))
         row = facts if row is None else row.crossJoin(F.broadcast(facts))
     return row

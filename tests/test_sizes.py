@@ -6,9 +6,11 @@ from collections import Counter
 import duckdb
 import pytest
 
+from ledgerline.functions import semantics
 from ledgerline.operators import profile
 from ledgerline.operators.dedup_engine import deduplicate
 from ledgerline.plans import registry
+from ledgerline.plans.lineage import source_facts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -77,3 +79,11 @@ def test_dedup_plans_only_what_can_matter(spark):
     got = deduplicate(spark.createDataFrame(mixed, schema), "Order")
     assert {r.row_no: r.status for r in got.collect()} == {1: "new", 2: "potential_duplicate", 3: "conflict", 4: "new", 5: "potential_duplicate", 6: "new", 7: "duplicate", 8: "conflict"}
     assert "InMemoryTableScan" not in plan(registry.QUERIES["x_dedup_engine"](spark, SMALL))
+
+
+def test_facts_of_a_source_take_one_pass(spark):
+    df = spark.read.parquet(f"{SMALL}/orders.parquet").selectExpr("o_orderkey AS order_id", "CAST(o_orderdate AS DATE) AS date", "IF(o_orderkey % 2 = 0, o_totalprice, NULL) AS total")
+    got = source_facts({"order_lines": df}, {("order_lines", "total"), ("order_lines", "order_id")}, "2001-08-15")
+    assert plan(got).count("orders.parquet") == 1
+    days = df.agg({"date": "min"}).first()[0], df.agg({"date": "max"}).first()[0]
+    assert got.select("order_lines__total.n", "order_lines__total.a", "order_lines__total.b").first() == (df.count(), *days)
