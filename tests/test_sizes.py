@@ -87,3 +87,13 @@ def test_facts_of_a_source_take_one_pass(spark):
     assert plan(got).count("orders.parquet") == 1
     days = df.agg({"date": "min"}).first()[0], df.agg({"date": "max"}).first()[0]
     assert got.select("order_lines__total.n", "order_lines__total.a", "order_lines__total.b").first() == (df.count(), *days)
+
+
+def test_measures_of_an_entity_take_one_pass(spark):
+    df = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("l_extendedprice AS subtotal", "l_quantity AS quantity", "l_orderkey AS order_id", "CAST(NULL AS DOUBLE) AS total_cost", "l_tax AS cost")
+    own = [semantics.MEASURES[k] for k in ("revenue", "cogs", "sales_quantity", "order_ids", "order_unit_price")]
+    got = semantics.aggregate(df, *own)
+    assert plan(got).split("unit_price")[0].count("lineitem.parquet") == 1
+    told = {r.key: (r.value, r.status) for r in got.collect()}
+    assert told["order_unit_price"] == (None, "NOT_MEASURED") and told["order_ids"] == (df.select("order_id").distinct().count(), "VALID")
+    assert told["cogs"][0] == pytest.approx(df.agg({"cost": "sum"}).first()[0]) and told["revenue"][0] == pytest.approx(df.agg({"subtotal": "sum"}).first()[0])
