@@ -232,7 +232,7 @@ _BLAME = "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in
 def b_cash_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement of daily flows, the same as balances alone, and the balances that follow from the flows."""
     o = cat.order_lines(spark, sf_dir)
-    f = o.groupBy(c("ship_date").alias("date")).agg(F.sum("total").alias("cash_in"), F.sum("cost").alias("cash_out"))
+    f = o.groupBy(c("ship_date").alias("date")).agg(F.sum("total").alias("cash_in"), F.sum("cost").alias("cash_out")).persist()  # one row a day, read three ways
     alone = f.select("date", (F.lit(1e6) + F.sum(c("cash_in") - c("cash_out")).over(Window.orderBy("date"))).alias("closing_cash"))  # one row a day
     flows = cash_per_month(f, cat.ORDERS_AS_OF)
     both = flows.join(cash_per_month(alone, cat.ORDERS_AS_OF).withColumnRenamed("net_flow", "by_balance"), "month", "left").join(balances_per_month(f, 1e6, cat.ORDERS_AS_OF), "month")

@@ -97,3 +97,8 @@ def test_measures_of_an_entity_take_one_pass(spark):
     told = {r.key: (r.value, r.status) for r in got.collect()}
     assert told["order_unit_price"] == (None, "NOT_MEASURED") and told["order_ids"] == (df.select("order_id").distinct().count(), "VALID")
     assert told["cogs"][0] == pytest.approx(df.agg({"cost": "sum"}).first()[0]) and told["revenue"][0] == pytest.approx(df.agg({"subtotal": "sum"}).first()[0])
+
+
+@pytest.mark.parametrize("name", ["b_cash_ways"])
+def test_what_is_read_several_times_is_kept(spark, name):
+    assert "InMemoryTableScan" in plan(registry.QUERIES[name](spark, SMALL))
