@@ -79,8 +79,11 @@ SELECT key, CASE WHEN quality < 60 THEN NULL ELSE round(value, 4) END AS value,
   CASE WHEN quality < 60 THEN 'quality' WHEN key = 'rebate' THEN 'no value' WHEN key = 'waste' THEN 'trust' WHEN key = 'water' THEN 'no source' END AS reason FROM x""")
 def a_gated_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine measures, each by the branch that its sources leave: entity, gate, no value, observations, no trust, no source."""
-    lines = cat.order_lines(spark, sf_dir).withColumns({"late_fee": F.when(c("order_id") % 10 == 0, -5.0), "rebate": F.lit(None).cast("double")})
-    frames = {"order_lines": lines, "expenses": cat.expenses(spark, sf_dir), "inventory": cat.inventory(spark, sf_dir)}
+    lines = cat.order_lines(spark, sf_dir, cost=False).withColumns({"late_fee": F.when(c("order_id") % 10 == 0, -5.0), "rebate": F.lit(None).cast("double")})
+    # what the measures read and no more, as each reads it several times over
+    lines = lines.select("order_id", "date", "subtotal", "total", "late_fee", "rebate").persist()
+    stock = cat.inventory(spark, sf_dir).select("product_id", "warehouse_id", "date", "closing_stock").persist()
+    frames = {"order_lines": lines, "expenses": cat.expenses(spark, sf_dir), "inventory": stock}
     concept = F.when(c("event_type") == "view", "finance.energy").when(c("event_type") == "click", "waste").otherwise("marketing.revenue")
     confidence = F.when(c("event_type") == "click", 0.4).when(c("event_id") % 2 == 0, 0.9).otherwise(0.3)
     seen = cat.table(spark, sf_dir, "events").select(concept.alias("concept"), "value", confidence.alias("confidence"))

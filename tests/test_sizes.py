@@ -99,6 +99,6 @@ def test_measures_of_an_entity_take_one_pass(spark):
     assert told["cogs"][0] == pytest.approx(df.agg({"cost": "sum"}).first()[0]) and told["revenue"][0] == pytest.approx(df.agg({"subtotal": "sum"}).first()[0])
 
 
-@pytest.mark.parametrize("name", ["b_cash_ways"])
+@pytest.mark.parametrize("name", ["b_cash_ways", "a_gated_aggregates"])
 def test_what_is_read_several_times_is_kept(spark, name):
     assert "InMemoryTableScan" in plan(registry.QUERIES[name](spark, SMALL))
