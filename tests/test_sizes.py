@@ -102,3 +102,7 @@ def test_measures_of_an_entity_take_one_pass(spark):
 @pytest.mark.parametrize("name", ["b_cash_ways", "a_gated_aggregates"])
 def test_what_is_read_several_times_is_kept(spark, name):
     assert "InMemoryTableScan" in plan(registry.QUERIES[name](spark, SMALL))
+
+
+def test_lines_of_two_domains_are_read_once(spark):
+    assert plan(registry.QUERIES["c_domain_scores"](spark, SMALL)).count("InMemoryTableScan") > 2  # two are of the domains' own rows
