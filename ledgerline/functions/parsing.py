@@ -117,8 +117,10 @@ def period_month(x: Column) -> Column:
 
 def date_convention(x: Column) -> Column:
     """N6, aggregate: DMY or MDY where a value over twelve proves it, null where none or both do."""
-    parts = F.regexp_extract(x, r"^(\d{1,2})[/.-]\d{1,2}[/.-]\d{4}", 1).try_cast("int"), F.regexp_extract(x, r"^\d{1,2}[/.-](\d{1,2})[/.-]\d{4}", 1).try_cast("int")
-    day_first, month_first = F.max(F.coalesce((parts[0] > 12) & (parts[1] <= 12), F.lit(False))), F.max(F.coalesce((parts[1] > 12) & (parts[0] <= 12), F.lit(False)))
+    # patterns, not casts: a cast that fails costs more than all the rest
+    over, within = r"(1[3-9]|[2-9]\d)", r"(0?\d|1[0-2])"
+    shows = lambda a, b: F.max(F.coalesce(x.rlike(rf"^{a}[/.-]{b}[/.-]\d{{4}}"), F.lit(False)))
+    day_first, month_first = shows(over, within), shows(within, over)
     return F.when(day_first & ~month_first, "DMY").when(month_first & ~day_first, "MDY")
 
 
@@ -128,7 +130,7 @@ def number_convention(x: Column) -> Column:
     A mark before one, two, or four and more final digits is decimal, as is one after groups of thousands with the other.
     """
     s = F.regexp_replace(F.regexp_replace(F.trim(x), "[\\s\u00a0\u202f$€£%]", ""), r"^[-+(]+|\)$", "")
-    proves = lambda d, t: F.max(F.coalesce(s.rlike(rf"^\d{{1,3}}(\{t}\d{{3}})+\{d}\d+$") | s.rlike(rf"^\d+\{d}(\d{{1,2}}|\d{{4,}})$"), F.lit(False)))
+    proves = lambda d, t: F.max(F.coalesce(s.rlike(rf"^\d{{1,3}}(\{t}\d{{3}})+\{d}\d+$|^\d+\{d}(\d{{1,2}}|\d{{4,}})$"), F.lit(False)))
     point, comma = proves(".", ","), proves(",", ".")
     return F.when(point & ~comma, "point").when(comma & ~point, "comma")
 

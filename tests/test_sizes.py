@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ledgerline.functions import semantics
+from ledgerline.functions import parsing, semantics
 from ledgerline.operators import profile
 from ledgerline.operators.dedup_engine import deduplicate
 from ledgerline.plans import registry
@@ -106,3 +106,10 @@ def test_what_is_read_several_times_is_kept(spark, name):
 
 def test_lines_of_two_domains_are_read_once(spark):
     assert plan(registry.QUERIES["c_domain_scores"](spark, SMALL)).count("InMemoryTableScan") > 2  # two are of the domains' own rows
+
+
+def test_conventions_cast_no_text(spark):
+    df = spark.createDataFrame([("13/01/2024", "1,5"), ("x", ""), (None, "n/a")], "d string, n string")
+    got = df.agg(parsing.date_convention(df.d).alias("d"), parsing.date_convention(df.n).alias("none"), parsing.number_convention(df.n).alias("n"))
+    assert "cast(" not in plan(got).lower()  # a cast of a text that is no number costs twenty microseconds
+    assert got.first() == ("DMY", None, "comma")
