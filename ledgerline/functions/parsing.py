@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ YES, NO = "true oui 1 yes vrai y".split(), "false non 0 no faux n".split()
 STATUS_FRAGMENTS = [("cancelled", "annul|cancel|void"), ("draft", "brouillon|draft"), ("refunded", "rembours|refund|retour|return"), ("completed", "complet|paye|paid|livr|deliver|termine|done|closed"), ("pending", "attente|pending|open|partiel|unpaid")]
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f names it: what only some branches of a `when` read is not shared otherwise."""
+    return F.transform(F.array(x), f)[0]
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
@@ -51,11 +58,18 @@ def parse_number(x: Column) -> Column:
     Of two kinds of separators the last is the decimal one. A lone separator before exactly three digits parts
     thousands, unless the whole part is 0 or longer than three digits. What has no digit is null.
     """
-    s = F.regexp_replace(F.trim(x), "[\\s\\u00a0\\u202f'’_]", "")
-    negative = s.rlike(r"^\(.*\)$") | s.rlike(r"^-|-$")
-    unit = F.regexp_extract(s, r"(?i)\d(md|mrd|k|m|b)(?![a-z])", 1)
-    times = F.when(F.lower(unit) == "k", 1e3).when(F.lower(unit) == "m", 1e6).when(unit != "", 1e9).otherwise(1.0)
-    s = F.regexp_replace(s, r"[^0-9.,]", "")
+    return let(F.regexp_replace(F.trim(x), "[\\s\\u00a0\\u202f'’_]", ""), _signed)
+
+
+def _signed(s: Column) -> Column:
+    unit = F.lower(F.regexp_extract(s, r"(?i)\d(md|mrd|k|m|b)(?![a-z])", 1))
+    times = let(unit, lambda u: F.when(u == "", 1.0).when(u == "k", 1e3).when(u == "m", 1e6).otherwise(1e9))
+    value = let(F.regexp_replace(s, r"[^0-9.,]", ""), _plain) * times
+    return let(value, lambda v: F.when(s.rlike(r"^\(.*\)$|^-|-$"), -v).otherwise(v))
+
+
+def _plain(s: Column) -> Column:
+    """A number of digits, commas and points alone."""
     comma, dot = F.instr(F.reverse(s), ","), F.instr(F.reverse(s), ".")
     n_comma, n_dot = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))), F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
     without = lambda ch, y: F.replace(y, F.lit(ch), F.lit(""))
@@ -68,8 +82,7 @@ def parse_number(x: Column) -> Column:
         .when(n_dot == 1, lone("."))
         .otherwise(s)
     )
-    value = F.when(s.rlike(r"\d"), plain.try_cast("double")) * times
-    return F.when(negative, -value).otherwise(value)
+    return F.when(s.rlike(r"\d"), plain.try_cast("double"))
 
 
 def _month_names() -> dict[str, int]:
@@ -86,31 +99,42 @@ def _month_names() -> dict[str, int]:
 def parse_date(x: Column, convention: str = "DMY") -> Column:
     """ISO, day or month first by the column's convention, spreadsheet serials 20000-60000, French and English month
     names, and YYYY-MM as its first day; a time is dropped; impossible dates are null."""
-    s = F.regexp_replace(F.trim(x), r"[T ]\d{1,2}:\d{2}.*$", "")
-    serial = s.try_cast("int")
-    words = strip_accents(F.lower(s))
-    day = F.regexp_replace(F.regexp_extract(words, r"^(\d{1,2})(?:er|st|nd|rd|th)?\s", 1), "^$", "x").try_cast("int")
-    name, year = F.regexp_extract(words, r"([a-z]{3,9})\.?,?\s+\d{4}$", 1), F.regexp_extract(words, r"(\d{4})$", 1).try_cast("int")
-    number = F.create_map(*(F.lit(x) for kv in _month_names().items() for x in kv))[name]
+    return let(F.regexp_replace(F.trim(x), r"[T ]\d{1,2}:\d{2}.*$", ""), lambda s: _dated(s, convention))
+
+
+def _whole(x: Column) -> Column:
+    """Digits as a number; none is null, without a cast that fails, which costs more than all the rest."""
+    return F.nullif(x, F.lit("")).cast("int")
+
+
+def _dated(s: Column, convention: str) -> Column:
+    serial = _whole(F.regexp_extract(s, r"^(\d{5})$", 1))
     first, second = ("dd", "MM") if convention == "DMY" else ("MM", "dd")
     slashed = F.regexp_replace(s, "[.-]", "/")
-    made = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
     return (
-        F.when(s.rlike(r"^\d{5}(\.\d+)?$") & serial.between(20000, 60000), F.date_add(F.lit("1899-12-30").cast("date"), F.coalesce(serial, F.lit(0))))
+        F.when(s.rlike(r"^\d{5}$") & serial.between(20000, 60000), F.date_add(F.lit("1899-12-30").cast("date"), F.coalesce(serial, F.lit(0))))
         .when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d"))
         .when(s.rlike(r"^\d{4}-\d{2}$"), F.try_to_date(F.concat(s, F.lit("-01")), "yyyy-MM-dd"))
-        .when(slashed.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(slashed, f"{first[0]}/{second[0]}/yyyy"))
-        .when(number.isNotNull() & day.isNotNull(), made)
+        .when(s.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$"), F.try_to_date(slashed, f"{first[0]}/{second[0]}/yyyy"))
+        .otherwise(let(strip_accents(F.lower(s)), _named))
     )
 
 
+def _named(words: Column) -> Column:
+    """A day, the name of a month and a year."""
+    day, year = (_whole(F.regexp_extract(words, p, 1)) for p in (r"^(\d{1,2})(?:er|st|nd|rd|th)?\s", r"(\d{4})$"))
+    number = F.create_map(*(F.lit(x) for kv in _month_names().items() for x in kv))[F.regexp_extract(words, r"([a-z]{3,9})\.?,?\s+\d{4}$", 1)]
+    made = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+    return F.when(number.isNotNull() & day.isNotNull(), made)
+
+
 def period_month(x: Column) -> Column:
     """A pay period as YYYY-MM: '03/2024', '2024.3', 'mars 2024'; YYYY-MM and YYYY-MM-DD stay; other dates as dates;
     what cannot be read is null."""
     s = strip_accents(F.lower(F.trim(x)))
     made = lambda y, m: F.when(m.between(1, 12), F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0")))
-    front = F.regexp_extract(s, r"^(\d{1,2})[/.-]\d{4}$", 1).try_cast("int"), F.regexp_extract(s, r"^\d{1,2}[/.-](\d{4})$", 1)
-    back = F.regexp_extract(s, r"^\d{4}[/.-](\d{1,2})$", 1).try_cast("int"), F.regexp_extract(s, r"^(\d{4})[/.-]\d{1,2}$", 1)
+    front = _whole(F.regexp_extract(s, r"^(\d{1,2})[/.-]\d{4}$", 1)), F.regexp_extract(s, r"^\d{1,2}[/.-](\d{4})$", 1)
+    back = _whole(F.regexp_extract(s, r"^\d{4}[/.-](\d{1,2})$", 1)), F.regexp_extract(s, r"^(\d{4})[/.-]\d{1,2}$", 1)
     name = F.create_map(*(F.lit(y) for kv in _month_names().items() for y in kv))[F.regexp_extract(s, r"^([a-z]{3,9})\.?\s+\d{4}$", 1)]
     return F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), s), made(front[1], front[0]), made(back[1], back[0]), made(F.regexp_extract(s, r"(\d{4})$", 1), name), parse_date(x).cast("string"))
 
@@ -137,11 +161,14 @@ def number_convention(x: Column) -> Column:
 
 def parse_number_by(x: Column, convention: Column) -> Column:
     """A number whose lone mark before three digits is read as the column's convention says; else parse_number."""
-    m = F.trim(x)
-    lone = m.rlike(r"^-?\d{1,3}[.,]\d{3}$")
-    decimal = (convention == "point") & m.contains(".") | (convention == "comma") & m.contains(",")
-    value = F.when(decimal, F.replace(m, F.lit(","), F.lit(".")).try_cast("double")).otherwise(F.regexp_replace(m, "[.,]", "").try_cast("double"))
-    return F.when(lone & convention.isNotNull(), value).otherwise(parse_number(x))
+
+    def read(m: Column) -> Column:
+        lone = m.rlike(r"^-?\d{1,3}[.,]\d{3}$")
+        decimal = (convention == "point") & m.contains(".") | (convention == "comma") & m.contains(",")
+        value = F.when(decimal, F.replace(m, F.lit(","), F.lit(".")).try_cast("double")).otherwise(F.regexp_replace(m, "[.,]", "").try_cast("double"))
+        return F.when(lone & convention.isNotNull(), value).otherwise(parse_number(m))
+
+    return let(F.trim(x), read)
 
 
 def enum_key(x: Column) -> Column:
@@ -180,11 +207,14 @@ def is_summary_row(first: Column, blanks: Column, n: Column) -> Column:
     A sure label is enough; so is 'total' or 'grand' with qualifiers or years alone. Other words that can mean a total,
     alone or before or after a name, need a fifth of the cells blank, one at least.
     """
-    key = strip_accents(F.lower(F.trim(first)))
-    qualified = key.rlike(rf"^[^a-z0-9]*(total|totaux|grand)([^a-z0-9]+(total|{'|'.join(TOTAL_QUALIFIERS)}|\d{{2,4}}))+[^a-z0-9]*$")
     words = "|".join([*SURE_TOTALS, *OTHER_TOTALS])
-    may_be = key.rlike(rf"^({words})$|^({words}) | ({words})$")
-    return F.coalesce(key.isin(*SURE_TOTALS) | qualified | may_be & (blanks >= F.greatest(F.lit(1), F.floor(n * 0.2))), F.lit(False))
+
+    def judged(key: Column) -> Column:
+        qualified = key.rlike(rf"^[^a-z0-9]*(total|totaux|grand)([^a-z0-9]+(total|{'|'.join(TOTAL_QUALIFIERS)}|\d{{2,4}}))+[^a-z0-9]*$")
+        may_be = key.rlike(rf"^({words})$|^({words}) | ({words})$")
+        return F.coalesce(key.isin(*SURE_TOTALS) | qualified | may_be & (blanks >= F.greatest(F.lit(1), F.floor(n * 0.2))), F.lit(False))
+
+    return let(strip_accents(F.lower(F.trim(first))), judged)
 
 
 def sentiment(x: Column) -> Column:

@@ -113,3 +113,12 @@ def test_conventions_cast_no_text(spark):
     got = df.agg(parsing.date_convention(df.d).alias("d"), parsing.date_convention(df.n).alias("none"), parsing.number_convention(df.n).alias("n"))
     assert "cast(" not in plan(got).lower()  # a cast of a text that is no number costs twenty microseconds
     assert got.first() == ("DMY", None, "comma")
+
+
+def test_readers_work_a_cell_out_once(spark):
+    df = spark.createDataFrame([("1 234,5 k", "15 mars 2024"), ("(500)", "n/a"), ("x", "2024-02-30")], "n string, d string")
+    number, date = df.select(parsing.parse_number(df.n).alias("v")), df.select(parsing.parse_date(df.d).alias("v"), parsing.parse_date(df.d, "MDY").alias("w"))
+    assert plan(number).count("regexp_replace") == 2
+    assert "try_cast" not in date._jdf.queryExecution().analyzed().toString()
+    assert [r.v for r in number.collect()] == [1234500.0, -500.0, None]
+    assert [(str(r.v), str(r.w)) for r in date.collect()] == [("2024-03-15", "2024-03-15"), ("None", "None"), ("None", "None")]
