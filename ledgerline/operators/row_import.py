@@ -115,5 +115,5 @@ def counters(judged: DataFrame) -> DataFrame:
 def reprocess(quarantine: DataFrame, entity: Entity, stored: DataFrame | None = None) -> DataFrame:
     """Rows in quarantine, from the raw texts kept with them, through the import again."""
     schema = ", ".join(f"`{f.name}` string" for f in entity.fields)
-    raw = quarantine.select("row_no", F.from_json("original_data", schema).alias("r")).select("row_no", "r.*")
+    raw = quarantine.select("row_no", F.from_json("original_data", schema).alias("r")).select("row_no", "r.*").persist()  # read twice, for conventions and for rows
     return import_rows(raw, entity, stored)

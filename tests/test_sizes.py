@@ -122,3 +122,10 @@ def test_readers_work_a_cell_out_once(spark):
     assert "try_cast" not in date._jdf.queryExecution().analyzed().toString()
     assert [r.v for r in number.collect()] == [1234500.0, -500.0, None]
     assert [(str(r.v), str(r.w)) for r in date.collect()] == [("2024-03-15", "2024-03-15"), ("None", "None"), ("None", "None")]
+
+
+def test_quarantine_is_read_once(spark):
+    spark.catalog.clearCache()
+    assert registry.QUERIES["x_reprocess_quarantine"](spark, SMALL).count() == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 2  # the texts, and the rows read from them
+    assert rows(registry.QUERIES["x_reprocess_quarantine"](spark, SMALL)) == by_sql("x_reprocess_quarantine", SMALL)
