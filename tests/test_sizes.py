@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from ledgerline.functions import parsing, semantics
-from ledgerline.operators import profile
+from ledgerline.operators import anomaly, profile
 from ledgerline.operators.dedup_engine import deduplicate
 from ledgerline.plans import registry
 from ledgerline.plans.lineage import source_facts
@@ -129,3 +129,26 @@ def test_quarantine_is_read_once(spark):
     assert registry.QUERIES["x_reprocess_quarantine"](spark, SMALL).count() == 2
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 2  # the texts, and the rows read from them
     assert rows(registry.QUERIES["x_reprocess_quarantine"](spark, SMALL)) == by_sql("x_reprocess_quarantine", SMALL)
+
+
+def test_anomalies_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    lists = [[1.0] * 11 + [20.0, 20.000000000000004, -1.0, None], [nan] * 8 + [inf] * 3 + [5.0], [1.0] * 5 + [inf] * 6 + [nan, nan], [5e-324, 1e-323, 1e300, -inf] * 4, [2.0] * 9 + [100.0], [3.0] * 8 + [70.0], [0.0, -0.0, None] * 5, [], [x / 7 for x in range(-5, 3000)], [1.01**x for x in range(900)]]
+    frames = {f"e{n}": spark.createDataFrame([(v,) for v in x], "v double") for n, x in enumerate(lists)}
+    want = set()
+    for n, x in enumerate(lists):  # what is no number sorts last
+        order = lambda v: (v != v, 0 if v != v else v)
+        some = sorted((v for v in x if v is not None and order(v) > (False, 0)), key=order)
+        over = sum(order(v) > order(20 * some[len(some) // 2]) for v in some) if len(some) >= 10 else 0
+        want |= {(e, "v", sum(v is not None and v < 0 for v in x), over) for e in (f"e{n}", f"f{n}")}
+    got = anomaly.anomalous(spark, frames, {e: [(e, "v"), (f"f{e[1:]}", "v")] for e in frames})
+    assert {tuple(r) for r in got.select("entity", "field", "negative", "outliers").collect()} == want
+
+
+def test_anomalies_read_the_lines_once_a_pass(spark, odd):
+    folder = odd(lineitem="SELECT * REPLACE (CASE l_linenumber WHEN 1 THEN -l_quantity ELSE l_quantity END AS l_quantity, CASE l_orderkey % 9 WHEN 0 THEN l_extendedprice * 50 ELSE l_extendedprice END AS l_extendedprice) FROM lineitem", events="SELECT * FROM events WHERE false")
+    df = registry.QUERIES["p_anomalous_values"](spark, folder)
+    assert rows(df) == by_sql("p_anomalous_values", folder)
+    told = plan(df)
+    scans = sum("FileScan" in x and "l_quantity" in x for x in told.splitlines())
+    assert scans == 2 * told.count("InMemoryRelation [") > 0  # what is kept reads the lines twice, as lines and as stock; nothing else does
