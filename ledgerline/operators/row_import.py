@@ -73,8 +73,9 @@ def normalise(raw: DataFrame, entity: Entity) -> DataFrame:
     filled = [P.blank_to_null(c(f"`{n}`")) for n in names]
     blanks = sum((x.isNull().cast("int") for x in filled), F.lit(0))
     summary = P.is_summary_row(F.coalesce(*filled), blanks, F.lit(len(names)))
-    # one projection reads the cells, a second one names them: derived columns never read a cell twice
-    both = raw.crossJoin(F.broadcast(conventions(raw, entity)))
+    # one projection reads the cells, a second one names them: derived columns never read a cell twice. Rows are dealt out
+    # first, for a file may come as one block, and reading cells and telling contents apart cost far more than their texts
+    both = raw.repartition("row_no").crossJoin(F.broadcast(conventions(raw, entity)))
     both = both.select("row_no", F.struct(*(c(f"`{n}`") for n in names)).alias("__raw"), summary.alias("is_summary"), *(typed(f).alias(f.name) for f in known), *(F.lit(None).cast({"number": "double", "date": "date", "boolean": "boolean"}.get(f.kind, "string")).alias(f.name) for f in entity.fields if f not in known))
     data = [f.name for f in entity.fields]
     both = both.withColumn("original_data", F.to_json("__raw"))

@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 from ledgerline.functions import parsing, semantics
-from ledgerline.operators import anomaly, profile
+from ledgerline.operators import anomaly, profile, row_import
 from ledgerline.operators.dedup_engine import deduplicate
-from ledgerline.plans import registry
+from ledgerline.plans import imports, registry
 from ledgerline.plans.lineage import source_facts
 
 SMALL = "/root/testdata/sf0.001"
@@ -152,3 +152,10 @@ def test_anomalies_read_the_lines_once_a_pass(spark, odd):
     told = plan(df)
     scans = sum("FileScan" in x and "l_quantity" in x for x in told.splitlines())
     assert scans == 2 * told.count("InMemoryRelation [") > 0  # what is kept reads the lines twice, as lines and as stock; nothing else does
+
+
+def test_rows_of_one_block_are_dealt_out_before_they_are_read(spark):
+    raw = spark.range(400).coalesce(1).selectExpr("id AS row_no", "'article' AS description", "'2024-01-05' AS date", "concat(id % 7, ',50') AS amount")
+    told = plan(row_import.normalise(raw, imports.TRANSACTION))
+    assert "hashpartitioning(row_no" in told and told.index("original_data") < told.index("hashpartitioning(row_no")
+    assert Counter(r["status"] for r in row_import.import_rows(raw, imports.TRANSACTION).collect()) == {"IMPORTED": 7, "POTENTIAL_DUPLICATE": 393}
