@@ -234,18 +234,19 @@ def from_cube(cube: DataFrame) -> DataFrame:
     )
 
 
-def measures(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None, rates: dict[str, float] | None = None) -> DataFrame:
-    """One row of all base measures: the cube's sums, and one aggregate for each other entity, crossed."""
+def measures(spark: SparkSession, frames: dict[str, DataFrame], start: str | None = None, end: str | None = None, rates: dict[str, float] | None = None, asked: list[Kpi] | None = None) -> DataFrame:
+    """One row of all base measures: the cube's sums, and one aggregate for each other entity (that `asked` indicators read), crossed."""
     c = F.col
     e = readable(spark, frames, start, end)
     row = from_cube(monthly_cube(e, rates))
     o = e["order_lines"]
     sale = is_sale(out_of_revenue(c("status"), c("unit_price")), is_credit_note(c("quantity"), c("subtotal")), c("subtotal"))
-    # rows without an order id are no orders, and rows with neither id are nobody's
-    pairs = o.withColumn("order_id", F.nullif(F.trim("order_id"), F.lit(""))).filter("order_id IS NOT NULL OR customer_id IS NOT NULL").groupBy("order_id", "customer_id").agg(F.max(sale).alias("sale"))
-    by_order = pairs.filter("order_id IS NOT NULL").groupBy("order_id").agg(F.max("sale").alias("sale"), F.max(c("sale") & c("customer_id").isNotNull()).alias("named"))
-    n_orders = by_order.agg(F.sum(c("sale").cast("int")).alias("n_orders"), F.sum(c("named").cast("int")).alias("n_orders_buyer"))
-    buyers = pairs.filter("sale AND customer_id IS NOT NULL").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_buyers"))
+    # rows without an order id are no orders, and rows with neither id are nobody's. No filter by an id: both counts read the same pairs
+    pairs = o.withColumn("order_id", F.nullif(F.trim("order_id"), F.lit(""))).groupBy("order_id", "customer_id").agg(F.max(sale).alias("sale"))
+    has_order, has_customer = c("order_id").isNotNull(), c("customer_id").isNotNull()
+    by_order = pairs.groupBy("order_id").agg(F.max("sale").alias("sale"), F.max(c("sale") & has_customer).alias("named"))
+    n_orders = by_order.agg(F.sum(F.when(has_order, c("sale").cast("int"))).alias("n_orders"), F.sum(F.when(has_order, c("named").cast("int"))).alias("n_orders_buyer"))
+    buyers = pairs.groupBy("customer_id").agg(F.max("sale").alias("sale")).agg(F.count_if(c("sale") & has_customer).alias("n_buyers"))
     staff_all = e["employees"].select("employee_id").union(e["payroll"].select("employee_id")).agg(F.countDistinct("employee_id").alias("n_staff_all"))
     gone = F.coalesce(is_leaver(c("status")), F.lit(False))
     staff = e["employees"].agg(
@@ -263,8 +264,10 @@ def measures(spark: SparkSession, frames: dict[str, DataFrame], start: str | Non
     stock = per.agg(F.sum("last").alias("stock_value"), F.sum((c("first") + c("last")) / 2).alias("stock_average"), (F.sum("critical") / F.nullif(F.sum("n"), F.lit(0))).alias("critical_share"))
     su = e["suppliers"].agg(F.avg("esg_score").alias("esg"), F.avg(F.lower("province").rlike("qc|québec").cast("int")).alias("local_share"))
     a = e["assets"].agg(F.sum("net_book_value").alias("net_book_value"), F.sum("accumulated_depreciation").alias("accumulated"), F.sum("initial_cost").alias("initial_cost"), F.sum(c("net_book_value") * depreciation_rate(c("dpa_rate"))).alias("dpa"))
+    wanted = None if asked is None else {w for k in asked for w in _names(" ".join([k.expr, *k.parts]))}
     for one in (n_orders, buyers, staff_all, staff, flow, m, cu, feel, stock, su, a):
-        row = row.crossJoin(F.broadcast(one))  # rows of one
+        if wanted is None or wanted & set(one.columns):  # a row that no indicator reads is not worked out
+            row = row.crossJoin(F.broadcast(one))  # rows of one
     return row.withColumns({name: F.expr(expr) for name, expr in _SHARED.items()})
 
 
@@ -325,7 +328,7 @@ def compute(spark: SparkSession, frames: dict[str, DataFrame], start: str | None
     rates: of each currency to the company's; RATES by default.
     """
     asked = needed(ids)
-    row = evaluated(measures(spark, frames, start, end, rates), asked)
+    row = evaluated(measures(spark, frames, start, end, rates, asked), asked)
     cells = [F.struct(F.lit(k.id).alias("kpi"), F.lit(k.unit).alias("unit"), F.col(k.id).alias("v"), F.col(f"{k.id}__partial").alias("partial")) for k in asked if ids is None or k.id in ids]
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.kpi", "x.unit", F.round(F.col("x.v"), 4).alias("value"), status_of(F.col("x.v"), F.col("x.partial")).alias("status"))
 
@@ -388,7 +391,7 @@ def shared_months(spark: SparkSession, frames: dict[str, DataFrame], start: str
     Months are null where nothing was aligned: fewer than two sources with dates, or one of a single month.
     """
     asked = needed(list(SHARED_KPIS))
-    row = evaluated(measures(spark, frames, start, end, rates), asked)
+    row = evaluated(measures(spark, frames, start, end, rates, asked), asked)
     cells = []
     for k, x in SHARED_KPIS.items():
         aligned = (F.col(f"present{x}") > 1) & ~F.col(f"lone{x}") & ~F.col(f"empty{x}") if x else F.lit(False)

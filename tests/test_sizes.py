@@ -9,8 +9,9 @@ import pytest
 from ledgerline.functions import parsing, semantics
 from ledgerline.operators import anomaly, profile, row_import
 from ledgerline.operators.dedup_engine import deduplicate
-from ledgerline.plans import imports, registry
+from ledgerline.plans import imports, kpis, registry
 from ledgerline.plans.lineage import source_facts
+from ledgerline.sources.catalog import frames
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -159,3 +160,12 @@ def test_rows_of_one_block_are_dealt_out_before_they_are_read(spark):
     told = plan(row_import.normalise(raw, imports.TRANSACTION))
     assert "hashpartitioning(row_no" in told and told.index("original_data") < told.index("hashpartitioning(row_no")
     assert Counter(r["status"] for r in row_import.import_rows(raw, imports.TRANSACTION).collect()) == {"IMPORTED": 7, "POTENTIAL_DUPLICATE": 393}
+
+
+def test_indicators_read_only_what_they_need(spark):
+    told = plan(kpis.compute(spark, frames(spark, SMALL), ids=["order_count"]))
+    assert not [x for x in told.splitlines() if "FileScan" in x and ("role" in x or "c_acctbal" in x or "c_custkey" in x)]
+    lines = [("1", "a", 5.0), ("1", None, 5.0), ("2", "a", 0.0), (None, "b", 5.0), (" ", None, 5.0), (None, None, 5.0)]
+    df = spark.createDataFrame(lines, "order_id string, customer_id string, subtotal double")
+    got = {r["kpi"]: r["value"] for r in kpis.compute(spark, {"order_lines": df}, ids=["order_count", "purchase_frequency", "arpu"]).collect()}
+    assert got == {"order_count": 1.0, "purchase_frequency": 0.5, "arpu": 5.0}
