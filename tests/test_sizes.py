@@ -5,12 +5,14 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.functions import parsing, semantics
 from ledgerline.operators import anomaly, profile, row_import
 from ledgerline.operators.dedup_engine import deduplicate
 from ledgerline.plans import imports, kpis, registry
 from ledgerline.plans.lineage import source_facts
+from ledgerline.sources import catalog
 from ledgerline.sources.catalog import frames
 
 SMALL = "/root/testdata/sf0.001"
@@ -169,3 +171,20 @@ def test_indicators_read_only_what_they_need(spark):
     df = spark.createDataFrame(lines, "order_id string, customer_id string, subtotal double")
     got = {r["kpi"]: r["value"] for r in kpis.compute(spark, {"order_lines": df}, ids=["order_count", "purchase_frequency", "arpu"]).collect()}
     assert got == {"order_count": 1.0, "purchase_frequency": 0.5, "arpu": 5.0}
+
+
+@pytest.mark.parametrize("name", ["j_product_latest_inventory"])
+def test_stock_is_dealt_out_once_by_product(spark, name):
+    sent = [x for x in plan(registry.QUERIES[name](spark, SMALL)).splitlines() if "Exchange hashpartitioning" in x]
+    assert any("l_partkey" in x and f", {catalog.STOCK_TASKS})" in x and "REPARTITION_BY_NUM" in x for x in sent)
+    assert not any("warehouse_id" in x or "l_suppkey" in x for x in sent)
+
+
+def test_stock_keys_of_other_types_and_none(spark, odd):
+    days = [("a", "x", "2000-01-31", 5.0, 50.0), ("a", "x", "2000-02-29", 20.0, 80.0), (None, "x", "2000-01-31", 30.0, 7.0)]
+    stock = spark.createDataFrame(days, "product_id string, warehouse_id string, date string, closing_stock double, inventory_value double")
+    for df in (stock, stock.withColumn("product_id", F.when(F.col("product_id") == "a", 1.5)), stock.drop("warehouse_id")):
+        got = {r.kpi: r.value for r in kpis.compute(spark, {"inventory": df}, ids=["inventory_value_total", "inventory_value_average", "critical_sku_rate"]).collect()}
+        assert got == {"inventory_value_total": 87.0, "inventory_value_average": 72.0, "critical_sku_rate": pytest.approx(100 / 3, abs=1e-4)}
+    folder = odd(part="SELECT * FROM part WHERE p_partkey % 3 <> 0", lineitem="SELECT * REPLACE (CASE l_orderkey % 5 WHEN 0 THEN NULL ELSE l_partkey END AS l_partkey) FROM lineitem")
+    assert rows(registry.QUERIES["j_product_latest_inventory"](spark, folder)) == by_sql("j_product_latest_inventory", folder)
