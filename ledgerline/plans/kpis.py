@@ -137,6 +137,8 @@ READS = {
 #: Flows count inside a period, balances and stocks up to its end; reference rows always.
 FLOWS = {"order_lines": "date", "transactions": "date", "expenses": "date", "payroll": "period", "campaign_days": "date"}
 UP_TO = {"cashflow": "date", "inventory": "date"}
+#: Keys that rows are only grouped by, and keep their type: a cast would hide that rows lie together by them already.
+GROUPED = {"inventory": ("product_id", "warehouse_id")}
 
 
 def not_given(frames: dict[str, DataFrame], ids: list[str] | None = None) -> list[str]:
@@ -155,7 +157,7 @@ def readable(spark: SparkSession, frames: dict[str, DataFrame], start: str | Non
             out[name] = spark.createDataFrame([], schema)
             continue
         kinds = [x.split() for x in schema.split(", ")]
-        df = df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds))
+        df = df.select(*(F.col(n) if n in GROUPED.get(name, ()) and n in df.columns else (F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds))
         if (d := FLOWS.get(name)) and start:
             df = df.filter(F.col(d) >= F.lit(start).cast("date"))
         if (d := FLOWS.get(name) or UP_TO.get(name)) and end:
