@@ -173,7 +173,7 @@ def test_indicators_read_only_what_they_need(spark):
     assert got == {"order_count": 1.0, "purchase_frequency": 0.5, "arpu": 5.0}
 
 
-@pytest.mark.parametrize("name", ["j_product_latest_inventory", "a_kpi_period"])
+@pytest.mark.parametrize("name", ["j_product_latest_inventory", "a_kpi_period", "a_kpi_catalogue"])
 def test_stock_is_dealt_out_once_by_product(spark, name):
     sent = [x for x in plan(registry.QUERIES[name](spark, SMALL)).splitlines() if "Exchange hashpartitioning" in x]
     assert any("l_partkey" in x and f", {catalog.STOCK_TASKS})" in x and "REPARTITION_BY_NUM" in x for x in sent)
