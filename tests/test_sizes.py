@@ -1,6 +1,7 @@
 """What the larger tables showed: odd values, and plans whose shuffles and memory do not outgrow the input."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -188,3 +189,8 @@ def test_stock_keys_of_other_types_and_none(spark, odd):
         assert got == {"inventory_value_total": 87.0, "inventory_value_average": 72.0, "critical_sku_rate": pytest.approx(100 / 3, abs=1e-4)}
     folder = odd(part="SELECT * FROM part WHERE p_partkey % 3 <> 0", lineitem="SELECT * REPLACE (CASE l_orderkey % 5 WHEN 0 THEN NULL ELSE l_partkey END AS l_partkey) FROM lineitem")
     assert rows(registry.QUERIES["j_product_latest_inventory"](spark, folder)) == by_sql("j_product_latest_inventory", folder)
+
+
+def test_checks_sum_the_lines_once(spark):
+    kept = re.findall(r"InMemoryRelation \[[^\]]*\]", registry.QUERIES["q_coherence"](spark, SMALL)._jdf.queryExecution().withCachedData().toString())
+    assert len(kept) > 6 and len({re.sub(r"#\d+", "", x) for x in kept}) == 2  # the lines' sums, and stock
