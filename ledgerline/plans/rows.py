@@ -81,7 +81,7 @@ SELECT order_id, line_no, product_id, revenue, gross_profit, {_CENTS.format('gro
 def n_order_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derivations of every order: revenue ex tax from a net subtotal, cost, profit and margin."""
     o = cat.order_lines(spark, sf_dir).withColumn("unit_cost", c("cost") / c("quantity"))
-    return derive.order(o).select("order_id", "line_no", "product_id", c("total_revenue").alias("revenue"), "gross_profit", "gross_margin")
+    return derive.order(o).select(c("order_id").cast("long").alias("order_id"), "line_no", "product_id", c("total_revenue").alias("revenue"), "gross_profit", "gross_margin")
 
 
 @part.query(f"SELECT campaign_id, date, {_CENTS.format('revenue / nullif(spend, 0)')} AS roas, {_CENTS.format('nullif(spend, 0) / nullif(conversions, 0)')} AS cac FROM campaign_days")
